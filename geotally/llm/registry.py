@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.llm import line_dedup, sentencepiece_codec
+from geotally.llm import line_dedup, sentencepiece_codec, simhash
 from geotally.llm.common import table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
@@ -57,3 +57,9 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every whole document."""
     docs = table(spark, sf_dir, "documents")
     return sentencepiece_codec.encode_decode(docs, PIECE_MODEL, with_ids=False, with_text=False)
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every whole document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
