@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotally.llm.common import SPACES, lower_ascii
+from geotally.llm.common import SPACES, cut, lower_ascii
 
 
 def line_key(line):
@@ -49,8 +49,9 @@ def drop_frequent_lines(
         .select("id", F.unhex(F.substring("version", 1, 16)).alias("version"), "at", F.unhex(F.md5("key")).alias("hash"))
     )
     # One row per document and line first, so that the count below is of distinct documents.
-    frequent = (
-        lines.groupBy("hash", "id").agg(F.lit(1).alias("one"))
+    # The table is written, so that the join back deals both its sides and can split a hot line.
+    frequent = cut(
+        lines.select("hash", "id").distinct()
         .groupBy("hash").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
         .where(F.col("n") >= min_docs)
         .select("hash", "keeper")

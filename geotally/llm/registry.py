@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.llm import line_dedup, sentencepiece_codec, simhash
-from geotally.llm.common import table
+from geotally.llm import exact_topk, line_dedup, sentencepiece_codec, simhash, warc
+from geotally.llm.common import scratch, table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -63,3 +63,57 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every whole document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as archives, deduplicated to revisit records and read back."""
+    raw, resolved = scratch(spark, "warc"), scratch(spark, "warc")
+    warc.write_archives(warc.page_records(table(spark, sf_dir, "pages")), raw)
+    warc.resolve(spark, raw, resolved, min_bytes=0)
+    return warc.read_resolved(spark, resolved).select(
+        F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+ORACLE["op2_warc_revisit"] = r"""
+WITH hexed AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), bits AS (
+  SELECT page_id, payload_bytes, h,
+         list_transform(range(0, 32), lambda i: ('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::INT // (32 ** (3 - i % 4))::INT % 32) AS ds
+  FROM hexed
+), digests AS (
+  SELECT page_id, payload_bytes,
+         array_to_string(list_transform(ds, lambda d: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (d + 1)::INT, 1)), '') AS payload_digest
+  FROM bits
+), newest AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS original FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM newest
+"""
+
+
+@query
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest rows, by inner product, of every hundredth vector."""
+    vectors = exact_topk.quantised(table(spark, sf_dir, "embeddings"))
+    return exact_topk.top_k(vectors.where("vec_id % 100 = 0"), vectors, k=10)
+
+
+ORACLE["op5_exact_topk"] = r"""
+WITH usable AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
