@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.llm import exact_topk, line_dedup, sentencepiece_codec, simhash, warc
-from geotally.llm.common import scratch, table
+from geotally.llm import decontaminate, exact_topk, langid, line_dedup, sentencepiece_codec, simhash, warc
+from geotally.llm.common import fold, scratch, table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -117,3 +117,26 @@ WITH usable AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, exactly or with a few errors: a row for each item."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.with_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("leaks"))
+
+
+def language_training(docs: DataFrame) -> DataFrame:
+    """Documents that language may be learned from."""
+    return docs.where(F.coalesce(fold(parts=4) != 2, F.lit(False)) & F.col("lang").isNotNull())
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.drop("lang"), language_training(docs), PIECE_MODEL)
+    return found.select(
+        "doc_id", F.coalesce(fold(parts=4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
+    )
