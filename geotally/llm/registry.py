@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.llm import decontaminate, exact_topk, langid, line_dedup, sentencepiece_codec, simhash, warc
+from geotally.llm import decontaminate, exact_topk, langid, line_dedup, quality, sentencepiece_codec, simhash, warc
 from geotally.llm.common import fold, scratch, table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
@@ -140,3 +140,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.coalesce(fold(parts=4) == 2, F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score")
     )
+
+
+def label_fold(held_out: bool):
+    """Rows with remainder 0 are held out; rows without an id are neither learned from nor held out."""
+    return F.coalesce(fold(parts=5) == 0 if held_out else fold(parts=5) != 0, F.lit(False))
+
+
+@query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole document."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    found = quality.classify(docs, labels, threshold=0.3, learn_from=label_fold(held_out=False))
+    return found.select("doc_id", label_fold(held_out=True).alias("held_out"), "score", "predicted")
