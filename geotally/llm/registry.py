@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.llm import decontaminate, exact_topk, langid, line_dedup, quality, sentencepiece_codec, simhash, warc
+from geotally.llm import decontaminate, exact_topk, langid, line_dedup, quality, sentencepiece_codec, simhash, toxicity, warc
 from geotally.llm.common import fold, scratch, table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
@@ -153,3 +153,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     found = quality.classify(docs, labels, threshold=0.3, learn_from=label_fold(held_out=False))
     return found.select("doc_id", label_fold(held_out=True).alias("held_out"), "score", "predicted")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    found = toxicity.classify(docs, labels, threshold=0.5, learn_from=label_fold(held_out=False))
+    return found.select("doc_id", label_fold(held_out=True).alias("held_out"), "score", "predicted")
