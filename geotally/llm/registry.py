@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.llm import decontaminate, exact_topk, langid, line_dedup, quality, sentencepiece_codec, simhash, toxicity, warc
+from geotally.llm import decontaminate, exact_topk, langid, line_dedup, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
 from geotally.llm.common import fold, scratch, table
 
 #: Where the public vocabulary files are; a parameter of every operator that uses one.
@@ -161,3 +161,34 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     found = toxicity.classify(docs, labels, threshold=0.5, learn_from=label_fold(held_out=False))
     return found.select("doc_id", label_fold(held_out=True).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents without the 50-word passages that a smaller document has too."""
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50, with_text=False)
+
+
+ORACLE["op10_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, p AS start, md5(array_to_string(ws[p:p + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM words WHERE len(ws) >= 50)
+), firsts AS (
+  SELECT h, min(doc_id) AS m FROM windows GROUP BY h
+), hits AS (
+  SELECT w.doc_id, w.start FROM windows w JOIN firsts USING (h) WHERE firsts.m < w.doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start, start + 50)) AS p FROM hits
+), placed AS (
+  SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS p FROM words
+), kept AS (
+  SELECT placed.doc_id, count(*) FILTER (WHERE gone.p IS NOT NULL) AS n_removed,
+         string_agg(w, ' ' ORDER BY placed.p) FILTER (WHERE gone.p IS NULL) AS t
+  FROM placed LEFT JOIN gone ON gone.doc_id = placed.doc_id AND gone.p = placed.p GROUP BY placed.doc_id
+)
+SELECT words.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON kept.doc_id = words.doc_id
+"""
