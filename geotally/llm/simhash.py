@@ -142,3 +142,16 @@ def near_duplicates(
     return prints.join(of_print, prints["fp"] == of_print["own"]).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its near-duplicate component.
+
+    Of rows that repeat an id and a text one stays; rows with a null id stay.  ``options`` are
+    those of ``near_duplicates``.
+    """
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    found = near_duplicates(docs, **options)
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
+    return named.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
