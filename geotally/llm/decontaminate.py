@@ -8,6 +8,7 @@ where they lie; only the items move, in blocks whose size is checked before they
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections import defaultdict
 from collections.abc import Callable
@@ -26,9 +27,12 @@ BLOCK_CHARS = 4_000_000
 LEAKS = "array<struct<item_id:long,distance:int,start:int,end:int>>"
 
 
+_BETWEEN = re.compile(r"\W+")
+
+
 def normalise(text: str | None) -> str:
-    """Lower case, white space as single blanks."""
-    return " ".join((text or "").lower().split())
+    """Lower case, all between letters, digits and underscores as single blanks."""
+    return _BETWEEN.sub(" ", (text or "").lower()).strip()
 
 
 def budget(length: int, rate: float = ERROR_RATE) -> int:
@@ -181,8 +185,9 @@ def leak_columns(docs: DataFrame, benchmark: DataFrame, *, rate: float = ERROR_R
 def with_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", rate: float = ERROR_RATE, min_chars: int = MIN_ITEM_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """All rows and columns of ``docs`` with ``leaks``, the benchmark items in the text.
 
-    A leak has the item's id, its edit distance (both texts in lower case, white space as
-    single blanks; at most ``rate`` errors a character) and the place in the normalised text.
+    A leak has the item's id, its edit distance (both texts normalised, so that case, white
+    space and punctuation don't count; at most ``rate`` errors a character) and the place in
+    the normalised text.
     Of several places of one item the closest counts, then the first looked at.  A null or
     empty text has none.  Items that are null or shorter than ``min_chars`` are not looked for;
     items with a null id or with equal texts are reported like any other.  Repeated rows stay
