@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 UNIT_SEPARATOR, RECORD_SEPARATOR, LIST_SEPARATOR, NULL_MARK = "\u001f", "\n", "\u001e", "\u0000"
 
@@ -72,7 +73,7 @@ def signed64(x: Column) -> Column:
     return F.when(d >= F.lit("9223372036854775808").cast("decimal(20,0)"), d - F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(d).cast("long")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(x: pd.Series) -> pd.Series:
     """Unicode compatibility form, which Spark lacks."""
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))

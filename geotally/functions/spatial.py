@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 EARTH_RADIUS_M = 6_371_010.0
 
@@ -119,7 +120,7 @@ def _s2_ids(lon: np.ndarray, lat: np.ndarray, level: int) -> np.ndarray:
 def s2_cell(level: int):
     """A function (lon, lat) giving the signed cell id of a level; null for null or out-of-range places."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def cell(lon: pd.Series, lat: pd.Series) -> pd.Series:
         ok = (lon.abs() <= 180) & (lat.abs() <= 90)
         ids = _s2_ids(lon.where(ok, 0.0).to_numpy(float), lat.where(ok, 0.0).to_numpy(float), level)
@@ -133,7 +134,7 @@ def cell_token(cell: Column) -> Column:
     return F.regexp_replace(F.lpad(F.lower(F.hex(cell)), 16, "0"), "0+$", "")
 
 
-@F.pandas_udf("lon double, lat double")
+@F.pandas_udf(StructType([StructField("lon", DoubleType()), StructField("lat", DoubleType())]))
 def tm2_to_degrees(x: pd.Series, y: pd.Series) -> pd.DataFrame:
     """Inverse transverse Mercator (GRS80, central meridian 121 degrees, scale 0.9999, false easting
     250 km) by the public Krueger series."""

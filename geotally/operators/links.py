@@ -7,6 +7,7 @@ import decimal
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from geotally.storage import cut
 
@@ -31,7 +32,7 @@ def both_ways(links: DataFrame) -> DataFrame:
     return links.unionByName(turned)
 
 
-@F.pandas_udf("decimal(38,24)")
+@F.pandas_udf(DecimalType(38, 24))
 def divided(a: pd.Series, b: pd.Series) -> pd.Series:
     """a / b to 24 places, half to even; null where b is zero (Spark's decimals keep too few)."""
     context = decimal.Context(prec=80, rounding=decimal.ROUND_HALF_EVEN)
@@ -39,7 +40,7 @@ def divided(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or not y else context.divide(x, y).quantize(unit, context=context) for x, y in zip(a, b, strict=True)], dtype=object)
 
 
-@F.pandas_udf("decimal(38,36)")
+@F.pandas_udf(DecimalType(38, 36))
 def fraction_of(bucket: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     """bucket * a / b to 36 places, so that sums can be rounded to 24."""
     context = decimal.Context(prec=80, rounding=decimal.ROUND_HALF_EVEN)
@@ -47,7 +48,7 @@ def fraction_of(bucket: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if not y else context.divide(context.multiply(k, x), y).quantize(unit, context=context) for k, x, y in zip(bucket, a, b, strict=True)], dtype=object)
 
 
-@F.pandas_udf("decimal(38,30)")
+@F.pandas_udf(DecimalType(38, 30))
 def carried(state: pd.Series, share: pd.Series) -> pd.Series:
     """0.75 * state * share to 30 places, half to even: the exact product has more than 38 digits."""
     context = decimal.Context(prec=80, rounding=decimal.ROUND_HALF_EVEN)
