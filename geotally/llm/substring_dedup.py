@@ -101,7 +101,7 @@ def _windows(rows: DataFrame, shared, several, window: int, gram: int) -> DataFr
     return rows.mapInArrow(run, "key long, doc_id long, version long, start int, count int")
 
 
-SPAN = "doc_id long, version long, ref_id long, ref_version long, start int, stop int"
+SPAN = "doc_id long, version long, ref_id long, start int, stop int"
 
 
 def _spans(claims: DataFrame, window: int) -> DataFrame:
@@ -111,23 +111,23 @@ def _spans(claims: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             lists = batch.column(2)
             row = pc.list_parent_indices(lists).to_numpy()
-            start, count, ref, version = (lists.flatten().field(k).to_numpy() for k in ("start", "count", "ref_id", "ref_version"))
-            order = np.lexsort((start, version, ref, row))
-            row, start, count, ref, version = (x[order] for x in (row, start, count, ref, version))
+            start, count, ref = (lists.flatten().field(k).to_numpy() for k in ("start", "count", "ref_id"))
+            order = np.lexsort((start, ref, row))
+            row, start, count, ref = (x[order] for x in (row, start, count, ref))
             stop = start + count
             if not len(row):
                 continue
             # Windows of repeated rows may overlap: the furthest stop so far within a group.
-            same = np.concatenate([[False], (row[1:] == row[:-1]) & (ref[1:] == ref[:-1]) & (version[1:] == version[:-1])])
+            same = np.concatenate([[False], (row[1:] == row[:-1]) & (ref[1:] == ref[:-1])])
             group = np.cumsum(~same)
             far = np.maximum.accumulate(stop + group * (1 << 32)) - group * (1 << 32)
             new = ~same | (start > np.concatenate([[0], far[:-1]]))
             first = np.flatnonzero(new)
             last = np.concatenate([first[1:] - 1, [len(row) - 1]])
             ids, versions = batch.column(0).to_numpy()[row[first]], batch.column(1).to_numpy()[row[first]]
-            yield _batch([f.split()[0] for f in SPAN.split(", ")], [ids, versions, ref[first], version[first], start[first].astype(np.int32), (far[last] + window - 1).astype(np.int32)])
+            yield _batch([f.split()[0] for f in SPAN.split(", ")], [ids, versions, ref[first], start[first].astype(np.int32), (far[last] + window - 1).astype(np.int32)])
 
-    lists = claims.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "count", "ref_id", "ref_version")).alias("found"))
+    lists = claims.groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "count", "ref_id")).alias("found"))
     return lists.mapInArrow(run, SPAN)
 
 
@@ -146,7 +146,7 @@ def _words(text: str) -> np.ndarray:
     return parts[0] if parts else np.zeros(0, np.uint64)
 
 
-SHARD = "ref_id long, ref_version long, shard int, kind int, doc_id long, version long, start int, text string"
+SHARD = "ref_id long, shard int, kind int, doc_id long, version long, start int, text string"
 
 
 def _passages(texts: DataFrame, asked: DataFrame) -> DataFrame:
@@ -158,15 +158,16 @@ def _passages(texts: DataFrame, asked: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 whole = row["text"].encode().split()
-                out = [[row["doc_id"], row["version"], s, 0, None, None, 0, b" ".join(whole).decode()] for s in range(row["shards"] or 0)]
+                out = [[row["doc_id"], s, 0, None, row["version"], 0, b" ".join(whole).decode()] for s in range(row["shards"] or 0)]
                 out += [
-                    [p["ref_id"], p["ref_version"], p["shard"], 1, row["doc_id"], row["version"], p["start"], b" ".join(whole[p["start"] : p["stop"]]).decode()]
+                    [p["ref_id"], p["shard"], 1, row["doc_id"], row["version"], p["start"], b" ".join(whole[p["start"] : p["stop"]]).decode()]
                     for p in row["parts"] or []
+                    if p["version"] == row["version"]
                 ]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    joined = texts.join(asked, (texts["doc_id"] == asked["of_id"]) & (texts["version"] == asked["of_version"]))
+    joined = texts.join(asked, texts["doc_id"] == asked["of_id"])
     return joined.select("doc_id", "version", "text", "shards", "parts").mapInArrow(run, SHARD)
 
 
@@ -174,21 +175,24 @@ def _verified(shards: DataFrame, threshold: int) -> DataFrame:
     """Spans of each passage's matching statistics against its reference's automaton."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner = automaton = None
+        owner, automaton = None, None
+        words: list = []  # of the reference; rows that repeat its id are apart by a word of their own
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
-                key = (row["ref_id"], row["ref_version"])
                 if row["kind"] == 0:
-                    if key != owner:
-                        owner, automaton = key, SuffixAutomaton(_words(row["text"]).tolist())
-                elif key == owner:
+                    if row["ref_id"] != owner or automaton is not None:
+                        owner, automaton, words = row["ref_id"], None, []
+                    words += [*_words(row["text"]).tolist(), ("end", len(words))]
+                elif row["ref_id"] == owner:
+                    if automaton is None:
+                        automaton = SuffixAutomaton(words)
                     out += [(row["doc_id"], row["version"], row["start"] + a, row["start"] + b) for a, b in automaton.spans(_words(row["text"]).tolist(), threshold)]
             if out:
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "version", "start", "stop"])
 
-    dealt = shards.repartition("ref_id", "ref_version", "shard").sortWithinPartitions("ref_id", "ref_version", "shard", "kind")
+    dealt = shards.repartition("ref_id", "shard").sortWithinPartitions("ref_id", "shard", "kind", "doc_id", "version", "start")
     return dealt.mapInArrow(run, "doc_id long, version long, start int, stop int")
 
 
@@ -248,34 +252,33 @@ def remove_repeats(
 
     windows = _windows(usable, shared, several, window, gram)
     first = cut(
-        windows.groupBy("key").agg(F.min(F.struct("doc_id", "version")).alias("first"), F.max("doc_id").alias("most"))
-        .where("first.doc_id < most").select(F.col("key").alias("of_key"), F.col("first.doc_id").alias("ref_id"), F.col("first.version").alias("ref_version"))
+        windows.groupBy("key").agg(F.min("doc_id").alias("ref_id"), F.max("doc_id").alias("most"))
+        .where("ref_id < most").select(F.col("key").alias("of_key"), "ref_id")
     )
     claims = windows.join(first, F.col("key") == F.col("of_key")).where("doc_id > ref_id")
-    spans = cut(_spans(claims.select("doc_id", "version", "start", "count", "ref_id", "ref_version"), window))
+    spans = cut(_spans(claims.select("doc_id", "version", "start", "count", "ref_id"), window))
 
     loads = cut(
-        spans.groupBy("ref_id", "ref_version").agg(F.sum(F.col("stop") - F.col("start")).alias("words"))
-        .select(F.col("ref_id").alias("of_ref"), F.col("ref_version").alias("of_ref_version"), F.ceil(F.col("words") / SHARD_WORDS).cast("int").alias("shards"))
+        spans.groupBy("ref_id").agg(F.sum(F.col("stop") - F.col("start")).alias("words"))
+        .select(F.col("ref_id").alias("of_ref"), F.ceil(F.col("words") / SHARD_WORDS).cast("int").alias("shards"))
     )
     parts = (
-        spans.join(loads, (F.col("ref_id") == F.col("of_ref")) & (F.col("ref_version") == F.col("of_ref_version")))
+        spans.join(loads, F.col("ref_id") == F.col("of_ref"))
         .withColumn("shard", F.pmod(F.xxhash64("doc_id", "start"), F.col("shards")).cast("int"))
-        .groupBy("doc_id", "version").agg(F.collect_list(F.struct("ref_id", "ref_version", "shard", "start", "stop")).alias("parts"))
+        .groupBy("doc_id").agg(F.collect_list(F.struct("version", "ref_id", "shard", "start", "stop")).alias("parts"))
     )
     asked = cut(
-        parts.select(F.col("doc_id").alias("of_id"), F.col("version").alias("of_version"), "parts")
-        .join(loads.select(F.col("of_ref").alias("of_id"), F.col("of_ref_version").alias("of_version"), "shards"), ["of_id", "of_version"], "full")
+        parts.select(F.col("doc_id").alias("of_id"), "parts").join(loads.select(F.col("of_ref").alias("of_id"), "shards"), "of_id", "full")
     )
-    hashed = texts.withColumn("id_hash", F.xxhash64("doc_id", "version"))
-    wanted = context.broadcast(_bitmap(asked.select(F.xxhash64("of_id", "of_version").alias("h")), "h"))
+    hashed = texts.withColumn("id_hash", F.xxhash64("doc_id"))
+    wanted = context.broadcast(_bitmap(asked.select(F.xxhash64("of_id").alias("h")), "h"))
     involved = _marked(hashed.where("doc_id IS NOT NULL AND text IS NOT NULL"), wanted)
     gone = cut(
         _verified(_passages(involved, asked), window)
         .groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("gone"))
         .select(F.col("doc_id").alias("of_id"), F.col("version").alias("of_version"), "gone")
     )
-    cleared = context.broadcast(_bitmap(gone.select(F.xxhash64("of_id", "of_version").alias("h")), "h"))
+    cleared = context.broadcast(_bitmap(gone.select(F.xxhash64("of_id").alias("h")), "h"))
     return _finish(hashed, gone, cleared, with_text)
 
 
