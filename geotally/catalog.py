@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geotally.plans import layers, network  # noqa: F401
+from geotally.plans import evaluation, ingest, layers, network, serving  # noqa: F401
 from geotally.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

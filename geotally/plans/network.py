@@ -65,7 +65,7 @@ CLASSES = ("SOURCE_INACTIVE", "GEOMETRY_EMPTY", "COLLAPSED_EDGE", "INTERVAL_OVER
 
 SQL_CLASSES = f"""{SQL_OVERLAPS}, classified AS (
   SELECT o_orderkey AS source_id, CASE
-    WHEN o_orderstatus = 'F' AND o_orderkey % 5 = 0 THEN 'SOURCE_INACTIVE'
+    WHEN o_orderstatus = 'F' AND o_totalprice < 100000 THEN 'SOURCE_INACTIVE'
     WHEN n.source_id IS NULL THEN 'GEOMETRY_EMPTY'
     WHEN c.source_id IS NOT NULL THEN 'COLLAPSED_EDGE'
     WHEN v.source_id IS NOT NULL THEN 'INTERVAL_OVERLAP'
@@ -89,10 +89,10 @@ def classified(t: Tables) -> DataFrame:
         .groupBy("source_id").agg(F.bool_or(F.col("low") == F.col("high")).alias("collapsed"), F.max("n").alias("most"))
     )
     pairs = _overlaps(t).select("source_id", F.lit(True).alias("overlap")).distinct()
-    joined = t.orders.select(F.col("o_orderkey").alias("source_id"), "o_orderstatus").join(own, "source_id", "left").join(pairs, "source_id", "left")
+    joined = t.orders.select(F.col("o_orderkey").alias("source_id"), "o_orderstatus", "o_totalprice").join(own, "source_id", "left").join(pairs, "source_id", "left")
     return joined.select(
         "source_id",
-        F.when((F.col("o_orderstatus") == "F") & (F.col("source_id") % 5 == 0), "SOURCE_INACTIVE").when(F.col("most").isNull(), "GEOMETRY_EMPTY").when(F.col("collapsed"), "COLLAPSED_EDGE")
+        F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 100000), "SOURCE_INACTIVE").when(F.col("most").isNull(), "GEOMETRY_EMPTY").when(F.col("collapsed"), "COLLAPSED_EDGE")
         .when(F.col("overlap"), "INTERVAL_OVERLAP").when(F.col("most") > 1, "NONUNIQUE_TRAVERSAL").otherwise("ADMITTED").alias("terminal_class"),
     )
 
@@ -159,13 +159,13 @@ def sewer_links_weights(t: Tables) -> DataFrame:
     return cell_links(t).withColumn("total_length", F.col("total_length").cast("double"))
 
 
-SQL_GENERIC = "generic AS (SELECT a.s_suppkey AS from_cell, b.s_suppkey AS to_cell FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1)"
+SQL_GENERIC = "generic AS (SELECT a.s_suppkey AS from_cell, b.s_suppkey AS to_cell, a.s_acctbal > 0 AS is_open FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1)"
 
 
 def generic_links(t: Tables) -> DataFrame:
-    """Neighbours of the lattice of cells: an equal join on the neighbour's key."""
-    cells = t.supplier.select(F.col("s_suppkey").alias("from_cell"))
-    return cells.join(t.supplier.select(F.col("s_suppkey").alias("to_cell"), (F.col("s_suppkey") - 1).alias("from_cell")), "from_cell").select("from_cell", "to_cell")
+    """Neighbours of the lattice of cells, with a barrier flag: an equal join on the neighbour's key."""
+    cells = t.supplier.select(F.col("s_suppkey").alias("from_cell"), (F.col("s_acctbal") > 0).alias("is_open"))
+    return cells.join(t.supplier.select(F.col("s_suppkey").alias("to_cell"), (F.col("s_suppkey") - 1).alias("from_cell")), "from_cell").select("from_cell", "to_cell", "is_open")
 
 
 def all_links(t: Tables) -> DataFrame:
@@ -281,7 +281,7 @@ SCOPES = ("FULL", "ELIGIBLE", "UNION")
 
 def scoped_components(t: Tables, scope: str) -> DataFrame:
     """Every cell with the smallest cell of its component; isolated cells are their own."""
-    links = {"FULL": cell_links(t), "ELIGIBLE": cell_links(t).where("eligible AND n_sources >= 2"), "UNION": cell_links(t).where("n_sources >= 2").select("from_cell", "to_cell").unionByName(generic_links(t).where("from_cell % 3 <> 0"))}[scope].select("from_cell", "to_cell")
+    links = {"FULL": cell_links(t), "ELIGIBLE": cell_links(t).where("eligible AND n_sources >= 2"), "UNION": cell_links(t).where("n_sources >= 2").select("from_cell", "to_cell").unionByName(generic_links(t).where("is_open").drop("is_open"))}[scope].select("from_cell", "to_cell")
     found = components(links)
     return network_cells(t).join(found, F.col("cell_id") == F.col("node"), "left").select(F.lit(scope).alias("scope"), "cell_id", F.coalesce("root", "cell_id").alias("component"))
 
@@ -295,7 +295,7 @@ SQL_COMPONENTS = f"""{SQL_WEIGHTED}, {SQL_GENERIC}, scoped AS (
   SELECT 'FULL' AS scope, from_cell, to_cell FROM cell_links
   UNION ALL SELECT 'ELIGIBLE', from_cell, to_cell FROM cell_links WHERE eligible AND n_sources >= 2
   UNION ALL SELECT 'UNION', from_cell, to_cell FROM cell_links WHERE n_sources >= 2
-  UNION ALL SELECT 'UNION', from_cell, to_cell FROM generic WHERE from_cell % 3 <> 0
+  UNION ALL SELECT 'UNION', from_cell, to_cell FROM generic WHERE is_open
 ), edges AS MATERIALIZED (
   SELECT DISTINCT * FROM (SELECT scope, from_cell AS a, to_cell AS b FROM scoped UNION ALL SELECT scope, to_cell, from_cell FROM scoped)
 ), reach AS (
