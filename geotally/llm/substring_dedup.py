@@ -33,8 +33,10 @@ from geotally.llm.passages import Anchors, SuffixAutomaton, runs
 
 #: Bits of a broadcast bitmap, as a power of two: 4 MB each, whatever the input.
 BITMAP = 25
-#: Words of repeated passages that one shard streams, about.
-SHARD_WORDS = 50_000
+#: Words and number of repeated passages that one shard streams, about.
+SHARD_WORDS, SHARD_PASSAGES = 50_000, 100
+#: Rows of a batch that are Python objects at a time.
+ROWS = 128
 
 
 def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
@@ -146,6 +148,11 @@ def _words(text: str) -> np.ndarray:
     return parts[0] if parts else np.zeros(0, np.uint64)
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(0, batch.num_rows, ROWS):
+        yield from batch.slice(i, ROWS).to_pylist()
+
+
 SHARD = "ref_id long, shard int, kind int, doc_id long, version long, start int, text string"
 
 
@@ -156,7 +163,7 @@ def _passages(texts: DataFrame, asked: DataFrame) -> DataFrame:
         names = [f.split()[0] for f in SHARD.split(", ")]
         kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]] for f in SHARD.split(", ")]
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 whole = row["text"].encode().split()
                 out = [[row["doc_id"], s, 0, None, row["version"], 0, b" ".join(whole).decode()] for s in range(row["shards"] or 0)]
                 out += [
@@ -179,7 +186,7 @@ def _verified(shards: DataFrame, threshold: int) -> DataFrame:
         words: list = []  # of the reference; rows that repeat its id are apart by a word of their own
         for batch in batches:
             out: list[tuple] = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 if row["kind"] == 0:
                     if row["ref_id"] != owner or automaton is not None:
                         owner, automaton, words = row["ref_id"], None, []
@@ -199,14 +206,19 @@ def _verified(shards: DataFrame, threshold: int) -> DataFrame:
 OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
-def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
-    """The result for rows of ``doc_id``, ``text`` and ``gone`` (spans of removed words)."""
+def _kept(rows: DataFrame, with_text: bool, apart=None) -> DataFrame:
+    """The result for rows of ``doc_id``, ``text`` and ``gone`` (spans of removed words), or of
+    ``doc_id``, ``text`` and ``id_hash``, of which those in the bitmap ``apart`` are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in OUT.split(", ")] + ["text"] * with_text
         for batch in batches:
             n_words, n_removed, digests, kept_texts = [], [], [], []
-            for text, gone in zip(batch.column(1), batch.column(2), strict=True):
+            spans = batch.column(2)
+            if apart is not None:
+                batch = batch.filter(pa.array(~_has(apart.value, spans.to_numpy())))
+                spans = pa.nulls(batch.num_rows, pa.list_(pa.int32()))
+            for text, gone in zip(batch.column(1), spans, strict=True):
                 words = (text.as_py() or "").encode().split()
                 kept = words
                 if gone.is_valid and len(gone):
@@ -223,7 +235,7 @@ def _kept(rows: DataFrame, with_text: bool) -> DataFrame:
             arrays = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept_texts, pa.string())] * with_text, names)
 
-    return rows.select("doc_id", "text", "gone").mapInArrow(run, OUT + ", text string" * with_text)
+    return rows.select("doc_id", "text", "id_hash" if apart is not None else "gone").mapInArrow(run, OUT + ", text string" * with_text)
 
 
 def remove_repeats(
@@ -259,8 +271,8 @@ def remove_repeats(
     spans = cut(_spans(claims.select("doc_id", "version", "start", "count", "ref_id"), window))
 
     loads = cut(
-        spans.groupBy("ref_id").agg(F.sum(F.col("stop") - F.col("start")).alias("words"))
-        .select(F.col("ref_id").alias("of_ref"), F.ceil(F.col("words") / SHARD_WORDS).cast("int").alias("shards"))
+        spans.groupBy("ref_id").agg(F.sum(F.col("stop") - F.col("start")).alias("words"), F.count("*").alias("n"))
+        .select(F.col("ref_id").alias("of_ref"), F.ceil(F.greatest(F.col("words") / SHARD_WORDS, F.col("n") / SHARD_PASSAGES)).cast("int").alias("shards"))
     )
     parts = (
         spans.join(loads, F.col("ref_id") == F.col("of_ref"))
@@ -285,14 +297,5 @@ def remove_repeats(
 def _finish(hashed: DataFrame, gone: DataFrame, cleared, with_text: bool) -> DataFrame:
     """Rows that lose words are dealt to what they lose; all others stay where they are."""
 
-    def side(inside: bool) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                marked = _has(cleared.value, batch.column("id_hash").to_numpy())
-                yield batch.filter(pa.array(marked == inside))
-
-        return hashed.mapInArrow(run, hashed.schema)
-
-    changed = side(True).join(gone, (F.col("doc_id") == F.col("of_id")) & (F.col("version") == F.col("of_version")), "left")
-    same = side(False).withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
-    return _kept(changed, with_text).unionByName(_kept(same, with_text))
+    changed = _marked(hashed, cleared).join(gone, (F.col("doc_id") == F.col("of_id")) & (F.col("version") == F.col("of_version")), "left")
+    return _kept(changed, with_text).unionByName(_kept(hashed, with_text, apart=cleared))
