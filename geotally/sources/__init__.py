@@ -1,0 +1 @@
+"""Sources and sinks: explicit schemas, readers, validated exports."""
