@@ -7,12 +7,26 @@ from pyspark.sql import functions as F
 
 from geotally.storage import cut, scratch, shared_dir
 
-__all__ = ["SPACES", "cut", "fold", "lower_ascii", "scratch", "shared_dir", "table"]
+__all__ = ["SPACES", "cut", "fold", "held", "lower_ascii", "scratch", "shared_dir", "table"]
 
 #: White space of the text contracts, the six ASCII characters 0x20 and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """The one object that a Python worker keeps from task to task; another key replaces it.
+
+    Workers outlive stages, so tables of one operator must not stay while another one runs.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

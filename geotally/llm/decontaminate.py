@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geotally.llm.common import held
+
 #: Errors allowed per character of the item.
 ERROR_RATE = 0.08
 #: Shorter items (normalised) would be found in clean text by chance.
@@ -142,16 +144,6 @@ class Finder:
         return out
 
 
-_FINDERS: dict[int, Finder] = {}
-
-
-def _finder(shared, rate: float) -> Finder:
-    if shared.value[0] not in _FINDERS:
-        _FINDERS.clear()
-        _FINDERS[shared.value[0]] = Finder(shared.value[1], rate)
-    return _FINDERS[shared.value[0]]
-
-
 def item_blocks(
     benchmark: DataFrame, *, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS
 ) -> list[DataFrame]:
@@ -163,10 +155,11 @@ def item_blocks(
 
 def _search(shared, rate: float):
     """The search for one broadcast block of items, as a function of a text column."""
+    name = uuid.uuid4().hex
 
     @F.pandas_udf(LEAKS)
     def leaks(text: pd.Series) -> pd.Series:
-        found = _finder(shared, rate)
+        found = held(name, lambda: Finder(shared.value, rate))
         return pd.Series([found.leaks(t) for t in text], dtype=object)
 
     return leaks.asNondeterministic()  # else the optimiser may run it once for each use
@@ -177,7 +170,7 @@ def leak_columns(docs: DataFrame, benchmark: DataFrame, *, rate: float = ERROR_R
     made = []
     for block in item_blocks(benchmark, block_chars=block_chars):
         items = sorted((r.item_id if r.item_id is not None else -(2**63), r.item_id, t) for r in block.toLocalIterator() if len(t := normalise(r.text)) >= min_chars)
-        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [x[1:] for x in items]))
+        shared = docs.sparkSession.sparkContext.broadcast([x[1:] for x in items])
         made.append(_search(shared, rate))
     return made
 

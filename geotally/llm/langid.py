@@ -12,8 +12,8 @@ of the words it has seen in a table of bounded size.
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geotally.llm.common import held
+
 MARK = "▁"
 #: Longer runs of letters are cut.
 MAX_LETTERS = 32
@@ -217,7 +219,7 @@ class Scorer:
 
     def __init__(self, model: dict, model_path: str, table_bytes: int = 64 << 20) -> None:
         self.model, self.vocabulary = model, vocabulary(model_path)
-        self.most = min(500_000, table_bytes // (8 * max(1, len(model["langs"]))))
+        self.most = min(300_000, table_bytes // (8 * max(1, len(model["langs"]))))
         self.seen: dict[str, int] = {}
         self.table = np.zeros((self.most, len(model["langs"])))
 
@@ -268,22 +270,15 @@ class Scorer:
         return [(self.model["langs"][b], float(s)) if h else (UNKNOWN, 0.0) for b, s, h in zip(best, share, has, strict=True)]
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def predictor(docs: DataFrame, model: dict, model_path: str):
     """A function of a text column giving ``struct<lang:string,score:double>``."""
-    import uuid
-
     name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(shared.value, model_path)
-        return pd.DataFrame(_SCORERS[name].predict(text.tolist()), columns=["lang", "score"])
+        scorer = held(name, lambda: Scorer(shared.value, model_path))
+        return pd.DataFrame(scorer.predict(text.tolist()), columns=["lang", "score"])
 
     return predict.asNondeterministic()
 

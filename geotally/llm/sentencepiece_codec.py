@@ -13,11 +13,14 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from geotally.llm.common import held
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
@@ -32,20 +35,21 @@ def chunks_are_independent(processor) -> bool:
 
 
 def load(model_path: str) -> tuple:
-    """The processor, its table of distinct chunks and whether chunks can be used."""
+    """The processor and whether chunks can be used."""
     if model_path not in _MODELS:
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
         probe = processor.encode("  a  B  c ", out_type=str)
         plain = "".join(probe) == f"{MARK}{MARK}{MARK}a{MARK}{MARK}B{MARK} c{MARK}"
-        _MODELS[model_path] = (processor, {}, plain and chunks_are_independent(processor))
+        _MODELS[model_path] = (processor, plain and chunks_are_independent(processor))
     return _MODELS[model_path]
 
 
-def encode_ids(text: str | None, model_path: str, table_size: int = 400_000) -> list[int]:
+def encode_ids(text: str | None, model_path: str, table_size: int = 250_000) -> list[int]:
     """Ids of a text as the library gives them, with begin and end ids."""
-    processor, seen, usable = load(model_path)
+    processor, usable = load(model_path)
+    seen: dict[str, list[int]] = held(("chunks", model_path), dict)
     ids = [processor.bos_id()]
     if text and usable:
         if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
@@ -79,7 +83,7 @@ def encode_decode(
     text_col: str = "text",
     with_ids: bool = True,
     with_text: bool = True,
-    table_size: int = 400_000,
+    table_size: int = 250_000,
 ) -> DataFrame:
     """Encode and decode every whole text.
 
@@ -99,25 +103,38 @@ def encode_decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         processor = load(model_path)[0]
         for batch in batches:
-            out: dict[str, list] = {n: [] for n in names}
-            for text in batch.column(1):
+            keys = batch.column(0).cast(pa.int64())
+            first, out = 0, {n: [] for n in names}
+
+            def done(upto: int) -> pa.RecordBatch:
+                arrays = [keys.slice(first, upto - first)]
+                for n in names[1:]:
+                    if n == "ids":
+                        starts = np.cumsum([0, *map(len, out[n])], dtype=np.int32)
+                        flat = np.concatenate(out[n]) if out[n] else np.zeros(0, np.int32)
+                        arrays.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)))
+                    else:
+                        arrays.append(pa.array(out[n], pa.int64() if n == "n_tokens" else pa.string()))
+                return pa.RecordBatch.from_arrays(arrays, names)
+
+            held_tokens = 0
+            for i, text in enumerate(batch.column(1)):
                 ids = encode_ids(text.as_py(), model_path, table_size)
                 decoded = processor.decode(ids)
-                packed = array("I", ids)
+                packed = np.array(ids, "<u4")
                 out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(packed.tobytes()).hexdigest())
+                out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
                 if with_ids:
-                    out["ids"].append(pa.scalar(ids, pa.list_(pa.int32())))
+                    out["ids"].append(packed.view(np.int32))
                 if with_text:
                     out["decoded"].append(decoded)
-            arrays = [batch.column(0).cast(pa.int64())]
-            for n in names[1:]:
-                kind = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}.get(n, pa.string())
-                arrays.append(pa.array([x.as_py() if n == "ids" else x for x in out[n]], kind))
-            yield pa.RecordBatch.from_arrays(arrays, names)
-
-    from pyspark.sql import functions as F
+                held_tokens += len(ids)
+                if held_tokens > 500_000:  # what leaves for Spark at once is bounded in bytes too
+                    yield done(i + 1)
+                    first, out, held_tokens = i + 1, {n: [] for n in names}, 0
+            if first < batch.num_rows:
+                yield done(batch.num_rows)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, ", ".join(fields))

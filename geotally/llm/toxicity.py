@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotally.llm.common import cut
+from geotally.llm.common import cut, held
 
 #: Bound of the sample that is learned from, for each class.
 LEARN_ROWS = 10_000
@@ -152,7 +152,7 @@ FEATURES = len(PRIOR)
 class Scorer:
     """Features of texts; keeps what it found for the words seen, up to a number."""
 
-    def __init__(self, lexicon: Lexicon, most: int = 500_000) -> None:
+    def __init__(self, lexicon: Lexicon, most: int = 300_000) -> None:
         self.lexicon, self.most = lexicon, most
         self.seen: set[str] = set()
         self.bad: dict[str, tuple[float, int]] = {}
@@ -284,16 +284,11 @@ def fit_weights(x: np.ndarray, y: np.ndarray, case_weight: np.ndarray, strength:
     return w
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def _features_udf(shared, name: str):
     @F.pandas_udf("array<double>")
     def features(text: pd.Series) -> pd.Series:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(shared.value)
-        return pd.Series([_SCORERS[name].features(t) for t in text], dtype=object)
+        scorer = held(name, lambda: Scorer(shared.value))
+        return pd.Series([scorer.features(t) for t in text], dtype=object)
 
     return features.asNondeterministic()
 
