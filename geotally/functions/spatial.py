@@ -157,3 +157,52 @@ def kernel_density(lon: Column, lat: Column, cores: list[tuple[float, float, flo
     for p in parts[1:]:
         total = total + p
     return total
+
+
+#: GRS80 (fixed values): semi-major axis and first eccentricity.
+SEMI_MAJOR_M, ECCENTRICITY = 6_378_137.0, 0.0818191910428158
+
+
+def box_area_m2(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Area of a box of longitudes and latitudes on the GRS80 ellipsoid, by authalic latitudes."""
+    e = ECCENTRICITY
+
+    def q(lat: Column) -> Column:
+        s = F.sin(F.radians(lat))
+        return s / (1 - e * e * s * s) + F.log((1 + e * s) / (1 - e * s)) / (2 * e)
+
+    return F.radians(east - west) * SEMI_MAJOR_M**2 * (1 - e * e) / 2 * (q(north) - q(south))
+
+
+def _s2_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and the four corners of cells (any levels): arrays lon and lat of shape (n, 5)."""
+    bits = ids.view(np.uint64)
+    low = bits & (~bits + np.uint64(1))
+    level = 30 - (np.log2(low.astype(np.float64)) / 2).astype(np.int64)
+    face = (bits >> np.uint64(61)).astype(np.int64)
+    i = j = np.zeros(len(ids), np.int64)
+    swap, invert = (face & 1), np.zeros(len(ids), np.int64)
+    for k in range(1, 31):
+        inside = k <= level
+        quarter = ((bits >> np.uint64(61 - 2 * k)) & np.uint64(3)).astype(np.int64)
+        a, b = quarter >> 1, ((quarter + 1) >> 1) & 1  # 00, 01, 11, 10 along the curve
+        a, b = a ^ invert, b ^ invert
+        a, b = np.where(swap == 1, b, a), np.where(swap == 1, a, b)
+        i, j = np.where(inside, 2 * i + a, i), np.where(inside, 2 * j + b, j)
+        swap = np.where(inside, swap ^ ((quarter == 0) | (quarter == 3)), swap)
+        invert = np.where(inside, invert ^ (quarter == 3), invert)
+    side = 1.0 / (1 << level).astype(float)
+    s = (i[:, None] + np.array([0.5, 0, 1, 1, 0])) * side[:, None]
+    t = (j[:, None] + np.array([0.5, 0, 0, 1, 1])) * side[:, None]
+    u, v = (np.where(w >= 0.5, (4 * w * w - 1) / 3, (1 - 4 * (1 - w) ** 2) / 3) for w in (s, t))
+    one = np.ones_like(u)
+    axes = [(one, u, v), (-u, one, v), (-u, -v, one), (-one, -v, -u), (v, -one, -u), (v, u, -one)]
+    x, y, z = (np.choose(face[:, None], [a[k] for a in axes]) for k in range(3))
+    return np.degrees(np.arctan2(y, x)), np.degrees(np.arctan2(z, np.hypot(x, y)))
+
+
+@F.pandas_udf(StructType([StructField(c, DoubleType()) for c in ("lon", "lat", "west", "south", "east", "north")]))
+def s2_bounds(cell: pd.Series) -> pd.DataFrame:
+    """Centre of a cell and the box of its corners (for cells away from the poles and 180 degrees)."""
+    lon, lat = _s2_places(cell.to_numpy(np.int64))
+    return pd.DataFrame({"lon": lon[:, 0], "lat": lat[:, 0], "west": lon[:, 1:].min(axis=1), "south": lat[:, 1:].min(axis=1), "east": lon[:, 1:].max(axis=1), "north": lat[:, 1:].max(axis=1)})

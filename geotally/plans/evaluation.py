@@ -116,3 +116,20 @@ def anti_join_unmatched(t: Tables) -> DataFrame:
 def semi_join_grid_coverage(t: Tables) -> DataFrame:
     """Cells that have an event."""
     return t.customer.join(t.events, F.col("c_custkey") == F.col("user_id"), "left_semi").select("c_custkey", "c_name")
+
+
+@query(f"WITH {SQL_FROZEN} SELECT 't0' AS release, 'FROZEN' AS state, count(*) AS n_rows, 'percent_rank_top_area' AS method FROM frozen")
+def freeze_manifest(t: Tables) -> DataFrame:
+    """The manifest of a frozen release."""
+    return freeze(selected_layers(t).where("variant <> 'overlay'"), "t0", {"method": "percent_rank_top_area"})[1]
+
+
+@query(f"WITH {SQL_FROZEN} SELECT variant, count(*) AS n, count(*) FILTER (WHERE selected IS DISTINCT FROM (score >= threshold)) AS n_null_flags, 0::BIGINT AS n_changed FROM frozen GROUP BY 1")
+def reproduction_check(t: Tables) -> DataFrame:
+    """A release against its recomputation, row by row and null-safe: nothing has changed."""
+    frozen = frozen_layers(t)
+    again = selected_layers(t).select(F.col("variant").alias("v"), F.col("cell_id").alias("c"), F.col("score").alias("s"), F.col("selected").alias("f"))
+    both = frozen.join(again, (F.col("variant") == F.col("v")) & (F.col("cell_id") == F.col("c")), "left")
+    changed = ~(F.col("score").eqNullSafe(F.col("s")) & F.col("selected").eqNullSafe(F.col("f")))
+    null_flag = ~F.col("selected").eqNullSafe(F.col("score") >= F.col("threshold"))
+    return both.groupBy("variant").agg(F.count("*").alias("n"), F.count_if(null_flag).alias("n_null_flags"), F.count_if(changed).alias("n_changed"))

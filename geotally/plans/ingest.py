@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotally.functions import scalars
+from geotally.operators.matching import unambiguous_match
 from geotally.operators.merging import conflicts, insert_only_merge
 from geotally.plans.base import Tables
 from geotally.plans.registry import query
@@ -164,3 +165,43 @@ def canonical_table_hash(t: Tables) -> DataFrame:
     """Identity of a published table: rows by key, fields apart by a unit separator, nulls marked."""
     row = F.concat_ws(scalars.UNIT_SEPARATOR, *[F.coalesce(c, F.lit(scalars.NULL_MARK)) for c in (F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit(None).cast("string"))])
     return t.nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(scalars.table_digest(F.col("n_nationkey"), row).alias("table_sha256"))
+
+
+@query("""SELECT s_suppkey, coalesce(n_rows, 0) AS n_rows, coalesce(n_places, 0) AS n_places, CASE WHEN n_places = 1 THEN p END AS l_partkey,
+ CASE WHEN n_places IS NULL THEN 'UNMATCHED' WHEN n_places > 1 THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS state FROM supplier
+ LEFT JOIN (SELECT l_suppkey, count(*) AS n_rows, count(DISTINCT l_partkey) AS n_places, min(l_partkey) AS p FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1 GROUP BY 1) ON l_suppkey = s_suppkey""")
+def address_match(t: Tables) -> DataFrame:
+    """Targets against official points: matched, ambiguous or unmatched."""
+    points = t.lineitem.where("l_quantity >= 50 AND l_discount >= 0.1").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey")
+    return unambiguous_match(t.supplier.select("s_suppkey"), points, ["s_suppkey"], ["l_partkey"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(o_orderkey::VARCHAR), o_orderkey LIMIT 5000")
+def hash_sample(t: Tables) -> DataFrame:
+    """A sample that depends on keys only (the limit is the operator)."""
+    return t.orders.orderBy(F.md5(F.col("o_orderkey").cast("string")), "o_orderkey").limit(5000).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT user_id, count(*) FILTER (WHERE event_id <= before) AS n_violations, count(*) AS n FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY 1")
+def order_violations(t: Tables) -> DataFrame:
+    """Rows that break the strict order of keys in time."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    lagged = t.events.select("user_id", "event_id", F.lag("event_id").over(own).alias("before"))
+    return lagged.groupBy("user_id").agg(F.count_if(F.col("event_id") <= F.col("before")).alias("n_violations"), F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, list_contains(list(DISTINCT o_orderpriority), '1-URGENT') AS urgent, len(list(DISTINCT o_orderstatus))::INTEGER AS n_states, count(*) FILTER (WHERE o_orderstatus IS DISTINCT FROM 'F') AS n_open FROM orders GROUP BY 1")
+def flag_membership(t: Tables) -> DataFrame:
+    """Membership and size of array columns, null-safe comparison."""
+    return t.orders.groupBy("o_custkey").agg(
+        F.array_contains(F.collect_set("o_orderpriority"), "1-URGENT").alias("urgent"), F.size(F.collect_set("o_orderstatus")).alias("n_states"), F.count_if(~F.col("o_orderstatus").eqNullSafe(F.lit("F"))).alias("n_open")
+    )
+
+
+@query("SELECT * EXCLUDE (c_acctbal) REPLACE (lower(c_mktsegment) AS c_mktsegment) FROM customer WHERE c_acctbal BETWEEN 0 AND 5000 AND regexp_matches(c_name, '[0-9]+$')")
+def parameterised_query(t: Tables) -> DataFrame:
+    """SQL with named parameters: excluded and replaced columns, a range and a pattern."""
+    return t.spark.sql(
+        "SELECT c_custkey, c_name, c_nationkey, lower(c_mktsegment) AS c_mktsegment FROM {customers} WHERE c_acctbal BETWEEN :low AND :high AND c_name RLIKE :pattern",
+        args={"low": 0, "high": 5000, "pattern": "[0-9]+$"}, customers=t.customer,
+    )

@@ -370,3 +370,21 @@ def quality_registry_eav(t: Tables) -> DataFrame:
 def serving_states(t: Tables) -> DataFrame:
     """States as they are served: fixed decimals (compared as numbers)."""
     return walk(t).where(F.col("step") == STEPS).select("scenario", "cell_id", F.round(fixed_decimal(F.col("mass"), 24).cast("double"), 6).alias("mass"))
+
+
+@query(f"WITH {SQL_WEIGHTED}, {SQL_GENERIC}, a AS (SELECT from_cell, to_cell FROM cell_links), b AS (SELECT from_cell, to_cell FROM generic) SELECT 'LINKS_ONLY' AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'GENERIC_ONLY', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+def edge_set_difference(t: Tables) -> DataFrame:
+    """Where two sets of links differ, both ways."""
+    a, b = cell_links(t).select("from_cell", "to_cell"), generic_links(t).select("from_cell", "to_cell")
+    return a.subtract(b).select(F.lit("LINKS_ONLY").alias("side"), "from_cell", "to_cell").unionByName(b.subtract(a).select(F.lit("GENERIC_ONLY").alias("side"), "from_cell", "to_cell"))
+
+
+@query(f"""WITH {SQL_WEIGHTED}, n AS (SELECT (SELECT count(*) FROM classified) AS n_sources, (SELECT count(*) FROM source_links) AS n_source_links, (SELECT count(*) FROM cell_links) AS n_links)
+SELECT '{RUN_ID}' AS run_id, n_sources, n_source_links, n_links, sha256(concat_ws(chr(31), '{RUN_ID}', n_sources, n_source_links, n_links)) AS receipt FROM n""")
+def run_receipt(t: Tables) -> DataFrame:
+    """One row: the run's identity, the sizes of its artifacts and their hash."""
+    n = (
+        classified(t).agg(F.count("*").alias("n_sources"))
+        .crossJoin(source_links(t).agg(F.count("*").alias("n_source_links"))).crossJoin(cell_links(t).agg(F.count("*").alias("n_links")))
+    )
+    return n.select(F.lit(RUN_ID).alias("run_id"), "n_sources", "n_source_links", "n_links", F.sha2(F.concat_ws("\u001f", F.lit(RUN_ID), "n_sources", "n_source_links", "n_links"), 256).alias("receipt"))

@@ -108,3 +108,18 @@ def point_in_polygon(t: Tables) -> DataFrame:
     """Points inside a ring, by the even-odd rule."""
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((121.48, 25.02), (121.6, 25.02), (121.6, 25.12), (121.53, 25.12))])
     return t.points().where(spatial.inside_ring(F.col("lon"), F.col("lat"), ring)).select("point_id")
+
+
+@query(f"""WITH {SQL_BOXES}, q AS (SELECT *, 0.0818191910428158 AS e, sin(radians(north)) AS n, sin(radians(south)) AS s FROM boxes)
+SELECT box_id, round(radians(east - west) * 6378137.0 * 6378137.0 * (1 - e * e) / 2 * ((n / (1 - e * e * n * n) + ln((1 + e * n) / (1 - e * n)) / (2 * e)) - (s / (1 - e * e * s * s) + ln((1 + e * s) / (1 - e * s)) / (2 * e))), 1) AS area_m2 FROM q""")
+def box_areas(t: Tables) -> DataFrame:
+    """Ellipsoidal areas of boxes."""
+    return boxes(t).select("box_id", F.round(spatial.box_area_m2(F.col("west"), F.col("south"), F.col("east"), F.col("north")), 1).alias("area_m2"))
+
+
+@query()
+def s2_cell_bounds(t: Tables) -> DataFrame:
+    """Centres and bounds of the cells that have orders, with their areas (tests have the geometry)."""
+    cells = t.points().select(spatial.s2_cell(15)("lon", "lat").alias("s2_cell")).distinct()
+    placed = cells.select("s2_cell", spatial.s2_bounds("s2_cell").alias("b")).select("s2_cell", "b.*")
+    return placed.withColumn("box_area_m2", spatial.box_area_m2(F.col("west"), F.col("south"), F.col("east"), F.col("north")))

@@ -298,3 +298,25 @@ def test_streams_match_batches(spark, tmp_path):
     q.awaitTermination(60)
     assert spark.read.parquet(copied).count() == 60
 
+
+
+def test_s2_bounds_hold_their_points(spark):
+    rng = random.Random(4)
+    places = [(rng.uniform(-170, 170), rng.uniform(-60, 60)) for _ in range(200)]
+    df = spark.createDataFrame(places, "lon double, lat double").withColumn("cell", spatial.s2_cell(15)("lon", "lat"))
+    bounds = df.select("lon", "lat", "cell", spatial.s2_bounds("cell").alias("b"))
+    for r in bounds.collect():
+        assert r.b.west - 1e-4 <= r.lon <= r.b.east + 1e-4 and r.b.south - 1e-4 <= r.lat <= r.b.north + 1e-4
+    again = bounds.select("cell", spatial.s2_cell(15)(F.col("b.lon"), F.col("b.lat")).alias("again"))
+    assert again.where("cell <> again").count() == 0
+    area = one(spark, spatial.box_area_m2(F.lit(-180.0), F.lit(-90.0), F.lit(180.0), F.lit(90.0)).alias("a")).a
+    assert abs(area - 510065621724088.44) / area < 1e-9
+
+
+def test_unambiguous_match(spark):
+    from geotally.operators.matching import unambiguous_match
+
+    targets = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "key string, id int")
+    points = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 2.0), ("b", 1.0, 2.0), ("b", 1.0, 3.0), ("z", 0.0, 0.0)], "key string, x double, y double")
+    got = {r.key: (r.n_rows, r.n_places, r.x, r.y, r.state) for r in unambiguous_match(targets, points, ["key"], ["x", "y"]).collect()}
+    assert got == {"a": (2, 1, 1.0, 2.0, "MATCHED"), "b": (2, 2, None, None, "AMBIGUOUS"), "c": (0, 0, None, None, "UNMATCHED")}
