@@ -2,8 +2,11 @@
 
 An item may be found with up to ``budget(len)`` errors.  Cut into one piece more than that, it
 has a piece without error wherever it occurs, so an Aho-Corasick pass finds every place to look
-at, and Myers' bit-parallel distance verifies the window around it.  Documents are streamed
-where they lie; only the items move, in blocks whose size is checked before they are broadcast.
+at, and Myers' bit-parallel distance verifies the window around it.  Verification climbs a
+binary tree over the pieces: of n neighbouring pieces with fewer than n errors, one half has
+fewer errors than pieces too, so from a piece without error each larger part must have fewer
+errors than pieces, and chance hits end at the first small part.  Documents are streamed where
+they lie; only the items move, in blocks whose size is checked before they are broadcast.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from geotally.llm.common import held
 
 #: Errors allowed per character of the item.
-ERROR_RATE = 0.08
+ERROR_RATE = 0.10
 #: Shorter items (normalised) would be found in clean text by chance.
 MIN_ITEM_CHARS = 32
 #: Items of a block, in characters: what is broadcast at once.
@@ -49,6 +52,21 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def climb(n: int) -> list[list[tuple[int, int]]]:
+    """For each of n pieces, the parts (first piece, last + 1) of the tree above it, smallest first."""
+    paths: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+
+    def split(a: int, b: int) -> None:
+        if b - a > 1:
+            split(a, (a + b) // 2)
+            split((a + b) // 2, b)
+            for i in range(a, b):
+                paths[i].append((a, b))
+
+    split(0, n)
+    return paths
+
+
 def masks(pattern: str) -> dict[str, int]:
     """For each character of the pattern, a bit for each place that has it."""
     found: dict[str, int] = defaultdict(int)
@@ -92,10 +110,11 @@ class Finder:
         import ahocorasick
 
         self.items = [(i, t, budget(len(t), rate), masks(t), masks(t[::-1])) for i, t in items]
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        where: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
         for n, (_, text, errors, _, _) in enumerate(self.items):
-            for at, piece in pieces(text, errors):
-                where[piece].append((n, at))
+            for k, (at, piece) in enumerate(pieces(text, errors)):
+                where[piece].append((n, k, at))
+        self.parts: dict[tuple[int, int], tuple] = {}  # made when first needed
         self.machine = ahocorasick.Automaton()
         for piece, hits in where.items():
             self.machine.add_word(piece, (len(piece), hits))
@@ -103,25 +122,56 @@ class Finder:
             self.machine.make_automaton()
         self.empty = not where
 
+    def _parts(self, n: int, k: int) -> tuple:
+        """What to look for above piece k of item n: first quickly, beside the piece (start, length,
+        errors, cuts of which one must be there), then the parts but the whole (start, length,
+        masks, errors)."""
+        if (n, k) not in self.parts:
+            _, text, errors, _, _ = self.items[n]
+            starts = [at for at, _ in pieces(text, errors)] + [len(text)]
+            above = climb(errors + 1)[k]
+            own = [(starts[a], starts[b] - starts[a], masks(text[starts[a] : starts[b]]), b - a - 1) for a, b in above]
+            beside = (0, 0, 0, [])
+            if len(own) > 1:  # what the first part has besides the piece, cut so that one cut has no error
+                a, b = above[0]
+                c, d = (starts[a], starts[k]) if k > a else (starts[k + 1], starts[b])
+                beside = (c, d - c, b - a - 1, [x for _, x in pieces(text[c:d], b - a - 1)])
+            self.parts[n, k] = (beside, own[:-1])
+        return self.parts[n, k]
+
+    def _may_be(self, clean: str, n: int, k: int, start: int) -> bool:
+        """Whether all parts above a piece are near enough where the item would start at ``start``."""
+        (at, size, errors, cuts), parts = self._parts(n, k)
+        if cuts:
+            near = clean[max(start + at - errors, 0) : max(start + at + size + errors, 0)]
+            if not any(x in near for x in cuts):
+                return False
+        for at, size, places, errors in parts:
+            a = start + at - errors
+            if myers(places, size, clean[max(a, 0) : a + size + 2 * errors])[0] > errors:
+                return False
+        return True
+
     def leaks(self, text: str | None) -> list[dict]:
         """Items in the text, each at its best place, in the items' order."""
         if self.empty or not (clean := normalise(text)):
             return []
-        starts: dict[int, set[int]] = defaultdict(set)
+        hits_at: dict[int, dict[int, set[int]]] = defaultdict(dict)
         for last, (size, hits) in self.machine.iter(clean):
-            for n, at in hits:
-                starts[n].add(last + 1 - size - at)
+            for n, k, at in hits:
+                hits_at[n].setdefault(last + 1 - size - at, set()).add(k)
         found = []
-        for n in sorted(starts):
+        for n in sorted(hits_at):
             item, pattern, errors, places, reverse = self.items[n]
             size = len(pattern)
             best = None
-            for a in sorted(starts[n]):
-                if clean.startswith(pattern, max(a, 0)) and a >= 0:
+            for a in sorted(hits_at[n]):
+                if a >= 0 and clean.startswith(pattern, a):
                     best = (0, a, a + size)
                     break
             if best is None:
-                for a, b in self._windows(sorted(starts[n]), size, errors):
+                starts = [a for a in sorted(hits_at[n]) if any(self._may_be(clean, n, k, a) for k in hits_at[n][a])]
+                for a, b in self._windows(starts, size, errors):
                     a = max(a, 0)
                     distance, end = myers(places, size, clean[a:b])
                     if distance <= errors and (best is None or distance < best[0]):

@@ -219,6 +219,22 @@ def test_myers_is_edit_distance():
         assert decontaminate.myers(decontaminate.masks(p), len(p), t)[0] == distance(p, t)
 
 
+def test_search_is_complete():
+    """Items edited at random are found exactly when the whole text has them near enough."""
+    rng = random.Random(13)
+    items = ["".join(rng.choice("abcd ") for _ in range(40)).strip() for _ in range(20)]
+    items = [decontaminate.normalise(i) for i in items]
+    finder = decontaminate.Finder(list(enumerate(items)), 0.15)
+    for _ in range(300):
+        chars = list(rng.choice(items))
+        for _ in range(rng.randrange(10)):
+            at = rng.randrange(len(chars))
+            chars[at : at + rng.randrange(2)] = rng.choice(["a", "b", "", "dd"])
+        text = decontaminate.normalise("".join(rng.choice("abcd ") for _ in range(20)) + "".join(chars) + "cab")
+        want = {i: d for i, p in enumerate(items) if (d := decontaminate.myers(decontaminate.masks(p), len(p), text)[0]) <= decontaminate.budget(len(p), 0.15)}
+        assert {x["item_id"]: x["distance"] for x in finder.leaks(text)} == want
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     item = prose(rng, 40)
@@ -228,7 +244,7 @@ def test_decontamination(spark):
     bench = spark.createDataFrame([(1, item), (2, item), (None, item), (4, None), (5, "short"), (6, "")], "item_id long, text string")
     found = decontaminate.with_leaks(rows(spark, enumerate(texts)), bench, block_chars=50).orderBy("doc_id").collect()
     assert [sorted(x.item_id or 0 for x in r.leaks) for r in found] == [[], [], [], [0, 1, 2], [0, 1, 2], [], []]
-    assert {x.distance for x in found[3].leaks} == {0} and all(0 < x.distance <= len(item) * 0.08 for x in found[4].leaks)
+    assert {x.distance for x in found[3].leaks} == {0} and all(0 < x.distance <= len(item) * decontaminate.ERROR_RATE for x in found[4].leaks)
     clean = decontaminate.normalise(texts[3])
     assert clean[found[3].leaks[0].start : found[3].leaks[0].end] == decontaminate.normalise(item)
     kept = decontaminate.decontaminate(rows(spark, enumerate(texts)), bench)
