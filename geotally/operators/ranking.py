@@ -28,10 +28,10 @@ def below(df: DataFrame, keys: list[str], value: str, weights: dict[str, str | C
     ranged = cut(totals.repartitionByRange(n, *keys, order).withColumn("__range", F.spark_partition_id()))
     per_range = ranged.groupBy(*keys, "__range").agg(*[F.sum(k).alias(k) for k in weights])
     across = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__r"), *[F.coalesce(F.sum(k).over(across), F.lit(0)).alias(f"__{k}_offset") for k in weights])
+    offsets = per_range.select(*[F.col(k).alias(f"__key_{k}") for k in keys], F.col("__range").alias("__r"), *[F.coalesce(F.sum(k).over(across), F.lit(0)).alias(f"__{k}_offset") for k in weights])
     within = Window.partitionBy(*keys, "__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.select(*keys, value, "__range", *weights, *[F.coalesce(F.sum(k).over(within), F.lit(0)).alias(f"{k}_before") for k in weights])
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys]
     joined = local.join(F.broadcast(offsets), [*same, F.col("__range") == F.col("__r")])  # at most ranges rows a key
     return joined.select(*keys, value, *weights, *[(F.col(f"{k}_before") + F.col(f"__{k}_offset")).alias(f"{k}_before") for k in weights])
 
@@ -69,3 +69,29 @@ def top_share(df: DataFrame, keys: list[str], score: str, area: str | Column, *,
     )
     joined = df.join(F.broadcast(thresholds), keys, "left")
     return joined.select(*df.columns, "threshold", F.coalesce(F.col(score) >= F.col("threshold"), F.lit(False)).alias(name))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], *, kind: str = "linear") -> DataFrame:
+    """``keys`` and a column for each of ``points``: exact quantiles of the non-null values.
+
+    ``linear`` interpolates between neighbours, ``lower`` takes the neighbour below, ``discrete``
+    the first value that the share of rows reaches.  No group's values meet in one place:
+    positions are found among counted values (see ``below``).
+    """
+    counted = below(df, keys, value, {"__rows": F.lit(1)})
+    sizes = counted.groupBy(*keys).agg(F.sum("__rows").alias("__n")).withColumnsRenamed({k: f"__s_{k}" for k in keys})
+    joined = counted.join(F.broadcast(sizes), [F.col(k).eqNullSafe(F.col(f"__s_{k}")) for k in keys]) if keys else counted.crossJoin(F.broadcast(sizes))  # a row for each key
+
+    def at(index: Column) -> Column:
+        return F.max(F.when((F.col("__rows_before") <= index) & (index < F.col("__rows_before") + F.col("__rows")), F.col(value)))
+
+    columns = []
+    for name, q in points.items():
+        place = F.ceil(F.col("__n") * q) - 1 if kind == "discrete" else (F.col("__n") - 1) * F.lit(float(q))
+        if kind == "linear":
+            low, high = at(F.floor(place)), at(F.ceil(place))
+            part = F.max(place - F.floor(place))
+            columns.append((low + (high - low) * part).alias(name))
+        else:
+            columns.append(at(F.greatest(F.lit(0), F.floor(place))).alias(name))
+    return joined.groupBy(*keys).agg(*columns)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geotally.functions import scalars
 from geotally.operators.matching import unambiguous_match
 from geotally.operators.merging import conflicts, insert_only_merge
+from geotally.operators.ranking import quantiles
 from geotally.plans.base import Tables
 from geotally.plans.registry import query
 
@@ -36,16 +37,16 @@ def immutability_conflicts(t: Tables) -> DataFrame:
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS n_keys, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_repeats,
- quantile_cont(l_quantity, 0.5) AS median_quantity, quantile_cont(l_extendedprice, 0.99) AS p99_price, quantile_disc(l_quantity, 0.9) AS p90_quantity, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS iqr FROM lineitem GROUP BY 1, 2""")
+ quantile_cont(l_quantity, 0.5) AS median_quantity, round(quantile_cont(l_extendedprice, 0.99), 6) AS p99_price, quantile_disc(l_quantity, 0.9) AS p90_quantity, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS iqr FROM lineitem GROUP BY 1, 2""")
 def quantile_qa(t: Tables) -> DataFrame:
-    """Census and exact quantiles of each group."""
-    price = F.expr("percentile(l_extendedprice, 0.99)")
-    return (
-        t.lineitem.groupBy("l_returnflag", "l_linestatus").agg(
-            F.count("*").alias("n"), F.countDistinct("l_orderkey", "l_linenumber").alias("n_keys"), F.median("l_quantity").alias("median_quantity"), price.alias("p99_price"),
-            F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity)").alias("p90_quantity"), (F.expr("percentile(l_quantity, 0.75)") - F.expr("percentile(l_quantity, 0.25)")).alias("iqr"),
-        ).withColumn("n_repeats", F.col("n") - F.col("n_keys"))
-    )
+    """Census and exact quantiles of each group, without a group in one place."""
+    keys = ["l_returnflag", "l_linestatus"]
+    census = t.lineitem.groupBy(*keys, "l_orderkey", "l_linenumber").agg(F.count("*").alias("k")).groupBy(*keys).agg(F.sum("k").alias("n"), F.count("*").alias("n_keys"))
+    linear = quantiles(t.lineitem, keys, "l_quantity", {"median_quantity": 0.5, "q1": 0.25, "q3": 0.75})
+    discrete = quantiles(t.lineitem, keys, "l_quantity", {"p90_quantity": 0.9}, kind="discrete")
+    price = quantiles(t.lineitem, keys, "l_extendedprice", {"p99_price": 0.99})
+    joined = census.join(linear, keys).join(discrete, keys).join(price, keys)
+    return joined.select(*keys, "n", "n_keys", (F.col("n") - F.col("n_keys")).alias("n_repeats"), "median_quantity", F.round("p99_price", 6).alias("p99_price"), "p90_quantity", (F.col("q3") - F.col("q1")).alias("iqr"))
 
 
 @query()
@@ -58,12 +59,7 @@ def approximate_quantiles(t: Tables) -> DataFrame:
 SELECT l_suppkey, max(l_quantity) FILTER (WHERE i = floor((n - 1) * 0.5)) AS p50, max(l_quantity) FILTER (WHERE i = floor((n - 1) * 0.9)) AS p90 FROM v GROUP BY 1""")
 def nearest_rank_quantiles(t: Tables) -> DataFrame:
     """Quantiles by nearest lower rank, from counts by value: groups may be of any size."""
-    from geotally.operators.ranking import below
-
-    ranks = below(t.lineitem, ["l_suppkey"], "l_quantity", {"k": F.lit(1)})
-    sizes = ranks.groupBy("l_suppkey").agg(F.sum("k").alias("n"))
-    at = lambda q: F.max(F.when((F.col("k_before") <= F.floor((F.col("n") - 1) * q)) & (F.floor((F.col("n") - 1) * q) < F.col("k_before") + F.col("k")), F.col("l_quantity")))
-    return ranks.join(sizes, "l_suppkey").groupBy("l_suppkey").agg(at(0.5).alias("p50"), at(0.9).alias("p90"))
+    return quantiles(t.lineitem, ["l_suppkey"], "l_quantity", {"p50": 0.5, "p90": 0.9}, kind="lower")
 
 
 @query("SELECT l_suppkey, count(*) AS n, count(*)::DOUBLE / (SELECT count(*) FROM lineitem)::DOUBLE AS share FROM lineitem GROUP BY 1 HAVING count(*)::DOUBLE / (SELECT count(*) FROM lineitem)::DOUBLE >= 0.005")

@@ -15,7 +15,7 @@ from geotally.functions import scalars, spatial
 from geotally.operators import merging
 from geotally.operators.components import components
 from geotally.operators.links import both_ways, divided, overlapping, restart_walk, transitions, visits_to_links
-from geotally.operators.ranking import below, percent_rank, top_share
+from geotally.operators.ranking import below, percent_rank, quantiles, top_share
 from geotally.operators.spatial_joins import nearest_of_few, points_in_boxes, points_near_boxes
 from geotally.plans import serving
 from geotally.sources import readers, writers
@@ -56,6 +56,19 @@ def test_below_in_many_ranges(spark):
     assert got == {v: sum(x < v for x in values) for v in set(values)}
 
 
+def test_quantiles(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(30) / 4) for _ in range(200)] + [("a", None), ("c", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    linear = {r.k: (r.lo, r.mid) for r in quantiles(df, ["k"], "v", {"lo": 0.1, "mid": 0.5}).collect()}
+    want = {r.k: (r.lo, r.mid) for r in df.groupBy("k").agg(F.expr("percentile(v, 0.1)").alias("lo"), F.expr("percentile(v, 0.5)").alias("mid")).collect()}
+    assert linear.keys() == want.keys() and all(linear[k] == pytest.approx(want[k]) for k in want)
+    discrete = {r.k: r.d for r in quantiles(df, ["k"], "v", {"d": 0.9}, kind="discrete").collect()}
+    assert discrete == {r.k: r.d for r in df.groupBy("k").agg(F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY v)").alias("d")).collect()}
+    ordered = sorted(v for k, v in rows if k == "a" and v is not None)
+    assert {r.k: r.x for r in quantiles(df, ["k"], "v", {"x": 0.3}, kind="lower").collect()}["a"] == ordered[int((len(ordered) - 1) * 0.3)]
+
+
 # --- links and walks --------------------------------------------------------------------------
 
 def test_traversal_forward_and_back(spark):
