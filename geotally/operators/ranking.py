@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from geotally.storage import cut
 
+#: Up to so many distinct values (of all keys) one window is as good as ranges.
+FEW_VALUES = 200_000
+
 
 def below(df: DataFrame, keys: list[str], value: str, weights: dict[str, str | Column], *, descending: bool = False, ranges: int | None = None) -> DataFrame:
     """For each key and distinct non-null value: each weight's sum (``<name>``) and its sum over
@@ -23,8 +26,12 @@ def below(df: DataFrame, keys: list[str], value: str, weights: dict[str, str | C
     """
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    totals = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(w).alias(k) for k, w in weights.items()])
+    # Written once: the count, the sample of the ranges and the sums all read it.
+    totals = cut(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(*[F.sum(w).alias(k) for k, w in weights.items()]))
     order = F.col(value).desc() if descending else F.col(value).asc()
+    if ranges is None and totals.count() <= FEW_VALUES:
+        whole = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return totals.select(*keys, value, *weights, *[F.coalesce(F.sum(k).over(whole), F.lit(0)).alias(f"{k}_before") for k in weights])
     ranged = cut(totals.repartitionByRange(n, *keys, order).withColumn("__range", F.spark_partition_id()))
     per_range = ranged.groupBy(*keys, "__range").agg(*[F.sum(k).alias(k) for k in weights])
     across = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geotally.operators.ranking import percent_rank, top_share
 from geotally.plans.base import METRICS, SQL_FEATURES, SQL_METRICS, SQL_SCORED, SQL_SELECTED, Tables, sql_select
 from geotally.plans.registry import query
+from geotally.storage import cut
 
 AREA = "area"  # a name, since columns need a session
 
@@ -17,7 +18,7 @@ def scored_layers(t: Tables) -> DataFrame:
 
 
 def selected_layers(t: Tables, share: float = 0.10) -> DataFrame:
-    return top_share(scored_layers(t), ["variant"], "score", AREA, share=share)
+    return top_share(cut(scored_layers(t)), ["variant"], "score", AREA, share=share)
 
 
 @query(f"WITH {SQL_FEATURES} SELECT cell_id, area, nation_id, segment, sites::BIGINT AS sites, dense, partial, overlay FROM cell_features")
@@ -57,7 +58,7 @@ def layer_quality(t: Tables) -> DataFrame:
 @query("".join((f"WITH {SQL_SCORED}, ", ", ".join(sql_select("scored", f"top{s}", share=s / 100) for s in (5, 10, 20)), " ", " UNION ALL ".join(f"SELECT '{s}' AS percent, variant, count(*) FILTER (WHERE selected) AS n_selected, sum(CASE WHEN selected THEN area ELSE 0 END) AS selected_area FROM top{s} GROUP BY variant" for s in (5, 10, 20)))))
 def topk_sensitivity(t: Tables) -> DataFrame:
     """Selections at three shares of area."""
-    scored = scored_layers(t)
+    scored = cut(scored_layers(t))
     parts = [
         top_share(scored, ["variant"], "score", AREA, share=s / 100).groupBy("variant")
         .agg(F.count_if("selected").alias("n_selected"), F.sum(F.when(F.col("selected"), F.col(AREA)).otherwise(0.0)).alias("selected_area")).withColumn("percent", F.lit(str(s)))
@@ -146,7 +147,7 @@ def scenarios(t: Tables) -> DataFrame:
     d, p, o = F.col("dense"), F.col("partial"), F.col("overlay")
     rows = {"dense": d, "partial": p, "overlay": o, "composite": (d + p + o) / 3, "without_dense": (p + o) / 2, "without_partial": (d + o) / 2, "without_overlay": (d + p) / 2}
     unpivoted = wide_scores(t).select("cell_id", "area", F.inline(F.array(*[F.struct(F.lit(k).alias("variant"), v.alias("score")) for k, v in rows.items()])))
-    return top_share(unpivoted, ["variant"], "score", AREA)
+    return top_share(cut(unpivoted), ["variant"], "score", AREA)
 
 
 @query(f"WITH {SQL_SCENARIOS} SELECT variant, cell_id, area, score, threshold, selected FROM scenarios")
@@ -170,7 +171,7 @@ def scenario_quality(t: Tables) -> DataFrame:
   round(avg(x), 9) AS left_mean, round(stddev_pop(x), 9) AS left_sd FROM pairs GROUP BY 1, 2""")
 def variant_pairwise_corr_jaccard(t: Tables) -> DataFrame:
     """Correlation and area Jaccard of each pair of scenarios on their common support."""
-    base = scenarios(t).where("score IS NOT NULL").select("cell_id", "variant", "area", "score", "selected")
+    base = cut(scenarios(t)).where("score IS NOT NULL").select("cell_id", "variant", "area", "score", "selected")
     right = base.select("cell_id", F.col("variant").alias("right_variant"), F.col("score").alias("y"), F.col("selected").alias("r"))
     pairs = base.join(right, "cell_id").where("variant < right_variant")  # at most seven rows a cell on either side
     area = lambda c: F.sum(F.when(c, F.col(AREA)).otherwise(0.0))

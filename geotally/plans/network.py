@@ -13,6 +13,7 @@ from geotally.operators.links import both_ways, overlapping, restart_walk, trans
 from geotally.plans.base import SQL_METRICS, Tables
 from geotally.plans.layers import metric_index
 from geotally.plans.registry import query
+from geotally.storage import cut
 
 #: The scenarios of the walk (fixed values): bucket of weighted links, of generic links, and
 #: whether weighted links share alike.
@@ -252,7 +253,6 @@ def restart_recurrence(t: Tables) -> DataFrame:
 def display_scale_state(t: Tables) -> DataFrame:
     """Mass relative to the largest of all scenarios and steps."""
     from geotally.operators.links import divided
-    from geotally.storage import cut
 
     states = cut(walk(t))
     top = states.agg(F.max("mass").alias("top"))
@@ -279,15 +279,19 @@ def topk_abs_change(t: Tables) -> DataFrame:
 SCOPES = ("FULL", "ELIGIBLE", "UNION")
 
 
-def scoped_components(t: Tables, scope: str) -> DataFrame:
+def scoped_components(t: Tables, links: DataFrame, scope: str) -> DataFrame:
     """Every cell with the smallest cell of its component; isolated cells are their own."""
-    links = {"FULL": cell_links(t), "ELIGIBLE": cell_links(t).where("eligible AND n_sources >= 2"), "UNION": cell_links(t).where("n_sources >= 2").select("from_cell", "to_cell").unionByName(generic_links(t).where("is_open").drop("is_open"))}[scope].select("from_cell", "to_cell")
-    found = components(links)
+    ends = ["from_cell", "to_cell"]
+    chosen = {"FULL": links, "ELIGIBLE": links.where("eligible AND n_sources >= 2"), "UNION": links.where("n_sources >= 2")}[scope].select(*ends)
+    if scope == "UNION":
+        chosen = chosen.unionByName(generic_links(t).where("is_open").select(*ends))
+    found = components(chosen)
     return network_cells(t).join(found, F.col("cell_id") == F.col("node"), "left").select(F.lit(scope).alias("scope"), "cell_id", F.coalesce("root", "cell_id").alias("component"))
 
 
 def all_components(t: Tables) -> DataFrame:
-    parts = [scoped_components(t, s) for s in SCOPES]
+    links = cut(cell_links(t))
+    parts = [scoped_components(t, links, s) for s in SCOPES]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
