@@ -6,6 +6,10 @@ needed for two in each), so they share a variant of that segment with one bit wi
 distinct fingerprint is indexed under its 64 variants (22 + 21 + 21), equal variants are
 joined, and the join's condition verifies the distance and lets a pair through at its first
 common variant only.  Copies are one fingerprint before anything is joined.
+
+``similar_components`` is for near copies by exact Jaccard similarity: four segments, whose
+variants find every pair within seven bits and many beyond, and least hashes of the shingle
+sets propose pairs; only pairs whose sets are similar enough become links.
 """
 
 from __future__ import annotations
@@ -24,23 +28,35 @@ from geotally.operators.components import components
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: With three segments, one has no more than one difference up to this distance.
 MAX_DISTANCE = 5
+#: The segments of ``similar_components``, and the largest distance of pairs that are compared.
+WIDE_SEGMENTS = ((0, 16), (16, 16), (32, 16), (48, 16))
+WIDE_DISTANCE = 13
+#: Odd factors; the least product of a set's hashes with one of them (modulo 2^64) is a key.
+FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
-def fingerprint(text: str | None, shingle_words: int = 4) -> int:
-    """SimHash of a text as a signed 64-bit integer (no words: 0)."""
+def shingle_hashes(text: str | None, shingle_words: int = 4) -> np.ndarray:
+    """XXH64 values of a text's word shingles, repeats included (no words: none)."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode().lower().split()  # of bytes: ASCII letters and spaces only
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle_words:
-        hashes = np.array([xxh64_intdigest(joined, 42)], np.uint64)
-    else:
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        spans = zip((ends - sizes).tolist(), ends[shingle_words - 1 :].tolist(), strict=False)
-        hashes = np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in spans), np.uint64, len(words) - shingle_words + 1)
+        return np.array([xxh64_intdigest(joined, 42)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    spans = zip((ends - sizes).tolist(), ends[shingle_words - 1 :].tolist(), strict=False)
+    return np.fromiter((xxh64_intdigest(joined[a:b], 42) for a, b in spans), np.uint64, len(words) - shingle_words + 1)
+
+
+def fingerprint(text: str | None, shingle_words: int = 4) -> int:
+    """SimHash of a text as a signed 64-bit integer (no words: 0)."""
+    return _majority(shingle_hashes(text, shingle_words))
+
+
+def _majority(hashes: np.ndarray) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
         block = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
@@ -60,54 +76,46 @@ def fingerprints(docs: DataFrame, *, shingle_words: int = 4, id_col: str = "doc_
     return narrow.mapInArrow(run, "doc_id long, fp long")
 
 
-def _segment(fp, k: int):
-    first, width = SEGMENTS[k]
+def _segment(fp, k: int, segments=SEGMENTS):
+    first, width = segments[k]
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
-    """Pairs ``a < b`` of the distinct fingerprints in column ``fp`` that differ at no more than
-    ``max_distance`` bits, each pair once."""
-    if not 0 <= max_distance <= MAX_DISTANCE:
-        raise ValueError(f"three segments serve distances from 0 to {MAX_DISTANCE}")
+def _pairs(rows: DataFrame, max_distance: int, segments, also) -> DataFrame:
+    """Pairs of rows (columns ``a_...`` and ``b_...``) with a common variant of their ``fp``, no
+    more than ``max_distance`` differing bits and the condition ``also``, each pair once."""
     variants = [
         F.struct(
-            F.lit(k).alias("segment"),
-            F.lit(1 << i).cast("long").alias("wiped"),
-            _segment(F.col("fp"), k).bitwiseAND(F.lit(~(1 << i))).alias("rest"),
+            F.lit(k * (1 << 22) + (1 << i)).cast("long").alias("variant"),
+            _segment(F.col("fp"), k, segments).bitwiseAND(F.lit(~(1 << i))).alias("rest"),
         )
-        for k, (_, width) in enumerate(SEGMENTS)
+        for k, (_, width) in enumerate(segments)
         for i in range(width)
     ]
-    keys = distinct.select("fp", F.inline(F.array(*variants))).select(
-        "fp",
-        (F.col("segment") * (1 << 22) + F.col("wiped")).alias("variant"),
-        "rest",
-        "segment",
-        "wiped",
-    )
-    one = keys.select(F.col("fp").alias("a"), "variant", "rest")
-    two = keys.select(F.col("fp").alias("b"), "variant", "rest")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
+    keys = rows.select(*rows.columns, F.inline(F.array(*variants)))
+    one, two = (keys.withColumnsRenamed({c: f"{side}_{c}" for c in keys.columns}) for side in "ab")
+    differ = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
     # The segment of a variant, from its number; the wiped bit is the rest of the number.
-    segment = F.floor(F.col("variant") / (1 << 22))
+    segment = F.floor(F.col("a_variant") / (1 << 22))
     first_common = F.lit(False)
     earlier = F.lit(True)
-    for k in range(len(SEGMENTS)):
-        own = _segment(differ, k)
-        wiped = F.col("variant") - k * (1 << 22)
+    for k in range(len(segments)):
+        own = _segment(differ, k, segments)
+        wiped = F.col("a_variant") - k * (1 << 22)
         here = (own == wiped) | ((own == 0) & (wiped == 1))
         first_common = first_common | (earlier & (segment == k) & here)
         earlier = earlier & (F.bit_count(own) > 1)
-    return (
-        one.join(
-            two,
-            (one["variant"] == two["variant"]) & (one["rest"] == two["rest"]) & (F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_distance),
-        )
-        .select("a", "b", one["variant"].alias("variant"))
-        .where(first_common)
-        .select("a", "b")
-    )
+    same = (F.col("a_variant") == F.col("b_variant")) & (F.col("a_rest") == F.col("b_rest"))
+    return one.join(two, same & also & (F.bit_count(differ) <= max_distance)).where(first_common)
+
+
+def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
+    """Pairs ``a < b`` of the distinct fingerprints in column ``fp`` that differ at no more than
+    ``max_distance`` bits, each pair once."""
+    if not 0 <= max_distance <= MAX_DISTANCE:
+        raise ValueError(f"three segments serve distances from 0 to {MAX_DISTANCE}")
+    found = _pairs(distinct.select("fp"), max_distance, SEGMENTS, F.col("a_fp") < F.col("b_fp"))
+    return found.select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
 
 
 def near_duplicates(
@@ -144,14 +152,96 @@ def near_duplicates(
     )
 
 
+def similar_components(
+    docs: DataFrame, *, shingle_words: int = 5, percent: int = 80, max_distance: int = WIDE_DISTANCE, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """One row per input row: ``doc_id`` and ``component_id``, the smallest id that links lead to.
+
+    Linked are texts whose sets of word shingles have a Jaccard similarity of at least
+    ``percent`` / 100 (exact, on 64-bit hashes), if they are proposed: at first each text with
+    the first of all that share one of its least hashes, then all pairs that are not yet in one
+    component, have a variant in common and differ at no more than ``max_distance`` bits.  So a
+    large group of near copies isn't paired out.  Equal sets (all texts without words, too) are
+    one node.  Null ids are linked but name no component.
+    """
+    least = [f"least{i}" for i in range(len(FACTORS))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        factors = [np.uint64(f) for f in FACTORS]
+        for batch in batches:
+            found = []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), shingle_words)
+                own = np.unique(hashes)
+                node = np.uint64(xxh64_intdigest(own.tobytes(), 42)).view(np.int64)
+                found.append((_majority(hashes), int(node), len(own), *(int((own * f).min().view(np.int64)) if len(own) else 0 for f in factors)))
+            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * (3 + len(least))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "text_key", "fp", "node", "n", *least])
+
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    prints = cut(narrow.mapInArrow(run, "doc_id long, text_key long, fp long, node long, n long, " + ", ".join(f"{c} long" for c in least)))
+    # Repeated shingles may give equal sets several fingerprints: one of them serves.
+    nodes = cut(prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "n", *least)], F.min("text_key").alias("text_key"), F.min("doc_id").alias("first_id")))
+
+    keys = nodes.select("node", "n", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("least")) for i, c in enumerate(least)])))
+    hubs = cut(keys.groupBy("i", "least").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
+    spokes = keys.join(hubs, ["i", "least"]).where((F.col("hub.node") != F.col("node")) & _sizes_allow(F.col("n"), F.col("hub.n"), percent))
+    first = _similar(spokes.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), nodes, narrow, shingle_words, percent)
+    roots = cut(components(first))
+    named = cut(nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("fp", "node", "n", F.coalesce("root", "node").alias("root")))
+    also = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _sizes_allow(F.col("a_n"), F.col("b_n"), percent)
+    apart = _pairs(named, max_distance, WIDE_SEGMENTS, also).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    more = _similar(apart, nodes, narrow, shingle_words, percent)
+
+    roots = cut(components(first.unionByName(more)))
+    owned = cut(roots.join(nodes, "node").groupBy("root").agg(F.min("first_id").alias("component_id")))
+    linked = cut(roots.join(owned, "root").select(F.col("node").alias("member"), "component_id"))
+    of_node = cut(nodes.join(linked, F.col("node") == F.col("member"), "left").select(F.col("node").alias("own"), F.coalesce("component_id", "first_id").alias("component_id")))
+    return prints.join(of_node, F.col("node") == F.col("own")).select("doc_id", "component_id")
+
+
+def _sizes_allow(n, m, percent: int):
+    """Whether sets of these sizes can be so similar."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def _similar(pairs: DataFrame, nodes: DataFrame, narrow: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """The pairs ``a``, ``b`` of nodes whose shingle sets are so similar; only their texts are
+    hashed again."""
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "text_key"), "node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                own = np.unique(shingle_hashes(batch.column(1)[i].as_py(), shingle_words)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own], pa.list_(pa.int64()))], ["node", "own"])
+
+    texts = narrow.join(wanted, "text_key").groupBy("node").agg(F.min("text").alias("text"))
+    sets = cut(texts.mapInArrow(run, "node long, own array<long>"))
+    one, two = sets.select(F.col("node").alias("a"), F.col("own").alias("x")), sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    return cut(pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b"))
+
+
+def keep_similar(docs: DataFrame, **options) -> DataFrame:
+    """As ``keep_one``, of the components of ``similar_components`` (with its ``options``)."""
+    return _kept(docs, similar_components(docs, **options), options)
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its near-duplicate component.
 
     Of rows that repeat an id and a text one stays; rows with a null id stay.  ``options`` are
     those of ``near_duplicates``.
     """
+    return _kept(docs, near_duplicates(docs, **options), options)
+
+
+def _kept(docs: DataFrame, found: DataFrame, options: dict) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    found = near_duplicates(docs, **options)
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
     return named.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -144,6 +144,30 @@ def test_links_are_complete(spark):
         simhash.links(spark.createDataFrame([], "fp long"), 6)
 
 
+def test_near_copies_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    texts = [prose(rng, 200) for _ in range(40)]
+    for t in texts[:40]:
+        words = t.split()
+        for at in rng.sample(range(200), rng.randrange(1, 5)):
+            words[at] = "new"
+        texts.append(" ".join(words))
+    texts += [texts[0].upper(), None, "", "one two", "one  two", "a b c d e"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4]
+    want = classes_by_hand(pairs, range(len(sets)))
+    docs = rows(spark, enumerate(texts))
+    assert {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()} == want
+    full = docs.select("doc_id", "text", *[F.lit(None).cast("string").alias(c) for c in corpus_pipeline.COLUMNS[2:]])
+    assert {r.doc_id for r in corpus_pipeline.without_near_copies(spark, full, "").collect()} == set(want.values())
+    assert max((simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[j], 5)).bit_count() for i, j in pairs) > 5
+    assert simhash.similar_components(rows(spark, [])).collect() == []
+    with_null = simhash.similar_components(rows(spark, [(None, texts[0]), (7, texts[0]), (None, "no id")])).collect()
+    assert sorted(map(str, (r.component_id for r in with_null))) == ["7", "7", "None"]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 140)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(200, i) for i in range(201, 230)] + [(7, 7), (300, 300)]
