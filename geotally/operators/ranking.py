@@ -43,6 +43,19 @@ def below(df: DataFrame, keys: list[str], value: str, weights: dict[str, str | C
     return joined.select(*keys, value, *weights, *[(F.col(f"{k}_before") + F.col(f"__{k}_offset")).alias(f"{k}_before") for k in weights])
 
 
+def running(df: DataFrame, keys: list[str], score: str, tie: str, weight: str | Column, *, name: str, ranges: int | None = None) -> DataFrame:
+    """All rows with ``name``: the sum of ``weight`` up to the row in its key, by falling score
+    (nulls last) and then by ``tie``, which must be unique within a key.
+
+    The order is by score and tie together, so rows that tie at one score are dealt to ranges too.
+    """
+    place = F.struct(F.col(score).isNull().alias("unscored"), (-F.col(score)).alias("score"), F.col(tie).alias("tie"))
+    sums = below(df.withColumn("__place", place), keys, "__place", {"__taken": weight}, ranges=ranges)
+    up_to = sums.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__place.tie").alias("__tie"), (F.col("__taken") + F.col("__taken_before")).alias(name))
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return df.join(up_to, [*same, F.col(tie) == F.col("__tie")]).select(*df.columns, name)
+
+
 def percent_rank(df: DataFrame, keys: list[str], value: str, *, descending: bool = False, name: str = "score") -> DataFrame:
     """All rows with ``name``: the share of the other scored rows that are before the row's value.
 

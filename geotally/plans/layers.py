@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotally.operators.ranking import percent_rank, top_share
+from geotally.operators.ranking import percent_rank, running, top_share
 from geotally.plans.base import METRICS, SQL_FEATURES, SQL_METRICS, SQL_SCORED, SQL_SELECTED, Tables, sql_select
 from geotally.plans.registry import query
 from geotally.storage import cut
@@ -70,12 +70,19 @@ def topk_sensitivity(t: Tables) -> DataFrame:
 @query(f"WITH {SQL_SELECTED} SELECT cell_id, area, score, selected, sum(CASE WHEN score IS NULL THEN 0 ELSE area END) OVER (ORDER BY score DESC NULLS LAST, cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_area FROM chosen WHERE variant = 'partial' AND score IS NOT NULL")
 def running_area(t: Tables) -> DataFrame:
     """Area taken up to each cell, by falling score and then by id."""
-    from geotally.operators.ranking import below
+    found = running_areas(t).where("variant = 'partial' AND score IS NOT NULL")
+    return found.select("cell_id", "area", "score", "selected", "running_area")
 
-    chosen = selected_layers(t).where("variant = 'partial' AND score IS NOT NULL")
-    before = below(chosen, [], "score", {"taken": AREA}, descending=True).select(F.col("score").alias("of_score"), "taken_before")
-    ties = Window.partitionBy("score").orderBy("cell_id").rowsBetween(Window.unboundedPreceding, 0)
-    return chosen.join(before, F.col("score") == F.col("of_score")).select("cell_id", "area", "score", "selected", (F.col("taken_before") + F.sum("area").over(ties)).alias("running_area"))
+
+@query(f"WITH {SQL_SELECTED} SELECT variant, cell_id, area, score, selected, sum(CASE WHEN score IS NULL THEN 0 ELSE area END) OVER (PARTITION BY variant ORDER BY score DESC NULLS LAST, cell_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_area FROM chosen")
+def running_area_by_layer(t: Tables) -> DataFrame:
+    """Area taken up to each cell in every layer, unscored cells last."""
+    return running_areas(t).select("variant", "cell_id", "area", "score", "selected", "running_area")
+
+
+def running_areas(t: Tables) -> DataFrame:
+    taken = F.when(F.col("score").isNotNull(), F.col(AREA)).otherwise(0)
+    return running(cut(selected_layers(t)), ["variant"], "score", "cell_id", taken, name="running_area")
 
 
 # --- five metrics -----------------------------------------------------------------------------

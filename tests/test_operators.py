@@ -333,3 +333,18 @@ def test_unambiguous_match(spark):
     points = spark.createDataFrame([("a", 1.0, 2.0), ("a", 1.0, 2.0), ("b", 1.0, 2.0), ("b", 1.0, 3.0), ("z", 0.0, 0.0)], "key string, x double, y double")
     got = {r.key: (r.n_rows, r.n_places, r.x, r.y, r.state) for r in unambiguous_match(targets, points, ["key"], ["x", "y"]).collect()}
     assert got == {"a": (2, 1, 1.0, 2.0, "MATCHED"), "b": (2, 2, None, None, "AMBIGUOUS"), "c": (0, 0, None, None, "UNMATCHED")}
+
+
+def test_running_sums_deal_ties_to_ranges(spark):
+    from geotally.operators.ranking import running
+
+    data = [(k, i, s, i % 5 + 1) for k in ("a", "b") for i, s in enumerate([0.0] * 40 + [0.5] * 3 + [1.0, None, None])]
+    df = spark.createDataFrame(data, "k string, id long, score double, w long")
+    want = {}
+    for k in ("a", "b"):
+        total = 0
+        for _, i, s, w in sorted((r for r in data if r[0] == k), key=lambda r: (r[2] is None, -(r[2] or 0), r[1])):
+            total += w
+            want[k, i] = total
+    for ranges in (None, 3):
+        assert {(r.k, r.id): r.total for r in running(df, ["k"], "score", "id", "w", name="total", ranges=ranges).collect()} == want
