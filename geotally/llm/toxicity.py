@@ -3,8 +3,8 @@
 The lexicon (words and stems) is learned from labelled documents and held in a trie.  A word is
 matched by walking the trie and the Levenshtein automata of all its terms together: a state
 is the set of (trie node, errors) that the letters so far can stand at, and states are made
-when a text first needs them, so most words end after a few letters.  A misspelling keeps the
-first letter.  Each hit is seen in a window of words around it, whose quotation marks and
+when a text first needs them, so most words end after a few letters.  A misspelling may be
+at any letter, the first one too.  Each hit is seen in a window of words around it, whose quotation marks and
 reporting words speak for a quotation and whose forms of address speak for abuse; a logistic
 model weighs hits, quoted hits and context.
 
@@ -42,14 +42,14 @@ ADDRESS = frozenset("you your yourself tu toi te vous du dich dir ihr eres usted
 QUOTES = "\"'“”„«»‘’"
 
 _WORD = re.compile(r"[^\W\d_]+")
-_LOOKALIKE = re.compile(r"[01345@$](?<=[^\W\d_].)(?=[^\W\d_])")
+_LOOKALIKE = re.compile(r"[01345@$](?<![\d_].)(?=[^\W\d_])")
 
 # What the weights shrink to where labels say little.
 PRIOR = np.array([-2.0, 1.5, 1.0, -0.5, 1.0, 0.5, 0.5])
 
 
 def clean(text: str | None) -> str:
-    """Lower case, look-alike characters between letters as letters."""
+    """Lower case, look-alike characters before a letter as letters (not after a digit)."""
     return _LOOKALIKE.sub(lambda m: LOOKALIKES[m[0]], text.lower()) if text else ""
 
 
@@ -61,11 +61,12 @@ class Lexicon:
     """Terms in a trie, and the automaton of all words near one of them.
 
     ``terms``: word -> weight; ``stems``: beginnings -> weight, which accept any ending;
-    ``clean_words``: words that are no misspellings.
+    ``clean_words``: words that are no misspellings.  ``keep_first``: without errors at the first
+    letter.
     """
 
-    def __init__(self, terms: dict[str, float], stems: dict[str, float], clean_words: frozenset[str] = frozenset()) -> None:
-        self.clean_words = clean_words
+    def __init__(self, terms: dict[str, float], stems: dict[str, float], clean_words: frozenset[str] = frozenset(), keep_first: bool = True) -> None:
+        self.clean_words, self.keep_first = clean_words, keep_first
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[tuple[float, int] | None] = [None]  # weight, errors allowed
         self.stem_ends: list[tuple[float, int] | None] = [None]
@@ -86,7 +87,8 @@ class Lexicon:
         self.hits: list[tuple[float, int] | None] = []
         self.stem_hits: list[tuple[float, int] | None] = []
         self._allowed()
-        self.first = {c: self._state({(node, 0)}) for c, node in self.children[0].items()}
+        self.first = {c: self._state({(node, 0)}) for c, node in self.children[0].items()} if keep_first else {}
+        self.start = -1 if keep_first else self._state({(0, 0)})
 
     def _allowed(self) -> None:
         """The most errors that any term below a node allows."""
@@ -132,9 +134,9 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[float, int] | None:
         """Weight and errors of the nearest term, or of a stem that the word begins with."""
-        state = self.first.get(word[:1], -1)
+        state = self.first.get(word[:1], -1) if self.keep_first else self.start
         stem = None
-        for c in word[1:]:
+        for c in word[1:] if self.keep_first else word:
             if state < 0:
                 break
             to = self.moves[state].get(c)
@@ -169,7 +171,7 @@ class Scorer:
             self.bad.clear()
             fresh = own
         for w in fresh:
-            hit = self.lexicon.match(w) if 3 < len(w) < 40 else None
+            hit = self.lexicon.match(w)
             if hit:
                 self.bad[w] = hit
         self.seen |= fresh
@@ -223,7 +225,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                own = {w for w in _WORD.findall(clean(text.as_py())) if 3 < len(w) < 40}
+                own = set(_WORD.findall(clean(text.as_py())))
                 held[label].update("w:" + w for w in own)
                 held[label].update({"p:" + w[:n] for w in own for n in STEM_LETTERS if len(w) > n})
                 if len(held[0]) + len(held[1]) > 500_000:
@@ -257,7 +259,7 @@ def learn_lexicon(counts: DataFrame, n_toxic: int, n_other: int) -> Lexicon:
             stems[stem] = r["weight"]
     terms = {w: weight for w, (weight, n) in words.items() if n >= enough and not any(w.startswith(s) for s in stems)}
     terms = dict(sorted(terms.items(), key=lambda x: (-x[1], x[0]))[:LEXICON_TERMS])
-    near = Lexicon(terms, stems)
+    near = Lexicon(terms, stems, keep_first=False)
 
     @F.pandas_udf("boolean")
     def misspelt(key: pd.Series) -> pd.Series:
@@ -267,7 +269,7 @@ def learn_lexicon(counts: DataFrame, n_toxic: int, n_other: int) -> Lexicon:
         counts.where("other >= 1 AND key LIKE 'w:%'").where(_log_odds(F.col("toxic"), F.col("other"), n_toxic, n_other) < 1)
         .where(misspelt("key")).orderBy(F.desc("other"), "key").limit(CLEAN_WORDS).collect()
     )
-    return Lexicon(terms, stems, frozenset(r["key"][2:] for r in innocent))
+    return Lexicon(terms, stems, frozenset(r["key"][2:] for r in innocent), keep_first=False)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, case_weight: np.ndarray, strength: float = 2.0) -> np.ndarray:

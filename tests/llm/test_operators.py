@@ -356,6 +356,28 @@ def test_toxicity(spark):
     assert toxicity.classify(rows(spark, []), marked).collect() == []
 
 
+def test_first_letters_short_terms_and_long_runs():
+    rng = random.Random(10)
+    terms = {t: 1.0 for t in ("abcab", "abcabcabc", "abc", "bacca")}
+    lexicon = toxicity.Lexicon(terms, {}, keep_first=False)
+    for _ in range(3000):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12)))
+        want = [near_by_hand(w, t) for t in terms if near_by_hand(w, t) <= toxicity.errors_allowed(t)]
+        got = lexicon.match(w)
+        assert (got is not None) == bool(want) and (not want or got[1] == min(want)), w
+    lexicon = toxicity.Lexicon({"stupid": 5.0, "idiot": 5.0, "ass": 5.0, "x" * 45: 5.0}, {}, keep_first=False)
+    scorer = toxicity.Scorer(lexicon)
+    for word, exact in [("tupid", False), ("xtupid", False), ("ztupid", False), ("$tupid", True), ("1diot", True), ("@ss", True), ("a$s", True), ("ass", True), ("x" * 45, True)]:
+        x = scorer.features(f"some {word} here")
+        assert (x[1] > 0, x[2] > 0) == (exact, not exact), word
+    assert toxicity.clean("15 as 10diot a_1diot $5") == "15 as 10diot a_1diot $5"
+
+
+def test_short_and_long_terms_are_learned(spark):
+    table = spark.createDataFrame([("bad " + "q" * 50, 1), ("fine words", 0)], "text string, label int")
+    assert {"w:bad", "w:" + "q" * 50} <= {r.key for r in toxicity.word_counts(table).collect()}
+
+
 def test_quotation_counts_for_less():
     scorer = toxicity.Scorer(toxicity.Lexicon({"idiot": 5.0}, {}))
     abuse, quotation = scorer.features("you are an idiot and you know it"), scorer.features('he said "idiot" , which the report called a word')
