@@ -13,12 +13,12 @@ from geotally.llm.common import scratch
 from geotally.operators.components import components
 from geotally.llm.registry import PIECE_MODEL
 
-DOCS = "doc_id long, text string, id string, hash int, leaks int, n_lines int, version string, start int"
+DOCS = "doc_id long, text string, id string, hash int, leaks int, n_lines int, version string, start int, gone string, row int, __id string, lang_pred string"
 
 
 def rows(spark, texts, schema=DOCS):
     """Documents 0, 1, ... with columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, "x", 1, 2, 3, "y", 4) for i, t in texts], schema)
+    return spark.createDataFrame([(i, t, "x", 1, 2, 3, "y", 4, "z", 5, "u", "v") for i, t in texts], schema)
 
 
 def prose(rng, n, vocabulary=500):
@@ -67,7 +67,11 @@ def test_sentencepiece(spark):
 
     library = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL)
     texts = [None, "", " ", "  ", "a", " a", "a ", "  two  blanks ", "▁literal▁ mark", "tab\tand\nline", "Ünïcode 漢字 😀\x00", "<s> </s>", "x" * 5000, "the the the " * 3000]
-    found = sentencepiece_codec.encode_decode(rows(spark, enumerate(texts)), PIECE_MODEL, table_size=50).orderBy("doc_id").collect()
+    found = sentencepiece_codec.encode_decode(rows(spark, enumerate(texts)), PIECE_MODEL, block_chars=50).orderBy("doc_id").collect()
+    whole = sentencepiece_codec.encode_decode(rows(spark, enumerate(texts)), PIECE_MODEL, use_chunks=False).orderBy("doc_id").collect()
+    assert found == whole
+    odd = sentencepiece_codec.encode_decode(rows(spark, [(None, "a b"), (None, "a b"), (7, None)]), PIECE_MODEL, with_ids=False, with_text=False).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in odd) == [(0, 4), (0, 4), (7, 2)]
     for r, text in zip(found, texts, strict=True):
         ids = library.encode(text or "", add_bos=True, add_eos=True)
         assert list(r.ids) == ids and r.n_tokens == len(ids)
@@ -183,8 +187,8 @@ def test_warc(spark):
     html = ["<p>é</p>", "<p>é</p>", None, "", "WARC/1.1\r\n\r\nnot a record\r\n\r\n", "x" * 200_000, "one\ntwo\r\n", "x" * 200_000, "lone"]
     pages = spark.createDataFrame([(i, f"http://a/{i}\r\nEvil: 1" if i else None, h, 1) for i, h in enumerate(html)], "page_id long, url string, html string, record_id int")
     raw, done = scratch(spark, "warc"), scratch(spark, "warc")
-    warc.write_archives(warc.page_records(pages), raw, records_per_file=3)
-    payloads = {r.record_id: r.payload for r in warc.read_archives(spark, raw, with_payload=True).collect()}
+    warc.write_archives(warc.page_records(pages), raw, file_bytes=100_000)
+    payloads = {r.record_id: bytes(r.payload).decode() for r in warc.read_archives(spark, raw, with_payload=True).collect()}
     assert payloads == {i: h or "" for i, h in enumerate(html)}
     warc.resolve(spark, raw, done, min_bytes=1)
     found = {r.record_id: r for r in warc.read_resolved(spark, done).collect()}
@@ -203,6 +207,48 @@ def test_warc(spark):
     assert warc.read_resolved(spark, done).count() == 0
 
 
+def test_any_number_of_gzip_members(spark):
+    import gzip
+
+    def raw(i, payload, kind="response", extra=""):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{i}>\r\n{extra}Content-Length:{len(payload)}\r\n\r\n".encode() + payload + b"\r\n\r\n"
+
+    records = [raw(i, bytes([i]) * (300_000 * i)) for i in range(5)] + [raw(9, b"", "warcinfo")]
+    for content in (b"".join(map(gzip.compress, records)), gzip.compress(b"".join(records)), b"".join(records)):
+        assert [(h["warc-record-id"], len(b)) for h, b in warc.parse(content)] == [(f"<urn:page:{i}>", 300_000 * i) for i in range(5)] + [("<urn:page:9>", 0)]
+    assert list(warc.parse(b"")) == []
+    whole = b"".join(map(gzip.compress, records))
+    for broken in (whole[:-3], whole + gzip.compress(b"WARC/1.1\r\nCont"), gzip.compress(raw(1, b"xx")[:-5]), whole + gzip.compress(b"no record\r\n\r\n")):
+        with pytest.raises(ValueError, match="archive ends|no WARC|longer"):
+            list(warc.parse(broken))
+
+
+def test_archives_of_others(spark):
+    """Null and repeated ids, payloads above a batch, bytes that are no text, revisits of the source,
+    wrong and missing digests, other types of records."""
+    big = bytes(range(256)) * 20_000
+    digest = warc.base64.b32encode(hashlib.sha1(big).digest()).decode()
+    made = [
+        (1, "response", big, None, None), (2, "response", big, "WRONG", None), (2, "response", big, None, None), (None, "response", big, None, None),
+        (3, "revisit", b"", digest, 1), (4, "revisit", b"", "NOWHERE", 77), (5, "warcinfo", b"tool: x", None, None), (6, "response", b"lone", None, None),
+    ]
+    df = spark.createDataFrame(
+        [(i, k, None, "2024-01-02T03:04:05Z", None, bytearray(p), d, len(p), r) for i, k, p, d, r in made],
+        "record_id long, record_type string, uri string, date string, content_type string, payload binary, payload_digest string, payload_bytes long, refers_to long",
+    )
+    raw, done = scratch(spark, "warc"), scratch(spark, "warc")
+    warc.write_archives(df, raw)
+    warc.resolve(spark, raw, done)
+    found = warc.read_archives(spark, done, with_payload=True).collect()
+    got = sorted(((r.record_id, r.record_type, r.refers_to, r.payload_digest == digest, len(r.payload)) for r in found), key=str)
+    want = [(1, "revisit", 2, True, 0), (2, "response", None, True, len(big)), (2, "response", None, True, len(big)), (None, "response", None, True, len(big)),
+            (3, "revisit", 2, True, 0), (4, "revisit", 77, False, 0), (5, "warcinfo", None, False, 7), (6, "response", None, False, 4)]
+    assert got == sorted(want, key=str)
+    assert {r.date for r in found} == {"2024-01-02T03:04:05Z"} and all(bytes(r.payload) == big for r in found if r.record_id == 2)
+    sizes = {r.record_id: r.payload_bytes for r in warc.read_resolved(spark, done).collect() if r.record_id}
+    assert sizes == {1: len(big), 2: len(big), 3: len(big), 4: None, 5: 7, 6: 4}
+
+
 # --- exact top-k ------------------------------------------------------------------------------
 
 def test_top_k(spark):
