@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geotally.llm import decontaminate, exact_topk, langid, line_dedup, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
 from geotally.llm.common import fold, scratch, table
 
-#: Where the public vocabulary files are; a parameter of every operator that uses one.
-TOKENIZER_DIR = "/opt/tokenizers"
-PIECE_MODEL = f"{TOKENIZER_DIR}/piece_bpe_32k.model"
+#: The public vocabulary; its path is a parameter of every operator that uses it.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

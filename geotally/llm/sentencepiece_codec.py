@@ -1,12 +1,13 @@
-"""SentencePiece encoding and decoding through a table of distinct marked words.
+"""SentencePiece encoding and decoding through tables of distinct marked words.
 
 A normalised text is a sequence of chunks, each a run of white-space markers and the run of
 other characters after it.  When no piece of the vocabulary has a marker behind another
-character (``chunks_are_independent`` checks the model), no merge can join two chunks, so every
-distinct chunk is segmented once and the ids are joined back by position.  The table of
-distinct chunks lives in the Python worker, is shared by the tasks that it runs and is emptied
-when it reaches ``table_size`` entries: memory is bounded, results don't depend on it, and the
-text never crosses the network.
+character (``chunks_are_independent`` checks the model), no merge can join two chunks, so a
+distinct chunk is segmented once and its ids are joined back by position.
+
+A task takes its texts in blocks of bounded size.  A block has a table of its distinct chunks, a
+text is the numbers of its chunks there, in order; the table is segmented once and the ids of
+all texts are gathered by those numbers.  No text and no chunk crosses the network.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotally.llm.common import held
-
 MARK = "▁"
+#: Characters of a block's texts, about; a longer text is a block of its own.
+BLOCK_CHARS = 16_000_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _MODELS: dict[str, tuple] = {}
 
@@ -40,39 +42,42 @@ def load(model_path: str) -> tuple:
         import sentencepiece
 
         processor = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        probe = processor.encode("  a  B  c ", out_type=str)
-        plain = "".join(probe) == f"{MARK}{MARK}{MARK}a{MARK}{MARK}B{MARK} c{MARK}"
+        probe = processor.encode("  a  B  c ", out_type=str)
+        plain = "".join(probe) == f"{MARK}{MARK}{MARK}a{MARK}{MARK}B{MARK} c{MARK}"
         _MODELS[model_path] = (processor, plain and chunks_are_independent(processor))
     return _MODELS[model_path]
 
 
-def encode_ids(text: str | None, model_path: str, table_size: int = 250_000) -> list[int]:
-    """Ids of a text as the library gives them, with begin and end ids."""
-    processor, usable = load(model_path)
-    seen: dict[str, list[int]] = held(("chunks", model_path), dict)
-    ids = [processor.bos_id()]
-    if text and usable:
-        if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
-            chunks = [c[1:].replace(MARK, " ") for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
-        else:
-            chunks = text.split(" ")
-        fresh = [c for c in dict.fromkeys(chunks) if c not in seen]
-        if len(seen) + len(fresh) > table_size:
-            seen.clear()
-            fresh = list(dict.fromkeys(chunks))
-        # The empty chunk is a lone marker; the library adds none to an empty text.
-        kept = [c for c in fresh if len(c) <= 64 and c]
-        seen.update(zip(kept, processor.encode(kept, num_threads=1), strict=True))
-        marker = processor.piece_to_id(MARK)
-        for c in chunks:
-            found = seen.get(c)
-            if found is None:
-                found = processor.encode(c) if c else [marker]
-            ids.extend(found)
-    elif text:
-        ids.extend(processor.encode(text))
-    ids.append(processor.eos_id())
-    return ids
+def chunks(text: str | None, independent: bool = True) -> list[str]:
+    """The chunks of a text as the library takes them in, without the first marker (the whole text
+    where they are not independent); an empty or null text has none."""
+    if not text:
+        return []
+    if not independent:
+        return [text]
+    if "  " in text or MARK in text or text[0] == " " or text[-1] == " ":
+        return [c[1:].replace(MARK, " ") for c in _CHUNK.findall(MARK + text.replace(" ", MARK))]
+    return text.split(" ")
+
+
+class _Numbers(dict):
+    """Numbers of chunks in the order of their first use."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = number = len(self)
+        return number
+
+
+def segmented(processor, words: list[str], slice_words: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all chunks, one after the other, and how many each has (without begin and end ids)."""
+    marker = [processor.piece_to_id(MARK)]  # the library adds none to an empty text
+    flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for at in range(0, len(words), slice_words):
+        part = words[at : at + slice_words]
+        ids = [own if w else marker for w, own in zip(part, processor.encode(part, num_threads=1), strict=True)]
+        sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        flat.append(np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1].sum())))
+    return np.concatenate(flat), np.concatenate(sizes)
 
 
 def encode_decode(
@@ -83,7 +88,8 @@ def encode_decode(
     text_col: str = "text",
     with_ids: bool = True,
     with_text: bool = True,
-    table_size: int = 250_000,
+    block_chars: int = BLOCK_CHARS,
+    use_chunks: bool = True,
 ) -> DataFrame:
     """Encode and decode every whole text.
 
@@ -94,47 +100,49 @@ def encode_decode(
 
     A null text counts as the empty text: two ids, decoded to the empty text.  Null ids are
     passed on, repeated rows stay repeated, an empty table gives an empty table, and other
-    columns are not read.  Texts of any length are encoded whole.
+    columns are not read.  Texts of any length are encoded whole.  Where a model's pieces cross
+    markers (or without ``use_chunks``), a whole text is one chunk: the results are the same.
     """
     fields = ["doc_id long", "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
     fields += ["ids array<int>"] * with_ids + ["decoded string"] * with_text
-    names = [f.split()[0] for f in fields]
+    arrow = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([(f.split()[0], arrow[f.split()[1]]) for f in fields])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(numbers: _Numbers, texts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """The results of a block: its texts, as ids and chunk numbers, and its chunks."""
         processor = load(model_path)[0]
+        flat, sizes = segmented(processor, list(numbers))
+        starts = np.cumsum(sizes) - sizes
+        ends = [processor.bos_id()], [processor.eos_id()]
+        out, held = [], 0
+        for doc_id, codes in texts:
+            n = sizes[codes]
+            at = np.repeat(starts[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            ids = np.concatenate([ends[0], flat[at], ends[1]]).astype("<u4")
+            decoded = processor.decode(ids.tolist())
+            row = (doc_id, len(ids), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+            out.append((*row, *[ids.view(np.int32)] * with_ids, *[decoded] * with_text))
+            held += len(ids)
+            if held > 500_000:  # what leaves for Spark at once is bounded in bytes too
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        independent = load(model_path)[1] and use_chunks
+        numbers, texts, size = _Numbers(), [], 0
         for batch in batches:
-            keys = batch.column(0).cast(pa.int64())
-            first, out = 0, {n: [] for n in names}
-
-            def done(upto: int) -> pa.RecordBatch:
-                arrays = [keys.slice(first, upto - first)]
-                for n in names[1:]:
-                    if n == "ids":
-                        starts = np.cumsum([0, *map(len, out[n])], dtype=np.int32)
-                        flat = np.concatenate(out[n]) if out[n] else np.zeros(0, np.int32)
-                        arrays.append(pa.ListArray.from_arrays(pa.array(starts), pa.array(flat)))
-                    else:
-                        arrays.append(pa.array(out[n], pa.int64() if n == "n_tokens" else pa.string()))
-                return pa.RecordBatch.from_arrays(arrays, names)
-
-            held_tokens = 0
-            for i, text in enumerate(batch.column(1)):
-                ids = encode_ids(text.as_py(), model_path, table_size)
-                decoded = processor.decode(ids)
-                packed = np.array(ids, "<u4")
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(packed).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-                if with_ids:
-                    out["ids"].append(packed.view(np.int32))
-                if with_text:
-                    out["decoded"].append(decoded)
-                held_tokens += len(ids)
-                if held_tokens > 500_000:  # what leaves for Spark at once is bounded in bytes too
-                    yield done(i + 1)
-                    first, out, held_tokens = i + 1, {n: [] for n in names}, 0
-            if first < batch.num_rows:
-                yield done(batch.num_rows)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py() or ""
+                own = chunks(text, independent)
+                texts.append((doc_id, np.fromiter(map(numbers.__getitem__, own), np.int32, len(own))))
+                size += len(text)
+                if size >= block_chars:
+                    yield from joined(numbers, texts)
+                    numbers, texts, size = _Numbers(), [], 0
+        if texts:
+            yield from joined(numbers, texts)
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return narrow.mapInArrow(run, ", ".join(fields))
