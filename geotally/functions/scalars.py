@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -18,11 +18,26 @@ def row_digest(*columns: Column) -> Column:
 
 
 def table_digest(key: Column, row: Column) -> Column:
-    """Aggregate: SHA-256 of the rows' texts in key order (for published, bounded tables)."""
+    """Aggregate: SHA-256 of the rows' texts in key order (for groups of a bounded size)."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), row.alias("r")))), lambda x: x["r"])
     return F.sha2(F.array_join(ordered, RECORD_SEPARATOR), 256)
 
 
+def digest_tree(rows: DataFrame, keys: list[str], order: str, text: str, *, levels: int = 4, fan: int = 1024, n: str = "n_rows", leaf: bool = True) -> DataFrame:
+    """``keys``, ``digest`` and the number of rows (``n``): the identity of a table of any size.
+
+    ``order`` is a whole number, unique within the keys.  Rows of ``fan`` numbers in a row are
+    hashed in their order, then the digests of ``fan`` such pieces, and so on for ``levels``
+    levels; what is then left (a digest for each ``fan ** (levels + 1)`` numbers) is hashed as one.
+    Without ``leaf`` the rows have digests (``text``) and numbers of rows (``n``) already.
+    """
+    now = rows.select(*keys, F.col(order).alias("at"), F.col(text).alias("digest"), (F.lit(1) if leaf else F.col(n)).cast("long").alias("n"))
+    for _ in range(levels + leaf):
+        now = now.groupBy(*keys, F.floor(F.col("at") / fan).alias("piece")).agg(F.sum("n").alias("n"), table_digest(F.col("at"), F.col("digest")).alias("digest"))
+        now = now.withColumnRenamed("piece", "at")
+    return now.groupBy(*keys).agg(F.sum("n").alias(n), table_digest(F.col("at"), F.col("digest")).alias("digest"))
+
+
 def fixed_decimal(x: Column, scale: int) -> Column:
     """Decimal text with a fixed number of places, half to even, without a negative zero."""
     d = F.bround(x.cast(f"decimal(38,{min(scale + 6, 30)})"), scale).cast(f"decimal({min(38, scale + 12)},{scale})")
@@ -79,18 +94,21 @@ def nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-#: Numerals of road sections.
+#: Numerals of road sections, and dashes between the parts of a house number.
 NUMERALS = {"1": "一", "2": "二", "3": "三", "4": "四", "5": "五", "6": "六", "7": "七", "8": "八", "9": "九"}
+DASHES = "‐‑‒–—－-"
 
 
 def normalize_address(x: Column) -> Column:
-    """One spelling of an address: compatibility form, no blanks, nothing from a bracket on, "A-B" as
-    "A之B", section numbers in words, nothing after the house number."""
-    s = F.replace(F.regexp_replace(nfkc(x), r"\s+", ""), F.lit("台"), F.lit("臺"))
-    s = F.regexp_replace(F.regexp_replace(s, r"\(.*$", ""), r"(\d+)-(\d+)", "$1之$2")
+    """One spelling of an address: compatibility form, no blanks, nothing from a bracket on, a dash
+    between digits as "之", section numbers behind a road's name in words, nothing after the
+    house number; a null address is empty."""
+    s = F.replace(nfkc(F.coalesce(x, F.lit(""))), F.lit("台"), F.lit("臺"))
+    s = F.regexp_replace(F.regexp_replace(s, r"(?U)[\s　]", ""), r"[（(].*$", "")
+    s = F.regexp_replace(s, rf"(?<=[0-9])[{DASHES}](?=[0-9])", "之")
     for digit, word in NUMERALS.items():
-        s = F.regexp_replace(s, rf"(?<!\d){digit}段", f"{word}段")
-    return F.regexp_replace(s, r"^(.*?號).*$", "$1")
+        s = F.regexp_replace(s, rf"([路街道]){digit}段", f"$1{word}段")
+    return F.when(F.instr(s, "號") > 0, F.concat(F.substring_index(s, "號", 1), F.lit("號"))).otherwise(s)
 
 
 def phase_group(layer: Column, status: Column, prefix: str, complete: list[str], approved: list[str]) -> Column:

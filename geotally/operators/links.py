@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import decimal
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
 
+from geotally.functions import exact
 from geotally.storage import cut
 
 
@@ -32,61 +29,44 @@ def both_ways(links: DataFrame) -> DataFrame:
     return links.unionByName(turned)
 
 
-@F.pandas_udf(DecimalType(38, 24))
-def divided(a: pd.Series, b: pd.Series) -> pd.Series:
-    """a / b to 24 places, half to even; null where b is zero (Spark's decimals keep too few)."""
-    context = decimal.Context(prec=80, rounding=decimal.ROUND_HALF_EVEN)
-    unit = decimal.Decimal(1).scaleb(-24)
-    return pd.Series([None if x is None or not y else context.divide(x, y).quantize(unit, context=context) for x, y in zip(a, b, strict=True)], dtype=object)
-
-
-@F.pandas_udf(DecimalType(38, 36))
-def fraction_of(bucket: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-    """bucket * a / b to 36 places, so that sums can be rounded to 24."""
-    context = decimal.Context(prec=80, rounding=decimal.ROUND_HALF_EVEN)
-    unit = decimal.Decimal(1).scaleb(-36)
-    return pd.Series([None if not y else context.divide(context.multiply(k, x), y).quantize(unit, context=context) for k, x, y in zip(bucket, a, b, strict=True)], dtype=object)
-
-
-@F.pandas_udf(DecimalType(38, 30))
-def carried(state: pd.Series, share: pd.Series) -> pd.Series:
-    """0.75 * state * share to 30 places, half to even: the exact product has more than 38 digits."""
-    context = decimal.Context(prec=80, rounding=decimal.ROUND_HALF_EVEN)
-    unit, rate = decimal.Decimal(1).scaleb(-30), decimal.Decimal("0.75")
-    return pd.Series([context.multiply(context.multiply(rate, s), p).quantize(unit, context=context) for s, p in zip(state, share, strict=True)], dtype=object)
-
-
 def transitions(cells: DataFrame, directed: DataFrame, scenarios: DataFrame) -> DataFrame:
-    """``scenario``, ``from_cell``, ``to_cell``, ``share``: rows that sum to one.
+    """``scenario``, ``from_cell``, ``to_cell``, ``share``: rows that sum to one (decimals, 24 places).
 
     ``directed``: ``link_class`` ("weighted" or "generic"), ``from_cell``, ``to_cell``,
     ``eligible`` and ``weight``; ``scenarios``: ``scenario``, ``link_bucket``,
-    ``generic_bucket`` (decimals) and ``uniform``.  A scenario gives its link bucket to the
-    eligible weighted links of a cell (alike, or by weight) and its generic bucket to the
-    generic ones; what is not given stays with the cell.
+    ``generic_bucket`` (decimals, twelve places) and ``uniform``.  A scenario gives its link
+    bucket to the eligible weighted links of a cell (alike, or by weight) and its generic bucket
+    to the generic ones; what is not given stays with the cell.  Cells without links keep all.
     """
+    units = transition_units(cells, directed, scenarios)
+    return units.select("scenario", "from_cell", "to_cell", exact.as_decimal(F.col("units")).alias("share"))
+
+
+def transition_units(cells: DataFrame, directed: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """``transitions`` with ``units`` of 10^-24; written once, as its rows are read several times."""
     weighted = (F.col("link_class") == "weighted") & F.coalesce(F.col("eligible"), F.lit(False))
     generic = F.col("link_class") == "generic"
-    one, zero = F.lit(1).cast("decimal(13,12)"), F.lit(0).cast("decimal(13,12)")
-    weight = F.col("weight").cast("decimal(13,12)")
-    support = directed.groupBy("from_cell").agg(
-        F.count_if(weighted).cast("decimal(13,0)").alias("n_links"), F.count_if(generic).cast("decimal(13,0)").alias("n_generic"), F.sum(F.when(weighted, weight).otherwise(zero)).alias("all_weight")
+    marked = cut(directed.select("from_cell", "to_cell", weighted.alias("is_weighted"), generic.alias("is_generic"), exact.as_units(F.col("weight")).alias("w")).where("is_weighted OR is_generic"))
+    support = marked.groupBy("from_cell").agg(
+        F.count_if("is_weighted").alias("n_links"), F.count_if("is_generic").alias("n_generic"), F.sum(F.when(F.col("is_weighted"), F.col("w"))).alias("all_weight")
     )
-    dealt = directed.join(support, "from_cell").crossJoin(F.broadcast(scenarios))  # a few scenarios
-    bucket = F.when(weighted, F.col("link_bucket")).when(generic, F.col("generic_bucket")).otherwise(zero).cast("decimal(13,12)")
-    part = F.when(weighted & ~F.col("uniform"), weight).otherwise(one).cast("decimal(38,12)")
-    whole = F.when(weighted & F.col("uniform"), F.col("n_links")).when(weighted, F.col("all_weight")).otherwise(F.col("n_generic")).cast("decimal(38,12)")
-    nonself = (
-        dealt.withColumns({"__bucket": bucket, "__part": part, "__whole": whole}).where("__bucket > 0")
-        .select("scenario", "from_cell", "to_cell", fraction_of("__bucket", "__part", "__whole").alias("share"))
-        .groupBy("scenario", "from_cell", "to_cell").agg(F.bround(F.sum("share"), 24).cast("decimal(38,24)").alias("share"))
-        .where("share > 0")
+    dealt = marked.join(support, "from_cell").crossJoin(F.broadcast(scenarios))  # a few scenarios
+    bucket = exact.as_units(F.when(F.col("is_weighted"), F.col("link_bucket")).otherwise(F.col("generic_bucket")))
+    alike = ~F.col("is_weighted") | F.col("uniform")
+    parts = dealt.select(
+        "scenario", "from_cell", "to_cell", bucket.alias("bucket"), F.when(alike, F.lit(1)).otherwise(F.col("w")).cast("decimal(13,0)").alias("part"),
+        F.when(~F.col("is_weighted"), F.col("n_generic")).when(F.col("uniform"), F.col("n_links")).otherwise(F.col("all_weight")).cast("decimal(24,0)").alias("all"),
+    ).where("bucket > 0 AND part > 0")
+    nonself = cut(
+        parts.select("scenario", "from_cell", "to_cell", exact.times(F.col("bucket"), F.col("part"), F.col("all")).alias("u"))
+        .groupBy("scenario", "from_cell", "to_cell").agg(exact.drop_digits(F.sum("u"), 12).alias("units"))
+        .where("units > 0")
     )
-    given = nonself.groupBy("scenario", "from_cell").agg(F.sum("share").alias("given"))
+    given = nonself.groupBy("scenario", "from_cell").agg(F.sum("units").alias("given"))
     own = (
         cells.select(F.col("cell_id").alias("from_cell")).crossJoin(F.broadcast(scenarios.select("scenario")))
         .join(given, ["scenario", "from_cell"], "left")
-        .select("scenario", "from_cell", F.col("from_cell").alias("to_cell"), (F.lit(1).cast("decimal(38,24)") - F.coalesce("given", F.lit(0).cast("decimal(38,24)"))).cast("decimal(38,24)").alias("share"))
+        .select("scenario", "from_cell", F.col("from_cell").alias("to_cell"), exact.whole(exact.whole(exact.ONE) - F.coalesce("given", F.lit(0))).alias("units"))
     )
     return nonself.unionByName(own)
 
@@ -95,22 +75,31 @@ def restart_walk(seeds: DataFrame, matrix: DataFrame, scenarios: DataFrame, step
     """``scenario``, ``step`` (0 to ``steps``), ``cell_id``, ``mass``: a quarter of the seed is put
     back at each step, the rest moves by the matrix.
 
-    One join and one sum with partial sums a step; each step is written to the shared folder.
+    ``seeds`` and ``matrix`` (see ``transition_units``) have ``units`` of 10^-24.  Every cell of
+    either has a row at every step; a cell without a seed begins with nothing.  One join and one
+    sum with partial sums a step; each step is written to the shared folder.
     """
-    start = seeds.select("cell_id", F.col("seed").cast("decimal(38,24)").alias("seed"))
+    matrix = cut(matrix.select("scenario", "from_cell", "to_cell", exact.upper(F.col("units")).alias("share_high"), exact.lower(F.col("units")).alias("share_low")))
+    cells = matrix.select(F.col("from_cell").alias("cell_id")).union(matrix.select("to_cell")).union(seeds.select("cell_id")).distinct()
+    start = cells.join(seeds.select("cell_id", "units"), "cell_id", "left").select("cell_id", exact.whole(F.coalesce("units", F.lit(0))).alias("seed"))
     state = cut(start.crossJoin(F.broadcast(scenarios.select("scenario"))).select("scenario", "cell_id", "seed", F.col("seed").alias("mass")))
-    matrix = cut(matrix)
-    seen = state.select("scenario", F.lit(0).alias("step"), "cell_id", "mass")
-    back = F.bround(F.col("seed").cast("decimal(25,24)") * F.lit("0.25").cast("decimal(3,2)"), 30).cast("decimal(38,30)")
+    seen = [state.select("scenario", F.lit(0).alias("step"), "cell_id", "mass")]
+    # A quarter of the seed has 26 places: 250,000 units of 10^-30 for each of 10^-24.
+    back = exact.whole(F.col("seed").cast("decimal(25,0)") * F.lit(250_000).cast("decimal(6,0)"))
     for step in range(1, steps + 1):
         moved = (
-            state.select("scenario", F.col("cell_id").alias("from_cell"), "mass").join(matrix, ["scenario", "from_cell"])
-            .select("scenario", F.col("to_cell").alias("cell_id"), carried("mass", "share").alias("part"))
-            .groupBy("scenario", "cell_id").agg(F.sum("part").cast("decimal(38,30)").alias("part"))
+            state.select("scenario", F.col("cell_id").alias("from_cell"), exact.upper(F.col("mass")).alias("high"), exact.lower(F.col("mass")).alias("low")).where("high > 0 OR low > 0")
+            .join(matrix, ["scenario", "from_cell"])
+            .select("scenario", F.col("to_cell").alias("cell_id"), exact.three_quarters(F.col("high"), F.col("low"), F.col("share_high"), F.col("share_low")).alias("part"))
+            .groupBy("scenario", "cell_id").agg(F.sum("part").alias("part"))
         )
-        state = cut(state.join(moved, ["scenario", "cell_id"]).select("scenario", "cell_id", "seed", F.bround((back + F.col("part")).cast("decimal(38,30)"), 24).cast("decimal(38,24)").alias("mass")))
-        seen = seen.unionByName(state.select("scenario", F.lit(step).alias("step"), "cell_id", "mass"))
-    return seen
+        after = exact.drop_digits(exact.whole(back + F.coalesce("part", F.lit(0))), 6)
+        state = cut(state.join(moved, ["scenario", "cell_id"], "left").select("scenario", "cell_id", "seed", after.alias("mass")))
+        seen.append(state.select("scenario", F.lit(step).alias("step"), "cell_id", "mass"))
+    out = seen[0]
+    for more in seen[1:]:
+        out = out.unionByName(more)
+    return out.withColumn("mass", exact.as_decimal(F.col("mass")))
 
 
 def overlapping(fragments: DataFrame, keys: list[str], cell: str, low: str, high: str, tolerance) -> DataFrame:

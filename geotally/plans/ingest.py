@@ -21,11 +21,18 @@ def _orders(t: Tables) -> DataFrame:
 SQL_ORDERS = "hashed AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, sha256(concat_ws(chr(31), o_custkey, o_orderstatus, o_orderpriority)) AS row_hash FROM orders)"
 
 
-@query(f"WITH {SQL_ORDERS} SELECT * FROM hashed")
+@query(f"""WITH {SQL_ORDERS}, staged AS (
+  SELECT h.o_orderkey + CASE WHEN o_totalprice > 250000 THEN 100000000 ELSE 0 END AS o_orderkey, h.o_custkey, h.o_orderstatus, h.o_orderpriority, h.row_hash
+  FROM hashed h JOIN orders o ON o.o_orderkey = h.o_orderkey WHERE h.o_orderkey % 3 = 0 OR o_totalprice > 250000
+) SELECT * FROM hashed WHERE o_orderstatus = 'F' UNION ALL SELECT * FROM staged s WHERE NOT EXISTS (SELECT 1 FROM hashed h WHERE h.o_orderkey = s.o_orderkey AND h.o_orderstatus = 'F')""")
 def insert_only_merge_orders(t: Tables) -> DataFrame:
-    """The stored snapshot (finished orders) with the rows of a full reload whose key is new."""
+    """The stored snapshot (finished orders) with the new keys of a reload: every third order, and
+    large ones under new keys.  Rows that are stored already are staged with them and add nothing."""
     o = _orders(t)
-    return insert_only_merge(o.where("o_orderstatus = 'F'"), o, ["o_orderkey"], "row_hash")
+    large = F.col("o_totalprice") > 250000
+    staged = o.join(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey").where((F.col("o_orderkey") % 3 == 0) | large)
+    staged = staged.withColumn("o_orderkey", F.col("o_orderkey") + F.when(large, 100_000_000).otherwise(0)).drop("o_totalprice")
+    return insert_only_merge(o.where("o_orderstatus = 'F'"), staged, ["o_orderkey"], "row_hash")
 
 
 @query("SELECT o_orderkey, sha256(concat_ws(chr(31), o_custkey, 'X', o_orderpriority)) AS row_hash FROM orders WHERE o_totalprice > 250000")
@@ -137,10 +144,10 @@ def conditional_counts(t: Tables) -> DataFrame:
     return t.part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), F.countDistinct("p_size").alias("n_sizes"), F.count_if(F.col("p_size") > 25).alias("n_large"), F.sum(F.when(F.col("p_size") > 25, F.col("p_size")).otherwise(0)).alias("size_large"))
 
 
-@query("SELECT l_suppkey, count(*) AS n_addresses, count(DISTINCT l_partkey) AS n_places, CASE WHEN count(DISTINCT l_partkey) = 1 THEN min(l_partkey) END AS place, CASE WHEN count(*) > 1 AND count(DISTINCT l_partkey) > 1 THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS state FROM lineitem WHERE l_quantity = 50 GROUP BY 1")
+@query("SELECT l_suppkey, count(*) AS n_addresses, count(DISTINCT l_partkey) AS n_places, CASE WHEN count(DISTINCT l_partkey) = 1 THEN min(l_partkey) END AS place, CASE WHEN count(*) > 1 AND count(DISTINCT l_partkey) > 1 THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS state FROM lineitem GROUP BY 1")
 def ambiguous_match(t: Tables) -> DataFrame:
     """A key matches only if all its rows name one place."""
-    places = t.lineitem.where("l_quantity = 50").groupBy("l_suppkey").agg(F.count("*").alias("n_addresses"), F.countDistinct("l_partkey").alias("n_places"), F.min("l_partkey").alias("least"))
+    places = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n_addresses"), F.countDistinct("l_partkey").alias("n_places"), F.min("l_partkey").alias("least"))
     return places.select("l_suppkey", "n_addresses", "n_places", F.when(F.col("n_places") == 1, F.col("least")).alias("place"), F.when(F.col("n_places") > 1, "AMBIGUOUS").otherwise("MATCHED").alias("state"))
 
 
@@ -156,20 +163,30 @@ def json_field(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("""WITH h AS (SELECT r_regionkey, sha256(string_agg(concat_ws(chr(31), n_nationkey, n_name, coalesce(NULL, chr(0))), chr(10) ORDER BY n_nationkey)) AS table_sha256 FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY 1) SELECT * FROM h""")
+@query("""WITH rows AS (SELECT o_orderstatus, o_orderkey, concat_ws(chr(31), o_orderkey, o_custkey, o_orderpriority, CASE WHEN o_totalprice = 0 THEN '0.00' ELSE (round_even(o_totalprice::DECIMAL(18,6), 2)::DECIMAL(18,2))::VARCHAR END,
+  CASE WHEN o_orderstatus = 'P' THEN chr(0) ELSE replace(o_orderpriority, '-', chr(30)) END) AS r FROM orders
+), l0 AS (SELECT o_orderstatus, o_orderkey // 1024 AS k, count(*) AS n, sha256(string_agg(r, chr(10) ORDER BY o_orderkey)) AS d FROM rows GROUP BY 1, 2
+), l1 AS (SELECT o_orderstatus, k // 1024 AS k, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY k)) AS d FROM l0 GROUP BY o_orderstatus, l0.k // 1024
+), l2 AS (SELECT o_orderstatus, k // 1024 AS k, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY k)) AS d FROM l1 GROUP BY o_orderstatus, l1.k // 1024
+), l3 AS (SELECT o_orderstatus, k // 1024 AS k, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY k)) AS d FROM l2 GROUP BY o_orderstatus, l2.k // 1024
+) SELECT o_orderstatus, sum(n)::BIGINT AS n_rows, sha256(string_agg(d, chr(10) ORDER BY k)) AS table_sha256 FROM l3 GROUP BY 1""")
 def canonical_table_hash(t: Tables) -> DataFrame:
-    """Identity of a published table: rows by key, fields apart by a unit separator, nulls marked."""
-    row = F.concat_ws(scalars.UNIT_SEPARATOR, *[F.coalesce(c, F.lit(scalars.NULL_MARK)) for c in (F.col("n_nationkey").cast("string"), F.col("n_name"), F.lit(None).cast("string"))])
-    return t.nation.groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(scalars.table_digest(F.col("n_nationkey"), row).alias("table_sha256"))
-
-
-@query("""SELECT s_suppkey, coalesce(n_rows, 0) AS n_rows, coalesce(n_places, 0) AS n_places, CASE WHEN n_places = 1 THEN p END AS l_partkey,
- CASE WHEN n_places IS NULL THEN 'UNMATCHED' WHEN n_places > 1 THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS state FROM supplier
- LEFT JOIN (SELECT l_suppkey, count(*) AS n_rows, count(DISTINCT l_partkey) AS n_places, min(l_partkey) AS p FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1 GROUP BY 1) ON l_suppkey = s_suppkey""")
+    """Identity of each state's orders: rows by key, fields apart by a unit separator, lists by
+    another, decimals with fixed places, nulls marked; pieces are hashed level by level."""
+    parts = F.when(F.col("o_orderstatus") != "P", F.array_join(F.split("o_orderpriority", "-"), scalars.LIST_SEPARATOR))
+    fields = (F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderpriority"), scalars.fixed_decimal(F.col("o_totalprice").cast("decimal(18,6)"), 2), parts)
+    row = F.concat_ws(scalars.UNIT_SEPARATOR, *[F.coalesce(c, F.lit(scalars.NULL_MARK)) for c in fields])
+    rows = t.orders.select("o_orderstatus", "o_orderkey", row.alias("row"))
+    return scalars.digest_tree(rows, ["o_orderstatus"], "o_orderkey", "row", levels=3).withColumnRenamed("digest", "table_sha256")
+
+
+@query("""SELECT p_partkey, coalesce(n_rows, 0) AS n_rows, coalesce(n_places, 0) AS n_places, CASE WHEN n_places = 1 THEN p END AS l_suppkey,
+ CASE WHEN n_places IS NULL THEN 'UNMATCHED' WHEN n_places > 1 THEN 'AMBIGUOUS' ELSE 'MATCHED' END AS state FROM part
+ LEFT JOIN (SELECT l_partkey, count(*) AS n_rows, count(DISTINCT l_suppkey) AS n_places, min(l_suppkey) AS p FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""")
 def address_match(t: Tables) -> DataFrame:
-    """Targets against official points: matched, ambiguous or unmatched."""
-    points = t.lineitem.where("l_quantity >= 50 AND l_discount >= 0.1").select(F.col("l_suppkey").alias("s_suppkey"), "l_partkey")
-    return unambiguous_match(t.supplier.select("s_suppkey"), points, ["s_suppkey"], ["l_partkey"])
+    """Targets against all official points: matched, ambiguous or unmatched."""
+    points = t.lineitem.select(F.col("l_partkey").alias("p_partkey"), "l_suppkey")
+    return unambiguous_match(t.part.select("p_partkey"), points, ["p_partkey"], ["l_suppkey"])
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(o_orderkey::VARCHAR), o_orderkey LIMIT 5000")

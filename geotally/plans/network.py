@@ -7,9 +7,10 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotally.functions.scalars import fixed_decimal
+from geotally.functions import exact
+from geotally.functions.scalars import digest_tree, fixed_decimal
 from geotally.operators.components import components
-from geotally.operators.links import both_ways, overlapping, restart_walk, transitions, visits_to_links
+from geotally.operators.links import both_ways, overlapping, restart_walk, transition_units, visits_to_links
 from geotally.plans.base import SQL_METRICS, Tables
 from geotally.plans.layers import metric_index
 from geotally.plans.registry import query
@@ -205,8 +206,12 @@ SQL_MATRIX = f"""{SQL_DIRECTED}, buckets(scenario, link_bucket, generic_bucket,
 )"""
 
 
+def matrix_units(t: Tables) -> DataFrame:
+    return transition_units(network_cells(t), both_ways(cut(all_links(t))), scenario_table(t))
+
+
 def matrix(t: Tables) -> DataFrame:
-    return transitions(network_cells(t), both_ways(all_links(t)), scenario_table(t))
+    return matrix_units(t).select("scenario", "from_cell", "to_cell", exact.as_decimal(F.col("units")).alias("share"))
 
 
 @query(f"WITH {SQL_MATRIX} SELECT scenario, from_cell, to_cell, round(share, 9) AS share FROM matrix")
@@ -216,21 +221,21 @@ def transition_matrix(t: Tables) -> DataFrame:
 
 
 def seeds(t: Tables) -> DataFrame:
-    """Each cell's share of all lines weighed by area."""
-    from geotally.operators.links import divided
-
-    weights = t.lineitem.groupBy(F.col("l_suppkey").alias("cell_id")).count().join(network_cells(t), "cell_id").select("cell_id", (F.col("count") * F.col("area")).cast("decimal(38,0)").alias("w"))
-    total = weights.agg(F.sum("w").cast("decimal(38,0)").alias("all"))
-    return weights.crossJoin(F.broadcast(total)).select("cell_id", divided("w", "all").alias("seed"))  # one row
+    """Each cell's share of all lines weighed by area; cells without lines have none."""
+    lines = t.lineitem.groupBy(F.col("l_suppkey").alias("cell_id")).count()
+    weights = cut(network_cells(t).join(lines, "cell_id", "left").select("cell_id", exact.whole(F.coalesce("count", F.lit(0)) * F.col("area")).alias("w")))
+    total = weights.agg(exact.whole(F.sum("w")).alias("all"))
+    return weights.crossJoin(F.broadcast(total)).select("cell_id", exact.share(F.col("w"), F.col("all")).alias("units"))  # one row
 
 
 def walk(t: Tables) -> DataFrame:
-    return restart_walk(seeds(t), matrix(t), scenario_table(t), STEPS)
+    return restart_walk(seeds(t), matrix_units(t), scenario_table(t), STEPS)
 
 
 def _sql_walk() -> str:
     out = f"""{SQL_MATRIX}, seeds AS (
-  SELECT l_suppkey AS cell_id, count(*) * (1000 + l_suppkey * 37 % 500)::DOUBLE / sum(count(*) * (1000 + l_suppkey * 37 % 500)::DOUBLE) OVER () AS seed FROM lineitem GROUP BY l_suppkey
+  SELECT s_suppkey AS cell_id, count(l_suppkey) * (1000 + s_suppkey * 37 % 500)::DOUBLE / sum(count(l_suppkey) * (1000 + s_suppkey * 37 % 500)::DOUBLE) OVER () AS seed
+  FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey
 ), step0 AS (SELECT scenario, 0 AS step, cell_id, seed AS mass FROM seeds CROSS JOIN buckets)"""
     for k in range(1, STEPS + 1):
         out += f""", step{k} AS (
@@ -249,14 +254,12 @@ def restart_recurrence(t: Tables) -> DataFrame:
     return walk(t).select("scenario", "step", "cell_id", F.round(F.col("mass").cast("double"), 9).alias("mass"))
 
 
-@query(f"WITH {SQL_WALK} SELECT scenario, step, cell_id, round(mass / (SELECT max(mass) FROM walk), 6) AS relative FROM walk WHERE step IN (0, {STEPS})")
+@query(f"WITH {SQL_WALK} SELECT scenario, step, cell_id, round(mass / (SELECT max(mass) FROM walk), 6) AS relative FROM walk")
 def display_scale_state(t: Tables) -> DataFrame:
-    """Mass relative to the largest of all scenarios and steps."""
-    from geotally.operators.links import divided
-
+    """Mass relative to the largest of all scenarios and steps, for every step."""
     states = cut(walk(t))
-    top = states.agg(F.max("mass").alias("top"))
-    return states.where(F.col("step").isin(0, STEPS)).crossJoin(F.broadcast(top)).select("scenario", "step", "cell_id", F.round(divided("mass", "top").cast("double"), 6).alias("relative"))
+    top = states.agg(F.max("mass").cast("double").alias("top"))
+    return states.crossJoin(F.broadcast(top)).select("scenario", "step", "cell_id", F.round(F.col("mass").cast("double") / F.col("top"), 6).alias("relative"))
 
 
 @query(f"WITH {SQL_WALK}, audit AS (SELECT scenario, step, round(sum(mass), 6) AS mass FROM walk GROUP BY 1, 2) SELECT scenario, step, mass, abs(mass - 1) <= 0.000001 AS conserved FROM audit")
@@ -279,20 +282,24 @@ def topk_abs_change(t: Tables) -> DataFrame:
 SCOPES = ("FULL", "ELIGIBLE", "UNION")
 
 
-def scoped_components(t: Tables, links: DataFrame, scope: str) -> DataFrame:
-    """Every cell with the smallest cell of its component; isolated cells are their own."""
-    ends = ["from_cell", "to_cell"]
-    chosen = {"FULL": links, "ELIGIBLE": links.where("eligible AND n_sources >= 2"), "UNION": links.where("n_sources >= 2")}[scope].select(*ends)
-    if scope == "UNION":
-        chosen = chosen.unionByName(generic_links(t).where("is_open").select(*ends))
-    found = components(chosen)
-    return network_cells(t).join(found, F.col("cell_id") == F.col("node"), "left").select(F.lit(scope).alias("scope"), "cell_id", F.coalesce("root", "cell_id").alias("component"))
-
-
 def all_components(t: Tables) -> DataFrame:
+    """Every cell with the smallest cell of its component in each scope; isolated cells are their own.
+
+    The scopes go through one loop: a node is a cell in a scope.
+    """
+    ends = ["from_cell", "to_cell"]
     links = cut(cell_links(t))
-    parts = [scoped_components(t, links, s) for s in SCOPES]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    shared = links.where("n_sources >= 2")
+    parts = [
+        links.select(F.lit("FULL").alias("scope"), *ends), shared.where("eligible").select(F.lit("ELIGIBLE").alias("scope"), *ends),
+        shared.select(F.lit("UNION").alias("scope"), *ends), generic_links(t).where("is_open").select(F.lit("UNION").alias("scope"), *ends),
+    ]
+    scoped = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    node = lambda c: F.struct("scope", F.col(c).alias("cell"))
+    found = components(scoped.select(node("from_cell").alias("a"), node("to_cell").alias("b")))
+    cells = network_cells(t).select("cell_id", F.explode(F.array(*map(F.lit, SCOPES))).alias("scope"))
+    rooted = found.select(F.col("node.scope").alias("of_scope"), F.col("node.cell").alias("of_cell"), F.col("root.cell").alias("root"))
+    return cells.join(rooted, (F.col("scope") == F.col("of_scope")) & (F.col("cell_id") == F.col("of_cell")), "left").select("scope", "cell_id", F.coalesce("root", "cell_id").alias("component"))
 
 
 SQL_COMPONENTS = f"""{SQL_WEIGHTED}, {SQL_GENERIC}, scoped AS (
@@ -329,15 +336,24 @@ def degree_distribution(t: Tables) -> DataFrame:
     return neighbor_support(t).groupBy(F.col("n_links").alias("degree")).agg(F.count("*").alias("n_cells"), F.sum("n_generic").alias("n_generic"))
 
 
-@query(f"""WITH {SQL_WEIGHTED} SELECT eligible, count(*) AS n_links, sha256(string_agg(from_cell || ':' || to_cell, ',' ORDER BY from_cell, to_cell)) AS edge_set_sha256 FROM cell_links GROUP BY eligible""")
+@query(f"""WITH {SQL_WEIGHTED}, leaves AS (
+  SELECT eligible, from_cell, to_cell // 1024 AS piece, count(*) AS n, sha256(string_agg(from_cell || ':' || to_cell, chr(10) ORDER BY to_cell)) AS d FROM cell_links GROUP BY 1, 2, 3
+), l0 AS (SELECT eligible, from_cell AS k, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY piece)) AS d FROM leaves GROUP BY 1, 2
+), l1 AS (SELECT eligible, k // 1024 AS k, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY k)) AS d FROM l0 GROUP BY eligible, l0.k // 1024
+), l2 AS (SELECT eligible, k // 1024 AS k, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY k)) AS d FROM l1 GROUP BY eligible, l1.k // 1024
+), l3 AS (SELECT eligible, k // 1024 AS k, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY k)) AS d FROM l2 GROUP BY eligible, l2.k // 1024
+), l4 AS (SELECT eligible, k // 1024 AS k, sum(n) AS n, sha256(string_agg(d, chr(10) ORDER BY k)) AS d FROM l3 GROUP BY eligible, l3.k // 1024
+) SELECT eligible, sum(n)::BIGINT AS n_links, sha256(string_agg(d, chr(10) ORDER BY k)) AS edge_set_sha256 FROM l4 GROUP BY eligible""")
 def edge_set_hash(t: Tables) -> DataFrame:
-    """Identity of each set of links: its ordered text, hashed.
+    """Identity of each set of links: digests of ordered pieces, hashed again level by level."""
+    text = F.concat(F.col("from_cell").cast("string"), F.lit(":"), F.col("to_cell").cast("string"))
+    return _set_hash(cell_links(t).select("eligible", "from_cell", "to_cell", text.alias("row")), ["eligible"])
 
-    The text of a published link set is one value by definition, so this is for bounded sets.
-    """
-    pairs = F.array_sort(F.collect_list(F.struct("from_cell", "to_cell")))
-    text = F.array_join(F.transform(pairs, lambda p: F.concat(p["from_cell"].cast("string"), F.lit(":"), p["to_cell"].cast("string"))), ",")
-    return cell_links(t).groupBy("eligible").agg(F.count("*").alias("n_links"), F.sha2(text, 256).alias("edge_set_sha256"))
+
+def _set_hash(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, ``n_links`` and ``edge_set_sha256`` of rows with ``from_cell``, ``to_cell`` and ``row``."""
+    leaves = digest_tree(rows, [*keys, "from_cell"], "to_cell", "row", levels=0, n="n_links")
+    return digest_tree(leaves, keys, "from_cell", "digest", levels=4, n="n_links", leaf=False).withColumnRenamed("digest", "edge_set_sha256")
 
 
 # --- registry ---------------------------------------------------------------------------------

@@ -11,10 +11,10 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from geotally.functions import scalars, spatial
+from geotally.functions import exact, scalars, spatial
 from geotally.operators import merging
 from geotally.operators.components import components
-from geotally.operators.links import both_ways, divided, overlapping, restart_walk, transitions, visits_to_links
+from geotally.operators.links import both_ways, overlapping, restart_walk, transition_units, transitions, visits_to_links
 from geotally.operators.ranking import below, percent_rank, quantiles, top_share
 from geotally.operators.spatial_joins import nearest_of_few, points_in_boxes, points_near_boxes
 from geotally.plans import serving
@@ -82,8 +82,11 @@ def test_traversal_forward_and_back(spark):
 
 def test_walk_on_a_path(spark):
     seeds = spark.createDataFrame([(1, D("0.6")), (2, D("0.3")), (3, D("0.1"))], "cell_id long, seed decimal(38,24)")
+    units = lambda c: (F.col(c).cast("decimal(25,24)") * F.lit("1000000000000").cast("decimal(13,0)")).cast("decimal(26,12)") * F.lit("1000000000000").cast("decimal(13,0)")
+    seeds = seeds.select("cell_id", units("seed").cast("decimal(38,0)").alias("units"))
     shares = [(1, 1, "0.65"), (1, 2, "0.35"), (2, 1, "0.175"), (2, 2, "0.65"), (2, 3, "0.175"), (3, 2, "0.35"), (3, 3, "0.65")]
     matrix = spark.createDataFrame([("s", a, b, D(p)) for a, b, p in shares], "scenario string, from_cell long, to_cell long, share decimal(38,24)")
+    matrix = matrix.select("scenario", "from_cell", "to_cell", units("share").cast("decimal(38,0)").alias("units"))
     got = restart_walk(seeds, matrix, spark.createDataFrame([("s",)], "scenario string"), 2)
     by = {(r.step, r.cell_id): r.mass.normalize() for r in got.collect()}
     assert [by[1, c] for c in (1, 2, 3)] == [D("0.481875"), D("0.405"), D("0.113125")]
@@ -103,9 +106,43 @@ def test_transitions_sum_to_one(spark):
     assert [r.share for r in alone] == [D(1), D(1)]
 
 
-def test_exact_division(spark):
-    df = spark.createDataFrame([(D(1), D(3)), (D(1), D(0)), (None, D(1))], "a decimal(38,0), b decimal(38,0)")
-    assert [r.q for r in df.select(divided("a", "b").alias("q")).collect()] == [D("0.333333333333333333333333"), None, None]
+def test_walk_keeps_all_mass(spark):
+    """Cells without a seed and cells without links are part of the walk."""
+    rng = random.Random(2)
+    links = [("weighted", a, b, True, 0.25 + rng.random()) for a in range(12) for b in range(a + 1, 12) if rng.random() < 0.3] + [("generic", i, i + 1, None, None) for i in range(14)]
+    links = spark.createDataFrame(links, "link_class string, from_cell long, to_cell long, eligible boolean, weight double")
+    scenarios = spark.createDataFrame([("n0", D("0.35"), D("0"), True), ("n1", D("0.35"), D("0.1"), False)], "scenario string, link_bucket decimal(13,12), generic_bucket decimal(13,12), uniform boolean")
+    matrix = transition_units(spark.range(17).withColumnRenamed("id", "cell_id"), both_ways(links), scenarios)
+    seeds = spark.createDataFrame([(0, D(10) ** 24)], "cell_id long, units decimal(38,0)")
+    sums = restart_walk(seeds, matrix, scenarios, 4).groupBy("scenario", "step").agg(F.sum("mass").alias("m"), F.count("*").alias("n")).collect()
+    assert len(sums) == 10 and all(r.n == 17 and abs(r.m - 1) <= D("1e-22") for r in sums)
+
+
+def test_exact_shares(spark):
+    """Against Python's decimals: quotients, products and roundings, ties among them."""
+    rng = random.Random(1)
+    rows = []
+    for _ in range(400):
+        m = rng.choice([rng.randrange(10**24 + 1), 10**24, 0, rng.randrange(1000), 5 * 10**23])
+        s = rng.choice([rng.randrange(10**24 + 1), 10**24, 0, rng.randrange(1000), 2 * 10**23, 10**12 * rng.randrange(10**12)])
+        b = rng.randrange(1, 10 ** rng.randrange(1, 24))
+        w = rng.randrange(1, 10**12 + 1)
+        rows.append(tuple(map(D, (m, s, rng.randrange(b + 1), b, rng.choice([35 * 10**10, 10**11, 10**12]), w, w + rng.randrange(10**15)))))
+    df = spark.createDataFrame([*rows, (D(1), D(1), D(1), D(0), D(1), D(1), D(1))], ", ".join(f"{c} decimal(38,0)" for c in ("m", "s", "a", "b", "k", "w", "z")))
+    c = F.col
+    walked = exact.three_quarters(exact.upper(c("m")), exact.lower(c("m")), exact.upper(c("s")), exact.lower(c("s")))
+    part = exact.times(c("k"), c("w"), c("z"))
+    found = df.select("*", walked.alias("walked"), exact.share(c("a"), c("b")).alias("share"), part.alias("part"), exact.drop_digits(part, 12).alias("short"), exact.as_decimal(c("m")).alias("shown")).collect()
+    assert found.pop().share is None
+
+    def divided(a, b):
+        q, r = divmod(a, b)
+        return q + (2 * r > b or (2 * r == b and q % 2))
+
+    for r in found:
+        m, s, a, b, k, w, z = map(int, r[:7])
+        assert int(r.walked) == divided(3 * m * s, 4 * 10**18) and int(r.share) == divided(a * 10**24, b)
+        assert int(r.part) == divided(k * w * 10**24, z) and int(r.short) == divided(int(r.part), 10**12) and r.shown == D(m).scaleb(-24)
 
 
 def test_overlaps(spark):
@@ -165,8 +202,19 @@ def test_scalars(spark):
 
 
 def test_addresses(spark):
-    df = spark.createDataFrame([("保安街47-1號3樓",), ("陽明路１段４８巷９號１樓",), ("台北 路5號(後棟)",), (None,)], "a string")
-    assert [r.x for r in df.select(scalars.normalize_address(F.col("a")).alias("x")).collect()] == ["保安街47之1號", "陽明路一段48巷9號", "臺北路5號", None]
+    df = spark.createDataFrame([("保安街47-1號3樓",), ("陽明路１段４８巷９號１樓",), ("台北 路5號(後棟)",), (None,), ("中山路1-2-3號",), ("中山路12段3－4–5號之6",), ("3段5號",), ("文山區　中正道7段 8號",)], "a string")
+    assert [r.x for r in df.select(scalars.normalize_address(F.col("a")).alias("x")).collect()] == ["保安街47之1號", "陽明路一段48巷9號", "臺北路5號", "", "中山路1之2之3號", "中山路12段3之4之5號", "3段5號", "文山區中正道七段8號"]
+
+
+def test_digest_tree(spark):
+    """Pieces of pieces: the digest depends on all rows and their order, not on how they lie."""
+    rows = spark.createDataFrame([(i, f"row {i}") for i in range(50)], "k long, v string")
+    sha = lambda parts: hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    leaves = [sha(f"row {i}" for i in range(a, min(a + 4, 50))) for a in range(0, 50, 4)]
+    want = sha([sha(leaves[a : a + 4]) for a in range(0, len(leaves), 4)])
+    tree = lambda df: scalars.digest_tree(df, [], "k", "v", levels=1, fan=4).first()
+    assert tree(rows).digest == want == tree(rows.repartition(7)).digest and tree(rows).n_rows == 50
+    assert tree(rows.where("k <> 17")).digest != want
 
 
 def test_digests(spark):
