@@ -5,8 +5,11 @@ has a piece without error wherever it occurs, so an Aho-Corasick pass finds ever
 at, and Myers' bit-parallel distance verifies the window around it.  Verification climbs a
 binary tree over the pieces: of n neighbouring pieces with fewer than n errors, one half has
 fewer errors than pieces too, so from a piece without error each larger part must have fewer
-errors than pieces, and chance hits end at the first small part.  Documents are streamed where
-they lie; only the items move, in blocks whose size is checked before they are broadcast.
+errors than pieces, and chance hits end at the first small part.  Short items, which chance would
+find with errors, are looked for exactly and as whole words.
+
+Documents are streamed where they lie; only the items move, in blocks whose size is checked
+before they are broadcast, one block at a time.
 """
 
 from __future__ import annotations
@@ -14,20 +17,21 @@ from __future__ import annotations
 import re
 import uuid
 from collections import defaultdict
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotally.llm.common import held
+from geotally.llm.common import held, written
 
 #: Errors allowed per character of the item.
 ERROR_RATE = 0.10
-#: Shorter items (normalised) would be found in clean text by chance.
+#: Shorter items (normalised) would be found in clean text by chance: they must be exact, whole words.
 MIN_ITEM_CHARS = 32
 #: Items of a block, in characters: what is broadcast at once.
 BLOCK_CHARS = 4_000_000
+#: Masks and parts that a worker keeps, in items or pieces.
+KEPT = 20_000
 
 LEAKS = "array<struct<item_id:long,distance:int,start:int,end:int>>"
 
@@ -106,15 +110,17 @@ def myers(places: dict[str, int], size: int, text: str, *, anchored: bool = Fals
 class Finder:
     """The pieces of a block of items, ready to search texts."""
 
-    def __init__(self, items: list[tuple[int | None, str]], rate: float) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int = 0) -> None:
         import ahocorasick
 
-        self.items = [(i, t, budget(len(t), rate), masks(t), masks(t[::-1])) for i, t in items]
+        self.min_chars = min_chars
+        self.items = [(i, t, budget(len(t), rate) if len(t) >= min_chars else 0) for i, t in items]
         where: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
-        for n, (_, text, errors, _, _) in enumerate(self.items):
+        for n, (_, text, errors) in enumerate(self.items):
             for k, (at, piece) in enumerate(pieces(text, errors)):
                 where[piece].append((n, k, at))
         self.parts: dict[tuple[int, int], tuple] = {}  # made when first needed
+        self.made: dict[int, tuple[dict, dict]] = {}
         self.machine = ahocorasick.Automaton()
         for piece, hits in where.items():
             self.machine.add_word(piece, (len(piece), hits))
@@ -127,7 +133,9 @@ class Finder:
         errors, cuts of which one must be there), then the parts but the whole (start, length,
         masks, errors)."""
         if (n, k) not in self.parts:
-            _, text, errors, _, _ = self.items[n]
+            if len(self.parts) >= KEPT:
+                self.parts.clear()
+            _, text, errors = self.items[n]
             starts = [at for at, _ in pieces(text, errors)] + [len(text)]
             above = climb(errors + 1)[k]
             own = [(starts[a], starts[b] - starts[a], masks(text[starts[a] : starts[b]]), b - a - 1) for a, b in above]
@@ -139,6 +147,15 @@ class Finder:
             self.parts[n, k] = (beside, own[:-1])
         return self.parts[n, k]
 
+    def _masks(self, n: int) -> tuple[dict, dict]:
+        """Masks of item n and of its reverse."""
+        if n not in self.made:
+            if len(self.made) >= KEPT:
+                self.made.clear()
+            text = self.items[n][1]
+            self.made[n] = masks(text), masks(text[::-1])
+        return self.made[n]
+
     def _may_be(self, clean: str, n: int, k: int, start: int) -> bool:
         """Whether all parts above a piece are near enough where the item would start at ``start``."""
         (at, size, errors, cuts), parts = self._parts(n, k)
@@ -162,14 +179,18 @@ class Finder:
                 hits_at[n].setdefault(last + 1 - size - at, set()).add(k)
         found = []
         for n in sorted(hits_at):
-            item, pattern, errors, places, reverse = self.items[n]
+            item, pattern, errors = self.items[n]
             size = len(pattern)
+            whole_words = size < self.min_chars
             best = None
             for a in sorted(hits_at[n]):
                 if a >= 0 and clean.startswith(pattern, a):
+                    if whole_words and (clean[a - 1 : a].strip() or clean[a + size : a + size + 1].strip()):
+                        continue
                     best = (0, a, a + size)
                     break
-            if best is None:
+            if best is None and not whole_words:
+                places, reverse = self._masks(n)
                 starts = [a for a in sorted(hits_at[n]) if any(self._may_be(clean, n, k, a) for k in hits_at[n][a])]
                 for a, b in self._windows(starts, size, errors):
                     a = max(a, 0)
@@ -203,26 +224,16 @@ def item_blocks(
     return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b) for b in range(n)]
 
 
-def _search(shared, rate: float):
-    """The search for one broadcast block of items, as a function of a text column."""
-    name = uuid.uuid4().hex
+def _search(items: list, docs: DataFrame, rate: float, min_chars: int):
+    """The search for one block of items, as a function of a text column, and what was broadcast."""
+    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(items)
 
     @F.pandas_udf(LEAKS)
     def leaks(text: pd.Series) -> pd.Series:
-        found = held(name, lambda: Finder(shared.value, rate))
+        found = held(name, lambda: Finder(shared.value, rate, min_chars))
         return pd.Series([found.leaks(t) for t in text], dtype=object)
 
-    return leaks.asNondeterministic()  # else the optimiser may run it once for each use
-
-
-def leak_columns(docs: DataFrame, benchmark: DataFrame, *, rate: float = ERROR_RATE, min_chars: int = MIN_ITEM_CHARS, block_chars: int = BLOCK_CHARS) -> list[Callable]:
-    """A function of a text column for each block of items, giving its ``LEAKS``."""
-    made = []
-    for block in item_blocks(benchmark, block_chars=block_chars):
-        items = sorted((r.item_id if r.item_id is not None else -(2**63), r.item_id, t) for r in block.toLocalIterator() if len(t := normalise(r.text)) >= min_chars)
-        shared = docs.sparkSession.sparkContext.broadcast([x[1:] for x in items])
-        made.append(_search(shared, rate))
-    return made
+    return leaks.asNondeterministic(), shared  # else the optimiser may run it once for each use
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", rate: float = ERROR_RATE, min_chars: int = MIN_ITEM_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -230,17 +241,33 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
 
     A leak has the item's id, its edit distance (both texts normalised, so that case, white
     space and punctuation don't count; at most ``rate`` errors a character) and the place in
-    the normalised text.
+    the normalised text.  Items shorter than ``min_chars`` are found exactly, where they begin
+    and end with whole words.
     Of several places of one item the closest counts, then the first looked at.  A null or
-    empty text has none.  Items that are null or shorter than ``min_chars`` are not looked for;
-    items with a null id or with equal texts are reported like any other.  Repeated rows stay
-    repeated; an empty table on either side is no error; a column named ``leaks`` is replaced.
+    empty text has none; very long texts are searched whole.  Items that are null or have no
+    letter, digit or underscore are not looked for; items with a null id or with equal texts
+    are reported like any other.  Repeated rows stay repeated; an empty table on either side is
+    no error; a column named ``leaks`` is replaced.
+
+    A worker holds one block of items.  A benchmark of several blocks is searched block by
+    block, and the rows are written in between.
     """
-    columns = leak_columns(docs, benchmark, rate=rate, min_chars=min_chars, block_chars=block_chars)
-    found = [f(F.col(text_col)) for f in columns]
-    return docs.withColumn("leaks", F.concat(*found) if len(found) > 1 else found[0])
+    blocks = item_blocks(benchmark, block_chars=block_chars)
+    for n, block in enumerate(blocks):
+        items = sorted((r.item_id if r.item_id is not None else -(2**63), r.item_id, t) for r in block.toLocalIterator() if (t := normalise(r.text)))
+        search, shared = _search([x[1:] for x in items], docs, rate, min_chars)
+        found = search(F.col(text_col))
+        docs = docs.withColumn("leaks", F.concat("leaks", found) if n else found)
+        if n < len(blocks) - 1:
+            docs = written(docs, "leaks")
+            shared.unpersist()
+    return docs
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` without a leak, with their columns (see ``with_leaks``)."""
-    return with_leaks(docs, benchmark, **options).where(F.size("leaks") == 0).select(*docs.columns)
+    columns = [F.col(c) for c in docs.columns]
+    if "leaks" not in docs.columns:
+        return with_leaks(docs, benchmark, **options).where(F.size("leaks") == 0).select(*columns)
+    own = docs.select(F.struct(*columns).alias("row"), F.col(options.pop("text_col", "text")).alias("text"))
+    return with_leaks(own, benchmark, **options).where(F.size("leaks") == 0).select("row.*")
