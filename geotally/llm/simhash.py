@@ -7,6 +7,10 @@ distinct fingerprint is indexed under its 64 variants (22 + 21 + 21), equal vari
 joined, and the join's condition verifies the distance and lets a pair through at its first
 common variant only.  Copies are one fingerprint before anything is joined.
 
+A key has 20 or 21 free bits, so n distinct fingerprints make about n * n / 65,000 chance
+candidates (64 keys each, the join's condition ends them): 10^11 at 10^8 fingerprints.
+Beyond that the join, not the text, is what costs.
+
 ``similar_components`` is for near copies by exact Jaccard similarity: four segments, whose
 variants find every pair within seven bits and many beyond, and least hashes of the shingle
 sets propose pairs; only pairs whose sets are similar enough become links.
@@ -31,6 +35,8 @@ MAX_DISTANCE = 5
 #: The segments of ``similar_components``, and the largest distance of pairs that are compared.
 WIDE_SEGMENTS = ((0, 16), (16, 16), (32, 16), (48, 16))
 WIDE_DISTANCE = 13
+#: Fingerprints that one task makes variants of.
+TASK_ROWS = 16_384
 #: Odd factors; the least product of a set's hashes with one of them (modulo 2^64) is a key.
 FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
@@ -92,7 +98,9 @@ def _pairs(rows: DataFrame, max_distance: int, segments, also) -> DataFrame:
         for k, (_, width) in enumerate(segments)
         for i in range(width)
     ]
-    keys = rows.select(*rows.columns, F.inline(F.array(*variants)))
+    # One row becomes as many as the fingerprint has bits: many tasks, whatever the table lies in.
+    dealt = rows.repartition(rows.count() // TASK_ROWS + 1, "fp")
+    keys = dealt.select(*rows.columns, F.inline(F.array(*variants)))
     one, two = (keys.withColumnsRenamed({c: f"{side}_{c}" for c in keys.columns}) for side in "ab")
     differ = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
     # The segment of a variant, from its number; the wiped bit is the rest of the number.
@@ -242,6 +250,8 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 def _kept(docs: DataFrame, found: DataFrame, options: dict) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    return named.dropDuplicates([id_col, text_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    # The document's own columns travel as one, so that none clashes with the names used here.
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("version"))
+    named = own.where("id IS NOT NULL").join(kept, F.col("id") == F.col("kept"), "left_semi")
+    return named.dropDuplicates(["id", "version"]).select("row.*").unionByName(own.where("id IS NULL").select("row.*"))
