@@ -20,26 +20,30 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotally.llm.common import held
 
 MARK = "▁"
-#: Longer runs of letters are cut.
+#: Words up to this length are worked on together and kept in tables; longer ones one by one.
 MAX_LETTERS = 32
 #: More languages than this are an error: the model is collected and broadcast.
 MAX_LANGUAGES = 64
 #: Fixed-point unit of expected counts.
 UNIT = 1 << 16
 UNKNOWN = "und"
-_WORDS = re.compile(r"[^\W\d_]{1,%d}" % MAX_LETTERS)
+_WORDS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters in lower case (at most MAX_LETTERS long)."""
-    return _WORDS.findall(text.lower()) if text else []
+    """Runs of letters in lower case."""
+    found = _WORDS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    # Numbers other than decimal digits (a half, a circled one) are no letters.
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def _codes(batch: list[str]) -> np.ndarray:
@@ -59,7 +63,7 @@ class Vocabulary:
             piece = processor.id_to_piece(i)
             letters = piece.removeprefix(MARK).lower()
             plain = not (processor.is_control(i) or processor.is_unknown(i) or processor.is_byte(i))
-            if plain and (letters.isalpha() or piece == MARK) and len(piece) <= MAX_LETTERS + 1:
+            if plain and (letters.isalpha() or piece == MARK):
                 kept.append(MARK * piece.startswith(MARK) + letters)
         self.pieces = sorted(set(kept))
         self.size = len(self.pieces)
@@ -75,14 +79,13 @@ class Vocabulary:
             seen = np.zeros(1 << 16, bool)
             seen[(keys >> np.uint64(48)).astype(np.int64)] = True
             self.tables[length] = (keys[order], np.array(ids, np.int64)[order], seen)
+        self.longest = max(by_length)
 
-    def arcs(self, batch: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(start, end, words, pieces) of all pieces in words of one length, by rising end."""
-        codes = _codes(batch)
+    def _matches(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Length, words, starts and numbers of all pieces in words of one length, by rising length."""
         n, width = codes.shape
-        out, hashes = [], np.zeros((n, width), np.uint64)
-        found: dict[int, list] = {}
-        for length in range(1, width + 1):
+        hashes = np.zeros((n, width), np.uint64)
+        for length in range(1, min(width, self.longest) + 1):
             # hashes[:, j]: of the letters j .. j + length - 1
             hashes = (hashes[:, : width - length + 1] + codes[:, length - 1 :]) * _BASE
             if length not in self.tables:
@@ -92,7 +95,27 @@ class Vocabulary:
             h = hashes[at, start]
             place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[place] == h
-            at, start, piece = at[hit], start[hit], ids[place[hit]]
+            yield length, at[hit], start[hit], ids[place[hit]]
+
+    def lattice(self, word: str) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each end in one word: the starts and the numbers of the pieces that end there."""
+        codes = _codes([word])
+        width = codes.shape[1]
+        parts = [(start + length, start, piece) for length, _, start, piece in self._matches(codes)]
+        end, start, piece = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+        single = np.setdiff1d(np.arange(1, width + 1), end[end - start == 1])
+        end, start, piece = np.concatenate([end, single]), np.concatenate([start, single - 1]), np.concatenate([piece, np.full(len(single), self.size)])
+        order = np.lexsort((start, end))
+        cuts = np.searchsorted(end[order], np.arange(1, width + 2))
+        return [(start[order[a:b]], piece[order[a:b]]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def arcs(self, batch: list[str]) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, words, pieces) of all pieces in words of one length, by rising end."""
+        codes = _codes(batch)
+        n, width = codes.shape
+        out = []
+        found: dict[int, list] = {}
+        for length, at, start, piece in self._matches(codes):
             for s in range(width - length + 1):
                 own = start == s
                 if own.any():
@@ -139,6 +162,31 @@ def log_scores(vocabulary: Vocabulary, batch: list[str], probability: np.ndarray
     return np.log(forward[width])
 
 
+def long_counts(vocabulary: Vocabulary, word: str, times: float) -> np.ndarray:
+    """``expected_counts`` of one word of any length, in logarithms."""
+    ends, p = vocabulary.lattice(word), -np.log(vocabulary.size)
+    forward = np.zeros(len(ends) + 1)
+    for e, (starts, _) in enumerate(ends, 1):
+        forward[e] = np.logaddexp.reduce(forward[starts] + p)
+    backward = np.full(len(ends) + 1, -np.inf)
+    backward[-1] = 0.0
+    total = np.zeros(vocabulary.size + 1)
+    for e in range(len(ends), 0, -1):
+        starts, pieces = ends[e - 1]
+        backward[starts] = np.logaddexp(backward[starts], backward[e] + p)
+        np.add.at(total, pieces, times * np.exp(forward[starts] + p + backward[e] - forward[-1]))
+    return total
+
+
+def long_score(vocabulary: Vocabulary, word: str, log_probability: np.ndarray) -> np.ndarray:
+    """``log_scores`` of one word of any length, in logarithms."""
+    ends = vocabulary.lattice(word)
+    forward = np.zeros((len(ends) + 1, log_probability.shape[1]))
+    for e, (starts, pieces) in enumerate(ends, 1):
+        forward[e] = np.logaddexp.reduce(forward[starts] + log_probability[pieces], axis=0)
+    return forward[-1]
+
+
 def by_length(found, block: int = 20_000) -> Iterator[list[str]]:
     """Words in blocks of one length."""
     groups: dict[int, list[str]] = {}
@@ -177,6 +225,8 @@ def piece_counts(docs: DataFrame, model_path: str, *, text_col: str = "text", la
                 counts.setdefault(lang, Counter()).update(words(text.as_py()))
             for lang, seen in counts.items():
                 total = held.setdefault(lang, np.zeros(v.size + 1, np.int64))
+                for w in [w for w in seen if len(w) > MAX_LETTERS]:
+                    total += np.rint(long_counts(v, w, seen.pop(w)) * UNIT).astype(np.int64)
                 for block in by_length(seen):
                     times = np.array([seen[w] for w in block], np.float64)
                     total += np.rint(expected_counts(v, block, times) * UNIT).astype(np.int64)
@@ -222,6 +272,7 @@ class Scorer:
         self.most = min(300_000, table_bytes // (8 * max(1, len(model["langs"]))))
         self.seen: dict[str, int] = {}
         self.table = np.zeros((self.most, len(model["langs"])))
+        self.log_probability = np.log(model["probability"])
 
     def _learn(self, fresh: list[str]) -> None:
         if len(self.seen) + len(fresh) > self.most:
@@ -256,6 +307,11 @@ class Scorer:
         for n, text in enumerate(texts):
             own = words(text)
             has[n] = bool(own)
+            if own and len(max(own, key=len)) > MAX_LETTERS:
+                for w in own:
+                    if len(w) > MAX_LETTERS:
+                        totals[n] += long_score(self.vocabulary, w, self.log_probability)
+                own = [w for w in own if len(w) <= MAX_LETTERS]
             for i in range(0, len(own), slice_words):
                 part = own[i : i + slice_words]
                 held.extend(part)
@@ -294,5 +350,6 @@ def identify(docs: DataFrame, training: DataFrame, model_path: str, *, text_col:
     empty tables are no error; columns of these two names are replaced.
     """
     predict = predictor(docs, train(training, model_path, text_col=text_col, lang_col=lang_col), model_path)
-    found: Column = predict(F.col(text_col))
-    return docs.withColumn("__found", found).withColumns({"lang_pred": F.col("__found.lang"), "lang_score": F.col("__found.score")}).drop("__found")
+    columns = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    own = docs.select(F.struct(*columns).alias("row"), predict(F.col(text_col)).alias("found"))
+    return own.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("lang_score"))
