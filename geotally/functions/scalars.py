@@ -38,6 +38,22 @@ def digest_tree(rows: DataFrame, keys: list[str], order: str, text: str, *, leve
     return now.groupBy(*keys).agg(F.sum("n").alias(n), table_digest(F.col("at"), F.col("digest")).alias("digest"))
 
 
+def canonical_json(**fields: Column) -> Column:
+    """Compact JSON of a row: fields by name, nulls kept, other letters than ASCII as they are."""
+    return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
+
+
+def json_digest(**fields: Column) -> Column:
+    """SHA-256 of a row's canonical JSON."""
+    return F.sha2(canonical_json(**fields), 256)
+
+
+def length_mismatch(reported: Column, measured: Column) -> Column:
+    """Whether a reported length is under 0.9 or over 1.1 of the measured one; null without either."""
+    ratio = F.when(measured > 0, reported / measured)
+    return (ratio < 0.9) | (ratio > 1.1)
+
+
 def fixed_decimal(x: Column, scale: int) -> Column:
     """Decimal text with a fixed number of places, half to even, without a negative zero."""
     d = F.bround(x.cast(f"decimal(38,{min(scale + 6, 30)})"), scale).cast(f"decimal({min(38, scale + 12)},{scale})")
@@ -114,7 +130,3 @@ def normalize_address(x: Column) -> Column:
 def phase_group(layer: Column, status: Column, prefix: str, complete: list[str], approved: list[str]) -> Column:
     """Taxonomy of a record's phase by its layer's prefix and its status."""
     return F.when(~F.coalesce(layer.startswith(prefix), F.lit(False)), "OUT_OF_SCOPE").when(status.isin(complete), "COMPLETED").when(status.isin(approved), "APPROVED_NON_COMPLETE").otherwise("OTHER")
-
-
-def page_token(last: Column) -> Column:
-    return F.base64(F.to_json(F.struct(last.cast("string").alias("after"))).cast("binary"))

@@ -44,3 +44,46 @@ def freeze(df: DataFrame, release: str, manifest: dict[str, str]) -> tuple[DataF
 def frozen_only(manifest: DataFrame, release: str) -> None:
     """Outcomes may be read only once a release is frozen, by exactly one manifest row."""
     gate(manifest.where((F.col("release") == release) & (F.col("state") == "FROZEN")).agg((F.count("*") == 1).alias("holds")), f"release {release} is not frozen")
+
+
+def lock(df: DataFrame, variant: str, chosen: list[str], release: str) -> tuple[DataFrame, DataFrame]:
+    """The chosen variants under a release name, and its one-row manifest; a variant that the table
+    lacks raises."""
+    rows = df.where(F.col(variant).isin(chosen))
+    gate(rows.agg((F.countDistinct(variant) == len(set(chosen))).alias("holds")), f"not all of {sorted(chosen)} are there to be locked")
+    return freeze(rows, release, {"variants": ",".join(sorted(chosen))})
+
+
+def open_receipts(receipts: DataFrame) -> DataFrame:
+    """Receipts that may be served: for internal simulation, without trusted evidence, prohibited
+    for operation and released for nothing."""
+    return receipts.where(
+        (F.col("use_state") == "INTERNAL_SIMULATION_ONLY") & (F.col("evidence_state") == "NO_TRUSTED_RESULT") & (F.col("operational_use") == "PROHIBITED")
+        & ~F.coalesce("public_release_ready", F.lit(False)) & ~F.coalesce("operational_use_ready", F.lit(False))
+    )
+
+
+def served(receipts: DataFrame, maps: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of maps and states with equal keys, of runs whose receipt may be served."""
+    runs = open_receipts(receipts).select("run_id").distinct()
+    return maps.join(runs, "run_id", "left_semi").join(states, keys)
+
+
+def first_of_each(requests: DataFrame, keys: list[str], order: str, *, name: str) -> DataFrame:
+    """One row for each key: its first request (``name``), how many there were, and how many got
+    what was there already."""
+    return requests.groupBy(*keys).agg(F.min(order).alias(name), F.count("*").alias("n_requests"), (F.count("*") - 1).alias("n_replayed"))
+
+
+def one_value_set(records: DataFrame, columns: list[str]) -> DataFrame:
+    """The records with ``n_values``, how many of the typed columns are set."""
+    total = F.lit(0)
+    for c in columns:
+        total = total + F.col(c).isNotNull().cast("int")
+    return records.withColumn("n_values", total)
+
+
+def same_values(df: DataFrame, column: str, expected: list) -> DataFrame:
+    """One boolean: whether a column has exactly the expected values (distinct values by partial sums)."""
+    found = df.where(F.col(column).isNotNull()).select(F.col(column).alias("v")).distinct()
+    return found.agg(((F.count("*") == len(set(expected))) & (F.count_if(F.col("v").isin(list(expected))) == F.count("*"))).alias("holds"))

@@ -38,14 +38,25 @@ def box_distance_m(lon: Column, lat: Column, west: Column, south: Column, east:
 def points_near_boxes(points: DataFrame, boxes: DataFrame, metres: float, size: float, *, lon: str = "lon", lat: str = "lat") -> DataFrame:
     """Pairs of a point and a box no further than ``metres`` apart, with ``metres_apart``.
 
-    The margin in degrees covers the distance at latitudes up to 60 degrees.
+    A box is looked for at its latitudes, with a margin in longitude that grows towards the poles
+    (all longitudes where a pole is within reach), and across 180 degrees.
     """
-    margin = metres / 111_000.0 * 2
+    tall = metres / 111_000.0
+    outermost = F.greatest(F.abs("south"), F.abs("north")) + tall
+    wide = F.when(outermost < 89.9, tall / F.cos(F.radians(outermost))).otherwise(360.0)
+    turned = boxes.withColumn("__turn", F.explode(F.array(*map(F.lit, (-360.0, 0.0, 360.0)))))
+    west, east = F.col("west") + F.col("__turn"), F.col("east") + F.col("__turn")
+    low, high = F.greatest(west - wide, F.lit(-180.0)), F.least(east + wide, F.lit(180.0))
+    placed = turned.withColumns({"__w": west, "__e": east, "__low": low, "__high": high}).where("__low <= __high")
+    across = placed.withColumn("__x", F.explode(_tiles(F.col("__low"), F.col("__high"), size)))
+    other = across.withColumn("__y", F.explode(_tiles(F.col("south") - tall, F.col("north") + tall, size)))
     tiled = points.withColumns({"tile_x": F.floor(F.col(lon) / size), "tile_y": F.floor(F.col(lat) / size)})
-    other = boxes_by_tile(boxes, size, margin).withColumnsRenamed({"tile_x": "__x", "tile_y": "__y"})
-    apart = box_distance_m(F.col(lon), F.col(lat), F.col("west"), F.col("south"), F.col("east"), F.col("north"))
+    apart = box_distance_m(F.col(lon), F.col(lat), F.col("__w"), F.col("south"), F.col("__e"), F.col("north"))
     joined = tiled.join(other, (F.col("tile_x") == F.col("__x")) & (F.col("tile_y") == F.col("__y")) & (apart <= metres))
-    return joined.withColumn("metres_apart", apart).drop("tile_x", "tile_y", "__x", "__y")
+    # A box is reached the shorter way round, the others don't count.
+    gap = lambda turn: F.greatest(F.col("west") + turn - F.col(lon), F.col(lon) - F.col("east") - turn, F.lit(0.0))
+    shorter = F.array_min(F.array(*[F.struct(gap(F.lit(x)).alias("gap"), F.lit(x).alias("turn")) for x in (-360.0, 0.0, 360.0)]))["turn"]
+    return joined.where(F.col("__turn") == shorter).withColumn("metres_apart", apart).drop("tile_x", "tile_y", "__x", "__y", "__w", "__e", "__low", "__high", "__turn")
 
 
 def nearest_of_few(points: DataFrame, centres: DataFrame, *, key: str, lon: str = "lon", lat: str = "lat") -> DataFrame:

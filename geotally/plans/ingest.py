@@ -138,6 +138,16 @@ def unicode_form(t: Tables) -> DataFrame:
     return composed.withColumn("n", F.length("composed").cast("long"))
 
 
+@query("SELECT p_partkey, upper(p_name) || ' No ' || p_size AS plain, length(p_name)::BIGINT AS n FROM part")
+def compatibility_form(t: Tables) -> DataFrame:
+    """Compatibility characters (full-width letters and digits, a numero sign, an ideographic space)
+    come back as plain ones."""
+    ascii_ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
+    wide = "".join(chr(ord(c) + 0xFEE0) if c != " " else chr(0x3000) for c in ascii_)
+    text = F.concat(F.translate(F.upper("p_name"), ascii_, wide), F.lit("\u3000\u2116\u3000"), F.translate(F.col("p_size").cast("string"), ascii_, wide))
+    return t.part.select("p_partkey", scalars.nfkc(text).alias("plain"), F.length("p_name").cast("long").alias("n"))
+
+
 @query("SELECT p_brand, p_type, count(*) AS n, count(DISTINCT p_size) AS n_sizes, count(*) FILTER (WHERE p_size > 25) AS n_large, sum(CASE WHEN p_size > 25 THEN p_size ELSE 0 END)::BIGINT AS size_large FROM part GROUP BY 1, 2")
 def conditional_counts(t: Tables) -> DataFrame:
     """Conditional counts and sums."""

@@ -369,7 +369,7 @@ RUN_ID = hashlib.sha256("\u001f".join(["links", "transitions", "walk", *[s[0] fo
 ) SELECT *, sha256(concat_ws(chr(31), '{RUN_ID}', kind, scenario)) AS record_id FROM rows""")
 def quality_registry_eav(t: Tables) -> DataFrame:
     """Typed audit records, one value column set in each."""
-    m = matrix(t)
+    m = cut(matrix(t))
     sums = m.groupBy("scenario", "from_cell").agg(F.sum("share").cast("double").alias("s"))
     none = {"number_value": F.lit(None).cast("long"), "decimal_value": F.lit(None).cast("double"), "flag_value": F.lit(None).cast("boolean"), "text_value": F.lit(None).cast("string")}
 
@@ -386,10 +386,25 @@ def quality_registry_eav(t: Tables) -> DataFrame:
     return out.withColumn("record_id", F.sha2(F.concat_ws("\u001f", F.lit(RUN_ID), "kind", "scenario"), 256))
 
 
-@query(f"WITH {SQL_WALK} SELECT scenario, cell_id, round(mass, 6) AS mass FROM walk WHERE step = {STEPS}")
+@query(f"WITH {SQL_WALK} SELECT scenario, step, cell_id, round(mass, 6) AS mass, 24::BIGINT AS places, true AS same FROM walk")
 def serving_states(t: Tables) -> DataFrame:
-    """States as they are served: fixed decimals (compared as numbers)."""
-    return walk(t).where(F.col("step") == STEPS).select("scenario", "cell_id", F.round(fixed_decimal(F.col("mass"), 24).cast("double"), 6).alias("mass"))
+    """States of every step as they are served, as text with 24 places: read again, it is the state."""
+    shown = walk(t).select("scenario", "step", "cell_id", "mass", fixed_decimal(F.col("mass"), 24).alias("text"))
+    places = F.length(F.substring_index("text", ".", -1)).cast("long")
+    return shown.select("scenario", "step", "cell_id", F.round(F.col("text").cast("double"), 6).alias("mass"), places.alias("places"), (F.col("text").cast("decimal(38,24)") == F.col("mass")).alias("same"))
+
+
+@query(f"""WITH {SQL_MATRIX} SELECT buckets.scenario, l.from_cell, l.to_cell, l.n_sources, round(coalesce(a.share, 0), 9) AS share_out, round(coalesce(b.share, 0), 9) AS share_back FROM cell_links l CROSS JOIN buckets
+LEFT JOIN matrix a ON a.scenario = buckets.scenario AND a.from_cell = l.from_cell AND a.to_cell = l.to_cell LEFT JOIN matrix b ON b.scenario = buckets.scenario AND b.from_cell = l.to_cell AND b.to_cell = l.from_cell""")
+def scenario_links(t: Tables) -> DataFrame:
+    """Links with the shares that each scenario sends along them, both ways."""
+    links = cut(cell_links(t).select("from_cell", "to_cell", "n_sources"))
+    shares = cut(matrix(t).where("from_cell <> to_cell").select("scenario", "from_cell", "to_cell", F.col("share").cast("double").alias("share")))
+    back = shares.select("scenario", F.col("from_cell").alias("to_cell"), F.col("to_cell").alias("from_cell"), F.col("share").alias("back"))
+    keys = ["scenario", "from_cell", "to_cell"]
+    wide = links.crossJoin(F.broadcast(scenario_table(t).select("scenario"))).join(shares, keys, "left").join(back, keys, "left")  # three scenarios
+    zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 9)
+    return wide.select(*keys, "n_sources", zero("share").alias("share_out"), zero("back").alias("share_back"))
 
 
 @query(f"WITH {SQL_WEIGHTED}, {SQL_GENERIC}, a AS (SELECT from_cell, to_cell FROM cell_links), b AS (SELECT from_cell, to_cell FROM generic) SELECT 'LINKS_ONLY' AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'GENERIC_ONLY', * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
@@ -402,9 +417,11 @@ def edge_set_difference(t: Tables) -> DataFrame:
 @query(f"""WITH {SQL_WEIGHTED}, n AS (SELECT (SELECT count(*) FROM classified) AS n_sources, (SELECT count(*) FROM source_links) AS n_source_links, (SELECT count(*) FROM cell_links) AS n_links)
 SELECT '{RUN_ID}' AS run_id, n_sources, n_source_links, n_links, sha256(concat_ws(chr(31), '{RUN_ID}', n_sources, n_source_links, n_links)) AS receipt FROM n""")
 def run_receipt(t: Tables) -> DataFrame:
-    """One row: the run's identity, the sizes of its artifacts and their hash."""
+    """One row: a run's name, the sizes of its artifacts and their hash (``run_identity_hashes`` has the
+    identity from the artifacts' contents)."""
+    sources = cut(source_links(t))
     n = (
         classified(t).agg(F.count("*").alias("n_sources"))
-        .crossJoin(source_links(t).agg(F.count("*").alias("n_source_links"))).crossJoin(cell_links(t).agg(F.count("*").alias("n_links")))
+        .crossJoin(sources.agg(F.count("*").alias("n_source_links"))).crossJoin(sources.select("from_cell", "to_cell").distinct().agg(F.count("*").alias("n_links")))
     )
     return n.select(F.lit(RUN_ID).alias("run_id"), "n_sources", "n_source_links", "n_links", F.sha2(F.concat_ws("\u001f", F.lit(RUN_ID), "n_sources", "n_source_links", "n_links"), 256).alias("receipt"))

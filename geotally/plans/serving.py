@@ -62,6 +62,26 @@ def bbox_filter(t: Tables) -> DataFrame:
     return t.points().where(box_overlaps(lon - 0.001, lat - 0.001, lon + 0.001, lat + 0.001, parse_box(BOX))).select("point_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
+@query(f"WITH {SQL_BOXES} SELECT point_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM boxes WHERE point_id > 1000 AND lon - 0.001 <= 121.6 AND lon + 0.001 >= 121.5 AND lat - 0.001 <= 25.1 AND lat + 0.001 >= 25.02 ORDER BY point_id LIMIT 501")
+def bbox_page(t: Tables) -> DataFrame:
+    """A page of the cells in a box (a report): after a token's key, in key order, one more than the page."""
+    token = encode_token(1000)
+    return bbox_filter(t).where(F.col("point_id") > decode_token(token)).orderBy("point_id").limit(clamp(None) + 1)
+
+
+def bootstrap(cells: DataFrame, release: str) -> dict:
+    """What a map begins with: its release and whether cells can be read, limits and capabilities."""
+    return {"release": release, "ready": readable(cells), "default_limit": DEFAULT_LIMIT, "max_limit": MOST, "capabilities": capabilities()}
+
+
+def current_release(manifests: DataFrame) -> dict | None:
+    """The one frozen release, or none; more than one is an error."""
+    rows = manifests.where("state = 'FROZEN'").limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError("more than one release is frozen")
+    return rows[0].asDict() if rows else None
+
+
 @query("SELECT * FROM customer WHERE c_custkey = (SELECT max(c_custkey) FROM customer)")
 def point_lookup(t: Tables) -> DataFrame:
     """One row by its key, the last one's."""
@@ -112,7 +132,9 @@ def _sql_growth() -> str:
 
 @query(_sql_growth())
 def logistic_simulation(t: Tables) -> DataFrame:
-    """Half a year of logistic growth with delayed mortality (0.6 and 0.4 one and two weeks after each bait) and re-immigration."""
+    """A short recurrence over each cell's measured share: 26 steps of logistic growth with two fixed
+    losses every fourth step and a constant gain.  It stands in for the clients' simulation, which
+    is not rebuilt: no other steps, constants or delays of that are claimed."""
     k = F.col("k")
 
     def week(n, w):

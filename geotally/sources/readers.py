@@ -49,3 +49,38 @@ def ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 and size of each file, on the executors."""
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+# What an outcome file calls the outcomes, the states that admit them, and the place.
+OUTCOME, APPROVED, CITY = "鼠蹤", ("已審核", "已通報1999"), "臺北市"
+
+
+def approved_outcomes(rows: DataFrame) -> DataFrame:
+    """``report_id``, ``lat``, ``lon`` and ``reported_at`` of the rows of an outcome file (all text)
+    that have the right type, an admitted state, a place in the city, and a place and time that
+    can be read; the others are left out.
+
+    The id is the hash of the row's canonical JSON, so rows that repeat one another are one report.
+    """
+    from geotally.functions.scalars import finite, json_digest
+
+    kept = rows.where((F.col("類型") == OUTCOME) & F.col("狀態").isin(*APPROVED) & F.col("地點").startswith(CITY))
+    whole = json_digest(**{c: F.col(c) for c in rows.columns})
+    time = F.try_to_timestamp(F.col("通報時間"), F.lit("yyyy-MM-dd HH:mm"))
+    read = kept.select(whole.alias("report_id"), finite(F.col("緯度")).alias("lat"), finite(F.col("經度")).alias("lon"), time.alias("reported_at"))
+    return read.where("lat IS NOT NULL AND lon IS NOT NULL AND reported_at IS NOT NULL").dropDuplicates(["report_id"])
+
+
+def outcomes_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """``approved_outcomes`` of a CSV file with these columns."""
+    return approved_outcomes(csv(spark, path, ", ".join(f"`{c}` string" for c in columns)))
+
+
+def empty_stage(df: DataFrame) -> DataFrame:
+    """No row, with the columns and types of a table."""
+    return df.sparkSession.createDataFrame([], df.schema)
+
+
+def namespace(spark: SparkSession, name: str) -> None:
+    """A database of this name, if there is none."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")

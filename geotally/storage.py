@@ -11,12 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    A session on one machine that names none gets a temporary folder; on a cluster that would be a
+    folder of the driver alone, so it raises.
     """
     context = spark.sparkContext._jsc.sc()
     current = context.getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
-    named = named or tempfile.mkdtemp(prefix="geotally-")
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="geotally-")
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named
