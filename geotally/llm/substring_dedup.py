@@ -11,9 +11,14 @@ spans of the matching statistics.
 The search for windows moves little: a window's anchor (see ``passages.Anchors``) must be
 shared before its windows are looked at, shared anchors whose surroundings are all alike
 stand for all their windows, and only the others are looked up window by window.  Which
-anchors and documents matter is broadcast as bitmaps of a fixed size, which may let too much
-through and never too little.  A reference that very many passages repeat is dealt to several
-shards.
+anchors and documents matter is broadcast as bitmaps, sized by their number up to a bound;
+they may let too much through and never too little.  A reference that very many passages repeat
+is dealt to several shards.
+
+Words, anchors and windows are compared by hashes of 64 bits.  Two different windows have one
+hash with odds of 2^-64: about n * n / 2^65 pairs among n windows, so none is to be expected in
+a corpus of 10^9 words.  Such a pair can only hide a window's true reference (the automaton
+then finds nothing and the words stay); it removes nothing that isn't repeated.
 """
 
 from __future__ import annotations
@@ -28,11 +33,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geotally.llm.bytewords import slices
-from geotally.llm.common import cut
+from geotally.llm.common import cut, written
 from geotally.llm.passages import Anchors, SuffixAutomaton, runs
 
-#: Bits of a broadcast bitmap, as a power of two: 4 MB each, whatever the input.
-BITMAP = 25
+#: Bits of a broadcast bitmap, as powers of two: 32 or more for each hash, from 512 KB to 128 MB.
+#: Beyond 2^26 hashes more and more that isn't shared is let through.
+BITMAP = (22, 30)
+#: Bytes of texts that leave a task at once, about.
+BATCH_BYTES = 4 << 20
 #: Words and number of repeated passages that one shard streams, about.
 SHARD_WORDS, SHARD_PASSAGES = 50_000, 100
 #: Rows of a batch that are Python objects at a time.
@@ -40,20 +48,22 @@ ROWS = 128
 
 
 def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """Bitmap of the upper bits of a column of hashes; at most 2**19 rows are collected."""
-    at = F.shiftrightunsigned(F.col(column), 64 - BITMAP)
+    """Bitmap of the lower bits of a column of hashes (an anchor is a least hash, so its upper bits
+    are nearly always the same).  At most one row for each of its words is collected."""
+    bits = min(max((32 * hashes.count()).bit_length(), BITMAP[0]), BITMAP[1])
+    at = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
     rows = (
         hashes.select(F.shiftright(at, 6).cast("int").alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
         .groupBy("word").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))).alias("bits"))
         .toArrow()
     )
-    out = np.zeros(1 << (BITMAP - 6), np.uint64)
+    out = np.zeros(1 << (bits - 6), np.uint64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 
 def _has(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes.view(np.uint64) >> np.uint64(64 - BITMAP)
+    at = hashes.view(np.uint64) & np.uint64(64 * len(bitmap) - 1)
     return (bitmap[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -153,29 +163,40 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield from batch.slice(i, ROWS).to_pylist()
 
 
-SHARD = "ref_id long, shard int, kind int, doc_id long, version long, start int, text string"
+SHARD = "ref_id long, shard int, shards int, kind int, doc_id long, version long, start int, text string"
 
 
 def _passages(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """Rows of shards: a reference (kind 0) once for each of its shards, and passages (kind 1)."""
+    names = [f.split()[0] for f in SHARD.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]] for f in SHARD.split(", ")]
+
+    def found(row: dict) -> Iterator[tuple]:
+        whole = row["text"].encode().split()
+        if row["shards"]:
+            yield row["doc_id"], 0, row["shards"], 0, None, row["version"], 0, b" ".join(whole).decode()
+        for p in row["parts"] or []:
+            if p["version"] == row["version"]:
+                yield p["ref_id"], p["shard"], 0, 1, row["doc_id"], row["version"], p["start"], b" ".join(whole[p["start"] : p["stop"]]).decode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in SHARD.split(", ")]
-        kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split()[1]] for f in SHARD.split(", ")]
         for batch in batches:
+            out, size = [], 0
             for row in _rows(batch):
-                whole = row["text"].encode().split()
-                out = [[row["doc_id"], s, 0, None, row["version"], 0, b" ".join(whole).decode()] for s in range(row["shards"] or 0)]
-                out += [
-                    [p["ref_id"], p["shard"], 1, row["doc_id"], row["version"], p["start"], b" ".join(whole[p["start"] : p["stop"]]).decode()]
-                    for p in row["parts"] or []
-                    if p["version"] == row["version"]
-                ]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                for part in found(row):
+                    out.append(part)
+                    size += len(part[-1])
+                    if size > BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     joined = texts.join(asked, texts["doc_id"] == asked["of_id"])
-    return joined.select("doc_id", "version", "text", "shards", "parts").mapInArrow(run, SHARD)
+    rows = joined.select("doc_id", "version", "text", "shards", "parts").mapInArrow(run, SHARD)
+    # A reference's copies are made by Spark, row by row, and not held together.
+    shards = F.when(F.col("kind") == 0, F.sequence(F.lit(0), F.col("shards") - 1)).otherwise(F.array("shard"))
+    return rows.select("ref_id", F.explode(shards).alias("shard"), "kind", "doc_id", "version", "start", "text")
 
 
 def _verified(shards: DataFrame, threshold: int) -> DataFrame:
@@ -262,7 +283,7 @@ def remove_repeats(
     shared = context.broadcast(_bitmap(anchors, "anchor"))
     several = context.broadcast(_bitmap(anchors.where("several"), "anchor"))
 
-    windows = _windows(usable, shared, several, window, gram)
+    windows = written(_windows(usable, shared, several, window, gram), "windows")
     first = cut(
         windows.groupBy("key").agg(F.min("doc_id").alias("ref_id"), F.max("doc_id").alias("most"))
         .where("ref_id < most").select(F.col("key").alias("of_key"), "ref_id")
