@@ -131,6 +131,14 @@ def test_simhash(spark):
     assert simhash.near_duplicates(rows(spark, [])).collect() == []
 
 
+def test_simhash_of_odd_rows(spark):
+    long = " ".join(f"w{i * i % 9973}" for i in range(70_000))
+    texts = [(None, long), (5, long), (5, long), (3, long + " end"), (None, "alone here"), (9, "other")]
+    found = simhash.near_duplicates(rows(spark, texts)).collect()
+    assert len(found) == 6 and {int(r.fingerprint, 16) for r in found if r.doc_id == 5} == {print_by_hand(long)}
+    assert sorted(map(str, (r.component_id for r in found))) == ["3", "3", "3", "3", "9", "None"]
+
+
 def test_links_are_complete(spark):
     rng = random.Random(2)
     prints = {rng.getrandbits(64) for _ in range(40)}
@@ -258,7 +266,7 @@ def test_top_k(spark):
     df = spark.createDataFrame([(i, v, 1) for i, v in vectors], "vec_id long, embedding array<double>, shard int")
     q = exact_topk.quantised(df, scale=2)
     assert q.count() == 302
-    found = exact_topk.top_k(q.where("vec_id % 100 = 0 OR vec_id = 304"), q, k=7, query_rows=2, tile_rows=16, fan_in=2).collect()
+    found = exact_topk.top_k(q.where("vec_id % 100 = 0 OR vec_id = 304"), q, k=7, query_rows=2, tile_rows=16, fan_in=2, block_bytes=100).collect()
     usable = [(i, [int(2 * x) for x in v]) for i, v in vectors[:300]]
     for qid in (0, 100, 200):
         want = sorted((-sum(a * b for a, b in zip(usable[qid][1], v, strict=True)), i) for i, v in usable if i != qid)[:7]
@@ -268,6 +276,12 @@ def test_top_k(spark):
     big = spark.createDataFrame([(i, [2.0**29 + i, 1.0]) for i in range(3)], "vec_id long, embedding array<double>")
     got = exact_topk.top_k(*[exact_topk.quantised(big, scale=1)] * 2, k=1).where("query_id = 0").first()
     assert got.score == 2**29 * (2**29 + 2) + 1
+    repeated = spark.createDataFrame([(0, [1.0]), (0, [1.0]), (1, [2.0]), (1, [2.0]), (2, [2.0])], "vec_id long, embedding array<double>")
+    got = exact_topk.top_k(*[exact_topk.quantised(repeated, scale=1)] * 2, k=3).where("query_id = 0").orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(1, 2), (1, 2), (2, 2)]
+    huge = exact_topk.quantised(spark.createDataFrame([(i, [2.0**31]) for i in range(2)], "vec_id long, embedding array<double>"), scale=1)
+    with pytest.raises(Exception, match="don't fit in 64 bits"):
+        exact_topk.top_k(huge, huge).collect()
 
 
 # --- decontamination --------------------------------------------------------------------------
@@ -323,6 +337,23 @@ def test_decontamination(spark):
     assert decontaminate.with_leaks(rows(spark, []), bench).collect() == []
 
 
+def test_short_items_and_several_blocks(spark):
+    """Items under the bound exactly and as whole words; blocks one after the other over many batches."""
+    rng = random.Random(14)
+    items = [(i, prose(rng, 30)) for i in range(12)] + [(100, "What is the capital of France?"), (101, "H2O"), (102, "?!")]
+    texts = [prose(rng, 40) + " " + items[i % 12][1] for i in range(60)] + ["so what is the  capital, of france", "what is the capital of frances", "somewhat is the capital of france", "h2o", "H2O2 is not ch2o", "h2o " * 50_000, "w1 " * 100_000 + items[3][1]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = rows(spark, [*enumerate(texts), (1, texts[1]), (1, texts[1])]).repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = decontaminate.with_leaks(docs, bench, block_chars=600).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {r.doc_id: sorted(x.item_id for x in r.leaks) for r in found}
+    assert len(found) == len(texts) + 2
+    assert [got[i] for i in range(len(texts))] == [[i % 12] for i in range(60)] + [[100], [], [], [101], [], [101], [3]]
+
+
 # --- language ID ------------------------------------------------------------------------------
 
 def all_segmentations(word, p, unknown):
@@ -345,6 +376,28 @@ def test_forward_sums_all_segmentations():
             assert np.allclose(got[:, k], want)
 
 
+def test_long_words_as_short_ones():
+    v = langid.vocabulary(PIECE_MODEL)
+    rng = np.random.default_rng(8)
+    probability = rng.random((v.size + 1, 3)) / 1000
+    for w in ("a", "the", "xqzthe", "donaudampfschifffahrt", "漢字かな", "straßeωω"):
+        assert np.allclose(langid.long_score(v, w, np.log(probability)), langid.log_scores(v, [w], probability)[0])
+        assert np.allclose(langid.long_counts(v, w, 2.5), langid.expected_counts(v, [w], np.array([2.5])))
+    assert np.isfinite(langid.long_score(v, "the漢" * 5000, np.log(probability))).all()
+    assert langid.words("½ ² ① Ⅷ 12 _") == [] and langid.words("x½y é² " + "Z" * 50) == ["x", "y", "é", "z" * 50]
+
+
+def test_language_ties_repeats_and_bounds(spark):
+    same = spark.createDataFrame([("one text", "b"), ("one text", "a")], "text string, lang string")
+    docs = rows(spark, [(1, "one text"), (1, "one text"), (2, "½ ² ①"), (None, "text"), (3, "漢" * 3000)])
+    found = langid.identify(docs, same, PIECE_MODEL).collect()
+    assert sorted((r.doc_id or 0, r.lang_pred) for r in found) == [(0, "a"), (1, "a"), (1, "a"), (2, "und"), (3, "a")]
+    assert found[0].__fields__.count("lang_pred") == 1 and docs.columns == [c for c in found[0].__fields__ if c not in ("lang_pred", "lang_score")] + ["lang_pred"]
+    many = spark.createDataFrame([("text", f"l{i}") for i in range(langid.MAX_LANGUAGES + 1)], "text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(many, PIECE_MODEL)
+
+
 def test_language_id(spark):
     english = ["the house is on the hill and the dog is in it", "this is what they wanted from the other side of the river"]
     german = ["das haus ist auf dem hügel und der hund ist darin", "das ist was sie von der anderen seite des flusses wollten"]
@@ -374,7 +427,7 @@ def test_automaton_finds_what_is_near():
     lexicon = toxicity.Lexicon(terms, {})
     for _ in range(3000):
         w = "".join(rng.choice("abcd") for _ in range(rng.randrange(2, 12)))
-        want = [near_by_hand(w[1:], t[1:]) for t in terms if t[0] == w[0] and near_by_hand(w[1:], t[1:]) <= toxicity.errors_allowed(t)]
+        want = [near_by_hand(w, t) for t in terms if near_by_hand(w, t) <= toxicity.errors_allowed(t)]
         got = lexicon.match(w)
         assert (got is not None) == bool(want) and (not want or got[1] == min(want)), w
     assert toxicity.Lexicon({}, {"abca": 2.0}).match("abcaxyz") == (2.0, 0)
@@ -405,13 +458,13 @@ def test_toxicity(spark):
 def test_first_letters_short_terms_and_long_runs():
     rng = random.Random(10)
     terms = {t: 1.0 for t in ("abcab", "abcabcabc", "abc", "bacca")}
-    lexicon = toxicity.Lexicon(terms, {}, keep_first=False)
+    lexicon = toxicity.Lexicon(terms, {})
     for _ in range(3000):
         w = "".join(rng.choice("abcd") for _ in range(rng.randrange(1, 12)))
         want = [near_by_hand(w, t) for t in terms if near_by_hand(w, t) <= toxicity.errors_allowed(t)]
         got = lexicon.match(w)
         assert (got is not None) == bool(want) and (not want or got[1] == min(want)), w
-    lexicon = toxicity.Lexicon({"stupid": 5.0, "idiot": 5.0, "ass": 5.0, "x" * 45: 5.0}, {}, keep_first=False)
+    lexicon = toxicity.Lexicon({"stupid": 5.0, "idiot": 5.0, "ass": 5.0, "x" * 45: 5.0}, {})
     scorer = toxicity.Scorer(lexicon)
     for word, exact in [("tupid", False), ("xtupid", False), ("ztupid", False), ("$tupid", True), ("1diot", True), ("@ss", True), ("a$s", True), ("ass", True), ("x" * 45, True)]:
         x = scorer.features(f"some {word} here")
@@ -424,6 +477,23 @@ def test_short_and_long_terms_are_learned(spark):
     assert {"w:bad", "w:" + "q" * 50} <= {r.key for r in toxicity.word_counts(table).collect()}
 
 
+def test_many_words_as_one_by_one():
+    rng = random.Random(15)
+    terms = {"".join(rng.choice("abcde") for _ in range(rng.randrange(2, 14))): rng.random() for _ in range(300)} | {"e" * 40: 1.0, "d" * 70: 2.0}
+    words = ["".join(rng.choice("abcdefg") for _ in range(rng.randrange(1, 15))) for _ in range(2000)] + ["e" * 39, "e" * 42, "e" * 43, "d" * 69, "d" * 100, "x" * 5000]
+    lexicon = toxicity.Lexicon(terms, {"abca": 2.0, "ddddd": 0.5}, frozenset(words[:100]))
+    words = list(dict.fromkeys(words))
+    assert lexicon.match_all(words) == {w: hit for w in words if (hit := lexicon.match(w))}
+    assert toxicity.Lexicon({}, {}).match_all(words) == {}
+
+
+def test_very_long_texts_of_toxicity():
+    lexicon = toxicity.Lexicon({"scumbag": 5.0}, {})
+    scorer = toxicity.Scorer(lexicon, most=10)
+    texts = ["fine " * 500_000 + "scumbag", "fine " * 500_000, None, "some sumbag here", "a b c d e f g h i j k l m scumbag"]
+    assert [bool(x[1:].any()) for x in scorer.features_of(texts)] == [True, False, False, True, True]
+
+
 def test_quotation_counts_for_less():
     scorer = toxicity.Scorer(toxicity.Lexicon({"idiot": 5.0}, {}))
     abuse, quotation = scorer.features("you are an idiot and you know it"), scorer.features('he said "idiot" , which the report called a word')
@@ -445,6 +515,14 @@ def test_quality(spark):
     assert quality.classify(rows(spark, []), labels).collect() == []
 
 
+def test_repeated_ids_and_long_texts_of_quality(spark):
+    rng = random.Random(17)
+    texts = [(i, prose(rng, 50) if i % 2 else "!!! " * 50) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, quality int")
+    found = quality.classify(rows(spark, [*texts, (1, texts[1][1]), (77, "plain words here " * 100_000)]), labels).collect()
+    assert len(found) == 42 and len({r.score for r in found if r.doc_id == 1}) == 1
+
+
 def test_discriminant_is_the_density_difference():
     rng = np.random.default_rng(11)
     d = len(quality.STATISTICS)
@@ -501,6 +579,17 @@ def test_substring_dedup(spark, window, gram):
     assert got == repeats_by_hand(texts, window)
 
 
+def test_references_of_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD_PASSAGES", 2)
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 200)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 100)
+    rng = random.Random(16)
+    passage = prose(rng, 120)
+    texts = [(i, prose(rng, 20) + " " + passage + " " + prose(rng, 20)) for i in range(30)] + [(100 + i, prose(rng, 5000) + " " + passage) for i in range(3)]
+    found = substring_dedup.remove_repeats(rows(spark, texts)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256, r.text) for r in found), key=str) == repeats_by_hand(texts, 50)
+
+
 def test_substring_dedup_empty(spark):
     assert substring_dedup.remove_repeats(rows(spark, [])).collect() == []
 

@@ -31,28 +31,152 @@ def test_language_on_held_out_rows(spark):
     assert right >= 0.95 * found.count()
 
 
-@pytest.mark.parametrize(("name", "label"), [("op4_toxicity", "toxic"), ("op7_quality", "quality")])
-def test_classifiers_on_held_out_rows(spark, name, label):
-    sf = SF.replace("0.001", "0.01")
+def auc(rows, label):
+    """Chance that a row of label 1 scores above one of label 0, ties by half."""
+    ones, zeros = [r.score for r in rows if r[label] == 1], [r.score for r in rows if r[label] == 0]
+    return sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / (len(ones) * len(zeros))
+
+
+@pytest.mark.parametrize(("name", "label", "area", "recall", "false_alarms"), [("op4_toxicity", "toxic", 0.95, 0.85, 0.02), ("op7_quality", "quality", 0.95, 0.9, 0.2)])
+def test_classifiers_on_held_out_rows(spark, name, label, area, recall, false_alarms):
+    """Area under the curve, recall and false alarms; no score is learned from a held-out row."""
+    sf = SF.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    found = registry.QUERIES[name](spark, sf).join(labels, "doc_id").where("held_out")
-    assert found.where(F.col("predicted") == F.col(label)).count() >= 0.9 * found.count()
+    found = registry.QUERIES[name](spark, sf).join(labels, "doc_id").where("held_out").collect()
+    ones, zeros = [r for r in found if r[label] == 1], [r for r in found if r[label] == 0]
+    assert len(ones) >= 50 and len(zeros) >= 50
+    assert auc(found, label) >= area
+    assert sum(r.predicted for r in ones) >= recall * len(ones) and sum(r.predicted for r in zeros) <= false_alarms * len(zeros)
+
+
+def test_tokens_by_the_library(spark):
+    """Every document of a small table, encoded and decoded by the library."""
+    import hashlib
+
+    import numpy as np
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=registry.PIECE_MODEL)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = registry.QUERIES["op8_sentencepiece"](spark, SF).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        ids = library.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+        sha = lambda data: hashlib.sha256(data).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids).encode()))
+
+
+def test_components_by_hand(spark):
+    """op9 over a whole small table, every pair compared."""
+    from xxhash import xxh64_intdigest
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    prints = {}
+    for i, text in texts.items():
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text).translate(str.maketrans("\t\n\x0b\x0c\r", "     ")).split(" ")
+        words = [w for w in words if w]
+        shingles = [" ".join(words[k : k + 4]) for k in range(len(words) - 3)] if len(words) > 3 else [" ".join(words)] * bool(words)
+        h = [xxh64_intdigest(x.encode(), 42) for x in shingles]
+        prints[i] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    root = {i: i for i in prints}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(prints)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    found = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in registry.QUERIES["op9_simhash"](spark, SF).collect()}
+    assert found == {i: (prints[i], top(i)) for i in ids}
+
+
+def has_leak(text, item):
+    """Whether an item is in a text: with its budget of errors, or exactly and as whole words."""
+    t, p = decontaminate.normalise(text), decontaminate.normalise(item)
+    if not p:
+        return False
+    if len(p) < decontaminate.MIN_ITEM_CHARS:
+        return f" {p} " in f" {t} "
+    return decontaminate.myers(decontaminate.masks(p), len(p), t)[0] <= decontaminate.budget(len(p))
 
 
 def test_leaks_by_hand(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
-    want = set()
-    for d in docs:
-        text = decontaminate.normalise(d.text)
-        for i in items:
-            p = decontaminate.normalise(i.text)
-            if len(p) >= decontaminate.MIN_ITEM_CHARS and decontaminate.myers(decontaminate.masks(p), len(p), text)[0] <= decontaminate.budget(len(p)):
-                want.add((d.doc_id, i.item_id))
+    want = {(d.doc_id, i.item_id) for d in docs for i in items if has_leak(d.text, i.text)}
     found = registry.QUERIES["op1_decontamination"](spark, SF).collect()
     assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
 
 
+def pipeline_by_hand(rows, items, languages):
+    """The four filtering stages in plain Python; ``languages`` has the share of each id's best language."""
+    import hashlib
+
+    spaces = " \t\n\x0b\x0c\r"
+    lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+    rows = [r for r in rows if languages.get((r["doc_id"], r["text"]), 0) > corpus_pipeline.MIN_SHARE]
+    holders = {}
+    for r in rows:
+        for line in (r["text"] or "").split("\n"):
+            if r["doc_id"] is not None and len(k := lower(line.strip(spaces))) >= 40:
+                holders.setdefault(k, set()).add(r["doc_id"])
+    for r in rows:
+        lines = [x for x in (r["text"] or "").split("\n") if r["doc_id"] is None or len(h := holders.get(lower(x.strip(spaces)), ())) < 5 or r["doc_id"] == max(h)]
+        r["text"] = "\n".join(lines)
+    sets = []
+    for r in rows:
+        w = [x for x in lower(r["text"]).translate(str.maketrans(spaces, " " * 6)).split(" ") if x]
+        sets.append(frozenset(hashlib.md5(" ".join(w[k : k + 5]).encode()).digest() for k in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common * 5 >= len(sets[i] | sets[j]) * 4:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    least = {}
+    for i, r in enumerate(rows):
+        if r["doc_id"] is not None:
+            least[top(i)] = min(least.get(top(i), r["doc_id"]), r["doc_id"])
+    kept, seen = [], set()
+    for i, r in enumerate(rows):
+        if r["doc_id"] is None or (least[top(i)] == r["doc_id"] and (r["doc_id"], r["text"]) not in seen):
+            seen.add((r["doc_id"], r["text"]))
+            kept.append(r)
+    return [r for r in kept if not any(has_leak(r["text"], i) for i in items)]
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    """End to end, with null, empty, repeated and very long texts and repeated ids among the documents."""
+    import sentencepiece
+
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [r.asDict() for r in given.orderBy("doc_id").limit(120).collect()]
+    long = " ".join(r["text"] or "" for r in rows[:40])
+    odd = [(9001, None), (9002, ""), (9003, long), (9003, long), (9004, long + " and one more word"), (9005, rows[5]["text"]), (None, rows[7]["text"]), (9006, "12 34 ½"), (9007, " \n ")]
+    rows += [{"doc_id": i, "text": t, "lang": "en", "source": None, "n_chars": None} for i, t in odd]
+    documents = spark.createDataFrame([tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in rows], given.schema)
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    shares = registry.langid.identify(documents, registry.language_training(documents), registry.PIECE_MODEL).where("lang_pred <> 'und'")
+    languages = {(r.doc_id, r.text): r.lang_score for r in shares.collect()}
+    want = pipeline_by_hand([dict(r) for r in rows], [r.text for r in items.collect()], languages)
+    library = sentencepiece.SentencePieceProcessor(model_file=registry.PIECE_MODEL)
+    tokens = sorted((str(r["doc_id"]), len(library.encode(r["text"])) + 2) for r in want)
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in found) == tokens and 20 < len(found) < len(rows)
+
+
 def test_pipeline_stages_keep_their_promises(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     seen = docs
