@@ -38,6 +38,11 @@ def digest_tree(rows: DataFrame, keys: list[str], order: str, text: str, *, leve
     return now.groupBy(*keys).agg(F.sum("n").alias(n), table_digest(F.col("at"), F.col("digest")).alias("digest"))
 
 
+def is_digest(x: Column) -> Column:
+    """Whether a text is a SHA-1 or SHA-256 in lower-case hexadecimal."""
+    return x.rlike(r"\A(?:[0-9a-f]{40}|[0-9a-f]{64})\z")
+
+
 def canonical_json(**fields: Column) -> Column:
     """Compact JSON of a row: fields by name, nulls kept, other letters than ASCII as they are."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
@@ -206,3 +206,26 @@ def s2_bounds(cell: pd.Series) -> pd.DataFrame:
     """Centre of a cell and the box of its corners (for cells away from the poles and 180 degrees)."""
     lon, lat = _s2_places(cell.to_numpy(np.int64))
     return pd.DataFrame({"lon": lon[:, 0], "lat": lat[:, 0], "west": lon[:, 1:].min(axis=1), "south": lat[:, 1:].min(axis=1), "east": lon[:, 1:].max(axis=1), "north": lat[:, 1:].max(axis=1)})
+
+
+def twd97_to_wgs84(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Geographic coordinates of the island's 1997 datum (EPSG:3824) as WGS84 ones (EPSG:4326): the
+    same to a few centimetres, and taken as the same."""
+    return lon, lat
+
+
+def s2_covering(spark, box: tuple[float, float, float, float], level: int) -> DataFrame:
+    """``s2_cell`` and the bounds of every cell of a level whose bounds meet a box (west, south, east,
+    north; away from the poles and 180 degrees).
+
+    The box is sampled with steps of under half a cell's least side, beyond its edges by one cell.
+    """
+    west, south, east, north = box
+    step = 0.4 * 90.0 / (1 << level) * 0.5
+    margin = 4 * 90.0 / (1 << level)
+    wide = step / max(0.01, float(np.cos(np.radians(max(abs(south), abs(north))))))
+    columns, rows = int((east - west + 2 * margin) / wide) + 2, int((north - south + 2 * margin) / step) + 2
+    places = spark.range(columns * rows).select((west - margin + (F.col("id") % columns) * wide).alias("lon"), (south - margin + F.floor(F.col("id") / columns) * step).alias("lat"))
+    cells = places.select(s2_cell(level)("lon", "lat").alias("s2_cell")).distinct()
+    placed = cells.select("s2_cell", s2_bounds("s2_cell").alias("b")).select("s2_cell", "b.*")
+    return placed.where(box_overlaps(F.col("west"), F.col("south"), F.col("east"), F.col("north"), box))

@@ -56,6 +56,19 @@ def running(df: DataFrame, keys: list[str], score: str, tie: str, weight: str |
     return df.join(up_to, [*same, F.col(tie) == F.col("__tie")]).select(*df.columns, name)
 
 
+def numbered(df: DataFrame, order: list[str], *, first: int = 1, name: str = "row", ranges: int | None = None) -> DataFrame:
+    """All rows numbered in order: ranges of the order are numbered apart, behind the sizes of the
+    ranges before (one row a range)."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy(F.col("__range").alias("__r")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__r", before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    joined = ranged.withColumn("__own", own).join(F.broadcast(offsets), F.col("__range") == F.col("__r"))
+    return joined.select(*df.columns, (F.col("__own") + F.col("__before") + (first - 1)).cast("long").alias(name))
+
+
 def percent_rank(df: DataFrame, keys: list[str], value: str, *, descending: bool = False, name: str = "score") -> DataFrame:
     """All rows with ``name``: the share of the other scored rows that are before the row's value.
 

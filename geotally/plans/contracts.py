@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from geotally.functions import scalars
 from geotally.operators.merging import first_of_each, lock, one_value_set, served
-from geotally.operators.ranking import running
+from geotally.operators.ranking import numbered, running
 from geotally.plans.base import SQL_SELECTED, Tables
 from geotally.plans.layers import SQL_SCENARIOS, scenarios, selected_layers
-from geotally.plans.network import SCENARIOS, SQL_DIRECTED, SQL_WALK, SQL_WEIGHTED, all_links, both_ways, cell_links, network_cells, scenario_table, seeds, walk
+from geotally.plans.network import SCENARIOS, SQL_DIRECTED, SQL_WALK, SQL_WEIGHTED, all_links, both_ways, cell_links, matrix_units, network_cells, scenario_table, seeds, walk
 from geotally.plans.registry import query
 from geotally.sources.readers import APPROVED, CITY, OUTCOME, approved_outcomes
 from geotally.storage import cut
@@ -239,3 +239,77 @@ def seed_mass(t: Tables) -> DataFrame:
     from geotally.functions import exact
 
     return seeds(t).agg(F.count_if(F.col("units") > 0).alias("n_seeded"), F.round(exact.as_decimal(F.sum("units")).cast("double"), 9).alias("mass"))
+
+
+# --- audits of the walk -------------------------------------------------------------------------
+
+@query(f"""WITH {SQL_WALK}, again AS (
+  SELECT p.scenario, p.step + 1 AS step, m.to_cell AS cell_id, sum(0.75 * p.mass * m.share) AS moved FROM walk p JOIN matrix m ON m.scenario = p.scenario AND m.from_cell = p.cell_id WHERE p.step < 8 GROUP BY 1, 2, 3)
+SELECT w.scenario, w.step, count(*) AS n_cells, round(max(abs(w.mass - 0.25 * seeds.seed - coalesce(moved, 0))), 9) AS residual FROM walk w JOIN seeds ON seeds.cell_id = w.cell_id
+LEFT JOIN again a ON a.scenario = w.scenario AND a.step = w.step AND a.cell_id = w.cell_id WHERE w.step > 0 GROUP BY 1, 2""")
+def recurrence_residuals(t: Tables) -> DataFrame:
+    """Each step worked out again from the stored one before it: the largest difference."""
+    from geotally.functions import exact
+    from geotally.operators.links import restart_walk
+
+    units, start = cut(matrix_units(t)), cut(seeds(t))
+    states = cut(restart_walk(start, units, scenario_table(t), 8).withColumn("mass", F.col("mass").cast("double")))
+    shares = units.select("scenario", "from_cell", "to_cell", exact.as_decimal(F.col("units")).cast("double").alias("share"))
+    before = states.where("step < 8").select("scenario", (F.col("step") + 1).alias("step"), F.col("cell_id").alias("from_cell"), "mass")
+    moved = before.join(shares, ["scenario", "from_cell"]).groupBy("scenario", "step", F.col("to_cell").alias("cell_id")).agg(F.sum(0.75 * F.col("mass") * F.col("share")).alias("moved"))
+    back = start.select("cell_id", exact.as_decimal(F.col("units")).cast("double").alias("seed"))
+    joined = states.where("step > 0").join(back, "cell_id", "left").join(moved, ["scenario", "step", "cell_id"], "left")
+    gap = F.abs(F.col("mass") - 0.25 * F.coalesce("seed", F.lit(0.0)) - F.coalesce("moved", F.lit(0.0)))
+    return joined.groupBy("scenario", "step").agg(F.count("*").alias("n_cells"), F.round(F.max(gap), 9).alias("residual"))
+
+
+@query(f"""WITH {SQL_WALK}, own AS (SELECT scenario, from_cell, share FROM matrix WHERE from_cell = to_cell)
+SELECT w.scenario, w.step, o.share > 0.99999 AS self_only, count(*) AS n_cells, round(sum(w.mass), 6) AS mass, round(sum(w.mass * o.share), 6) AS kept FROM walk w JOIN own o ON o.scenario = w.scenario AND o.from_cell = w.cell_id GROUP BY 1, 2, 3""")
+def self_only_mass(t: Tables) -> DataFrame:
+    """Mass at each step in cells that give nothing away and in the others, and what stays where it is."""
+    from geotally.functions import exact
+    from geotally.operators.links import restart_walk
+
+    units = cut(matrix_units(t))
+    own = units.where("from_cell = to_cell").select("scenario", F.col("from_cell").alias("cell_id"), exact.as_decimal(F.col("units")).cast("double").alias("share"))
+    states = restart_walk(seeds(t), units, scenario_table(t), 8).withColumn("mass", F.col("mass").cast("double"))
+    groups = states.join(own, ["scenario", "cell_id"]).groupBy("scenario", "step", (F.col("share") > 0.99999).alias("self_only"))
+    return groups.agg(F.count("*").alias("n_cells"), F.round(F.sum("mass"), 6).alias("mass"), F.round(F.sum(F.col("mass") * F.col("share")), 6).alias("kept"))
+
+
+# --- small predicates, counts and samples -------------------------------------------------------
+
+@query("""WITH d AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN sha1(o_orderkey::VARCHAR) WHEN 1 THEN sha256(o_orderkey::VARCHAR) WHEN 2 THEN upper(sha1(o_orderkey::VARCHAR)) ELSE sha1(o_orderkey::VARCHAR) || 'g' END AS digest FROM orders)
+SELECT o_orderkey, digest, length(digest)::BIGINT AS n FROM d WHERE regexp_full_match(digest, '[0-9a-f]{40}|[0-9a-f]{64}')""")
+def hex_digests(t: Tables) -> DataFrame:
+    """Texts that are 40 or 64 lower-case hexadecimal digits and nothing else."""
+    k, text = F.col("o_orderkey") % 4, F.col("o_orderkey").cast("string")
+    digest = F.when(k == 0, F.sha1(text)).when(k == 1, F.sha2(text, 256)).when(k == 2, F.upper(F.sha1(text))).otherwise(F.concat(F.sha1(text), F.lit("g")))
+    made = t.orders.select("o_orderkey", digest.alias("digest"))
+    return made.where(scalars.is_digest(F.col("digest"))).select("o_orderkey", "digest", F.length("digest").cast("long").alias("n"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_extendedprice, count(*) OVER w AS n, count(*) FILTER (WHERE l_returnflag = 'R') OVER w AS n_returned FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
+def partition_counts(t: Tables) -> DataFrame:
+    """Each line with the counts of its order."""
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("l_orderkey")
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice", F.count("*").over(own).alias("n"), F.count_if(F.col("l_returnflag") == "R").over(own).alias("n_returned"))
+
+
+@query("""WITH first AS (SELECT o_orderkey, md5(o_orderkey::VARCHAR) AS h, 121.45 + (o_orderkey * 7919 % 20000) / 1e5 AS lon, 25.0 + (o_orderkey * 104729 % 20000) / 1e5 AS lat FROM orders ORDER BY h, o_orderkey LIMIT 7500)
+SELECT o_orderkey, round(lon, 6) AS lon, round(lat, 6) AS lat FROM first WHERE lon BETWEEN 121.5 AND 121.6 AND lat BETWEEN 25.02 AND 25.15 ORDER BY h, o_orderkey LIMIT 5000""")
+def staged_sample(t: Tables) -> DataFrame:
+    """A sample by hash in two stages (both limits are the operator): 7,500 rows, of these the ones in
+    a box, of these 5,000."""
+    h = F.md5(F.col("point_id").cast("string"))
+    first = t.points().select("point_id", "lon", "lat").orderBy(h, "point_id").limit(7500)
+    kept = first.where(F.col("lon").between(121.5, 121.6) & F.col("lat").between(25.02, 25.15))
+    return kept.orderBy(h, "point_id").limit(5000).select(F.col("point_id").alias("o_orderkey"), F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@query("SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) + 1 AS source_row FROM orders")
+def source_rows(t: Tables) -> DataFrame:
+    """Rows numbered from 2 in the order of their key, as a file with a header has them."""
+    return numbered(t.orders.select("o_orderkey", "o_custkey"), ["o_orderkey"], first=2, name="source_row")

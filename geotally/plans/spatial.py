@@ -123,3 +123,16 @@ def s2_cell_bounds(t: Tables) -> DataFrame:
     cells = t.points().select(spatial.s2_cell(15)("lon", "lat").alias("s2_cell")).distinct()
     placed = cells.select("s2_cell", spatial.s2_bounds("s2_cell").alias("b")).select("s2_cell", "b.*")
     return placed.withColumn("box_area_m2", spatial.box_area_m2(F.col("west"), F.col("south"), F.col("east"), F.col("north")))
+
+
+@query()
+def grid_covering(t: Tables) -> DataFrame:
+    """The level-13 cells that cover the box of all points, with their points (tests have a brute-force
+    covering); every point is in one of them."""
+    at = t.points()
+    sides = at.agg(F.min("lon"), F.min("lat"), F.max("lon"), F.max("lat")).first()
+    if sides[0] is None:
+        sides = (0.0, 0.0, 0.0, 0.0)
+    counts = at.select(spatial.s2_cell(13)("lon", "lat").alias("of_cell")).groupBy("of_cell").agg(F.count("*").alias("n"))
+    covering = spatial.s2_covering(t.spark, tuple(sides), 13)
+    return covering.join(counts, F.col("s2_cell") == F.col("of_cell"), "left").select("s2_cell", spatial.cell_token(F.col("s2_cell")).alias("token"), F.coalesce("n", F.lit(0)).alias("n_points"))

@@ -84,3 +84,27 @@ def empty_stage(df: DataFrame) -> DataFrame:
 def namespace(spark: SparkSession, name: str) -> None:
     """A database of this name, if there is none."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+
+
+def known_only(df: DataFrame, column: str, known: list[str]) -> DataFrame:
+    """The rows, if the column has known values only; another value raises."""
+    return df.where(F.assert_true(F.coalesce(F.col(column).isin(*known), F.lit(False)), f"{column} has an unknown value").isNull())
+
+
+def address_points(spark: SparkSession, path: str, columns: list[str], district: str, codes: list[str]) -> DataFrame:
+    """Official address points (CSV, all text) of the districts asked for; a file with other columns raises."""
+    rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+    if rows.columns != columns:
+        raise ValueError(f"expected columns {columns}, got {rows.columns}")
+    return rows.where(F.col(district).isin(*codes))
+
+
+def preview(spark: SparkSession, path: str, schema: str, flags: list[str], state: str, states: list[str]) -> DataFrame:
+    """Rows of a JSON array whose flags are booleans or their names as text; other flags and unknown
+    states raise."""
+    rows = spark.read.option("multiLine", True).schema(schema).json(path)
+    for c in flags:
+        value = F.lower(F.col(c).cast("string"))
+        known = value.isNull() | value.isin("true", "false")
+        rows = rows.where(F.assert_true(known, f"{c} is no boolean").isNull()).withColumn(c, value == "true")
+    return known_only(rows, state, states)

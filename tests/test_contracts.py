@@ -80,3 +80,38 @@ def test_bootstrap_and_release(spark):
     assert serving.current_release(manifests)["release"] == "r1" and serving.current_release(manifests.where("state = 'DRAFT'")) is None
     with pytest.raises(ValueError, match="more than one"):
         serving.current_release(manifests.withColumn("state", F.lit("FROZEN")))
+
+
+def test_readers_that_check(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("code,road\n63000010,x\n63000020,y\n", encoding="utf-8")
+    found = readers.address_points(spark, str(tmp_path / "a.csv"), ["code", "road"], "code", ["63000010"])
+    assert [r.road for r in found.collect()] == ["x"]
+    with pytest.raises(ValueError, match="expected columns"):
+        readers.address_points(spark, str(tmp_path / "a.csv"), ["code", "street"], "code", [])
+    (tmp_path / "p.json").write_text(json.dumps([{"k": 1, "ok": "true", "state": "A"}, {"k": 2, "ok": False, "state": "B"}, {"k": 3, "ok": None, "state": "A"}]))
+    rows = readers.preview(spark, str(tmp_path / "p.json"), "k int, ok string, state string", ["ok"], "state", ["A", "B"])
+    assert {r.k: r.ok for r in rows.collect()} == {1: True, 2: False, 3: None}
+    for flags, states in ((["state"], ["A", "B"]), (["ok"], ["A"])):
+        with pytest.raises(Exception, match="no boolean|unknown value"):
+            readers.preview(spark, str(tmp_path / "p.json"), "k int, ok string, state string", flags, "state", states).collect()
+
+
+def test_covering_of_a_box(spark):
+    """Against every cell that a dense grid of points falls into."""
+    import numpy as np
+
+    from geotally.functions import spatial
+
+    box = (121.5, 25.0, 121.56, 25.05)
+    found = {r.s2_cell for r in spatial.s2_covering(spark, box, 13).collect()}
+    lon, lat = (x.ravel() for x in np.meshgrid(np.linspace(box[0], box[2], 300), np.linspace(box[1], box[3], 300)))
+    inside = set(spatial._s2_ids(lon, lat, 13).tolist())
+    assert inside <= found and len(found) < 2 * len(inside) + 20
+
+
+def test_numbered_rows(spark):
+    from geotally.operators.ranking import numbered
+
+    df = spark.createDataFrame([(i * 7 % 101, "x") for i in range(101)], "k int, v string")
+    assert [(r.row, r.k) for r in numbered(df, ["k"], first=2, ranges=5).orderBy("k").collect()] == [(k + 2, k) for k in range(101)]
+    assert numbered(df.where("false"), ["k"]).collect() == []
