@@ -1,7 +1,8 @@
 """Exact shares beyond the places that Spark's decimals keep, as whole numbers of small units.
 
-A share is a whole number of 10^-24.  Products and quotients are worked out in halves of twelve
-digits, so that every step fits decimal(38,0): no rounding but the one asked for, half to even.
+A share is a whole number of 10^-24.  Quotients are worked out in halves of twelve digits, so that
+every step fits decimal(38,0); products, of which a walk has very many, in limbs of eight digits,
+so that every step fits a long.  No rounding but the one asked for, half to even.
 """
 
 from __future__ import annotations
@@ -69,20 +70,51 @@ def times(bucket: Column, a: Column, b: Column) -> Column:
     return rounded(whole(first.cast("decimal(13,0)") * F.lit(ONE).cast("decimal(25,0)") + low), rest, b)
 
 
-def three_quarters(high: Column, low: Column, share_high: Column, share_low: Column) -> Column:
-    """0.75 * state * share in units of 10^-30, half to even, of two shares given as their halves.
+#: The base of limbs.
+_LIMB = 100_000_000
 
-    The product P has units of 10^-48, so the result is 3 P / (4 * 10^18); what is above 10^24 in
-    P divides without a rest.
+
+def limbs(units: Column) -> list[Column]:
+    """A share as three longs of eight digits, the lowest first (the last may be 10^8, a whole share)."""
+    above = _div(units, F.lit(_LIMB).cast("decimal(9,0)"))
+    return [(whole(units) % F.lit(_LIMB).cast("decimal(9,0)")).cast("long"), above % _LIMB, _long_div(above, _LIMB)]
+
+
+def _long_div(a: Column, b: int) -> Column:
+    return F.call_function("div", a, F.lit(b).cast("long"))
+
+
+def three_quarters(a: list[Column], b: list[Column]) -> list[Column]:
+    """0.75 * a * b of two shares given as limbs, in units of 10^-30, half to even, as four limbs (the
+    lowest may be 10^8; limbs of many products can be summed one by one).
+
+    The product P has units of 10^-48, so the result is 3 P / (4 * 10^18): the lowest two limbs of
+    3 P fall away as a rest, and what is above them is divided by 400.
     """
-    a, b, c, d = (_half(x) for x in (high, low, share_high, share_low))
-    last = whole(b * d)
-    middle = whole(whole(a * d) + whole(b * c) + upper(last))
-    top = whole(whole(a * c) + upper(middle))
-    below = whole((lower(middle).cast("decimal(13,0)") * _half(_HALF) + lower(last)) * 3)
-    by = F.lit("4000000000000000000").cast("decimal(19,0)")
-    q = _div(below, by).cast("decimal(19,0)")
-    return whole(top.cast("decimal(25,0)") * F.lit(750_000).cast("decimal(6,0)") + rounded(q, whole(below - q * by), by))
+    columns = [a[0] * b[0], a[0] * b[1] + a[1] * b[0], a[0] * b[2] + a[1] * b[1] + a[2] * b[0], a[1] * b[2] + a[2] * b[1], a[2] * b[2]]
+    digits, carry = [], F.lit(0).cast("long")
+    for c in columns:
+        now = c * 3 + carry
+        digits.append(now % _LIMB)
+        carry = _long_div(now, _LIMB)
+    digits.append(carry)
+    found, rest = [], F.lit(0).cast("long")
+    for d in reversed(digits[2:]):
+        now = rest * _LIMB + d
+        found.append(_long_div(now, 400))
+        rest = now % 400
+    high, *middle, low = found
+    more = (digits[0] > 0) | (digits[1] > 0)
+    up = (rest > 200) | ((rest == 200) & (more | (low % 2 == 1)))
+    return [low + F.when(up, 1).otherwise(0), *reversed(middle), high]
+
+
+def from_limbs(parts: list[Column]) -> Column:
+    """The whole number that limbs (or sums of limbs) stand for."""
+    total = whole(parts[-1])
+    for p in reversed(parts[:-1]):
+        total = whole(whole(total * F.lit(_LIMB).cast("decimal(9,0)")) + p)
+    return total
 
 
 def drop_digits(x: Column, digits: int) -> Column:

@@ -79,21 +79,24 @@ def restart_walk(seeds: DataFrame, matrix: DataFrame, scenarios: DataFrame, step
     either has a row at every step; a cell without a seed begins with nothing.  One join and one
     sum with partial sums a step; each step is written to the shared folder.
     """
-    matrix = cut(matrix.select("scenario", "from_cell", "to_cell", exact.upper(F.col("units")).alias("share_high"), exact.lower(F.col("units")).alias("share_low")))
+    shares = [f"share{i}" for i in range(3)]
+    matrix = cut(matrix.select("scenario", "from_cell", "to_cell", *[x.alias(c) for c, x in zip(shares, exact.limbs(F.col("units")), strict=True)]))
     cells = matrix.select(F.col("from_cell").alias("cell_id")).union(matrix.select("to_cell")).union(seeds.select("cell_id")).distinct()
     start = cells.join(seeds.select("cell_id", "units"), "cell_id", "left").select("cell_id", exact.whole(F.coalesce("units", F.lit(0))).alias("seed"))
     state = cut(start.crossJoin(F.broadcast(scenarios.select("scenario"))).select("scenario", "cell_id", "seed", F.col("seed").alias("mass")))
     seen = [state.select("scenario", F.lit(0).alias("step"), "cell_id", "mass")]
     # A quarter of the seed has 26 places: 250,000 units of 10^-30 for each of 10^-24.
     back = exact.whole(F.col("seed").cast("decimal(25,0)") * F.lit(250_000).cast("decimal(6,0)"))
+    masses, parts = [f"mass{i}" for i in range(3)], [f"part{i}" for i in range(4)]
+    product = exact.three_quarters([F.col(c) for c in masses], [F.col(c) for c in shares])
     for step in range(1, steps + 1):
         moved = (
-            state.select("scenario", F.col("cell_id").alias("from_cell"), exact.upper(F.col("mass")).alias("high"), exact.lower(F.col("mass")).alias("low")).where("high > 0 OR low > 0")
+            state.where("mass > 0").select("scenario", F.col("cell_id").alias("from_cell"), *[x.alias(c) for c, x in zip(masses, exact.limbs(F.col("mass")), strict=True)])
             .join(matrix, ["scenario", "from_cell"])
-            .select("scenario", F.col("to_cell").alias("cell_id"), exact.three_quarters(F.col("high"), F.col("low"), F.col("share_high"), F.col("share_low")).alias("part"))
-            .groupBy("scenario", "cell_id").agg(F.sum("part").alias("part"))
+            .select("scenario", F.col("to_cell").alias("cell_id"), *[x.alias(c) for c, x in zip(parts, product, strict=True)])
+            .groupBy("scenario", "cell_id").agg(*[F.sum(c).alias(c) for c in parts])
         )
-        after = exact.drop_digits(exact.whole(back + F.coalesce("part", F.lit(0))), 6)
+        after = exact.drop_digits(exact.whole(back + exact.from_limbs([F.coalesce(c, F.lit(0)) for c in parts])), 6)
         state = cut(state.join(moved, ["scenario", "cell_id"], "left").select("scenario", "cell_id", "seed", after.alias("mass")))
         seen.append(state.select("scenario", F.lit(step).alias("step"), "cell_id", "mass"))
     out = seen[0]

@@ -130,7 +130,7 @@ def test_exact_shares(spark):
         rows.append(tuple(map(D, (m, s, rng.randrange(b + 1), b, rng.choice([35 * 10**10, 10**11, 10**12]), w, w + rng.randrange(10**15)))))
     df = spark.createDataFrame([*rows, (D(1), D(1), D(1), D(0), D(1), D(1), D(1))], ", ".join(f"{c} decimal(38,0)" for c in ("m", "s", "a", "b", "k", "w", "z")))
     c = F.col
-    walked = exact.three_quarters(exact.upper(c("m")), exact.lower(c("m")), exact.upper(c("s")), exact.lower(c("s")))
+    walked = exact.from_limbs(exact.three_quarters(exact.limbs(c("m")), exact.limbs(c("s"))))
     part = exact.times(c("k"), c("w"), c("z"))
     found = df.select("*", walked.alias("walked"), exact.share(c("a"), c("b")).alias("share"), part.alias("part"), exact.drop_digits(part, 12).alias("short"), exact.as_decimal(c("m")).alias("shown")).collect()
     assert found.pop().share is None
