@@ -80,7 +80,9 @@ def statistics(column: pa.Array) -> np.ndarray:
             inside = owners[:-3] == owners[3:]
             grams, gram_owner = grams[inside], owners[:-3][inside]
         n_grams = np.bincount(gram_owner, minlength=n)[:n].astype(float)
-        runs = np.concatenate([[False], mark[1:] & mark[:-1]]) if len(mark) else mark
+        runs = np.concatenate([[False], mark[1:] & mark[:-1], [False]])
+        runs[w.offsets] = False  # a run doesn't go on from one text to the next
+        runs = runs[: len(mark)]
         columns = (
             np.log1p(n_words),
             np.log1p(n_bytes / np.maximum(n_words, 1)),
