@@ -515,6 +515,32 @@ def test_quality(spark):
     assert quality.classify(rows(spark, []), labels).collect() == []
 
 
+def statistics_by_hand(text):
+    """The fourteen statistics in the plainest way, on bytes."""
+    data = (text or "").encode()
+    space, common = b" \t\n\x0b\x0c\r", b".,;:'\"-()?"
+    upper, lower, digit = (lambda b: 65 <= b <= 90), (lambda b: 97 <= b <= 122), (lambda b: 48 <= b <= 57)
+    mark = lambda b: b < 128 and not (upper(b) or lower(b) or digit(b) or b in common or b in space)
+    words, n = data.split(), len(data)
+    grams = [tuple(words[i : i + 4]) for i in range(len(words) - 3)]
+    count = lambda f: sum(map(f, data))
+    logit = lambda x, n: np.log((x + 0.5) / (max(n - x, 0) + 0.5))
+    shouted = [w for w in words if len(w) > 1 and sum(map(upper, w)) >= 2 and not any(map(lower, w))]
+    return [
+        np.log1p(len(words)), np.log1p(n / max(len(words), 1)), logit(count(upper), n), logit(count(digit), n), logit(count(mark), n), logit(count(lambda b: b in common), n), logit(count(lambda b: b >= 128), n),
+        logit(data.count(b"\n"), n), logit(sum(any(map(mark, w)) for w in words), len(words)), logit(len(shouted), len(words)), logit(len(set(words)), len(words)),
+        logit(sum(a == b for a, b in zip(words, words[1:], strict=False)), len(words)), logit(len(set(grams)), len(grams)), logit(sum(mark(a) and mark(b) for a, b in zip(data, data[1:], strict=False)), n),
+    ]
+
+
+def test_statistics_of_texts():
+    import pyarrow as pa
+
+    rng = random.Random(18)
+    texts = [None, "", "  \n", "One", "ÄÖ é漢字 ##", "BUY NOW!!! $$$ BUY NOW!!!"] + ["".join(rng.choice("abAB 12\n.,#$éß ") for _ in range(rng.randrange(300))) for _ in range(60)] + [prose(rng, 3000)]
+    assert np.allclose(quality.statistics(pa.array(texts, pa.string())), [statistics_by_hand(t) for t in texts])
+
+
 def test_repeated_ids_and_long_texts_of_quality(spark):
     rng = random.Random(17)
     texts = [(i, prose(rng, 50) if i % 2 else "!!! " * 50) for i in range(40)]
