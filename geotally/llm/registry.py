@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.llm import decontaminate, exact_topk, langid, line_dedup, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
+from geotally.llm import decontaminate, exact_topk, langid, line_dedup, merkle, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
 from geotally.llm.common import fold, scratch, table
 
 #: The public vocabulary; its path is a parameter of every operator that uses it.
@@ -192,3 +192,50 @@ SELECT words.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT
        sha256(coalesce(t, '')) AS kept_sha256
 FROM words LEFT JOIN kept ON kept.doc_id = words.doc_id
 """
+
+
+@query
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roots of every whole document and of its edited text, likeness to it and to the next document,
+    and the place that the differing branches give for the edit."""
+    found = merkle.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "changed_from", "changed_to"
+    )
+
+
+ORACLE["op12_merkle"] = rf"""
+WITH own AS (
+  SELECT doc_id, coalesce(text, '') AS a, coalesce(lead(text) OVER w, first_value(text) OVER w, '') AS nx FROM documents WINDOW w AS (ORDER BY doc_id DESC)
+), two AS (
+  SELECT doc_id, a, left(a, length(a) - length(a) // 2) || left(nx, length(a) // 2) AS b, nx FROM own
+), texts AS (
+  SELECT doc_id, 'a' AS k, a AS text FROM two UNION ALL SELECT doc_id, 'b', b FROM two UNION ALL SELECT doc_id, 'n', nx FROM two
+), lines AS (
+  SELECT doc_id, k, text, string_split(text, chr(10)) AS ls, list_filter(list_distinct(regexp_extract_all(text, '{merkle.PIECE}')), lambda p: p <> '') AS ps FROM texts
+), digests AS (
+  SELECT *, list_transform(ls, lambda x: sha256('p:' || x)) AS ds, coalesce(list_sum(list_transform(ps, lambda p: length(p))), 0)::BIGINT AS n FROM lines
+), cuts AS (
+  SELECT *, list_filter(range(1, len(ds) + 1), lambda i: i = len(ds) OR ds[i] < '2' OR ds[i] = sha256('p:')) AS es FROM digests
+), sections AS (
+  SELECT *, list_transform(range(1, len(es) + 1), lambda j: sha256('s:' || array_to_string(ds[coalesce(es[j - 1], 0) + 1 : es[j]], ''))) AS ss FROM cuts
+), trees AS (
+  SELECT *, sha256('d:' || array_to_string(ss, '')) AS root FROM sections
+), joined AS (
+  SELECT x.doc_id, x.text, x.ls AS la, y.ls AS lb, y.text AS edited, x.root AS fingerprint, y.root AS edited_fingerprint,
+         x.n AS na, y.n AS nb, z.n AS nz, coalesce(list_sum(list_transform(list_intersect(x.ps, y.ps), lambda p: length(p))), 0) AS both_edited,
+         coalesce(list_sum(list_transform(list_intersect(x.ps, z.ps), lambda p: length(p))), 0) AS both_next
+  FROM trees x JOIN trees y ON y.doc_id = x.doc_id AND y.k = 'b' JOIN trees z ON z.doc_id = x.doc_id AND z.k = 'n' WHERE x.k = 'a'
+), ahead AS (
+  SELECT *, coalesce(list_position(list_transform(range(1, len(la) + 1), lambda i: la[i] IS NOT DISTINCT FROM lb[i]), false), len(la) + 1) - 1 AS f,
+         list_reverse(la) AS ra, list_reverse(lb) AS rb FROM joined
+), around AS (
+  SELECT *, least(coalesce(list_position(list_transform(range(1, len(ra) + 1), lambda i: ra[i] IS NOT DISTINCT FROM rb[i]), false), len(ra) + 1) - 1, least(len(la), len(lb)) - f) AS r FROM ahead
+), spans AS (
+  SELECT *, least(length(text), coalesce(list_sum(list_transform(la[1 : f], lambda x: length(x) + 1)), 0)) AS s, length(text) - coalesce(list_sum(list_transform(ra[1 : r], lambda x: length(x) + 1)), 0) AS e FROM around
+)
+SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
+       CASE WHEN na + nb = 0 THEN 1.0 ELSE 2.0::DOUBLE * both_edited::DOUBLE / (na + nb)::DOUBLE END AS near_edited, CASE WHEN na + nz = 0 THEN 1.0 ELSE 2.0::DOUBLE * both_next::DOUBLE / (na + nz)::DOUBLE END AS near_next,
+       CASE WHEN text <> edited THEN s::BIGINT END AS changed_from, CASE WHEN text <> edited THEN greatest(s, e)::BIGINT END AS changed_to
+FROM spans
+"""
