@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.llm import decontaminate, exact_topk, langid, line_dedup, merkle, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
+from geotally.llm import decontaminate, exact_topk, langid, line_dedup, merkle, periodic, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
 from geotally.llm.common import fold, scratch, table
 
 #: The public vocabulary; its path is a parameter of every operator that uses it.
@@ -239,3 +239,36 @@ SELECT doc_id, length(text)::BIGINT AS n_chars, sha256(edited) AS edited_sha256,
        CASE WHEN text <> edited THEN s::BIGINT END AS changed_from, CASE WHEN text <> edited THEN greatest(s, e)::BIGINT END AS changed_to
 FROM spans
 """
+
+
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """The documents, one in ten with words from a place on that repeat a stretch of its own.
+
+    h is crc32 of the id's decimal text and g = h // 10.  Where h % 10 is 0, each of the n words from
+    number a = g % n on becomes word a + (i - a) % p of the original, p = 1 + (n - a) // (3 + g % 8).
+    Other texts, and those without an id or words, stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+
+    def turned(ws):
+        n, g = F.size(ws).cast("long"), F.floor(h / 10)
+        place = F.struct((g % n).alias("a"), n.alias("n"), (3 + g % 8).alias("parts"))
+        period = lambda s: F.struct(s["a"].alias("a"), s["n"].alias("n"), (1 + F.floor((s["n"] - s["a"]) / s["parts"])).alias("p"))
+        word = lambda s: F.transform(F.sequence(F.lit(0).cast("long"), s["n"] - 1), lambda i: F.get(ws, F.when(i < s["a"], i).otherwise(s["a"] + (i - s["a"]) % s["p"]).cast("int")))
+        return F.when(n > 0, F.array_join(F.element_at(F.transform(F.transform(F.array(place), period), word), 1), " ")).otherwise("")
+
+    return docs.withColumn("text", F.when((h % 10 == 0) & F.col("text").isNotNull(), F.element_at(F.transform(F.array(words), turned), 1)).otherwise(F.col("text")))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least four periods in every whole document, and the texts without what repeats."""
+    docs = with_repeated_tails(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic.collapse_runs(docs, periods=4, min_words=6, with_text=False)
+    longest = {k: periodic.longest(F.col("runs"), k) for k in ("start", "length", "period")}
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[v.alias(k) for k, v in longest.items()], F.floor(longest["length"] * 1000 / longest["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256",
+    )
