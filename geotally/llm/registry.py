@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.llm import decontaminate, exact_topk, langid, line_dedup, merkle, periodic, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
+from geotally.llm import decontaminate, exact_topk, langid, line_dedup, merkle, periodic, prefix_trie, quality, sentencepiece_codec, simhash, substring_dedup, toxicity, warc
 from geotally.llm.common import fold, scratch, table
 
 #: The public vocabulary; its path is a parameter of every operator that uses it.
@@ -272,3 +272,40 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), *[v.alias(k) for k, v in longest.items()], F.floor(longest["length"] * 1000 / longest["period"]).alias("exponent_milli"),
         F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), "collapsed_sha256",
     )
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return prefix_trie.nodes(table(spark, sf_dir, "conversations")).drop("n_ends")
+
+
+#: crc32 by its bits: the first number is the register's start, numbers of a byte are folded in, -1 shifts one bit out.
+SQL_CRC = """list_reduce(list_concat([4294967295], flatten(list_transform(regexp_extract_all(conv_id::VARCHAR, '.'), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END)"""
+
+ORACLE["op11_prefix_trie"] = rf"""
+WITH placed AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (SELECT DISTINCT conv_id FROM placed
+), planned AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor({SQL_CRC}, 4294967295) % 4 AS h FROM convs
+), parts AS (
+  SELECT p.conv_id AS m, 0 AS part, k, r, x FROM planned p JOIN placed ON placed.conv_id = base AND k <= h
+  UNION ALL SELECT p.conv_id, 1, k, r, x FROM planned p JOIN placed ON placed.conv_id = p.conv_id AND k > h
+), turns AS (
+  SELECT m, row_number() OVER (PARTITION BY m ORDER BY part, k) AS d, len(regexp_extract_all(x, '[^ 	-]+')) AS w, sha256(length(r) || ':' || r || x) AS c FROM parts
+), paths AS (
+  SELECT m, d, w, sha256(string_agg(c, ',') OVER (PARTITION BY m ORDER BY d)) AS v, max(d) OVER (PARTITION BY m) AS n FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '', coalesce((SELECT max(d) FROM turns WHERE m = conv_id), 0) FROM convs
+), nodes AS (
+  SELECT d, v, min(m) AS owner, count(*) AS n_convs, max(n) AS longest, any_value(w) AS w, string_agg(m::VARCHAR, ',' ORDER BY m) FILTER (WHERE n = d) AS ends FROM paths GROUP BY d, v
+), up AS (
+  SELECT x.d, x.v, p.owner AS parent FROM nodes x JOIN paths a ON a.m = x.owner AND a.d = x.d - 1 JOIN nodes p ON p.d = a.d AND p.v = a.v
+), under AS (
+  SELECT a.d, a.v, count(*) FILTER (WHERE x.longest = x.d) AS n_leaves, count(*) FILTER (WHERE x.d = a.d + 1) AS n_children, sum((x.n_convs - 1) * x.w) AS saved
+  FROM nodes x JOIN paths a ON a.m = x.owner AND a.d <= x.d GROUP BY a.d, a.v
+)
+SELECT owner AS conv_id, nodes.d::BIGINT AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM nodes JOIN under ON under.d = nodes.d AND under.v = nodes.v LEFT JOIN up ON up.d = nodes.d AND up.v = nodes.v
+"""
