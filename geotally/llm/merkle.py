@@ -73,7 +73,8 @@ def changed(own: Column, other: Column) -> Column:
     """Struct ``start``, ``stop``: the code points of a text (tree ``own``) whose paragraphs differ from those
     of another one; null if the roots are equal.
 
-    Sections are compared first, paragraphs only from the first section on that differs.
+    Sections are compared first, paragraphs only from the first section on that differs.  Both trees should be
+    columns of a table (as expressions inside this one they nest deeper than the analyzer goes).
     """
 
     def common(a: Column, b: Column, last) -> Column:

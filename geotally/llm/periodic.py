@@ -2,8 +2,8 @@
 
 Words become numbers (an exact dictionary of each slice of texts).  A run of period q and at least
 four periods has three periods of places whose word is repeated q words on; among them is a
-multiple of 2q that has q such places from it on.  So the candidates of q are the multiples of 2q,
-n ln(n) / 2 for n words, and those where the next (up to four) words don't repeat are dropped.  The
+multiple of 2q that has more than q such places from it on.  So the candidates of q are the multiples
+of 2q, n ln(n) / 2 for n words, and those where the next (up to four) words don't repeat are dropped.  The
 texts with candidates get a grammar (see ``recompression``), and each candidate is extended
 both ways by it; candidates within what an extension covers need none of their own.
 
@@ -46,11 +46,12 @@ def _candidates(text: np.ndarray, ends: np.ndarray, sizes: np.ndarray, periods:
         n = counts[first:last]
         period = np.repeat(q[first:last], n)
         place = (np.arange(len(period)) - np.repeat(np.cumsum(n) - n, n)) * 2 * period
+        # So many places repeat from the candidate of a run on, at least.
+        sure = np.maximum(min_words, periods * period) - 3 * period + 1
         for k in range(PROBE_WORDS):
-            # Walls differ from all else, so a probe never leaves its text.
             other = np.minimum(place + period + k, len(text) - 1)
-            keep = (text[np.minimum(place + k, len(text) - 1)] == text[other]) | (period <= k)
-            period, place = period[keep], place[keep]
+            keep = (text[np.minimum(place + k, len(text) - 1)] == text[other]) | (sure <= k)
+            period, place, sure = period[keep], place[keep], sure[keep]
         if len(period):
             yield period, place
         first = last
@@ -67,7 +68,7 @@ def _extended(grammar: Grammar, period: np.ndarray, place: np.ndarray) -> tuple[
         stop = g + grammar.extend(g, g + q, grammar.ahead)
         start = g - grammar.extend(g - 1, g + q - 1, grammar.back)
         found.append((q, start, stop))
-        left = place >= stop[np.cumsum(lead) - 1]
+        left = (place >= stop[np.cumsum(lead) - 1]) & ~lead
         period, place, chain = period[left], place[left], chain[left]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
@@ -104,8 +105,12 @@ def find_runs(words: np.ndarray, bounds: np.ndarray, periods: int = 4, min_words
     if not batches:
         return none, none, none, none
     period, place = (np.concatenate(x) for x in zip(*batches, strict=True))
-    # Only the texts with candidates get a grammar; they keep their order and move together.
     owner = np.searchsorted(begins, place, "right") - 1
+    own = owner == np.searchsorted(begins, place + period, "right") - 1  # both words in one text
+    period, place, owner = period[own], place[own], owner[own]
+    if not len(period):
+        return none, none, none, none
+    # Only the texts with candidates get a grammar; they keep their order and move together.
     some = np.unique(owner)
     row, moved = laid_out(order[some])
     place = place - begins[owner] + moved[np.searchsorted(some, owner)]

@@ -103,7 +103,8 @@ def test_differing_branches_locate_edits(spark):
         pairs.append(("\n".join(lines), "\n".join([*lines[:at], *lines[at + 1 :]])))
     pairs += [("same", "same"), ("a\na\na", "a\na"), ("a", "a\na"), ("", "x")]
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
-    found = df.select("i", merkle.changed(merkle.tree(F.col("a")), merkle.tree(F.col("b"))).alias("c")).orderBy("i").collect()
+    trees = df.select("i", merkle.tree(F.col("a")).alias("a"), merkle.tree(F.col("b")).alias("b"))
+    found = trees.select("i", merkle.changed(F.col("a"), F.col("b")).alias("c")).orderBy("i").collect()
     assert [(r["c"]["start"], r["c"]["stop"]) if r["c"] else (None, None) for r in found] == [span(a, b) for a, b in pairs]
 
 

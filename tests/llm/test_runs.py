@@ -55,6 +55,17 @@ def test_runs_equal_brute_force():
         assert got == [(i, *r) for i, t in enumerate(texts) for r in brute_runs(t)]
 
 
+def test_texts_that_begin_as_others_end():
+    """Candidates across the border of two texts aren't runs, whichever texts have a grammar."""
+    rng = random.Random(6)
+    for _ in range(60):
+        texts = [[rng.randrange(9) for _ in range(rng.choice([0, 3, 8, 30]))] for _ in range(rng.randint(20, 60))]
+        texts[rng.randrange(len(texts))] = [1, 2] * 6
+        words, bounds = np.array(sum(texts, []), np.int64), np.cumsum([0, *map(len, texts)])
+        got = [tuple(map(int, r)) for r in zip(*find_runs(words, bounds), strict=True)]
+        assert got == [(i, *r) for i, t in enumerate(texts) for r in brute_runs(t)]
+
+
 def test_extensions_equal_comparison_word_by_word():
     rng = np.random.default_rng(3)
     for kinds in (1, 2, 4):
