@@ -1,110 +1,259 @@
-"""Joins of lines, points and polygons through grid tiles.
+"""Joins of lines, points and polygons of any shape through grid tiles.
 
-Each side is dealt to the tiles that its bounds meet.  Pairs meet in an equal join on the tile,
-with their bounds and the exact test as its condition; a pair that shares several tiles counts in
-the first of them only, so nothing is deduplicated afterwards.  Tiles should not be far smaller
-than the geometries, so that each meets few.  Polygons are convex rings, counter-clockwise.
+A polygon is an array of rings (``rings``): the outer ones of all its parts and their holes, in any
+direction; inside is what an odd number of edges separates from the outside, and the boundary
+belongs to it.  Edges are dealt to the tiles that they pass through one by one, so a ring of very
+many corners is no single row.  For each polygon and row of tiles a running count of crossings says
+which lower left corners of tiles are inside; a point is then inside if its tile's corner is, turned
+by each edge of that tile alone that the way from corner to point crosses.  Grid lines lie
+at an odd share of a tile, where coordinates of data don't.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotally.functions import geometry
 from geotally.functions.spatial import EARTH_RADIUS_M
 
-_SIDES = ("west", "south", "east", "north")
+#: Where grid lines are within a tile, so that corners of polygons don't lie on them.
+OFFSET = 0.3819660112501051
+#: Edges within this share of the coordinates' size of a line count as on it.
+TOLERANCE = 1e-12
+#: Directions of edges are dealt to so many classes; neighbouring ones meet.
+DIRECTIONS = 64
 
+_ENDS = ("ax", "ay", "bx", "by")
 
-def ring_bounds(ring: Column) -> list[Column]:
-    """West, south, east and north of a ring."""
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    return [F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)]
 
+def _tile(x: Column, size: float) -> Column:
+    return F.floor(x / size - OFFSET)
 
-def _tiled(df: DataFrame, bounds: list[Column], side: str, size: float) -> DataFrame:
-    """The columns as one (``side``), the bounds and the tiles."""
-    own = df.select(F.struct("*").alias(side), *[b.alias(f"{side}_{s}") for b, s in zip(bounds, _SIDES, strict=True)])
-    first, last = {"x": "west", "y": "south"}, {"x": "east", "y": "north"}
-    for axis in ("x", "y"):
-        low, high = F.floor(F.col(f"{side}_{first[axis]}") / size), F.floor(F.col(f"{side}_{last[axis]}") / size)
-        own = own.withColumn(f"{side}_first_{axis}", low).withColumn(f"{side}_tile_{axis}", F.explode(F.sequence(low, high)))
-    return own
 
+def _line(tile: Column, size: float) -> Column:
+    """Where a tile begins."""
+    return (tile + OFFSET) * size
 
-def meeting(left: DataFrame, left_bounds: list[Column], right: DataFrame, right_bounds: list[Column], size: float) -> DataFrame:
-    """Pairs whose bounds meet, once each: columns ``a`` (of the left side) and ``b`` (of the right)."""
-    a, b = _tiled(left, left_bounds, "a", size), _tiled(right, right_bounds, "b", size)
-    on = [F.col("a_tile_x") == F.col("b_tile_x"), F.col("a_tile_y") == F.col("b_tile_y")]
-    on += [F.col("a_west") <= F.col("b_east"), F.col("b_west") <= F.col("a_east"), F.col("a_south") <= F.col("b_north"), F.col("b_south") <= F.col("a_north")]
-    on += [F.col(f"a_tile_{c}") == F.greatest(f"a_first_{c}", f"b_first_{c}") for c in ("x", "y")]
-    return a.join(b, on).select("a", "b")
 
+def polygon_edges(polygons: DataFrame, key: str) -> DataFrame:
+    """``key``, ``ax``, ``ay``, ``bx``, ``by``: the edges of all rings that have a length, a row each."""
+    edges = polygons.where("rings IS NOT NULL").select(key, F.explode("rings").alias("ring")).where(F.size("ring") >= 2).select(key, F.inline(geometry.edges(F.col("ring"))))
+    return edges.where("ax <> bx OR ay <> by")
 
-def segments_in_polygons(segments: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """All columns of both with ``low`` and ``high``: the part of each segment (``x1``, ``y1``,
-    ``x2``, ``y2``) inside each polygon (``ring``), as shares of the segment's length.
 
-    Parts without length are left out; a segment of no length has none; a null ring or end meets
-    nothing.
+def through_tiles(df: DataFrame, ends: tuple[str, str, str, str], size: float, *, wide: Column | float = 0.0, tall: Column | float = 0.0) -> DataFrame:
+    """All columns with ``tile_x`` and ``tile_y``: a row for each tile that a segment passes, or comes within
+    ``wide`` and ``tall`` of, and perhaps some next to them."""
+    ax, ay, bx, by = map(F.col, ends)
+    wide, tall = (w if isinstance(w, Column) else F.lit(float(w)) for w in (wide, tall))
+    low, high = F.least(ay, by), F.greatest(ay, by)
+    rows = df.withColumn("tile_y", F.explode(F.sequence(_tile(low - tall - size * 1e-9, size), _tile(high + tall + size * 1e-9, size))))
+    margin = tall + size * 1e-9
+    at = lambda y: F.coalesce(ax + F.try_divide(y - ay, by - ay) * (bx - ax), ax)
+    bottom = F.greatest(low, F.least(high, _line(F.col("tile_y"), size) - margin))
+    top = F.greatest(low, F.least(high, _line(F.col("tile_y") + 1, size) + margin))
+    flat = ay == by
+    one, two = F.when(flat, ax).otherwise(at(bottom)), F.when(flat, bx).otherwise(at(top))
+    span = F.sequence(_tile(F.least(one, two) - wide - size * 1e-9, size), _tile(F.greatest(one, two) + wide + size * 1e-9, size))
+    return rows.withColumn("tile_x", F.explode(span))
+
+
+def parity_rows(edges: DataFrame, key: str, size: float) -> DataFrame:
+    """Rows that decide what is inside, by tile: the edges in it, and one without an edge if its lower
+    left corner is inside."""
+    ax, ay, bx, by = map(F.col, _ENDS)
+    own = through_tiles(edges, _ENDS, size).select(F.col(key).alias("of"), "tile_x", "tile_y", *_ENDS)
+    rows = edges.withColumn("row", F.explode(F.sequence(_tile(F.least(ay, by), size), _tile(F.greatest(ay, by), size) + 1)))
+    y = _line(F.col("row"), size)
+    crossed = rows.where((ay > y) != (by > y)).select(F.col(key).alias("of"), "row", _tile(ax + (y - ay) / (by - ay) * (bx - ax), size).alias("column"))
+    odd = crossed.groupBy("of", "row", "column").agg((F.count("*") % 2).alias("turns")).where("turns = 1")
+    along = Window.partitionBy("of", "row").orderBy("column")  # the crossings of one polygon with one row
+    gaps = odd.select("of", "row", "column", (F.row_number().over(along) % 2).alias("inside"), F.lead("column").over(along).alias("next")).where("inside = 1 AND next IS NOT NULL")
+    none = [F.lit(None).cast("double").alias(c) for c in _ENDS]
+    corners = gaps.select("of", F.explode(F.sequence(F.col("column") + 1, F.col("next"))).alias("tile_x"), F.col("row").alias("tile_y"), *none)
+    return own.unionByName(corners)
+
+
+def _turns(x: Column, y: Column, size: float) -> Column:
+    """How often a row of ``parity_rows`` turns a point of its tile from outside to inside or back."""
+    ax, ay, bx, by = map(F.col, _ENDS)
+    bottom = _line(F.col("tile_y"), size)
+    across = ax + F.try_divide(bottom - ay, by - ay) * (bx - ax)
+    below = ((ay > bottom) != (by > bottom)) & (_tile(across, size) >= F.col("tile_x")) & (across <= x)
+    up = ay + F.try_divide(x - ax, bx - ax) * (by - ay)
+    beside = ((ax > x) != (bx > x)) & (up > bottom) & (up < y)
+    count = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    return F.when(ax.isNull(), 1).otherwise(count(below) + count(beside))
+
+
+def _on_edge(x: Column, y: Column) -> Column:
+    """Whether a point is exactly on a row's edge."""
+    ax, ay, bx, by = map(F.col, _ENDS)
+    flat = (bx - ax) * (y - ay) - (by - ay) * (x - ax) == 0
+    return F.coalesce(flat & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by)), F.lit(False)).cast("int")
+
+
+def _inside(points: DataFrame, keys: list[str], x: str, y: str, parity: DataFrame, size: float, *, polygon: str | None = None, boundary: bool = True) -> DataFrame:
+    """``keys`` and ``of``: the polygons that each point is in (of a point with a ``polygon``, only that)."""
+    placed = points.select(F.struct(*keys).alias("__keys"), *([F.col(polygon).alias("__own")] if polygon else []), F.col(x).alias("__x"), F.col(y).alias("__y"), _tile(F.col(x), size).alias("__tx"), _tile(F.col(y), size).alias("__ty"))
+    on = [F.col("__tx") == F.col("tile_x"), F.col("__ty") == F.col("tile_y")] + ([F.col("__own") == F.col("of")] if polygon else [])
+    px, py = F.col("__x"), F.col("__y")
+    counted = placed.join(parity, on).groupBy("__keys", "of").agg(F.sum(_turns(px, py, size)).alias("turns"), F.max(_on_edge(px, py) if boundary else F.lit(0)).alias("edge"))
+    return counted.where("turns % 2 = 1 OR edge = 1").select("__keys.*", "of")
+
+
+def points_in_polygons(points: DataFrame, point_key: str, polygons: DataFrame, key: str, size: float, *, x: str = "x", y: str = "y") -> DataFrame:
+    """``point_key`` and ``key``: which points are in which polygons (``rings``), their boundaries included.
+
+    Points with a null coordinate are in none; a polygon that is null or empty has none.
+    """
+    parity = parity_rows(polygon_edges(polygons, key), key, size)
+    found = _inside(points.where(F.col(x).isNotNull() & F.col(y).isNotNull()), [point_key], x, y, parity, size)
+    return found.withColumnRenamed("of", key)
+
+
+def segments_in_polygons(segments: DataFrame, keys: list[str], polygons: DataFrame, key: str, size: float) -> DataFrame:
+    """``keys`` (of a segment), ``key`` (of a polygon), ``low`` and ``high``: the parts of each segment
+    (``x1``, ``y1``, ``x2``, ``y2``) in each polygon (``rings``), as shares of the segment's length.
+
+    A part along an edge is inside, as the boundary belongs to a polygon.  Parts that touch are
+    one; parts without length are left out; a segment of no length has none; a null polygon or end
+    meets nothing.  The segment is cut wherever it meets an edge, and each piece is in the polygon if it
+    runs along an edge or its middle is inside, so a crossing at a corner counts once or twice
+    without harm.
     """
-    bounds = [F.least("x1", "x2"), F.least("y1", "y2"), F.greatest("x1", "x2"), F.greatest("y1", "y2")]
-    pairs = meeting(segments.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL"), bounds, polygons.where("ring IS NOT NULL"), ring_bounds(F.col("ring")), size)
-    part = geometry.clip_parameters(*[F.col(f"a.{c}") for c in ("x1", "y1", "x2", "y2")], F.col("b.ring"))
-    return pairs.withColumn("part", part).where("part IS NOT NULL").select("a.*", "b.*", "part.low", "part.high")
+    named = [f"__k{i}" for i in range(len(keys))]
+    own = segments.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    own = own.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL AND (x1 <> x2 OR y1 <> y2)")
+    edges = polygon_edges(polygons, key)
+    parity = parity_rows(edges, key, size)
+    met = through_tiles(own, ("x1", "y1", "x2", "y2"), size).withColumnsRenamed({"tile_x": "__tx", "tile_y": "__ty"})
+    passed = through_tiles(edges, _ENDS, size).withColumnRenamed(key, "of")
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    fx, fy = F.col("ax") - F.col("x1"), F.col("ay") - F.col("y1")  # from the segment's own start: large coordinates lose nothing
+    turn = dx * ey - dy * ex
+    square = dx * dx + dy * dy
+    near = TOLERANCE * F.greatest(F.lit(1.0), F.abs("x1"), F.abs("y1"), F.abs("ax"), F.abs("ay"))
+    apart = lambda px, py: F.abs(dx * py - dy * px) / F.sqrt(square)
+    along = (apart(fx, fy) <= near) & (apart(fx + ex, fy + ey) <= near)
+    t, u = F.try_divide(fx * ey - fy * ex, turn), F.try_divide(fx * dy - fy * dx, turn)
+    a, b = (fx * dx + fy * dy) / square, ((fx + ex) * dx + (fy + ey) * dy) / square
+    clamp = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    start, stop = clamp(F.least(a, b)), clamp(F.greatest(a, b))
+    crossing = t.between(-1e-9, 1 + 1e-9) & u.between(-1e-9, 1 + 1e-9)
+    met_edges = met.join(passed, [F.col("__tx") == F.col("tile_x"), F.col("__ty") == F.col("tile_y"), (along & (start < stop)) | F.coalesce(crossing, F.lit(False))])
+    # A pair in several tiles gives the same rows again: they are a set.
+    touched = met_edges.select(*named, "x1", "y1", "x2", "y2", "of", F.when(along, start).otherwise(clamp(t)).alias("t"), F.when(along, stop).alias("along_to")).distinct()
+    ends = F.array(F.lit(0.0), F.lit(1.0), F.col("t"), F.coalesce("along_to", F.col("t")))
+    line = [*named, "x1", "y1", "x2", "y2", "of"]
+    ordered = Window.partitionBy(*named, "of").orderBy("t")  # the crossings of one segment with one polygon
+    places = touched.select(*line, F.explode(ends).alias("t")).distinct()
+    pieces = places.select(*line, F.col("t").alias("low"), F.lead("t").over(ordered).alias("high")).where("high - low > 1e-12")
+    runs = touched.where("along_to IS NOT NULL").groupBy(*named, "of").agg(F.collect_set(F.struct(F.col("t").alias("a"), F.col("along_to").alias("b"))).alias("runs"))
+    same = [F.col(c).eqNullSafe(F.col(f"r{c}")) for c in (*named, "of")]
+    marked = pieces.join(runs.withColumnsRenamed({c: f"r{c}" for c in (*named, "of")}), same, "left").withColumn("middle", (F.col("low") + F.col("high")) / 2)
+    on_edge = F.coalesce(F.exists("runs", lambda r: (r["a"] <= F.col("middle")) & (F.col("middle") <= r["b"])), F.lit(False))
+    pieces = marked.select(*named, "of", "low", "high", on_edge.alias("on_edge"), (F.col("x1") + F.col("middle") * (F.col("x2") - F.col("x1"))).alias("mx"), (F.col("y1") + F.col("middle") * (F.col("y2") - F.col("y1"))).alias("my"))
+    kept = [*named, "low", "high"]
+    within = _inside(pieces.where("NOT on_edge").withColumnRenamed("of", "with"), kept, "mx", "my", parity, size, polygon="with", boundary=False)
+    whole = _inside(own.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2}), named, "mx", "my", parity, size, boundary=False)
+    alone = whole.join(touched.select(*[F.col(c).alias(f"r{c}") for c in (*named, "of")]).distinct(), same, "left_anti")
+    parts = within.select(*named, "of", "low", "high").unionByName(pieces.where("on_edge").select(*named, "of", "low", "high")).unionByName(alone.select(*named, "of", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")))
+    joined = merged_parts(parts, [*named, "of"])
+    return joined.select(*[F.col(n).alias(k) for n, k in zip(named, keys, strict=True)], F.col("of").alias(key), "low", "high")
 
 
-def points_near_polygons(points: DataFrame, polygons: DataFrame, metres: float, size: float) -> DataFrame:
-    """All columns of both with ``metres_apart``, for points (``lon``, ``lat``) no further than
-    ``metres`` from a polygon.
+def merged_parts(parts: DataFrame, keys: list[str], tolerance: float = 1e-12) -> DataFrame:
+    """``keys``, ``low``, ``high``: parts of one key that touch or overlap become one."""
+    ordered = Window.partitionBy(*keys).orderBy("low", "high")
+    reach = F.max("high").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    apart = parts.select(*keys, "low", "high", F.when(F.col("low") <= reach + tolerance, 0).otherwise(1).alias("new"))
+    grouped = apart.withColumn("island", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy(*keys, "island").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("island")
+
+
+def points_near_polygons(points: DataFrame, point_key: str, polygons: DataFrame, key: str, metres: float, size: float, *, beyond: float = 10.0) -> DataFrame:
+    """``point_key``, ``key``, ``metres_apart``: points (``lon``, ``lat``) no further than ``metres`` from a
+    polygon (``rings``); zero inside and on the boundary.
 
     Distances are those of the plane that touches the sphere at the point (for distances of a
-    few kilometres, up to 89 degrees of latitude; the line of 180 degrees is not crossed).
+    few kilometres, up to 89 degrees of latitude).  A polygon over the line of 180 degrees goes on behind it,
+    up to ``beyond`` degrees: points so near that line are looked for on both sides.  Each edge is dealt to the tiles within
+    reach, and the nearest edge counts.
     """
     degree = EARTH_RADIUS_M * 3.141592653589793 / 180
     tall = metres / degree
-    west, south, east, north = ring_bounds(F.col("ring"))
-    outermost = F.least(F.lit(89.0), F.greatest(F.abs(south), F.abs(north)) + tall)
-    wide = tall / F.cos(F.radians(outermost))
-    margin = F.lit(1e-9)
-    bounds = [west - wide - margin, south - tall - margin, east + wide + margin, north + tall + margin]
-    pairs = meeting(points.where("lon IS NOT NULL AND lat IS NOT NULL"), [F.col("lon"), F.col("lat"), F.col("lon"), F.col("lat")], polygons.where("ring IS NOT NULL"), bounds, size)
-    apart = geometry.ring_distance(F.col("a.lon"), F.col("a.lat"), F.col("b.ring"), F.cos(F.radians("a.lat")) * degree, F.lit(degree))
-    return pairs.withColumn("metres_apart", apart).where(F.col("metres_apart") <= metres).select("a.*", "b.*", "metres_apart")
-
-
-def shared_boundaries(polygons: DataFrame, key: str, piece: float, tolerance: float = 1e-9) -> DataFrame:
-    """``left``, ``right`` (left < right) and ``shared``: the length of the boundary that two
-    polygons (``ring``) have in common, if it is more than ``tolerance``.
-
-    Edges on one straight line meet in an equal join on that line (direction and offset, to
-    nine places) and on the pieces of it that they touch, so that a long line is no hot key.
+    edges = polygon_edges(polygons, key)
+    outermost = F.least(F.lit(89.0), F.greatest(F.abs("ay"), F.abs("by")) + tall)
+    reach = through_tiles(edges, _ENDS, size, wide=tall / F.cos(F.radians(outermost)) + 1e-9, tall=tall + 1e-9).withColumnRenamed(key, "of")
+    known = points.where("lon IS NOT NULL AND lat IS NOT NULL").select(F.col(point_key).alias("__p"), F.explode(_both_sides(F.col("lon"), F.col("lat"), tall, beyond)).alias("x"), F.col("lat").alias("y"))
+    placed = known.select("*", _tile(F.col("x"), size).alias("__tx"), _tile(F.col("y"), size).alias("__ty"))
+    across = F.cos(F.radians("y")) * degree
+    ax, ay, bx, by = ((F.col(c) - F.col(o)) * s for c, o, s in zip(_ENDS, ("x", "y", "x", "y"), (across, F.lit(degree)) * 2, strict=True))
+    ex, ey = bx - ax, by - ay
+    w = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(-(ax * ex + ay * ey), ex * ex + ey * ey), F.lit(0.0))))
+    apart = F.hypot(ax + w * ex, ay + w * ey)
+    near = placed.join(reach, [F.col("__tx") == F.col("tile_x"), F.col("__ty") == F.col("tile_y"), apart <= metres]).select("__p", "of", apart.alias("m"))
+    inside = _inside(known, ["__p"], "x", "y", parity_rows(edges, key, size), size).select("__p", "of", F.lit(0.0).alias("m"))
+    return near.unionByName(inside).groupBy(F.col("__p").alias(point_key), F.col("of").alias(key)).agg(F.min("m").alias("metres_apart"))
+
+
+def _both_sides(lon: Column, lat: Column, tall: float, beyond: float) -> Column:
+    """A longitude, and the same place on the other side of 180 degrees if that may be within reach."""
+    wide = beyond + tall / F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat) + tall)))
+    return F.when(F.abs(lon) >= 180 - wide, F.array(lon, F.when(lon > 0, lon - 360).otherwise(lon + 360))).otherwise(F.array(lon))
+
+
+def shared_boundaries(polygons: DataFrame, key: str, size: float, tolerance: float = TOLERANCE) -> DataFrame:
+    """``left``, ``right`` (left < right) and ``shared``: the length of the boundary that two polygons
+    (``rings``) have in common, if it is more than zero.
+
+    Edges meet in the tiles that they pass and in their class of direction or one next to it (edges
+    too short to have a sure direction are in all).  The join's condition is exact: both ends of the shorter
+    edge lie on the longer one's line within ``tolerance`` (a share of the coordinates' size), measured
+    from that edge's own end, and their extents overlap by more than that.  A pair of edges that meets in
+    several tiles counts in the one that the middle of the common part is in.
     """
-    line = polygons.where("ring IS NOT NULL").select(F.col(key).alias("key"), F.inline(geometry.edges(F.col("ring"))))
-    size = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
-    line = line.withColumn("size", size).where("size > 0")
-    turn = F.when((F.col("bx") < F.col("ax")) | ((F.col("bx") == F.col("ax")) & (F.col("by") < F.col("ay"))), -1.0).otherwise(1.0)
-    ux, uy = turn * (F.col("bx") - F.col("ax")) / F.col("size"), turn * (F.col("by") - F.col("ay")) / F.col("size")
-    placed = line.select("key", "ax", "ay", "bx", "by", ux.alias("ux"), uy.alias("uy")).select(
-        "key", F.round("ux", 9).alias("dx"), F.round("uy", 9).alias("dy"), F.round(F.col("ux") * F.col("ay") - F.col("uy") * F.col("ax"), 9).alias("off"),
-        (F.col("ux") * F.col("ax") + F.col("uy") * F.col("ay")).alias("s"), (F.col("ux") * F.col("bx") + F.col("uy") * F.col("by")).alias("t"),
-    )
-    spans = placed.select("key", "dx", "dy", "off", F.least("s", "t").alias("low"), F.greatest("s", "t").alias("high"))
-    tiles = spans.withColumn("first", F.floor(F.col("low") / piece)).withColumn("tile", F.explode(F.sequence(F.floor(F.col("low") / piece), F.floor(F.col("high") / piece))))
-    one, two = (tiles.withColumnsRenamed({c: f"{side}_{c}" for c in tiles.columns}) for side in "ab")
-    on = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in ("dx", "dy", "off", "tile")]
-    on += [F.col("a_key") < F.col("b_key"), F.col("a_low") < F.col("b_high"), F.col("b_low") < F.col("a_high"), F.col("a_tile") == F.greatest("a_first", "b_first")]
-    common = F.least("a_high", "b_high") - F.greatest("a_low", "b_low")
-    pairs = one.join(two, on).groupBy(F.col("a_key").alias("left"), F.col("b_key").alias("right")).agg(F.sum(common).alias("shared"))
-    return pairs.where(F.col("shared") > tolerance)
+    edges = polygon_edges(polygons, key)
+    near = F.greatest(F.lit(1.0), F.abs("ax"), F.abs("ay"), F.abs("bx"), F.abs("by")) * tolerance
+    sized = edges.select(F.col(key).alias("of"), *_ENDS, F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("length"), near.alias("near"))
+    angle = F.pmod(F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")), F.lit(3.141592653589793))
+    direction = F.least(F.lit(DIRECTIONS - 1), F.floor(angle / 3.141592653589793 * DIRECTIONS)).cast("int")
+    unsure = F.col("length") < 4 * DIRECTIONS * F.col("near")
+    all_of_them = F.sequence(F.lit(0), F.lit(DIRECTIONS - 1))
+    tiles = through_tiles(sized, _ENDS, size, wide=F.col("near"), tall=F.col("near"))
+    spread = lambda sure: F.explode(F.when(unsure, all_of_them).otherwise(sure))
+    beside = F.array_distinct(F.array(*[F.pmod(direction + k, F.lit(DIRECTIONS)).cast("int") for k in (-1, 0, 1)]))
+    one = tiles.select("*", spread(F.array(direction)).alias("class"), (~unsure).alias("sure"))
+    two = tiles.select("*", spread(beside).alias("class"), direction.alias("own"))
+    a, b = (df.withColumnsRenamed({c: f"{s}_{c}" for c in df.columns}) for df, s in ((one, "a"), (two, "b")))
+
+    def line(side: str, other: str) -> tuple[Column, Column, Column]:
+        """How far the other edge is from this one's line, and where its ends are along it."""
+        ux, uy = (F.col(f"{side}_bx") - F.col(f"{side}_ax")) / F.col(f"{side}_length"), (F.col(f"{side}_by") - F.col(f"{side}_ay")) / F.col(f"{side}_length")
+        ends = [(F.col(f"{other}_{e}x") - F.col(f"{side}_ax"), F.col(f"{other}_{e}y") - F.col(f"{side}_ay")) for e in "ab"]
+        places = [ux * x + uy * y for x, y in ends]
+        return F.greatest(*[F.abs(ux * y - uy * x) for x, y in ends]), F.least(*places), F.greatest(*places)
+
+    # The longer edge's line is the surer one.
+    off, start, stop = line("a", "b")
+    off = F.when(F.col("a_length") >= F.col("b_length"), off).otherwise(line("b", "a")[0])
+    limit = F.greatest("a_near", "b_near")
+    low, high = F.greatest(F.lit(0.0), start), F.least(F.col("a_length"), stop)
+    share = (low + high) / 2 / F.col("a_length")
+    here = [_tile(F.col(f"a_a{c}") + share * (F.col(f"a_b{c}") - F.col(f"a_a{c}")), size) == F.col(f"a_tile_{c}") for c in "xy"]
+    # An unsure edge is in all classes: its pair counts in the second edge's own one.
+    once = F.col("a_sure") | (F.col("a_class") == F.col("b_own"))
+    on = [F.col("a_tile_x") == F.col("b_tile_x"), F.col("a_tile_y") == F.col("b_tile_y"), F.col("a_class") == F.col("b_class"), F.col("a_of") < F.col("b_of")]
+    pairs = a.join(b, [*on, off <= limit, high - low > limit, *here, once])
+    return pairs.groupBy(F.col("a_of").alias("left"), F.col("b_of").alias("right")).agg(F.sum(high - low).alias("shared"))
 
 
 def covered_share(parts: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``covered``: the share of each segment that the union of its parts (``low``,
     ``high``) covers.  A segment's parts are as many as the polygons it meets."""
-    from pyspark.sql import Window
-
     ordered = Window.partitionBy(*keys).orderBy("low", "high")
     before = F.coalesce(F.max("high").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     new = parts.withColumn("gain", F.greatest(F.lit(0.0), F.col("high") - F.greatest("low", before)))

@@ -71,6 +71,17 @@ class Tables:
         )
 
 
+def bricks(df: DataFrame, key: str, columns: int, place=lambda x, y: (x, y)) -> DataFrame:
+    """``cell_id`` and ``rings``: the keys as a wall of bricks of unit size, every second column half a brick
+    higher, each corner where ``place`` puts it."""
+    west, south = (F.col(key) % columns).cast("double"), F.floor(F.col(key) / columns) + 0.5 * (F.col(key) % columns % 2)
+    ring = []
+    for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)):
+        x, y = place(west + dx, south + dy)
+        ring.append(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))
+    return df.select(F.col(key).alias("cell_id"), F.array(F.array(*ring)).alias("rings"))
+
+
 #: Directions of the five metrics, and whether a metric's gate is passed.
 METRICS = (("returned", "HIGHER", "PASS_REVIEW"), ("discount", "LOWER", "PASS_REVIEW"), ("price", "HIGHER", "PENDING"), ("quantity", "LOWER", "PASS_SOURCE"), ("age", "HIGHER", "PASS_"))
 

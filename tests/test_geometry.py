@@ -3,14 +3,13 @@
 import math
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from geotally.functions import geometry as g
-from geotally.operators.polygons import covered_share, points_near_polygons, segments_in_polygons, shared_boundaries
 from geotally.operators.spatial_joins import points_near_boxes
 
 RING = "array<struct<x:double,y:double>>"
+RINGS = f"array<{RING}>"
 
 
 def kite(rng, cx, cy, size):
@@ -58,31 +57,6 @@ def test_measures_along_a_line(spark):
     assert len(whole.s) == 3 and whole.end == 1.0 and none.end is None
 
 
-def test_clipping(spark):
-    rng = random.Random(1)
-    polygons = [(i, kite(rng, rng.uniform(0, 100), rng.uniform(0, 100), 12)) for i in range(40)]
-    segments = [(i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(60)]
-    segments = [(i, x, y, x + rng.uniform(-30, 30), y + rng.uniform(-30, 30)) for i, x, y in segments] + [(100, 5.0, 5.0, 5.0, 5.0), (101, None, 0.0, 1.0, 1.0)]
-    df, shapes = spark.createDataFrame(segments, "source_id int, x1 double, y1 double, x2 double, y2 double"), spark.createDataFrame([*polygons, (99, None)], f"polygon_id int, ring {RING}")
-    for size in (7.0, 50.0):
-        parts = segments_in_polygons(df, shapes, size)
-        found = {(r.source_id, r.polygon_id): (r.low, r.high) for r in parts.collect()}
-        assert len(found) == parts.count()
-        for i, x1, y1, x2, y2 in segments[:60]:
-            for k, ring in polygons:
-                steps = [t / 400 for t in range(401)]
-                hits = [t for t in steps if inside(ring, x1 + t * (x2 - x1), y1 + t * (y2 - y1))]
-                if hits:
-                    low, high = found[i, k]
-                    assert abs(low - hits[0]) < 0.003 and abs(high - hits[-1]) < 0.003
-                elif (i, k) in found:
-                    assert found[i, k][1] - found[i, k][0] < 0.003
-    covered = {r.source_id: r.covered for r in covered_share(parts, ["source_id"]).collect()}
-    for i, x1, y1, x2, y2 in segments[:60]:
-        share = sum(any(inside(r, x1 + t * (x2 - x1), y1 + t * (y2 - y1)) for _, r in polygons) for t in steps) / len(steps)
-        assert abs(covered.get(i, 0) - share) < 0.02
-
-
 def test_rings_cut_to_boxes(spark):
     rng = random.Random(2)
     polygons = [(i, kite(rng, rng.uniform(0, 10), rng.uniform(0, 10), 4)) for i in range(30)]
@@ -99,24 +73,6 @@ def test_rings_cut_to_boxes(spark):
             assert abs(found[i].c.x - sum(x for x, _ in hits) / len(hits)) < 0.05 and abs(found[i].c.y - sum(y for _, y in hits) / len(hits)) < 0.05
 
 
-def test_points_near_polygons(spark):
-    rng = random.Random(3)
-    for lat in (25.0, -70.0):
-        polygons = [(i, kite(rng, 121.5 + rng.uniform(0, 0.05), lat + rng.uniform(0, 0.05), 0.003)) for i in range(15)]
-        points = [(i, 121.5 + rng.uniform(-0.02, 0.07), lat + rng.uniform(-0.02, 0.07)) for i in range(300)]
-        want = set()
-        for i, x, y in points:
-            kx, ky = math.cos(math.radians(y)) * 6371010.0 * math.pi / 180, 6371010.0 * math.pi / 180
-            for k, ring in polygons:
-                d = min(segment_distance(0, 0, (ax - x) * kx, (ay - y) * ky, (bx - x) * kx, (by - y) * ky) for (ax, ay), (bx, by) in zip(ring, ring[1:], strict=False))
-                if inside(ring, x, y) or d <= 250:
-                    want.add((i, k))
-        df, shapes = spark.createDataFrame(points, "point_id int, lon double, lat double"), spark.createDataFrame(polygons, f"polygon_id int, ring {RING}")
-        for size in (0.002, 0.05):
-            found = [(r.point_id, r.polygon_id) for r in points_near_polygons(df, shapes, 250.0, size).collect()]
-            assert len(found) == len(set(found)) and set(found) == want
-
-
 def test_points_near_boxes_at_any_latitude(spark):
     boxes = spark.createDataFrame([(1, 10.0, 80.0, 10.1, 80.1), (2, 179.95, 10.0, 179.999, 10.1), (3, -179.999, -60.1, -179.9, -60.0), (4, 0.0, 89.99, 1.0, 89.999)], "box_id int, west double, south double, east double, north double")
     points = [(1, 10.115, 80.05), (2, 10.13, 80.05), (3, -179.9995, 10.05), (4, 179.9995, -60.05), (5, 170.0, 89.9995), (6, 0.5, 89.995), (7, 10.05, 80.05)]
@@ -136,23 +92,3 @@ def test_points_near_boxes_at_any_latitude(spark):
     for size in (0.02, 0.5):
         found = [(r.point_id, r.box_id) for r in points_near_boxes(df, boxes, 300.0, size).collect()]
         assert len(found) == len(set(found)) and set(found) == want, size
-
-
-def test_shared_boundaries(spark):
-    square = lambda x, y, s=1.0: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)]
-    triangle = [(0.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]
-    polygons = [(1, square(0.0, 0.0, 10.0)), (2, square(10.0, 9.0)), (3, square(10.0, 2.5)), (4, square(3.0, 10.0, 2.0)), (5, square(10.0, 10.0)), (6, [(100 + x, y) for x, y in triangle]), (7, [(100.0, 0.0), (101.0, 0.0), (101.0, 1.0), (100.0, 0.0)])]
-    df = spark.createDataFrame([*polygons, (9, None)], f"k int, ring {RING}")
-    for piece in (0.7, 100.0):
-        found = {(r.left, r.right): round(r.shared, 6) for r in shared_boundaries(df, "k", piece).collect()}
-        assert found == {(1, 2): 1.0, (1, 3): 1.0, (1, 4): 2.0, (2, 5): 1.0, (6, 7): round(math.sqrt(2), 6)}
-
-
-@pytest.mark.parametrize("join", ["segments", "points"])
-def test_empty_tables(spark, join):
-    shapes = spark.createDataFrame([], f"polygon_id int, ring {RING}")
-    if join == "segments":
-        df = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], "source_id int, x1 double, y1 double, x2 double, y2 double")
-        assert segments_in_polygons(df, shapes, 1.0).collect() == []
-    else:
-        assert points_near_polygons(spark.createDataFrame([(1, 0.0, 0.0)], "point_id int, lon double, lat double"), shapes, 10.0, 1.0).collect() == []
