@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geotally.plans import contracts, evaluation, geometry, ingest, layers, network, serving, spatial, streams  # noqa: F401
+from geotally.plans import contracts, evaluation, geometry, ingest, layers, network, pipes, serving, spatial, streams  # noqa: F401
 from geotally.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES", "flagship"]

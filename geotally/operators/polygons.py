@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from geotally.functions import geometry
 from geotally.functions.spatial import EARTH_RADIUS_M
+from geotally.storage import cut
 
 #: Where grid lines are within a tile, so that corners of polygons don't lie on them.
 OFFSET = 0.3819660112501051
@@ -126,8 +127,9 @@ def segments_in_polygons(segments: DataFrame, keys: list[str], polygons: DataFra
     named = [f"__k{i}" for i in range(len(keys))]
     own = segments.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
     own = own.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL AND (x1 <> x2 OR y1 <> y2)")
+    # Written once: what is read several times below.
     edges = polygon_edges(polygons, key)
-    parity = parity_rows(edges, key, size)
+    parity = cut(parity_rows(edges, key, size))
     met = through_tiles(own, ("x1", "y1", "x2", "y2"), size).withColumnsRenamed({"tile_x": "__tx", "tile_y": "__ty"})
     passed = through_tiles(edges, _ENDS, size).withColumnRenamed(key, "of")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
@@ -145,7 +147,7 @@ def segments_in_polygons(segments: DataFrame, keys: list[str], polygons: DataFra
     crossing = t.between(-1e-9, 1 + 1e-9) & u.between(-1e-9, 1 + 1e-9)
     met_edges = met.join(passed, [F.col("__tx") == F.col("tile_x"), F.col("__ty") == F.col("tile_y"), (along & (start < stop)) | F.coalesce(crossing, F.lit(False))])
     # A pair in several tiles gives the same rows again: they are a set.
-    touched = met_edges.select(*named, "x1", "y1", "x2", "y2", "of", F.when(along, start).otherwise(clamp(t)).alias("t"), F.when(along, stop).alias("along_to")).distinct()
+    touched = cut(met_edges.select(*named, "x1", "y1", "x2", "y2", "of", F.when(along, start).otherwise(clamp(t)).alias("t"), F.when(along, stop).alias("along_to")).distinct())
     ends = F.array(F.lit(0.0), F.lit(1.0), F.col("t"), F.coalesce("along_to", F.col("t")))
     line = [*named, "x1", "y1", "x2", "y2", "of"]
     ordered = Window.partitionBy(*named, "of").orderBy("t")  # the crossings of one segment with one polygon
@@ -155,7 +157,7 @@ def segments_in_polygons(segments: DataFrame, keys: list[str], polygons: DataFra
     same = [F.col(c).eqNullSafe(F.col(f"r{c}")) for c in (*named, "of")]
     marked = pieces.join(runs.withColumnsRenamed({c: f"r{c}" for c in (*named, "of")}), same, "left").withColumn("middle", (F.col("low") + F.col("high")) / 2)
     on_edge = F.coalesce(F.exists("runs", lambda r: (r["a"] <= F.col("middle")) & (F.col("middle") <= r["b"])), F.lit(False))
-    pieces = marked.select(*named, "of", "low", "high", on_edge.alias("on_edge"), (F.col("x1") + F.col("middle") * (F.col("x2") - F.col("x1"))).alias("mx"), (F.col("y1") + F.col("middle") * (F.col("y2") - F.col("y1"))).alias("my"))
+    pieces = cut(marked.select(*named, "of", "low", "high", on_edge.alias("on_edge"), (F.col("x1") + F.col("middle") * (F.col("x2") - F.col("x1"))).alias("mx"), (F.col("y1") + F.col("middle") * (F.col("y2") - F.col("y1"))).alias("my")))
     kept = [*named, "low", "high"]
     within = _inside(pieces.where("NOT on_edge").withColumnRenamed("of", "with"), kept, "mx", "my", parity, size, polygon="with", boundary=False)
     whole = _inside(own.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2}), named, "mx", "my", parity, size, boundary=False)

@@ -82,40 +82,7 @@ def length_ratio_flags(t: Tables) -> DataFrame:
     return sums.withColumn("mismatch", scalars.length_mismatch(F.col("reported"), F.col("measured")))
 
 
-# --- classes of sources and cells ---------------------------------------------------------------
-
-# The terminal classes of a source in the order of their precedence.
-TERMINAL = (
-    "SOURCE_ROW_INACTIVE", "GEOMETRY_NULL", "GEOMETRY_TYPE_UNSUPPORTED", "GEOMETRY_EMPTY_OR_INVALID", "COLLAPSED_ELEMENTARY_EDGE",
-    "OUTSIDE_OR_GAPPED_CELL_UNIVERSE", "POSITIVE_LENGTH_BOUNDARY_OVERLAP", "NONUNIQUE_TRAVERSAL", "ADMITTED",
-)
-
-
-def first_match(*rules) -> F.Column:
-    """The first class whose condition holds (null counts as not holding), else the last class."""
-    out = None
-    for name, condition in zip(TERMINAL, rules, strict=False):
-        holds = F.coalesce(condition, F.lit(False))
-        out = F.when(holds, name) if out is None else out.when(holds, name)
-    return out.otherwise(TERMINAL[-1])
-
-
-@query(f"""WITH lines AS (SELECT l_orderkey AS k, count(*) AS n, bool_or(l_suppkey * 31 % 1000 = l_partkey % 1000) AS collapsed, bool_or(l_partkey % 97 = 0) AS outside, bool_or(l_discount = 0 AND l_tax = 0) AS overlap,
-  count(*) - count(DISTINCT (l_linenumber, l_suppkey)) AS repeats FROM lineitem GROUP BY 1)
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' AND o_totalprice < 100000 THEN '{TERMINAL[0]}' WHEN k IS NULL THEN '{TERMINAL[1]}' WHEN o_orderkey % 29 = 0 THEN '{TERMINAL[2]}' WHEN n = 1 THEN '{TERMINAL[3]}' WHEN collapsed THEN '{TERMINAL[4]}'
-  WHEN outside THEN '{TERMINAL[5]}' WHEN overlap THEN '{TERMINAL[6]}' WHEN repeats > 0 THEN '{TERMINAL[7]}' ELSE '{TERMINAL[8]}' END AS terminal_class FROM orders LEFT JOIN lines ON k = o_orderkey""")
-def terminal_classes(t: Tables) -> DataFrame:
-    """Exactly one of nine classes for every source: the first rule that holds, and what no rule
-    names is admitted.  All rules about lines are one grouping."""
-    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("k"), "l_linenumber", "l_suppkey").agg(
-        F.count("*").alias("m"), F.bool_or(F.col("l_suppkey") * 31 % 1000 == F.col("l_partkey") % 1000).alias("collapsed"), F.bool_or(F.col("l_partkey") % 97 == 0).alias("outside"),
-        F.bool_or((F.col("l_discount") == 0) & (F.col("l_tax") == 0)).alias("overlap"),
-    ).groupBy("k").agg(F.sum("m").alias("n"), F.max("m").alias("most"), *[F.bool_or(c).alias(c) for c in ("collapsed", "outside", "overlap")])
-    joined = t.orders.join(lines, F.col("k") == F.col("o_orderkey"), "left")
-    inactive = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 100000)
-    found = first_match(inactive, F.col("k").isNull(), F.col("o_orderkey") % 29 == 0, F.col("n") == 1, F.col("collapsed"), F.col("outside"), F.col("overlap"), F.col("most") > 1)
-    return joined.select("o_orderkey", found.alias("terminal_class"))
-
+# --- states of cells -----------------------------------------------------------------------------
 
 # The support states of a cell in the order of their precedence.
 SUPPORT = ("SELF_ONLY", "GENERIC_ADJACENCY_ONLY", "SEWER_ATTRIBUTE_MISSING", "NO_ELIGIBLE_SEWER_NEIGHBOR", "METRIC_SEWER_SUPPORTED")
@@ -207,7 +174,7 @@ def served_states(t: Tables) -> DataFrame:
     flags = "struct<run_id:string,use_state:string,evidence_state:string,operational_use:string,public_release_ready:boolean,operational_use_ready:boolean>"
     made = [("r1", "INTERNAL_SIMULATION_ONLY", "NO_TRUSTED_RESULT", "PROHIBITED", False, False), ("r0", "PUBLIC", "NO_TRUSTED_RESULT", "PROHIBITED", True, False)]
     rows = F.array(*[F.struct(*map(F.lit, r)) for r in made]).cast(f"array<{flags}>")
-    receipts = t.region.limit(1).select(F.inline(rows))
+    receipts = t.spark.range(1).select(F.inline(rows))
     return served(receipts, maps, states, ["run_id", "scenario", "step", "cell_id"]).select("run_id", "scenario", "step", "cell_id", "kind", F.round(F.col("mass").cast("double"), 6).alias("mass"))
 
 

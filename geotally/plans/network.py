@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from geotally.functions import exact
 from geotally.functions.scalars import digest_tree, fixed_decimal
+from geotally.operators.census import TERMINAL, first_match
 from geotally.operators.components import components
 from geotally.operators.links import both_ways, overlapping, restart_walk, transition_units, visits_to_links
-from geotally.plans.base import SQL_METRICS, Tables
+from geotally.operators.polygons import shared_boundaries
+from geotally.plans.base import SQL_METRICS, Tables, bricks
 from geotally.plans.layers import metric_index
 from geotally.plans.registry import query
 from geotally.storage import cut
@@ -25,7 +27,7 @@ ORDER = ["l_linenumber", "l_partkey", "l_extendedprice"]
 
 def scenario_table(t: Tables) -> DataFrame:
     rows = F.array(*[F.struct(F.lit(s).alias("scenario"), F.lit(a).cast("decimal(13,12)").alias("link_bucket"), F.lit(b).cast("decimal(13,12)").alias("generic_bucket"), F.lit(u).alias("uniform")) for s, a, b, u in SCENARIOS])
-    return t.region.limit(1).select(F.inline(rows))
+    return t.spark.range(1).select(F.inline(rows))
 
 
 def network_cells(t: Tables) -> DataFrame:
@@ -63,14 +65,12 @@ def interval_overlap_selfjoin(t: Tables) -> DataFrame:
     return _overlaps(t)
 
 
-CLASSES = ("SOURCE_INACTIVE", "GEOMETRY_EMPTY", "COLLAPSED_EDGE", "INTERVAL_OVERLAP", "NONUNIQUE_TRAVERSAL", "ADMITTED")
-
 SQL_CLASSES = f"""{SQL_OVERLAPS}, classified AS (
   SELECT o_orderkey AS source_id, CASE
-    WHEN o_orderstatus = 'F' AND o_totalprice < 100000 THEN 'SOURCE_INACTIVE'
-    WHEN n.source_id IS NULL THEN 'GEOMETRY_EMPTY'
-    WHEN c.source_id IS NOT NULL THEN 'COLLAPSED_EDGE'
-    WHEN v.source_id IS NOT NULL THEN 'INTERVAL_OVERLAP'
+    WHEN o_orderstatus = 'F' AND o_totalprice < 100000 THEN 'SOURCE_ROW_INACTIVE'
+    WHEN n.source_id IS NULL THEN 'GEOMETRY_NULL'
+    WHEN c.source_id IS NOT NULL THEN 'COLLAPSED_ELEMENTARY_EDGE'
+    WHEN v.source_id IS NOT NULL THEN 'POSITIVE_LENGTH_BOUNDARY_OVERLAP'
     WHEN u.source_id IS NOT NULL THEN 'NONUNIQUE_TRAVERSAL' ELSE 'ADMITTED' END AS terminal_class
   FROM orders
   LEFT JOIN (SELECT DISTINCT source_id FROM fragments) n ON n.source_id = o_orderkey
@@ -92,11 +92,9 @@ def classified(t: Tables) -> DataFrame:
     )
     pairs = _overlaps(t).select("source_id", F.lit(True).alias("overlap")).distinct()
     joined = t.orders.select(F.col("o_orderkey").alias("source_id"), "o_orderstatus", "o_totalprice").join(own, "source_id", "left").join(pairs, "source_id", "left")
-    return joined.select(
-        "source_id",
-        F.when((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 100000), "SOURCE_INACTIVE").when(F.col("most").isNull(), "GEOMETRY_EMPTY").when(F.col("collapsed"), "COLLAPSED_EDGE")
-        .when(F.col("overlap"), "INTERVAL_OVERLAP").when(F.col("most") > 1, "NONUNIQUE_TRAVERSAL").otherwise("ADMITTED").alias("terminal_class"),
-    )
+    inactive, never = (F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 100000), F.lit(False)
+    found = first_match(inactive, F.col("most").isNull(), never, never, F.col("collapsed"), never, F.col("overlap"), F.col("most") > 1)
+    return joined.select("source_id", found.alias("terminal_class"))
 
 
 @query(f"WITH {SQL_CLASSES} SELECT * FROM classified")
@@ -105,10 +103,10 @@ def terminal_classification(t: Tables) -> DataFrame:
     return classified(t)
 
 
-@query(f"WITH {SQL_CLASSES} SELECT d.terminal_class, coalesce(n, 0)::BIGINT AS n FROM (VALUES " + ", ".join(f"('{c}')" for c in CLASSES) + ") d(terminal_class) LEFT JOIN (SELECT terminal_class, count(*) AS n FROM classified GROUP BY 1) c ON c.terminal_class = d.terminal_class")
+@query(f"WITH {SQL_CLASSES} SELECT d.terminal_class, coalesce(n, 0)::BIGINT AS n FROM (VALUES " + ", ".join(f"('{c}')" for c in TERMINAL) + ") d(terminal_class) LEFT JOIN (SELECT terminal_class, count(*) AS n FROM classified GROUP BY 1) c ON c.terminal_class = d.terminal_class")
 def classification_counts(t: Tables) -> DataFrame:
     """Counts over the whole domain of classes, zeros included."""
-    domain = t.region.limit(1).select(F.explode(F.array(*map(F.lit, CLASSES))).alias("terminal_class"))
+    domain = t.spark.range(1).select(F.explode(F.array(*map(F.lit, TERMINAL))).alias("terminal_class"))
     counts = classified(t).groupBy("terminal_class").agg(F.count("*").alias("n"))
     return domain.join(counts, "terminal_class", "left").select("terminal_class", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -161,13 +159,17 @@ def sewer_links_weights(t: Tables) -> DataFrame:
     return cell_links(t).withColumn("total_length", F.col("total_length").cast("double"))
 
 
-SQL_GENERIC = "generic AS (SELECT a.s_suppkey AS from_cell, b.s_suppkey AS to_cell, a.s_acctbal > 0 AS is_open FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1)"
+# The cells are a wall of bricks, eight columns wide.
+_ROW = "({0}.s_suppkey // 8 + 0.5 * ({0}.s_suppkey % 2))"
+SQL_GENERIC = f"""generic AS (SELECT a.s_suppkey AS from_cell, b.s_suppkey AS to_cell, a.s_acctbal > 0 AS is_open FROM supplier a JOIN supplier b ON a.s_suppkey < b.s_suppkey
+  AND CASE abs(a.s_suppkey % 8 - b.s_suppkey % 8) WHEN 1 THEN abs({_ROW.format("a")} - {_ROW.format("b")}) < 1 WHEN 0 THEN abs({_ROW.format("a")} - {_ROW.format("b")}) = 1 ELSE false END)"""
 
 
 def generic_links(t: Tables) -> DataFrame:
-    """Neighbours of the lattice of cells, with a barrier flag: an equal join on the neighbour's key."""
-    cells = t.supplier.select(F.col("s_suppkey").alias("from_cell"), (F.col("s_acctbal") > 0).alias("is_open"))
-    return cells.join(t.supplier.select(F.col("s_suppkey").alias("to_cell"), (F.col("s_suppkey") - 1).alias("from_cell")), "from_cell").select("from_cell", "to_cell", "is_open")
+    """Cells that share a boundary of some length, with a barrier flag."""
+    wall = bricks(t.supplier, "s_suppkey", 8, lambda x, y: (302_000 + 0.8 * x - 0.6 * y, 2_770_000 + 0.6 * x + 0.8 * y))
+    pairs = shared_boundaries(wall, "cell_id", 4.0).select(F.col("left").alias("from_cell"), F.col("right").alias("to_cell"))
+    return pairs.join(t.supplier.select(F.col("s_suppkey").alias("from_cell"), (F.col("s_acctbal") > 0).alias("is_open")), "from_cell").select("from_cell", "to_cell", "is_open")
 
 
 def all_links(t: Tables) -> DataFrame:
