@@ -6,10 +6,11 @@ at, and Myers' bit-parallel distance verifies the window around it.  Verificatio
 binary tree over the pieces: of n neighbouring pieces with fewer than n errors, one half has
 fewer errors than pieces too, so from a piece without error each larger part must have fewer
 errors than pieces, and chance hits end at the first small part.  Short items, which chance would
-find with errors, are looked for exactly and as whole words.
+find within longer words, must begin and end with whole words, with errors or without.
 
 Documents are streamed where they lie; only the items move, in blocks whose size is checked
-before they are broadcast, one block at a time.
+before they are broadcast, one block at a time.  With several blocks only what is found moves, by
+hashes of the texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from geotally.llm.common import held, written
 
 #: Errors allowed per character of the item.
 ERROR_RATE = 0.10
-#: Shorter items (normalised) would be found in clean text by chance: they must be exact, whole words.
+#: Shorter items (normalised) would be found within other words by chance: they must be whole words.
 MIN_ITEM_CHARS = 32
 #: Items of a block, in characters: what is broadcast at once.
 BLOCK_CHARS = 4_000_000
@@ -107,6 +108,21 @@ def myers(places: dict[str, int], size: int, text: str, *, anchored: bool = Fals
     return best, end
 
 
+def whole_distance(places: dict[str, int], size: int, text: str) -> int:
+    """Edit distance of the pattern to all of ``text``."""
+    full, top = (1 << size) - 1, 1 << (size - 1)
+    plus, minus, score = full, 0, size
+    for c in text:
+        equal = places.get(c, 0)
+        down = equal | minus
+        across = (((equal & plus) + plus) ^ plus) | equal
+        up, fall = minus | (full & ~(across | plus)), plus & across
+        score += bool(up & top) - bool(fall & top)
+        up, fall = up << 1 | 1, fall << 1
+        plus, minus = (fall | ~(down | up)) & full, up & down & full
+    return score
+
+
 class Finder:
     """The pieces of a block of items, ready to search texts."""
 
@@ -114,7 +130,7 @@ class Finder:
         import ahocorasick
 
         self.min_chars = min_chars
-        self.items = [(i, t, budget(len(t), rate) if len(t) >= min_chars else 0) for i, t in items]
+        self.items = [(i, t, budget(len(t), rate)) for i, t in items]
         where: dict[str, list[tuple[int, int, int]]] = defaultdict(list)
         for n, (_, text, errors) in enumerate(self.items):
             for k, (at, piece) in enumerate(pieces(text, errors)):
@@ -189,7 +205,10 @@ class Finder:
                         continue
                     best = (0, a, a + size)
                     break
-            if best is None and not whole_words:
+            if best is None and whole_words and errors:
+                starts = [a for a in sorted(hits_at[n]) if any(self._may_be(clean, n, k, a) for k in hits_at[n][a])]
+                best = self._as_words(clean, n, starts)
+            elif best is None and errors:
                 places, reverse = self._masks(n)
                 starts = [a for a in sorted(hits_at[n]) if any(self._may_be(clean, n, k, a) for k in hits_at[n][a])]
                 for a, b in self._windows(starts, size, errors):
@@ -202,6 +221,24 @@ class Finder:
                 found.append({"item_id": item, "distance": best[0], "start": best[1], "end": best[2]})
         return found
 
+    def _as_words(self, clean: str, n: int, starts: list[int]) -> tuple[int, int, int] | None:
+        """Least distance of item n to whole words that begin near one of the places (the first of equally near)."""
+        _, pattern, errors = self.items[n]
+        size, places = len(pattern), self._masks(n)[0]
+        best, tried = None, set()
+        for near in starts:
+            for a in range(max(0, near - errors), near + errors + 1):
+                if a in tried or a >= len(clean) or clean[a] == " " or clean[a - 1 : a].strip():
+                    continue
+                tried.add(a)
+                for b in range(a + size - errors, min(len(clean), a + size + errors) + 1):
+                    if clean[b - 1] == " " or clean[b : b + 1].strip():
+                        continue
+                    distance = whole_distance(places, size, clean[a:b])
+                    if distance <= errors and (best is None or distance < best[0]):
+                        best = (distance, a, b)
+        return best
+
     @staticmethod
     def _windows(starts: list[int], size: int, errors: int) -> list[list[int]]:
         """Windows around the places, those that overlap nearly wholly as one."""
@@ -241,27 +278,41 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
 
     A leak has the item's id, its edit distance (both texts normalised, so that case, white
     space and punctuation don't count; at most ``rate`` errors a character) and the place in
-    the normalised text.  Items shorter than ``min_chars`` are found exactly, where they begin
-    and end with whole words.
+    the normalised text.  Items shorter than ``min_chars`` are found, with as many errors a character, where
+    they begin and end with whole words.
     Of several places of one item the closest counts, then the first looked at.  A null or
     empty text has none; very long texts are searched whole.  Items that are null or have no
     letter, digit or underscore are not looked for; items with a null id or with equal texts
-    are reported like any other.  Repeated rows stay repeated; an empty table on either side is
+    are reported like any other.  Leaks are in the order of item (null first), distance and place.  Repeated rows stay repeated; an empty table on either side is
     no error; a column named ``leaks`` is replaced.
 
-    A worker holds one block of items.  A benchmark of several blocks is searched block by
-    block, and the rows are written in between.
+    A worker holds one block of items (an item larger than a block is a block).  A benchmark of several
+    blocks is searched block by block: each pass writes the leaks of the texts that have any, under a
+    128-bit hash of the text, and these are joined to the rows at the end.
     """
     blocks = item_blocks(benchmark, block_chars=block_chars)
-    for n, block in enumerate(blocks):
-        items = sorted((r.item_id if r.item_id is not None else -(2**63), r.item_id, t) for r in block.toLocalIterator() if (t := normalise(r.text)))
-        search, shared = _search([x[1:] for x in items], docs, rate, min_chars)
-        found = search(F.col(text_col))
-        docs = docs.withColumn("leaks", F.concat("leaks", found) if n else found)
-        if n < len(blocks) - 1:
-            docs = written(docs, "leaks")
-            shared.unpersist()
-    return docs
+    columns = [c for c in docs.columns if c != "leaks"]
+    if len(blocks) == 1:
+        search, _ = _search(_normalised(blocks[0]), docs, rate, min_chars)
+        return docs.withColumn("leaks", F.array_sort(search(F.col(text_col))))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    parts = None
+    for block in blocks:
+        search, shared = _search(_normalised(block), docs, rate, min_chars)
+        found = written(docs.select(key.alias("of_text"), search(F.col(text_col)).alias("leaks")).where(F.size("leaks") > 0), "leaks")
+        shared.unpersist()
+        parts = found if parts is None else parts.unionByName(found)
+    whole = parts.distinct().groupBy("of_text").agg(F.array_sort(F.flatten(F.collect_list("leaks"))).alias("found"))
+    own = docs.select(F.struct(*columns).alias("row"), key.alias("text_key"))
+    joined = own.join(whole, F.col("text_key") == F.col("of_text"), "left")
+    return joined.select(*[F.col("row").getField(c).alias(c) for c in columns], F.coalesce("found", F.array().cast(LEAKS)).alias("leaks"))
+
+
+def _normalised(block: DataFrame) -> list[tuple[int | None, str]]:
+    """The items of a block with their normalised texts, by id (null first) and text."""
+    items = sorted((r.item_id if r.item_id is not None else -(2**63), r.item_id, t) for r in block.toLocalIterator() if (t := normalise(r.text)))
+    return [x[1:] for x in items]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -23,12 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotally.llm.common import held
+from geotally.llm.common import held, written
 
 MARK = "▁"
 #: Words up to this length are worked on together and kept in tables; longer ones one by one.
 MAX_LETTERS = 32
-#: More languages than this are an error: the model is collected and broadcast.
+#: Languages of one model, which is collected and broadcast (17 MB); more languages are several models, one pass each.
 MAX_LANGUAGES = 64
 #: Fixed-point unit of expected counts.
 UNIT = 1 << 16
@@ -239,28 +239,30 @@ def piece_counts(docs: DataFrame, model_path: str, *, text_col: str = "text", la
     return parts.groupBy("lang", "piece").agg(F.sum("units").alias("units"))
 
 
-def train(docs: DataFrame, model_path: str, *, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.1) -> dict:
+def train(docs: DataFrame, model_path: str, *, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.1) -> list[dict]:
     """Languages, their shares and piece probabilities, from all rows with a language.
 
-    The model has a number for each language and piece: at most MAX_LANGUAGES (else an error)
-    times the vocabulary.
+    A model has a number for each piece of the vocabulary and each of its languages, which are at most
+    MAX_LANGUAGES: more languages are several models, in the order of their names.
     """
-    shares = (
-        docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count()
-        .orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
-    )
+    shares = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("lang")).count().orderBy("lang").collect()  # a row a language
+    counts = piece_counts(docs, model_path, text_col=text_col, lang_col=lang_col)
     if len(shares) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    size = vocabulary(model_path).size
+        counts = written(counts, "pieces")
+    whole = max(1, sum(r["count"] for r in shares))
+    return [_model(shares[i : i + MAX_LANGUAGES], whole, counts, vocabulary(model_path).size, smoothing) for i in range(0, max(1, len(shares)), MAX_LANGUAGES)]
+
+
+def _model(shares: list, whole: int, found: DataFrame, size: int, smoothing: float) -> dict:
     langs = [r["lang"] for r in shares]
     counts = np.full((size + 1, len(langs)), smoothing)
     if langs:
         place = {lang: i for i, lang in enumerate(langs)}
-        found = piece_counts(docs, model_path, text_col=text_col, lang_col=lang_col).toArrow()
+        found = found.where(F.col("lang").isin(langs)).toArrow()
         at = np.array([place[x] for x in found["lang"].to_pylist()], np.int64)
         counts[found["piece"].to_numpy(), at] += found["units"].to_numpy() / UNIT
     probability = np.maximum(counts / counts.sum(axis=0, keepdims=True), 1e-9)
-    prior = np.log(np.array([r["count"] for r in shares], np.float64) / max(1, sum(r["count"] for r in shares)))
+    prior = np.log(np.array([r["count"] for r in shares], np.float64) / whole)
     return {"langs": langs, "probability": probability, "prior": prior}
 
 
@@ -282,10 +284,10 @@ class Scorer:
             self.seen.update(zip(block, range(at, at + len(block)), strict=True))
             self.table[at : at + len(block)] = log_scores(self.vocabulary, block, self.model["probability"])
 
-    def predict(self, texts: list[str | None], slice_words: int = 100_000) -> list[tuple[str, float]]:
-        """Language and its share of the probability, for each text."""
+    def predict(self, texts: list[str | None], slice_words: int = 100_000) -> list[tuple[str | None, float, float]]:
+        """The best language, its log probability, and the sum of all languages' shares of that, for each text."""
         if not self.model["langs"]:
-            return [(UNKNOWN, 0.0)] * len(texts)
+            return [(None, 0.0, 0.0)] * len(texts)
         totals = np.tile(self.model["prior"], (len(texts), 1))
         has = np.zeros(len(texts), bool)
         held: list[str] = []
@@ -322,19 +324,19 @@ class Scorer:
             settle()
         best = totals.argmax(axis=1)
         top = totals[np.arange(len(texts)), best]
-        share = 1.0 / np.exp(totals - top[:, None]).sum(axis=1)
-        return [(self.model["langs"][b], float(s)) if h else (UNKNOWN, 0.0) for b, s, h in zip(best, share, has, strict=True)]
+        sums = np.exp(totals - top[:, None]).sum(axis=1)
+        return [(self.model["langs"][b], float(t), float(s)) if h else (None, 0.0, 0.0) for b, t, s, h in zip(best, top, sums, has, strict=True)]
 
 
 def predictor(docs: DataFrame, model: dict, model_path: str):
-    """A function of a text column giving ``struct<lang:string,score:double>``."""
+    """A function of a text column giving ``struct<lang:string,top:double,sum:double>`` (see ``Scorer.predict``)."""
     name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, top double, sum double")
     def predict(text: pd.Series) -> pd.DataFrame:
         scorer = held(name, lambda: Scorer(shared.value, model_path))
-        return pd.DataFrame(scorer.predict(text.tolist()), columns=["lang", "score"])
+        return pd.DataFrame(scorer.predict(text.tolist()), columns=["lang", "top", "sum"])
 
     return predict.asNondeterministic()
 
@@ -349,7 +351,21 @@ def identify(docs: DataFrame, training: DataFrame, model_path: str, *, text_col:
     their shares of the training rows.  Very long texts are scored whole, repeated rows alike;
     empty tables are no error; columns of these two names are replaced.
     """
-    predict = predictor(docs, train(training, model_path, text_col=text_col, lang_col=lang_col), model_path)
+    models = train(training, model_path, text_col=text_col, lang_col=lang_col)
     columns = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    own = docs.select(F.struct(*columns).alias("row"), predict(F.col(text_col)).alias("found"))
-    return own.select(*[F.col("row").getField(c).alias(c) for c in columns], F.col("found.lang").alias("lang_pred"), F.col("found.score").alias("lang_score"))
+    own = docs.select(F.struct(*columns).alias("row"), F.col(text_col).alias("text"))
+    for n, model in enumerate(models):
+        if n:  # one model at a time in a worker
+            own = written(own, "languages")
+        now = own.select("*", predictor(docs, model, model_path)("text").alias("now"))
+        own = now.select("row", "text", (_better(F.col("found"), F.col("now")) if n else F.col("now")).alias("found"))
+    share = F.when(F.col("found.lang").isNotNull(), 1.0 / F.col("found.sum")).otherwise(0.0)
+    return own.select(*[F.col("row").getField(c).alias(c) for c in columns], F.coalesce("found.lang", F.lit(UNKNOWN)).alias("lang_pred"), share.alias("lang_score"))
+
+
+def _better(a, b):
+    """The better of two models' languages (the first of equals), with the sum of both models' shares of it."""
+    turn = b["top"] > a["top"]
+    top, rest = F.when(turn, b["top"]).otherwise(a["top"]), F.when(turn, a["top"]).otherwise(b["top"])
+    sums = F.when(turn, b["sum"] + a["sum"] * F.exp(rest - top)).otherwise(a["sum"] + b["sum"] * F.exp(rest - top))
+    return F.when(a["lang"].isNull(), b).when(b["lang"].isNull(), a).otherwise(F.struct(F.when(turn, b["lang"]).otherwise(a["lang"]).alias("lang"), top.alias("top"), sums.alias("sum")))

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -127,7 +128,9 @@ def inflate(content: bytes, piece: int = 1 << 20) -> Iterator[bytes]:
 def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of every record of an archive.
 
-    Raises ValueError where something else than a record begins, or an archive ends within one.
+    A record that states no length (or none that is a number) ends where the next record begins, or with
+    the archive.  Raises ValueError where something else than a record begins, or an archive ends
+    within one.
     """
     source, held = inflate(content), bytearray()
 
@@ -147,7 +150,15 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError("no WARC record where one should begin")
         head = {k.strip().lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in lines[1:])}
         start = end + 4
-        stop = start + int(head["content-length"])
+        if head.get("content-length", "").isascii() and head.get("content-length", "").isdigit():
+            stop = start + int(head["content-length"])
+        else:
+            while (stop := held.find(b"\r\n\r\nWARC/", start)) < 0 and more():
+                pass
+            if stop < 0:
+                stop = len(held) - 4 if held.endswith(b"\r\n\r\n") and len(held) >= start + 4 else len(held)
+                yield head, bytes(held[start:stop])
+                return
         while len(held) < stop + 4:
             if not more():
                 raise ValueError("the archive ends within a record")
@@ -179,9 +190,14 @@ def _batches(rows: Iterator[tuple], schema: str, most_bytes: int = 4 << 20) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
 
+_PAGE_URN = re.compile(r"<urn:page:(-?[0-9]{1,19})>")
+
+
 def _number(urn: str | None) -> int | None:
-    """The number of a page's id (other ids: none)."""
-    return int(urn[10:-1]) if urn and urn.startswith("<urn:page:") else None
+    """The number of a page's id (other ids, and numbers beyond 64 bits: none)."""
+    found = _PAGE_URN.fullmatch(urn or "")
+    number = int(found[1]) if found else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:

@@ -156,6 +156,55 @@ def test_links_are_complete(spark):
         simhash.links(spark.createDataFrame([], "fp long"), 6)
 
 
+def test_sketches_keep_similar_sets_and_end_others():
+    rng = np.random.default_rng(5)
+    differ = lambda a, b: sum((x ^ y & (1 << 64) - 1).bit_count() for x, y in zip((v & (1 << 64) - 1 for v in simhash.sketch(a)), (v & (1 << 64) - 1 for v in simhash.sketch(b))))
+    most = 192 - int(192 * 0.9 - simhash.SKETCH_DEVIATIONS * (192 * 0.9 * 0.1) ** 0.5)
+    passed = {}
+    for share in (0.8, 0.5):
+        common = int(300 * share)
+        extra = (300 - common) // 2
+        hits = 0
+        for _ in range(200):
+            h = rng.integers(0, 1 << 63, 300, dtype=np.int64).view(np.uint64)
+            hits += differ(h[: common + extra], np.concatenate([h[:common], h[common + extra :]])) <= most
+        passed[share] = hits
+    assert passed[0.8] >= 196 and passed[0.5] <= 20
+    assert simhash.sketch(np.zeros(0, np.uint64)) == [0] * simhash.SKETCH_LONGS
+
+
+def test_a_large_family_that_is_not_similar_enough_makes_few_pairs(spark):
+    """Near copies of one text, nearly all pairs under 0.8: the links are those of brute force, and the join
+    of candidates leaves most pairs out."""
+    rng = random.Random(21)
+    base = prose(rng, 150).split()
+    texts = []
+    for _ in range(300):
+        words = list(base)
+        for at in rng.sample(range(150), 6):
+            words[at] = "w%d" % rng.randrange(10**9)
+        texts.append(" ".join(words))
+    for k in range(20):
+        words = texts[k].split()
+        words[75] = "other"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4]
+    assert len(pairs) < len(texts) ** 2 / 20
+    made = []
+    whole = simhash._pairs
+    try:
+        simhash._pairs = lambda *a: made.append(whole(*a)) or made[-1]
+        found = {r.doc_id: r.component_id for r in simhash.similar_components(rows(spark, enumerate(texts))).collect()}
+        candidates = made[0].count()
+    finally:
+        simhash._pairs = whole
+    want = classes_by_hand(pairs, range(len(sets)))
+    together = sum(found[i] == found[j] for i, j in pairs)
+    assert together >= 0.9 * len(pairs) and all(want[i] == want[j] for i in found for j in [found[i]])
+    assert candidates < len(texts) ** 2 / 8
+
+
 def test_near_copies_of_the_pipeline(spark):
     import corpus_pipeline
 
@@ -257,6 +306,20 @@ def test_archives_of_others(spark):
     assert sizes == {1: len(big), 2: len(big), 3: len(big), 4: None, 5: 7, 6: 4}
 
 
+def test_foreign_ids_and_records_without_a_length():
+    for urn, number in [("<urn:page:12>", 12), ("<urn:page:-3>", -3), ("<urn:page:abc>", None), ("<urn:page:>", None), ("<urn:page:1_0>", None), ("<urn:page:٣>", None), ("<urn:page:9223372036854775807>", 2**63 - 1), ("<urn:page:9223372036854775808>", None), ("<urn:uuid:1>", None), ("", None), (None, None)]:
+        assert warc._number(urn) == number
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\n%s\r\n"
+    length = b"Content-Length: %d\r\n"
+    records = [(head % (1, b""), b"no length"), (head % (2, length % 4), b"four"), (head % (3, b"Content-Length: many\r\n"), b"a\r\n\r\nb"), (head % (4, b""), b"")]
+    whole = b"".join(h + b + b"\r\n\r\n" for h, b in records)
+    import gzip
+
+    for content in (whole, gzip.compress(whole), b"".join(gzip.compress(h + b + b"\r\n\r\n") for h, b in records)):
+        assert [(h["warc-record-id"], b) for h, b in warc.parse(content)] == [(f"<urn:page:{i}>", b) for i, (_, b) in enumerate(records, 1)]
+    assert [b for _, b in warc.parse(head % (1, b"") + b"cut")] == [b"cut"]
+
+
 # --- exact top-k ------------------------------------------------------------------------------
 
 def test_top_k(spark):
@@ -338,7 +401,7 @@ def test_decontamination(spark):
 
 
 def test_short_items_and_several_blocks(spark):
-    """Items under the bound exactly and as whole words; blocks one after the other over many batches."""
+    """Items under the bound as whole words, with errors too; blocks one after the other over many batches."""
     rng = random.Random(14)
     items = [(i, prose(rng, 30)) for i in range(12)] + [(100, "What is the capital of France?"), (101, "H2O"), (102, "?!")]
     texts = [prose(rng, 40) + " " + items[i % 12][1] for i in range(60)] + ["so what is the  capital, of france", "what is the capital of frances", "somewhat is the capital of france", "h2o", "H2O2 is not ch2o", "h2o " * 50_000, "w1 " * 100_000 + items[3][1]]
@@ -351,7 +414,47 @@ def test_short_items_and_several_blocks(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = {r.doc_id: sorted(x.item_id for x in r.leaks) for r in found}
     assert len(found) == len(texts) + 2
-    assert [got[i] for i in range(len(texts))] == [[i % 12] for i in range(60)] + [[100], [], [], [101], [], [101], [3]]
+    assert [got[i] for i in range(len(texts))] == [[i % 12] for i in range(60)] + [[100], [100], [], [101], [], [101], [3]]
+    whole = {r.doc_id: r.leaks for r in decontaminate.with_leaks(docs, bench).collect()}
+    assert whole == {r.doc_id: r.leaks for r in found}
+
+
+def test_short_items_with_errors_equal_all_spans_of_words():
+    """Ten to thirty-one characters: found exactly where some whole words are near enough."""
+    rng = random.Random(15)
+
+    def distance(p, t):
+        row = list(range(len(t) + 1))
+        for i, c in enumerate(p, 1):
+            before, row = row, [i]
+            for j, d in enumerate(t, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != d)))
+        return row[-1]
+
+    items = sorted({decontaminate.normalise("".join(rng.choice("abcd  ") for _ in range(rng.randrange(8, 31)))) for _ in range(40)} - {""})
+    finder = decontaminate.Finder(list(enumerate(items)), 0.10, decontaminate.MIN_ITEM_CHARS)
+    some = 0
+    for _ in range(250):
+        chars = list(rng.choice(items))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(chars))
+            chars[at : at + rng.randrange(2)] = rng.choice(["a", "b", " ", "d"])
+        text = decontaminate.normalise("".join(rng.choice("abcd ") for _ in range(12)) + rng.choice(["", " "]) + "".join(chars) + rng.choice(["", " "]) + "ca")
+        words, want = text.split(" "), {}
+        for n, p in enumerate(items):
+            spans = [d for i in range(len(words)) for j in range(i + 1, len(words) + 1) if abs(len(t := " ".join(words[i:j])) - len(p)) <= decontaminate.budget(len(p)) and (d := distance(p, t)) <= decontaminate.budget(len(p))]
+            if spans:
+                want[n] = min(spans)
+        some += any(want.values())
+        assert {x["item_id"]: x["distance"] for x in finder.leaks(text)} == want
+    assert some > 20
+
+
+def test_typing_errors_in_short_questions(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?")], "item_id long, text string")
+    texts = ["What is the capital of Frence?", "so: what is the capitol of france, then", "what is the capital of greece", "whats the capital of france", None]
+    found = decontaminate.with_leaks(rows(spark, enumerate(texts)), bench).orderBy("doc_id").collect()
+    assert [[x.distance for x in r.leaks] for r in found] == [[1], [1], [], [2], []]
 
 
 # --- language ID ------------------------------------------------------------------------------
@@ -393,9 +496,22 @@ def test_language_ties_repeats_and_bounds(spark):
     found = langid.identify(docs, same, PIECE_MODEL).collect()
     assert sorted((r.doc_id or 0, r.lang_pred) for r in found) == [(0, "a"), (1, "a"), (1, "a"), (2, "und"), (3, "a")]
     assert found[0].__fields__.count("lang_pred") == 1 and docs.columns == [c for c in found[0].__fields__ if c not in ("lang_pred", "lang_score")] + ["lang_pred"]
-    many = spark.createDataFrame([("text", f"l{i}") for i in range(langid.MAX_LANGUAGES + 1)], "text string, lang string")
-    with pytest.raises(ValueError, match="languages"):
-        langid.train(many, PIECE_MODEL)
+
+
+def test_more_languages_than_a_model_holds(spark, monkeypatch):
+    """Languages in several models give what one model gives."""
+    rng = random.Random(16)
+    own = [f"{c}{d}" for c in "abcdefgh" for d in "xyz"]
+    texts = [(" ".join(rng.choice(own[k * 3 : k * 3 + 5]) * 3 for _ in range(20)), f"l{k}") for k in range(7) for _ in range(3)]
+    training = spark.createDataFrame(texts, "text string, lang string")
+    docs = rows(spark, [*enumerate(t for t, _ in texts), (90, None), (91, "12"), (92, "azby")])
+    whole = {r.doc_id: (r.lang_pred, round(r.lang_score, 9)) for r in langid.identify(docs, training, PIECE_MODEL).collect()}
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    assert len(langid.train(training, PIECE_MODEL)) == 4
+    parts = {r.doc_id: (r.lang_pred, round(r.lang_score, 9)) for r in langid.identify(docs, training, PIECE_MODEL).collect()}
+    assert parts == whole and whole[90] == whole[91] == ("und", 0.0) and {p for p, _ in whole.values()} >= {f"l{k}" for k in range(7)}
+    none = langid.identify(docs, training.where("false"), PIECE_MODEL).collect()
+    assert {(r.lang_pred, r.lang_score) for r in none} == {("und", 0.0)}
 
 
 def test_language_id(spark):

@@ -95,12 +95,16 @@ def test_components_by_hand(spark):
 
 
 def has_leak(text, item):
-    """Whether an item is in a text: with its budget of errors, or exactly and as whole words."""
+    """Whether an item is in a text with its budget of errors: anywhere, or short ones as whole words."""
     t, p = decontaminate.normalise(text), decontaminate.normalise(item)
     if not p:
         return False
     if len(p) < decontaminate.MIN_ITEM_CHARS:
-        return f" {p} " in f" {t} "
+        n, words = decontaminate.budget(len(p)), t.split(" ")
+        if not n or f" {p} " in f" {t} ":
+            return f" {p} " in f" {t} "
+        spans = (" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, min(len(words), i + len(p)) + 1))
+        return any(abs(len(x) - len(p)) <= n and decontaminate.whole_distance(decontaminate.masks(p), len(p), x) <= n for x in spans)
     return decontaminate.myers(decontaminate.masks(p), len(p), t)[0] <= decontaminate.budget(len(p))
 
 
