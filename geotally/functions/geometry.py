@@ -76,6 +76,25 @@ def polygon_from_wkt(wkt: Column) -> Column:
     return _rings(F.transform(F.split(_body(wkt, "POLYGON", 2), r"\)\s*,\s*\("), _points))
 
 
+def _split_rings(body: Column) -> Column:
+    return _rings(F.transform(F.split(body, r"\)\s*,\s*\("), _points))
+
+
+def polygons_from_wkt(wkt: Column) -> Column:
+    """The polygons (arrays of rings) of a MULTIPOLYGON, or the one of a POLYGON."""
+    parts = F.transform(F.split(_body(wkt, "MULTIPOLYGON", 3), r"\)\s*\)\s*,\s*\(\s*\("), _split_rings)
+    many = F.when(F.forall(parts, lambda p: p.isNotNull()), parts)
+    one = polygon_from_wkt(wkt)
+    return F.coalesce(many, F.when(one.isNotNull(), F.array(one)))
+
+
+def points_from_wkt(wkt: Column) -> Column:
+    """The points of a MULTIPOINT (in brackets of their own or not), or the one of a POINT."""
+    bare = F.regexp_replace(F.coalesce(_body(wkt, "MULTIPOINT", 2), _body(wkt, "MULTIPOINT", 1)), r"[()]", "")
+    one = _points(_body(wkt, "POINT", 1))
+    return F.coalesce(_points(bare), F.when(F.size(one) == 1, one))
+
+
 def _pairs(coordinates: Column) -> Column:
     whole = F.forall(coordinates, lambda c: (F.size(c) >= 2) & F.get(c, 0).isNotNull() & F.get(c, 1).isNotNull())
     return F.when(whole, F.transform(coordinates, lambda c: point(F.get(c, 0), F.get(c, 1))))
@@ -92,11 +111,26 @@ def line_from_geojson(text: Column) -> Column:
 
 def polygon_from_geojson(text: Column) -> Column:
     """The rings of a Polygon, or of the first polygon of a MultiPolygon; other types are null."""
+    return F.get(polygons_from_geojson(text), 0)
+
+
+def polygons_from_geojson(text: Column) -> Column:
+    """The polygons of a MultiPolygon, or the one of a Polygon; other types are null."""
     coordinates = F.get_json_object(text, "$.coordinates")
-    one = F.from_json(coordinates, "array<array<array<double>>>")
-    many = F.get(F.from_json(coordinates, "array<array<array<array<double>>>>"), 0)
+    one = _rings(F.transform(F.from_json(coordinates, "array<array<array<double>>>"), _pairs))
+    parts = F.transform(F.from_json(coordinates, "array<array<array<array<double>>>>"), lambda p: _rings(F.transform(p, _pairs)))
     kind = geojson_type(text)
-    return F.when(kind == "Polygon", _rings(F.transform(one, _pairs))).when(kind == "MultiPolygon", _rings(F.transform(many, _pairs)))
+    return F.when((kind == "Polygon") & one.isNotNull(), F.array(one)).when((kind == "MultiPolygon") & F.forall(parts, lambda p: p.isNotNull()), parts)
+
+
+def oriented(rings: Column) -> Column:
+    """A polygon's rings, the first counter-clockwise, the others (holes) clockwise."""
+    return F.transform(rings, lambda r, i: F.when((signed_area(_moved(r)) >= 0) == (i == 0), r).otherwise(F.reverse(r)))
+
+
+def _moved(ring: Column) -> Column:
+    """A ring near the origin, where products of coordinates lose nothing."""
+    return F.transform(ring, lambda p: point(p["x"] - F.element_at(ring, 1)["x"], p["y"] - F.element_at(ring, 1)["y"]))
 
 
 def _number(x: Column, places: int) -> Column:

@@ -7,7 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 EARTH_RADIUS_M = 6_371_010.0
 
@@ -174,6 +174,34 @@ def box_area_m2(west: Column, south: Column, east: Column, north: Column) -> Col
     return F.radians(east - west) * SEMI_MAJOR_M**2 * (1 - e * e) / 2 * (q(north) - q(south))
 
 
+def area_under(lon_a: Column, lat_a: Column, lon_b: Column, lat_b: Column, *, straight: bool = False) -> Column:
+    """Signed area in square metres between an edge and the equator on the GRS80 ellipsoid, from the
+    first place to the second eastward positive: a clockwise ring's area is the sum of its edges'.
+
+    An edge is a great circle of the sphere of equal area (a geodesic to a few parts in a thousand of
+    its own bend), or ``straight`` in degrees (parallels and meridians of a box; for edges of up to a degree).
+    """
+    e = ECCENTRICITY
+    pole = 1 / (1 - e * e) + F.log(F.lit((1 + e) / (1 - e))) / (2 * e)
+
+    def sine(lat: Column) -> Column:
+        """Sine of the authalic latitude."""
+        s = F.sin(F.radians(lat))
+        return (s / (1 - e * e * s * s) + F.log((1 + e * s) / (1 - e * s)) / (2 * e)) / pole
+
+    wide = F.radians(lon_b - lon_a)
+    if straight:
+        # Gauss's rule with three points.
+        places = [(0.5 - 0.6**0.5 / 2, 5 / 18), (0.5, 8 / 18), (0.5 + 0.6**0.5 / 2, 5 / 18)]
+        mean = sum((w * sine(lat_a + t * (lat_b - lat_a)) for t, w in places[1:]), places[0][1] * sine(lat_a + places[0][0] * (lat_b - lat_a)))
+        excess = wide * mean
+    else:
+        half = lambda lat: F.tan(F.asin(sine(lat)) / 2)
+        a, b = half(lat_a), half(lat_b)
+        excess = 2 * F.atan2(F.tan(wide / 2) * (a + b), 1 + a * b)
+    return excess * SEMI_MAJOR_M**2 * (1 - e * e) / 2 * pole
+
+
 def _s2_places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Centre and the four corners of cells (any levels): arrays lon and lat of shape (n, 5)."""
     bits = ids.view(np.uint64)
@@ -208,6 +236,14 @@ def s2_bounds(cell: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"lon": lon[:, 0], "lat": lat[:, 0], "west": lon[:, 1:].min(axis=1), "south": lat[:, 1:].min(axis=1), "east": lon[:, 1:].max(axis=1), "north": lat[:, 1:].max(axis=1)})
 
 
+@F.pandas_udf(ArrayType(StructType([StructField("x", DoubleType()), StructField("y", DoubleType())])))
+def s2_ring(cell: pd.Series) -> pd.Series:
+    """The corners of a cell as a closed ring, counter-clockwise (for cells away from the poles and 180 degrees)."""
+    lon, lat = _s2_places(cell.to_numpy(np.int64))
+    order = [1, 2, 3, 4, 1]
+    return pd.Series([[{"x": x, "y": y} for x, y in zip(a, b, strict=True)] for a, b in zip(lon[:, order].tolist(), lat[:, order].tolist(), strict=True)])
+
+
 def twd97_to_wgs84(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Geographic coordinates of the island's 1997 datum (EPSG:3824) as WGS84 ones (EPSG:4326): the
     same to a few centimetres, and taken as the same."""

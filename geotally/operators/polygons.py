@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotally.functions import geometry
-from geotally.functions.spatial import EARTH_RADIUS_M
+from geotally.functions.spatial import EARTH_RADIUS_M, area_under
 from geotally.storage import cut
 
 #: Where grid lines are within a tile, so that corners of polygons don't lie on them.
@@ -114,11 +114,12 @@ def points_in_polygons(points: DataFrame, point_key: str, polygons: DataFrame, k
     return found.withColumnRenamed("of", key)
 
 
-def segments_in_polygons(segments: DataFrame, keys: list[str], polygons: DataFrame, key: str, size: float) -> DataFrame:
+def segments_in_polygons(segments: DataFrame, keys: list[str], polygons: DataFrame, key: str, size: float, *, boundary: str = "all") -> DataFrame:
     """``keys`` (of a segment), ``key`` (of a polygon), ``low`` and ``high``: the parts of each segment
     (``x1``, ``y1``, ``x2``, ``y2``) in each polygon (``rings``), as shares of the segment's length.
 
-    A part along an edge is inside, as the boundary belongs to a polygon.  Parts that touch are
+    A part along an edge is inside, as the boundary belongs to a polygon; with ``boundary`` "none" it
+    isn't, with "same" only if the edge runs in the segment's direction.  Parts that touch are
     one; parts without length are left out; a segment of no length has none; a null polygon or end
     meets nothing.  The segment is cut wherever it meets an edge, and each piece is in the polygon if it
     runs along an edge or its middle is inside, so a crossing at a corner counts once or twice
@@ -147,22 +148,24 @@ def segments_in_polygons(segments: DataFrame, keys: list[str], polygons: DataFra
     crossing = t.between(-1e-9, 1 + 1e-9) & u.between(-1e-9, 1 + 1e-9)
     met_edges = met.join(passed, [F.col("__tx") == F.col("tile_x"), F.col("__ty") == F.col("tile_y"), (along & (start < stop)) | F.coalesce(crossing, F.lit(False))])
     # A pair in several tiles gives the same rows again: they are a set.
-    touched = cut(met_edges.select(*named, "x1", "y1", "x2", "y2", "of", F.when(along, start).otherwise(clamp(t)).alias("t"), F.when(along, stop).alias("along_to")).distinct())
+    touched = cut(met_edges.select(*named, "x1", "y1", "x2", "y2", "of", F.when(along, start).otherwise(clamp(t)).alias("t"), F.when(along, stop).alias("along_to"), F.when(along, dx * ex + dy * ey > 0).alias("same")).distinct())
     ends = F.array(F.lit(0.0), F.lit(1.0), F.col("t"), F.coalesce("along_to", F.col("t")))
     line = [*named, "x1", "y1", "x2", "y2", "of"]
     ordered = Window.partitionBy(*named, "of").orderBy("t")  # the crossings of one segment with one polygon
     places = touched.select(*line, F.explode(ends).alias("t")).distinct()
     pieces = places.select(*line, F.col("t").alias("low"), F.lead("t").over(ordered).alias("high")).where("high - low > 1e-12")
-    runs = touched.where("along_to IS NOT NULL").groupBy(*named, "of").agg(F.collect_set(F.struct(F.col("t").alias("a"), F.col("along_to").alias("b"))).alias("runs"))
+    runs = touched.where("along_to IS NOT NULL").groupBy(*named, "of").agg(F.collect_set(F.struct(F.col("t").alias("a"), F.col("along_to").alias("b"), "same")).alias("runs"))
     same = [F.col(c).eqNullSafe(F.col(f"r{c}")) for c in (*named, "of")]
     marked = pieces.join(runs.withColumnsRenamed({c: f"r{c}" for c in (*named, "of")}), same, "left").withColumn("middle", (F.col("low") + F.col("high")) / 2)
-    on_edge = F.coalesce(F.exists("runs", lambda r: (r["a"] <= F.col("middle")) & (F.col("middle") <= r["b"])), F.lit(False))
-    pieces = cut(marked.select(*named, "of", "low", "high", on_edge.alias("on_edge"), (F.col("x1") + F.col("middle") * (F.col("x2") - F.col("x1"))).alias("mx"), (F.col("y1") + F.col("middle") * (F.col("y2") - F.col("y1"))).alias("my")))
+    holds = lambda r: (r["a"] <= F.col("middle")) & (F.col("middle") <= r["b"])
+    on_edge = F.coalesce(F.exists("runs", holds), F.lit(False))
+    counted = {"all": on_edge, "none": F.lit(False), "same": F.coalesce(F.exists("runs", lambda r: holds(r) & r["same"]), F.lit(False))}[boundary]
+    pieces = cut(marked.select(*named, "of", "low", "high", on_edge.alias("on_edge"), counted.alias("counted"), (F.col("x1") + F.col("middle") * (F.col("x2") - F.col("x1"))).alias("mx"), (F.col("y1") + F.col("middle") * (F.col("y2") - F.col("y1"))).alias("my")))
     kept = [*named, "low", "high"]
     within = _inside(pieces.where("NOT on_edge").withColumnRenamed("of", "with"), kept, "mx", "my", parity, size, polygon="with", boundary=False)
     whole = _inside(own.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2}), named, "mx", "my", parity, size, boundary=False)
     alone = whole.join(touched.select(*[F.col(c).alias(f"r{c}") for c in (*named, "of")]).distinct(), same, "left_anti")
-    parts = within.select(*named, "of", "low", "high").unionByName(pieces.where("on_edge").select(*named, "of", "low", "high")).unionByName(alone.select(*named, "of", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")))
+    parts = within.select(*named, "of", "low", "high").unionByName(pieces.where("counted").select(*named, "of", "low", "high")).unionByName(alone.select(*named, "of", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")))
     joined = merged_parts(parts, [*named, "of"])
     return joined.select(*[F.col(n).alias(k) for n, k in zip(named, keys, strict=True)], F.col("of").alias(key), "low", "high")
 
@@ -253,6 +256,80 @@ def shared_boundaries(polygons: DataFrame, key: str, size: float, tolerance: flo
     return pairs.groupBy(F.col("a_of").alias("left"), F.col("b_of").alias("right")).agg(F.sum(high - low).alias("shared"))
 
 
+def cut_areas(cells: DataFrame, cell: str, boundary: DataFrame, key: str, size: float, *, straight: bool = False) -> DataFrame:
+    """``cell``, ``area_m2`` (on the ellipsoid, see ``area_under``), ``lon`` and ``lat`` (planar centroid) of each cell's
+    part within a boundary; cells outside have no row.
+
+    Both have ``rings``, shells counter-clockwise and holes clockwise (see ``geometry.oriented``).  The part is
+    not put together: its area is a sum over its outline, which is what lies of the boundary in the
+    cell and of the cell's edges in the boundary, so boundaries of any number of corners stay dealt.
+    Edges are cut straight in degrees; each piece is then a geodesic, or straight (areas of a partition then
+    add up exactly, otherwise to what long edges bend: 2e-5 for edges of 4 km).
+    """
+    ends = ["x1", "y1", "x2", "y2"]
+    named = lambda df, k: polygon_edges(df, k).withColumnsRenamed(dict(zip(_ENDS, ends, strict=True)))
+    inner = segments_in_polygons(named(boundary, key), [key, *ends], cells, cell, size, boundary="same").select(F.col(cell).alias("of"), *ends, "low", "high")
+    rim = segments_in_polygons(named(cells, cell), [cell, *ends], boundary, key, size, boundary="none").select(F.col(cell).alias("of"), *ends, "low", "high")
+    origin = cells.select(F.col(cell).alias("__of"), F.col("rings")[0][0]["x"].alias("ox"), F.col("rings")[0][0]["y"].alias("oy"))
+    at = lambda a, b, t: F.col(a) + F.col(t) * (F.col(b) - F.col(a))
+    pieces = inner.unionByName(rim).select("of", at("x1", "x2", "low").alias("ax"), at("y1", "y2", "low").alias("ay"), at("x1", "x2", "high").alias("bx"), at("y1", "y2", "high").alias("by"))
+    under = area_under(*map(F.col, _ENDS), straight=straight)
+    ax, ay, bx, by = F.col("ax") - F.col("ox"), F.col("ay") - F.col("oy"), F.col("bx") - F.col("ox"), F.col("by") - F.col("oy")
+    cross = ax * by - bx * ay
+    sums = pieces.join(origin, F.col("of") == F.col("__of")).groupBy(F.col("of").alias(cell), "ox", "oy").agg((-F.sum(under)).alias("area_m2"), F.sum(cross).alias("__c"), F.sum((ax + bx) * cross).alias("__x"), F.sum((ay + by) * cross).alias("__y"))
+    return sums.where("area_m2 > 1e-6 AND __c > 0").select(cell, "area_m2", (F.col("ox") + F.col("__x") / (3 * F.col("__c"))).alias("lon"), (F.col("oy") + F.col("__y") / (3 * F.col("__c"))).alias("lat"))
+
+
+def validity(polygons: DataFrame, key: str, size: float) -> DataFrame:
+    """``key`` and ``fault``: what makes a polygon (``parts``, an array of arrays of rings) invalid, null if
+    nothing does.
+
+    Faults, the first that holds: ``NONE`` (no geometry), ``CROSSING`` (two edges cross or lie on each other, or a ring
+    touches itself; rings may touch each other in places), ``HOLE_OUTSIDE`` (a hole that isn't within its
+    shell, or is within another hole), ``NESTED`` (a part within another one).  Edges meet their
+    own polygon's in the tiles that they pass.
+    """
+    rings = polygons.select(F.col(key).alias("of"), F.posexplode("parts").alias("part", "rings")).select("of", "part", F.posexplode("rings").alias("ring", "line"))
+    edges = rings.select("of", "part", "ring", F.size("line").alias("n"), F.posexplode(geometry.edges(F.col("line"))).alias("at", "e")).select("of", "part", "ring", "n", "at", "e.*").where("ax <> bx OR ay <> by")
+    tiles = cut(through_tiles(edges, _ENDS, size))
+    a, b = (tiles.withColumnsRenamed({c: f"{s}_{c}" for c in tiles.columns}) for s in "ab")
+    same_ring = (F.col("a_part") == F.col("b_part")) & (F.col("a_ring") == F.col("b_ring"))
+    after = F.when(same_ring, F.col("a_at") < F.col("b_at")).otherwise(F.struct("a_part", "a_ring") < F.struct("b_part", "b_ring"))
+    p = {f"{s}{e}": (F.col(f"{s}_{e}x") - F.col("a_ax"), F.col(f"{s}_{e}y") - F.col("a_ay")) for s in "ab" for e in "ab"}
+    cross = lambda u, v: u[0] * v[1] - u[1] * v[0]
+    minus = lambda u, v: (u[0] - v[0], u[1] - v[1])
+    d, f = minus(p["ab"], p["aa"]), minus(p["bb"], p["ba"])
+    sides_b = [cross(d, minus(q, p["aa"])) for q in (p["ba"], p["bb"])]
+    sides_a = [cross(f, minus(q, p["ba"])) for q in (p["aa"], p["ab"])]
+    proper = (sides_b[0] * sides_b[1] < 0) & (sides_a[0] * sides_a[1] < 0)
+    flat = (sides_b[0] == 0) & (sides_b[1] == 0)
+    along = lambda q: q[0] * d[0] + q[1] * d[1]
+    square = along(d)
+    low, high = F.greatest(F.lit(0.0), F.least(along(p["ba"]), along(p["bb"]))), F.least(square, F.greatest(along(p["ba"]), along(p["bb"])))
+    overlap = flat & (low < high)
+    # Touching in a place: an end of one on the other.
+    within = lambda q, start, step: (cross(step, minus(q, start)) == 0) & ((minus(q, start)[0] * step[0] + minus(q, start)[1] * step[1]).between(0.0, step[0] * step[0] + step[1] * step[1]))
+    touch = within(p["ba"], p["aa"], d) | within(p["bb"], p["aa"], d) | within(p["aa"], p["ba"], f) | within(p["ab"], p["ba"], f)
+    gap = F.col("b_at") - F.col("a_at")
+    neighbours = (gap == 1) | (gap == F.col("a_n") - 2)
+    met = a.join(b, [F.col("a_of") == F.col("b_of"), F.col("a_tile_x") == F.col("b_tile_x"), F.col("a_tile_y") == F.col("b_tile_y"), after, proper | overlap | (same_ring & ~neighbours & touch)])
+    crossing = met.select(F.col("a_of").alias("of")).distinct().withColumn("rank", F.lit(1))
+
+    # A place on each ring away from its corners: rings that don't cross are wholly inside or outside each other.
+    place = edges.groupBy("of", "part", "ring").agg(F.max_by(F.struct(((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y")), F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).alias("m"))
+    ringed = rings.select(F.struct("of", "part", "ring").alias("id"), F.array("line").alias("rings"))
+    inside = _inside(place.select(F.struct("of", "part", "ring").alias("id"), "m.x", "m.y"), ["id"], "x", "y", parity_rows(polygon_edges(ringed, "id"), "id", size), size, boundary=False)
+    pairs = inside.where((F.col("id.of") == F.col("of.of")) & (F.col("id") != F.col("of")))
+    own_shell = (F.col("id.part") == F.col("of.part")) & (F.col("of.ring") == 0)
+    counted = pairs.groupBy("id").agg(F.bool_or(own_shell).alias("in_shell"), F.bool_or((F.col("id.part") == F.col("of.part")) & (F.col("of.ring") > 0)).alias("in_hole"), (F.count_if(F.col("id.part") != F.col("of.part")) % 2).alias("nested"))
+    ranked = place.select(F.struct("of", "part", "ring").alias("r")).join(counted, F.col("r") == F.col("id"), "left")
+    hole = (F.col("r.ring") > 0) & (~F.coalesce("in_shell", F.lit(False)) | F.coalesce("in_hole", F.lit(False)))
+    nesting = ranked.select(F.col("r.of").alias("of"), F.when(hole, 2).when((F.col("r.ring") == 0) & (F.col("nested") == 1), 3).alias("rank")).where("rank IS NOT NULL")
+    worst = crossing.unionByName(nesting).groupBy("of").agg(F.min("rank").alias("rank"))
+    names = F.when(F.col("rank") == 1, "CROSSING").when(F.col("rank") == 2, "HOLE_OUTSIDE").when(F.col("rank") == 3, "NESTED")
+    return polygons.select(F.col(key), F.col("parts").isNull().alias("none")).join(worst, F.col(key) == F.col("of"), "left").select(key, F.when(F.col("none"), "NONE").otherwise(names).alias("fault"))
+
+
 def covered_share(parts: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``covered``: the share of each segment that the union of its parts (``low``,
     ``high``) covers.  A segment's parts are as many as the polygons it meets."""
