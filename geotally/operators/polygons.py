@@ -125,6 +125,15 @@ def segments_in_polygons(segments: DataFrame, keys: list[str], polygons: DataFra
     runs along an edge or its middle is inside, so a crossing at a corner counts once or twice
     without harm.
     """
+    kinds = {"all": ("inside", "same", "opposite"), "same": ("inside", "same"), "none": ("inside",)}[boundary]
+    pieces, named = _pieces(segments, keys, polygons, key, size)
+    joined = merged_parts(pieces.where(F.col("kind").isin(*kinds)).drop("kind"), [*named, "of"])
+    return joined.select(*[F.col(n).alias(k) for n, k in zip(named, keys, strict=True)], F.col("of").alias(key), "low", "high")
+
+
+def _pieces(segments: DataFrame, keys: list[str], polygons: DataFrame, key: str, size: float) -> tuple[DataFrame, list[str]]:
+    """Pieces of segments in polygons (``of``) between the places where they meet edges, with their ``kind``:
+    "inside", or along an edge of the "same" or the "opposite" direction; and the names of the keys."""
     named = [f"__k{i}" for i in range(len(keys))]
     own = segments.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
     own = own.where("x1 IS NOT NULL AND y1 IS NOT NULL AND x2 IS NOT NULL AND y2 IS NOT NULL AND (x1 <> x2 OR y1 <> y2)")
@@ -159,15 +168,15 @@ def segments_in_polygons(segments: DataFrame, keys: list[str], polygons: DataFra
     marked = pieces.join(runs.withColumnsRenamed({c: f"r{c}" for c in (*named, "of")}), same, "left").withColumn("middle", (F.col("low") + F.col("high")) / 2)
     holds = lambda r: (r["a"] <= F.col("middle")) & (F.col("middle") <= r["b"])
     on_edge = F.coalesce(F.exists("runs", holds), F.lit(False))
-    counted = {"all": on_edge, "none": F.lit(False), "same": F.coalesce(F.exists("runs", lambda r: holds(r) & r["same"]), F.lit(False))}[boundary]
-    pieces = cut(marked.select(*named, "of", "low", "high", on_edge.alias("on_edge"), counted.alias("counted"), (F.col("x1") + F.col("middle") * (F.col("x2") - F.col("x1"))).alias("mx"), (F.col("y1") + F.col("middle") * (F.col("y2") - F.col("y1"))).alias("my")))
+    kind = F.when(~on_edge, "inside").when(F.exists("runs", lambda r: holds(r) & r["same"]), "same").otherwise("opposite")
+    pieces = cut(marked.select(*named, "of", "low", "high", kind.alias("kind"), (F.col("x1") + F.col("middle") * (F.col("x2") - F.col("x1"))).alias("mx"), (F.col("y1") + F.col("middle") * (F.col("y2") - F.col("y1"))).alias("my")))
     kept = [*named, "low", "high"]
-    within = _inside(pieces.where("NOT on_edge").withColumnRenamed("of", "with"), kept, "mx", "my", parity, size, polygon="with", boundary=False)
+    within = _inside(pieces.where("kind = 'inside'").withColumnRenamed("of", "with"), kept, "mx", "my", parity, size, polygon="with", boundary=False)
     whole = _inside(own.withColumns({"mx": (F.col("x1") + F.col("x2")) / 2, "my": (F.col("y1") + F.col("y2")) / 2}), named, "mx", "my", parity, size, boundary=False)
     alone = whole.join(touched.select(*[F.col(c).alias(f"r{c}") for c in (*named, "of")]).distinct(), same, "left_anti")
-    parts = within.select(*named, "of", "low", "high").unionByName(pieces.where("counted").select(*named, "of", "low", "high")).unionByName(alone.select(*named, "of", F.lit(0.0).alias("low"), F.lit(1.0).alias("high")))
-    joined = merged_parts(parts, [*named, "of"])
-    return joined.select(*[F.col(n).alias(k) for n, k in zip(named, keys, strict=True)], F.col("of").alias(key), "low", "high")
+    span = [*named, "of", "low", "high"]
+    alike = within.select(*span, F.lit("inside").alias("kind")).unionByName(alone.select(*named, "of", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit("inside").alias("kind")))
+    return pieces.where("kind <> 'inside'").select(*span, "kind").unionByName(alike), named
 
 
 def merged_parts(parts: DataFrame, keys: list[str], tolerance: float = 1e-12) -> DataFrame:
@@ -280,6 +289,59 @@ def cut_areas(cells: DataFrame, cell: str, boundary: DataFrame, key: str, size:
     return sums.where("area_m2 > 1e-6 AND __c > 0").select(cell, "area_m2", (F.col("ox") + F.col("__x") / (3 * F.col("__c"))).alias("lon"), (F.col("oy") + F.col("__y") / (3 * F.col("__c"))).alias("lat"))
 
 
+def union_outline(polygons: DataFrame, key: str, size: float) -> DataFrame:
+    """``ax``, ``ay``, ``bx``, ``by``: the outline of the union of all polygons (``rings``, shells counter-clockwise,
+    holes clockwise), the union on the left of each piece.
+
+    What remains of a polygon's edges is what no other polygon covers: not inside another one, not along an edge
+    of the opposite direction; of edges that run alike the smallest key's stays.  Polygons may overlap.
+    """
+    ends = ["x1", "y1", "x2", "y2"]
+    edges = cut(polygon_edges(polygons, key).withColumnsRenamed(dict(zip(_ENDS, ends, strict=True))))
+    pieces, named = _pieces(edges, [key, *ends], polygons, key, size)
+    own = F.col(named[0])
+    covered = pieces.where((F.col("of") != own) & ((F.col("kind") != "same") | (F.col("of") < own))).select(*named, "low", "high")
+    ordered = Window.partitionBy(*named).orderBy("low", "high")
+    reach = F.coalesce(F.max("high").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    between = covered.select(*named, reach.alias("from"), F.col("low").alias("to"), "high")
+    open_end = covered.groupBy(*named).agg(F.max("high").alias("from")).select(*named, "from", F.lit(1.0).alias("to"))
+    marked = covered.select(*[F.col(n).alias(f"r{n}") for n in named]).distinct()
+    bare = edges.select(*[F.col(c).alias(n) for c, n in zip([key, *ends], named, strict=True)]).join(marked, [F.col(n) == F.col(f"r{n}") for n in named], "left_anti")
+    left = between.drop("high").unionByName(open_end).where(F.col("to") > F.col("from") + 1e-12).unionByName(bare.select(*named, F.lit(0.0).alias("from"), F.lit(1.0).alias("to")))
+    x1, y1, x2, y2 = (F.col(n) for n in named[1:])
+    at = lambda a, b, t: F.when(F.col(t) == 1.0, b).otherwise(a + F.col(t) * (b - a))
+    return left.select(at(x1, x2, "from").alias("ax"), at(y1, y2, "from").alias("ay"), at(x1, x2, "to").alias("bx"), at(y1, y2, "to").alias("by"))
+
+
+def outline_rings(pieces: DataFrame, places: int = 6) -> DataFrame:
+    """The pieces with ``ring`` (a number for each closed line) and ``at`` (the piece's number in it, from 0).
+
+    Ends are one place if they agree to so many ``places``.  Where several pieces leave a place, the one that
+    turns most to the left goes on, so what is enclosed stays on the left.  Rings are found by pointer
+    jumping: after k rounds a piece knows the first of the 2^k pieces from it on, so rounds grow with
+    the logarithm of the longest ring and no ring is ever in one task.
+    """
+    point = lambda a, b: F.struct(F.round(a, places).alias("x"), F.round(b, places).alias("y"))
+    known = cut(cut(pieces).withColumn("id", F.monotonically_increasing_id()))
+    angle = F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax"))
+    enters = known.select("id", point("bx", "by").alias("end"), angle.alias("in"))
+    leaves = known.select(F.col("id").alias("next"), point("ax", "ay").alias("start"), angle.alias("out"))
+    turn = F.pmod(F.col("in") + 3.141592653589793 - F.col("out") - 1e-9, F.lit(2 * 3.141592653589793))
+    state = cut(enters.join(leaves, F.col("end") == F.col("start")).groupBy("id").agg(F.min_by("next", turn).alias("jump")).select("id", "jump", F.col("id").alias("best"), F.lit(0).cast("long").alias("away")))
+    span, before = 1, None
+    while True:
+        ahead = state.select(F.col("id").alias("__id"), F.col("jump").alias("__jump"), F.col("best").alias("__best"), F.col("away").alias("__away"))
+        closer = F.col("__best") < F.col("best")
+        state = cut(state.join(ahead, F.col("jump") == F.col("__id")).select("id", F.col("__jump").alias("jump"), F.least("best", "__best").alias("best"), F.when(closer, F.col("__away") + span).otherwise(F.col("away")).alias("away")))
+        now = state.agg(F.sum(F.xxhash64("id", "best").cast("decimal(38,0)"))).first()[0]
+        if now == before:
+            break
+        span, before = 2 * span, now
+    sizes = state.groupBy(F.col("best").alias("ring")).agg(F.count("*").alias("n"))
+    placed = state.join(sizes, F.col("best") == F.col("ring")).select(F.col("id").alias("__id"), "ring", ((F.col("n") - F.col("away")) % F.col("n")).alias("at"))
+    return known.join(placed, F.col("id") == F.col("__id")).drop("id", "__id")
+
+
 def validity(polygons: DataFrame, key: str, size: float) -> DataFrame:
     """``key`` and ``fault``: what makes a polygon (``parts``, an array of arrays of rings) invalid, null if
     nothing does.

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from geotally.operators.polygons import covered_share, merged_parts, points_in_polygons, points_near_polygons, segments_in_polygons, shared_boundaries
+from geotally.operators.polygons import covered_share, merged_parts, outline_rings, points_in_polygons, points_near_polygons, segments_in_polygons, shared_boundaries, union_outline
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 SEGMENTS = "source_id int, x1 double, y1 double, x2 double, y2 double"
@@ -193,6 +193,50 @@ def test_short_edges_on_long_ones(spark):
     assert [(r.left, r.right) for r in found] == [(1, 2)] and abs(found[0].shared - 39 * 3e-5) < 1e-6
 
 
+def ring_area(points):
+    return sum((ax * by - bx * ay) / 2 for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]))
+
+
+def outlines(df, size):
+    rings = {}
+    for r in sorted(outline_rings(union_outline(df, "k", size)).collect(), key=lambda r: (r.ring, r["at"])):
+        rings.setdefault(r.ring, []).append(((r.ax, r.ay), (r.bx, r.by)))
+    for ring in rings.values():  # closed, each piece behind the one before
+        assert all(math.dist(p[1], q[0]) < 1e-6 for p, q in zip(ring, ring[1:] + ring[:1]))
+    return [[p[0] for p in ring] for ring in rings.values()]
+
+
+def test_unions(spark):
+    box = lambda w, s, e, n: [(w, s), (e, s), (e, n), (w, n), (w, s)]
+    cases = [
+        ([[box(0, 0, 2, 2)], [box(2, 1, 4, 3)], [box(10, 0, 11, 1)]], [1.0, 8.0]),  # side by side, and one apart
+        ([[box(0, 0, 2, 2)], [box(1, 1, 3, 3)]], [7.0]),  # overlapping
+        ([[box(0, 0, 4, 4)], [box(1, 1, 2, 2)]], [16.0]),  # one within the other
+        ([[box(0, 0, 2, 2)], [box(0, 0, 2, 2)]], [4.0]),  # the same twice
+        ([[box(0, 0, 3, 1)], [box(0, 2, 3, 3)], [box(0, 1, 1, 2)], [box(2, 1, 3, 2)]], [-1.0, 9.0]),  # a frame with a hole
+        ([[box(0, 0, 1, 1)], [box(1, 1, 2, 2)]], [1.0, 1.0]),  # touching in a corner
+        ([[box(0, 0, 5, 5), box(1, 1, 4, 4)[::-1]], [box(2, 2, 3, 3)]], [-9.0, 1.0, 25.0]),  # in a hole
+        ([[box(0, 0, 2, 1)], [box(0, 0, 3, 2)]], [6.0]),  # two sides alike
+    ]
+    for shapes, areas in cases:
+        rows = [(i, [[(float(x), float(y)) for x, y in ring] for ring in rings]) for i, rings in enumerate(shapes)]
+        found = sorted(round(ring_area(r), 6) for r in outlines(spark.createDataFrame(rows, f"k int, rings {RINGS}"), 1.3))
+        assert found == areas
+
+
+def test_union_of_slanting_shapes(spark):
+    """Area by points of a grid, closed rings."""
+    rng = random.Random(9)
+    shapes = [(i, [star(rng, rng.uniform(0, 40), rng.uniform(0, 40), 12)]) for i in range(12)]
+    turned = [(i, [r if ring_area(r[:-1]) > 0 else r[::-1] for r in rings]) for i, rings in shapes]
+    # Stars by sorted angles don't cross themselves.
+    rings = outlines(spark.createDataFrame(turned, f"k int, rings {RINGS}"), 5.0)
+    n = 220
+    grid = [(-15 + 70 * (a + 0.5) / n, -15 + 70 * (b + 0.5) / n) for a in range(n) for b in range(n)]
+    want = sum(any(inside(rings_, x, y) for _, rings_ in shapes) for x, y in grid) * (70 / n) ** 2
+    assert abs(sum(map(ring_area, rings)) - want) < 0.01 * want
+
+
 def test_shares(spark):
     parts = [(1, 0.0, 0.4), (1, 0.2, 0.3), (1, 0.4, 0.5), (1, 0.7, 0.8), (2, 0.5, 1.0)]
     df = spark.createDataFrame(parts, "k int, low double, high double")
