@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geotally.functions import exact
-from geotally.storage import cut
+from geotally.storage import cut, planned_ahead
+
+#: Links that leave a cell and stay together; a cell with more is dealt to several tasks.
+HUB_LINKS = 100_000
 
 
 def visits_to_links(visits: DataFrame, source: str, cell: str, order: list[str]) -> DataFrame:
@@ -76,29 +79,39 @@ def restart_walk(seeds: DataFrame, matrix: DataFrame, scenarios: DataFrame, step
     back at each step, the rest moves by the matrix.
 
     ``seeds`` and ``matrix`` (see ``transition_units``) have ``units`` of 10^-24.  Every cell of
-    either has a row at every step; a cell without a seed begins with nothing.  One join and one
-    sum with partial sums a step; each step is written to the shared folder.
+    either has a row at every step; a cell without a seed begins with nothing.  The matrix is dealt
+    by cell once, in parts of at most about ``HUB_LINKS`` links, and stays where it is: a step moves
+    the masses to it (to each part of a hub) and sums what arrives, with partial sums.  Each step is
+    written to the shared folder.
     """
+    spark = matrix.sparkSession
     shares = [f"share{i}" for i in range(3)]
-    matrix = cut(matrix.select("scenario", "from_cell", "to_cell", *[x.alias(c) for c, x in zip(shares, exact.limbs(F.col("units")), strict=True)]))
-    cells = matrix.select(F.col("from_cell").alias("cell_id")).union(matrix.select("to_cell")).union(seeds.select("cell_id")).distinct()
+    given = cut(matrix.select("scenario", "from_cell", "to_cell", *[x.alias(c) for c, x in zip(shares, exact.limbs(F.col("units")), strict=True)]))
+    parts_of = cut(given.groupBy("scenario", "from_cell").agg(F.ceil(F.count("*") / HUB_LINKS).cast("int").alias("parts")))
+    cells = given.select(F.col("from_cell").alias("cell_id")).union(given.select("to_cell")).union(seeds.select("cell_id")).distinct()
     start = cells.join(seeds.select("cell_id", "units"), "cell_id", "left").select("cell_id", exact.whole(F.coalesce("units", F.lit(0))).alias("seed"))
-    state = cut(start.crossJoin(F.broadcast(scenarios.select("scenario"))).select("scenario", "cell_id", "seed", F.col("seed").alias("mass")))
-    seen = [state.select("scenario", F.lit(0).alias("step"), "cell_id", "mass")]
+    whole = start.crossJoin(F.broadcast(scenarios.select("scenario"))).join(parts_of.withColumnRenamed("from_cell", "cell_id"), ["scenario", "cell_id"], "left")
+    dealt = given.join(parts_of, ["scenario", "from_cell"]).withColumn("part", F.pmod(F.xxhash64("to_cell"), F.col("parts")).cast("int")).drop("parts")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # A quarter of the seed has 26 places: 250,000 units of 10^-30 for each of 10^-24.
     back = exact.whole(F.col("seed").cast("decimal(25,0)") * F.lit(250_000).cast("decimal(6,0)"))
-    masses, parts = [f"mass{i}" for i in range(3)], [f"part{i}" for i in range(4)]
+    masses, sums = [f"mass{i}" for i in range(3)], [f"part{i}" for i in range(4)]
     product = exact.three_quarters([F.col(c) for c in masses], [F.col(c) for c in shares])
-    for step in range(1, steps + 1):
-        moved = (
-            state.where("mass > 0").select("scenario", F.col("cell_id").alias("from_cell"), *[x.alias(c) for c, x in zip(masses, exact.limbs(F.col("mass")), strict=True)])
-            .join(matrix, ["scenario", "from_cell"])
-            .select("scenario", F.col("to_cell").alias("cell_id"), *[x.alias(c) for c, x in zip(parts, product, strict=True)])
-            .groupBy("scenario", "cell_id").agg(*[F.sum(c).alias(c) for c in parts])
-        )
-        after = exact.drop_digits(exact.whole(back + exact.from_limbs([F.coalesce(c, F.lit(0)) for c in parts])), 6)
-        state = cut(state.join(moved, ["scenario", "cell_id"], "left").select("scenario", "cell_id", "seed", after.alias("mass")))
-        seen.append(state.select("scenario", F.lit(step).alias("step"), "cell_id", "mass"))
+    with planned_ahead(spark):
+        keys = ["scenario", "from_cell", "part"]
+        matrix = cut(dealt.repartition(n, *keys).sortWithinPartitions(*keys))
+        state = cut(whole.select("scenario", "cell_id", "seed", F.coalesce("parts", F.lit(1)).alias("parts"), F.col("seed").alias("mass")).repartition(n, "scenario", "cell_id").sortWithinPartitions("scenario", "cell_id"))
+        seen = [state.select("scenario", F.lit(0).alias("step"), "cell_id", "mass")]
+        for step in range(1, steps + 1):
+            sent = state.where("mass > 0").select("scenario", F.col("cell_id").alias("from_cell"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[x.alias(c) for c, x in zip(masses, exact.limbs(F.col("mass")), strict=True)])
+            moved = (
+                sent.join(matrix, keys)
+                .select("scenario", F.col("to_cell").alias("cell_id"), *[x.alias(c) for c, x in zip(sums, product, strict=True)])
+                .groupBy("scenario", "cell_id").agg(*[F.sum(c).alias(c) for c in sums])
+            )
+            after = exact.drop_digits(exact.whole(back + exact.from_limbs([F.coalesce(c, F.lit(0)) for c in sums])), 6)
+            state = cut(state.join(moved, ["scenario", "cell_id"], "left").select("scenario", "cell_id", "seed", "parts", after.alias("mass")))
+            seen.append(state.select("scenario", F.lit(step).alias("step"), "cell_id", "mass"))
     out = seen[0]
     for more in seen[1:]:
         out = out.unionByName(more)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +37,16 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def planned_ahead(spark: SparkSession) -> Iterator[None]:
+    """Plans made within are not changed while they run, so what is written keeps its partitioning and order,
+    and a loop's steps are one job each.  For tables that are dealt evenly already."""
+    key = "spark.sql.adaptive.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
