@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from geotally.functions import scalars
+from geotally.functions import fingerprint, scalars
 from geotally.operators.matching import unambiguous_match
 from geotally.operators.merging import conflicts, insert_only_merge
 from geotally.operators.ranking import quantiles
@@ -205,6 +205,32 @@ def hash_sample(t: Tables) -> DataFrame:
     return t.orders.orderBy(F.md5(F.col("o_orderkey").cast("string")), "o_orderkey").limit(5000).select("o_orderkey", "o_custkey")
 
 
+def _sql_times(a: str, b: str) -> str:
+    return f"(({a})::UHUGEINT * ({b})::UHUGEINT % 18446744073709551616::UHUGEINT)::UBIGINT"
+
+
+def _sql_mixed(x: str) -> str:
+    return f"xor({x}, {x} >> 47)"
+
+
+_K = {k: f"{int(v)}::UBIGINT" for k, v in (("k0", fingerprint.K0), ("k2", fingerprint.K2))}
+# Keys of up to seven digits: the fingerprint's classes of one to three and of four to seven bytes.
+_SQL_FINGERPRINT = f"""keys AS (SELECT o_orderkey, o_custkey, o_orderkey::VARCHAR AS s, length(o_orderkey::VARCHAR) AS n FROM orders
+), small AS (SELECT o_orderkey, xor({_sql_times("ascii(s[1]) + ascii(s[(n // 2 + 1)]) * 256", _K["k2"])}, {_sql_times("n + ascii(s[n]) * 4", _K["k0"])}) AS x FROM keys WHERE n < 4
+), words AS (SELECT o_orderkey, n, ((n + (ascii(s[1]) + ascii(s[2]) * 256 + ascii(s[3]) * 65536 + ascii(s[4])::BIGINT * 16777216) * 8))::UBIGINT AS u,
+    (ascii(s[n - 3]) + ascii(s[n - 2]) * 256 + ascii(s[n - 1]) * 65536 + ascii(s[n])::BIGINT * 16777216)::UBIGINT AS v, (({_K["k2"]})::UHUGEINT + (2 * n)::UHUGEINT) % 18446744073709551616::UHUGEINT AS f FROM keys WHERE n BETWEEN 4 AND 7
+), first AS (SELECT o_orderkey, v, f, {_sql_times("xor(u, v)", "f")} AS a FROM words), second AS (SELECT o_orderkey, f, {_sql_times("xor(v, " + _sql_mixed("a") + ")", "f")} AS b FROM first
+), prints AS (SELECT o_orderkey, {_sql_times(_sql_mixed("x"), _K["k2"])} AS h FROM small UNION ALL SELECT o_orderkey, {_sql_times(_sql_mixed("b"), "f")} FROM second
+), signed AS (SELECT o_orderkey, o_custkey, CASE WHEN h >= 9223372036854775808 THEN (h::HUGEINT - 18446744073709551616::HUGEINT)::BIGINT ELSE h::BIGINT END AS fingerprint FROM prints JOIN keys USING (o_orderkey))"""
+
+
+@query(f"WITH {_SQL_FINGERPRINT} SELECT * FROM signed ORDER BY fingerprint, o_orderkey LIMIT 5000")
+def fingerprint_sample(t: Tables) -> DataFrame:
+    """A sample by the public 64-bit fingerprint of the keys (the limit is the operator)."""
+    printed = t.orders.select("o_orderkey", "o_custkey", fingerprint.farm_fingerprint(F.col("o_orderkey").cast("string")).alias("fingerprint"))
+    return printed.orderBy("fingerprint", "o_orderkey").limit(5000)
+
+
 @query("SELECT user_id, count(*) FILTER (WHERE event_id <= before) AS n_violations, count(*) AS n FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) GROUP BY 1")
 def order_violations(t: Tables) -> DataFrame:
     """Rows that break the strict order of keys in time."""

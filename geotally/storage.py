@@ -9,6 +9,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from geotally import lineage
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -36,7 +38,9 @@ def scratch(spark: SparkSession, kind: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with the lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    after = df.checkpoint(eager=True)
+    lineage.remember(df, after)
+    return after
 
 
 @contextmanager
