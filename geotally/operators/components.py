@@ -15,9 +15,15 @@ from pyspark.sql import functions as F
 from geotally.storage import cut
 
 
+#: Links of a partition, about: few links lie in few files, however many partitions shuffles have.
+PART_LINKS = 100_000
+
+
 def _state(links: DataFrame) -> tuple:
     row = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
     return tuple(row)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``links`` has two columns of node ids of one type; returns ``node`` and ``root``.
 
@@ -32,19 +38,22 @@ def components(links: DataFrame) -> DataFrame:
         .distinct()
     )
     state = _state(now)
+    # Links never become more, so this many partitions are enough for every step.
+    few = lambda df: df.coalesce(state[0] // PART_LINKS + 1)
+    now = few(now)
     while state[0]:
         both = now.select(F.col("hi").alias("at"), F.col("lo").alias("to")).unionByName(
             now.select(F.col("lo").alias("at"), F.col("hi").alias("to"))
         )
-        least = cut(both.groupBy("at").agg(F.min("to").alias("to_min")).select("at", F.least("at", "to_min").alias("low")))
-        large = cut(both.where("to > at").join(least, "at").select(F.col("to").alias("hi"), F.col("low").alias("lo")).distinct())
-        least = cut(large.groupBy("hi").agg(F.min("lo").alias("low")))
+        least = cut(few(both.groupBy("at").agg(F.min("to").alias("to_min")).select("at", F.least("at", "to_min").alias("low"))))
+        large = cut(few(both.where("to > at").join(least, "at").select(F.col("to").alias("hi"), F.col("low").alias("lo")).distinct()))
+        least = cut(few(large.groupBy("hi").agg(F.min("lo").alias("low"))))
         small = (
             large.join(least, "hi").where("lo != low").select(F.col("lo").alias("hi"), F.col("low").alias("lo"))
             .unionByName(least.select("hi", F.col("low").alias("lo")))
             .distinct()
         )
-        now = cut(small)
+        now = cut(few(small))
         was, state = state, _state(now)
         if was == state:
             break

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geotally.storage import cut
+
 
 class GateError(AssertionError):
     """A condition that must hold before or after a step does not."""
@@ -75,6 +77,25 @@ def first_of_each(requests: DataFrame, keys: list[str], order: str, *, name: str
     return requests.groupBy(*keys).agg(F.min(order).alias(name), F.count("*").alias("n_requests"), (F.count("*") - 1).alias("n_replayed"))
 
 
+def creation_states(requests: DataFrame, key: str, digest: str, order: str, stored: DataFrame | None = None) -> DataFrame:
+    """All requests with ``run_order`` and ``state``: the first of a key creates its run (CREATED), one with the same digest
+    gets it again (REPLAYED), one with another digest is refused (CONFLICT).
+
+    ``stored`` has the keys and digests of runs that exist already: a request for one creates nothing.
+    A null key is a run of its own (CREATED).  The first request of a key is a grouped minimum with
+    partial sums, written before it is joined back, so a key of very many requests can be split.
+    """
+    known = requests.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.struct(F.lit(1).alias("age"), F.col(order).alias("at"), F.col(digest).alias("digest")).alias("__run"))
+    if stored is not None:
+        known = known.unionByName(stored.select(F.col(key).alias("__key"), F.struct(F.lit(0).alias("age"), F.lit(None).cast(requests.schema[order].dataType).alias("at"), F.col(digest).alias("digest")).alias("__run")))
+    first = cut(known.groupBy("__key").agg(F.min("__run").alias("__run")))
+    joined = requests.join(first, F.col(key) == F.col("__key"), "left")
+    same = F.col(digest).eqNullSafe(F.col("__run.digest"))
+    created = F.col("__key").isNull() | ((F.col("__run.age") == 1) & (F.col(order) == F.col("__run.at")))
+    state = F.when(created, "CREATED").when(same, "REPLAYED").otherwise("CONFLICT")
+    return joined.select(*requests.columns, F.when(F.col("__key").isNull(), F.col(order)).otherwise(F.col("__run.at")).alias("run_order"), state.alias("state"))
+
+
 def one_value_set(records: DataFrame, columns: list[str]) -> DataFrame:
     """The records with ``n_values``, how many of the typed columns are set."""
     total = F.lit(0)

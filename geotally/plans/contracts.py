@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotally.functions import scalars
-from geotally.operators.merging import first_of_each, lock, one_value_set, served
+from geotally.operators.merging import creation_states, first_of_each, lock, one_value_set, served
 from geotally.operators.ranking import numbered, running
 from geotally.plans.base import SQL_SELECTED, Tables
 from geotally.plans.layers import SQL_SCENARIOS, scenarios, selected_layers
@@ -154,6 +154,13 @@ def idempotent_runs(t: Tables) -> DataFrame:
     return first_of_each(t.orders, ["o_custkey", "o_orderpriority"], "o_orderkey", name="run_key")
 
 
+@query("""WITH first AS (SELECT o_custkey, min(o_orderkey) AS k, arg_min(o_orderpriority, o_orderkey) AS d FROM orders GROUP BY 1)
+SELECT o_orderkey, k AS run_order, CASE WHEN o_orderkey = k THEN 'CREATED' WHEN o_orderpriority = d THEN 'REPLAYED' ELSE 'CONFLICT' END AS state FROM orders JOIN first USING (o_custkey)""")
+def run_creation_states(t: Tables) -> DataFrame:
+    """Requests for runs: created, answered with the run that is there, or refused for another digest under one key."""
+    return creation_states(t.orders.select("o_custkey", "o_orderpriority", "o_orderkey"), "o_custkey", "o_orderpriority", "o_orderkey").select("o_orderkey", "run_order", "state")
+
+
 @query(f"""WITH {SQL_SCENARIOS} SELECT variant, cell_id, round(score, 9) AS score, selected, 'locked' AS release, (SELECT count(*) FROM scenarios WHERE variant IN ('composite', 'without_partial')) AS n_rows
 FROM scenarios WHERE variant IN ('composite', 'without_partial')""")
 def locked_scenarios(t: Tables) -> DataFrame:

@@ -195,6 +195,23 @@ def variant_pairwise_corr_jaccard(t: Tables) -> DataFrame:
     )
 
 
+#: Selections of two variants that share less of their area are unstable (fixed value).
+STABLE = 0.6
+
+
+@query(f"""WITH {SQL_SCENARIOS}, pairs AS (SELECT a.variant, a.area, a.selected AS s, b.selected AS r FROM scenarios a JOIN scenarios b ON a.cell_id = b.cell_id AND b.variant = 'composite' AND a.variant <> 'composite'
+  WHERE a.score IS NOT NULL AND b.score IS NOT NULL), shared AS (SELECT variant, round(sum(CASE WHEN s AND r THEN area ELSE 0 END) / nullif(sum(CASE WHEN s OR r THEN area ELSE 0 END), 0), 9) AS jaccard FROM pairs GROUP BY 1)
+SELECT variant, jaccard, coalesce(jaccard >= {STABLE}, false) AS stable FROM shared""")
+def stability_gate(t: Tables) -> DataFrame:
+    """Which ablations keep the composite's selection: an area Jaccard of at least 0.6 on common support."""
+    rows = cut(scenarios(t).where("score IS NOT NULL").select("variant", "cell_id", "area", "selected"))
+    whole = rows.where("variant = 'composite'").select("cell_id", F.col("selected").alias("chosen"))
+    pairs = rows.where("variant <> 'composite'").join(whole, "cell_id")
+    area = lambda c: F.sum(F.when(c, F.col("area")).otherwise(0.0))
+    shared = pairs.groupBy("variant").agg(F.round(F.try_divide(area(F.col("selected") & F.col("chosen")), area(F.col("selected") | F.col("chosen"))), 9).alias("jaccard"))
+    return shared.withColumn("stable", F.coalesce(F.col("jaccard") >= STABLE, F.lit(False)))
+
+
 @query(f"""WITH {SQL_SCENARIOS}, flat AS (
   SELECT cell_id, area, bool_or(selected AND variant = 'composite') AS in_composite, max(score) FILTER (WHERE variant = 'composite') AS composite,
          max(score) FILTER (WHERE variant = 'dense') AS dense, max(score) FILTER (WHERE variant = 'partial') AS partial FROM scenarios GROUP BY 1, 2

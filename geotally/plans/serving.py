@@ -69,6 +69,26 @@ def bbox_page(t: Tables) -> DataFrame:
     return bbox_filter(t).where(F.col("point_id") > decode_token(token)).orderBy("point_id").limit(clamp(None) + 1)
 
 
+RELEASE = "r1"
+
+
+def released_page(cells: DataFrame, release: str, box: str, token: str | None, limit: int | None = None) -> DataFrame:
+    """A page of one release's cells (``release``, ``point_id``, ``lon``, ``lat``) in a box, after a token's key, one more than the
+    page to know of a next one; a release that the table lacks has none."""
+    lon, lat = F.col("lon"), F.col("lat")
+    own = cells.where((F.col("release") == release) & box_overlaps(lon - 0.001, lat - 0.001, lon + 0.001, lat + 0.001, parse_box(box)))
+    after = own.where(F.col("point_id") > decode_token(token)) if token else own
+    return after.orderBy("point_id").limit(clamp(limit) + 1)
+
+
+@query(f"WITH {SQL_BOXES} SELECT 'r1' AS release, point_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM boxes JOIN orders ON o_orderkey = point_id WHERE o_orderstatus = 'F' AND point_id > 1000 AND lon - 0.001 <= 121.6 AND lon + 0.001 >= 121.5 AND lat - 0.001 <= 25.1 AND lat + 0.001 >= 25.02 ORDER BY point_id LIMIT 501")
+def release_bbox_page(t: Tables) -> DataFrame:
+    """A page (a report) of the cells of one release of several in a box, after a token's key."""
+    releases = t.orders.select(F.col("o_orderkey").alias("point_id"), F.when(F.col("o_orderstatus") == "F", RELEASE).when(F.col("o_orderstatus") == "O", "r2").otherwise("r0").alias("release"))
+    cells = t.points().select("point_id", "lon", "lat").join(releases, "point_id")
+    return released_page(cells, RELEASE, BOX, encode_token(1000)).select("release", "point_id", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
 def bootstrap(cells: DataFrame, release: str) -> dict:
     """What a map begins with: its release and whether cells can be read, limits and capabilities."""
     return {"release": release, "ready": readable(cells), "default_limit": DEFAULT_LIMIT, "max_limit": MOST, "capabilities": capabilities()}

@@ -115,3 +115,56 @@ def test_numbered_rows(spark):
     df = spark.createDataFrame([(i * 7 % 101, "x") for i in range(101)], "k int, v string")
     assert [(r.row, r.k) for r in numbered(df, ["k"], first=2, ranges=5).orderBy("k").collect()] == [(k + 2, k) for k in range(101)]
     assert numbered(df.where("false"), ["k"]).collect() == []
+
+
+def test_creation_states(spark):
+    from geotally.operators.merging import creation_states
+
+    rows = [("a", "x", 1), ("a", "x", 2), ("a", "y", 3), ("b", None, 4), ("b", None, 5), (None, "z", 6), (None, "z", 7), ("c", "q", 8), ("c", "r", 9)]
+    df = spark.createDataFrame(rows, "k string, d string, at int")
+    want = {1: "CREATED", 2: "REPLAYED", 3: "CONFLICT", 4: "CREATED", 5: "REPLAYED", 6: "CREATED", 7: "CREATED", 8: "CREATED", 9: "CONFLICT"}
+    assert {r["at"]: r.state for r in creation_states(df, "k", "d", "at").collect()} == want
+    stored = spark.createDataFrame([("a", "x"), ("c", "r")], "k string, d string")
+    found = {r["at"]: r.state for r in creation_states(df, "k", "d", "at", stored).collect()}
+    assert found == want | {1: "REPLAYED", 8: "CONFLICT", 9: "REPLAYED"}
+    assert creation_states(df.where("false"), "k", "d", "at").collect() == []
+
+
+def test_approximate_quantiles_are_near(spark):
+    """The rank of each answer is within the sketch's bound."""
+    from pyspark.sql import functions as F
+
+    from geotally import catalog
+
+    sf = "/root/testdata/sf0.01"
+    found = {r.year: (r.quantiles, r.n) for r in catalog.QUERIES["approximate_quantiles"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").select(F.year("l_shipdate").alias("y"), "l_extendedprice").collect()
+    for year, (values, n) in found.items():
+        own = sorted(r.l_extendedprice for r in rows if r.y == year)
+        assert len(own) == n
+        for q, v in zip((0.5, 0.99), values, strict=True):
+            low, high = sum(x < v for x in own), sum(x <= v for x in own)
+            assert low - n / 10_000 - 1 <= q * n <= high + n / 10_000 + 1
+
+
+def test_public_fingerprint(spark):
+    """Published values, and all classes of length against a plain version."""
+    from pyspark.sql import functions as F
+
+    from geotally.functions.fingerprint import farm_fingerprint, fingerprints
+
+    known = {"1footrue": -1541654101129638711, "2applefalse": 2794438866806483259, "3true": -4880158226897771312, "test": 8581389452482819506, "test" * 8: -4196240717365766262, "test" * 64: 3500507768004279527}
+    df = spark.createDataFrame([(k,) for k in known] + [(None,)], "t string")
+    assert {r.t: r.f for r in df.select("t", farm_fingerprint(F.col("t")).alias("f")).collect()} == known | {None: None}
+    texts = [bytes((i * 37 + k) % 251 for k in range(i)) for i in range(200)]
+    together = fingerprints(texts).tolist()
+    assert together == [fingerprints([t])[0] for t in texts] and len(set(together)) == 200
+
+
+def test_release_pages(spark):
+    from geotally.plans.serving import encode_token, released_page
+
+    cells = spark.createDataFrame([(r, i, 121.5 + i / 1000, 25.05) for r in ("a", "b") for i in range(1, 40)], "release string, point_id int, lon double, lat double")
+    page = released_page(cells, "a", "121.51,25,121.53,25.1", encode_token(12), 5).collect()
+    assert [(r.release, r.point_id) for r in page] == [("a", i) for i in range(13, 19)]
+    assert released_page(cells, "none", "121.51,25,121.53,25.1", None).collect() == []
