@@ -10,7 +10,7 @@ from geotally.operators.merging import creation_states, first_of_each, lock, one
 from geotally.operators.ranking import numbered, running
 from geotally.plans.base import SQL_SELECTED, Tables
 from geotally.plans.layers import SQL_SCENARIOS, scenarios, selected_layers
-from geotally.plans.network import SCENARIOS, SQL_DIRECTED, SQL_WALK, SQL_WEIGHTED, all_links, both_ways, cell_links, matrix_units, network_cells, scenario_table, seeds, walk
+from geotally.plans.network import SCENARIOS, SQL_DIRECTED, SQL_IDENTITY, SQL_WALK, SQL_WEIGHTED, all_links, both_ways, cell_links, matrix_units, network_cells, run_identity, scenario_table, seeds, walk
 from geotally.plans.registry import query
 from geotally.sources.readers import APPROVED, CITY, OUTCOME, approved_outcomes
 from geotally.storage import cut
@@ -106,46 +106,10 @@ def cell_support_states(t: Tables) -> DataFrame:
 
 # --- runs, receipts and locks -------------------------------------------------------------------
 
-SQL_ARTIFACTS = f"""{SQL_WEIGHTED}, l AS (SELECT from_cell // 1024 AS k, sha256(string_agg(from_cell || ':' || to_cell || ':' || n_sources, chr(10) ORDER BY from_cell, to_cell)) AS d FROM (SELECT *, row_number() OVER () FROM cell_links) GROUP BY 1
-), c AS (SELECT sha256(string_agg(d, chr(10) ORDER BY k)) AS h FROM (SELECT s_suppkey // 1024 AS k, sha256(string_agg(s_suppkey || ':' || s_nationkey, chr(10) ORDER BY s_suppkey)) AS d FROM supplier GROUP BY 1)
-), f AS (SELECT sha256(string_agg(d, chr(10) ORDER BY k)) AS h FROM (SELECT s_suppkey // 1024 AS k, sha256(string_agg(s_suppkey || ':' || n, chr(10) ORDER BY s_suppkey)) AS d
-  FROM (SELECT s_suppkey, count(l_suppkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1) GROUP BY 1)
-), p AS (SELECT sha256(string_agg(d, chr(10) ORDER BY k)) AS h FROM (SELECT o_orderkey // 1024 AS k, sha256(string_agg(o_orderkey || ':' || o_orderstatus, chr(10) ORDER BY o_orderkey)) AS d FROM orders GROUP BY 1)
-), a AS (SELECT sha256(string_agg(d, chr(10) ORDER BY k)) AS h FROM (SELECT s_suppkey // 1024 AS k, sha256(string_agg(s_suppkey || ':' || coalesce((round(attribute, 9) * 1000000000)::BIGINT, -1), chr(10) ORDER BY s_suppkey)) AS d
-  FROM supplier LEFT JOIN metric_index ON cell_id = s_suppkey GROUP BY 1)
-), run AS (SELECT c.h AS cells_hash, f.h AS seed_hash, p.h AS source_hash, a.h AS attribute_hash, sha256(concat_ws(chr(31), 'contract', 'inputs', 'bundle', 'revision', c.h, f.h, p.h, a.h, 'parent')) AS run_id FROM c, f, p, a)"""
-#: What a run's identity holds besides the four hashes of its inputs.
-IDENTITY = ("contract", "inputs", "bundle", "revision"), ("parent",)
-
-
-def _content_hash(rows: DataFrame, key: str, text, name: str) -> DataFrame:
-    """One row: the digest of a table's selected content, in pieces by key."""
-    return scalars.digest_tree(rows.select(F.col(key).alias("k"), text.alias("text")), [], "k", "text", levels=0).select(F.col("digest").alias(name))
-
-
-def run_identity(t: Tables) -> DataFrame:
-    """One row: the hashes of the run's inputs, and the run's id from all nine of its parts."""
-    from geotally.plans.layers import metric_index
-
-    joined = lambda a, b: F.concat(F.col(a).cast("string"), F.lit(":"), b.cast("string"))
-    lines = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"))
-    seeded = t.supplier.join(lines, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    attributes = t.supplier.join(metric_index(t), F.col("cell_id") == F.col("s_suppkey"), "left")
-    parts = [
-        _content_hash(t.supplier, "s_suppkey", joined("s_suppkey", F.col("s_nationkey")), "cells_hash"), _content_hash(seeded, "s_suppkey", joined("s_suppkey", F.coalesce("n", F.lit(0))), "seed_hash"),
-        _content_hash(t.orders, "o_orderkey", joined("o_orderkey", F.col("o_orderstatus")), "source_hash"),
-        _content_hash(attributes, "s_suppkey", joined("s_suppkey", F.coalesce((F.round("attribute", 9) * 1_000_000_000).cast("decimal(18,3)").cast("decimal(18,0)"), F.lit(-1))), "attribute_hash"),
-    ]
-    row = parts[0].crossJoin(parts[1]).crossJoin(parts[2]).crossJoin(parts[3])  # one row each
-    hashes = ("cells_hash", "seed_hash", "source_hash", "attribute_hash")
-    run = F.sha2(F.concat_ws(scalars.UNIT_SEPARATOR, *map(F.lit, IDENTITY[0]), *hashes, *map(F.lit, IDENTITY[1])), 256)
-    return row.withColumn("run_id", run)
-
-
-@query(f"WITH {SQL_ARTIFACTS} SELECT run_id, cells_hash, seed_hash, source_hash, attribute_hash FROM run")
+@query(f"WITH {SQL_WEIGHTED}, {SQL_IDENTITY} SELECT * FROM run")
 def run_identity_hashes(t: Tables) -> DataFrame:
-    """The identity of a run from its inputs' content hashes."""
-    return run_identity(t).select("run_id", "cells_hash", "seed_hash", "source_hash", "attribute_hash")
+    """The identity of a run and the nine content hashes that it is made of."""
+    return run_identity(t)
 
 
 @query("SELECT o_custkey, o_orderpriority, min(o_orderkey) AS run_key, count(*) AS n_requests, count(*) - 1 AS n_replayed FROM orders GROUP BY 1, 2")

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geotally.functions import exact
-from geotally.functions.scalars import digest_tree, fixed_decimal
+from geotally.functions.scalars import UNIT_SEPARATOR, digest_tree, fixed_decimal
+from geotally.operators import links
 from geotally.operators.census import TERMINAL, first_match
 from geotally.operators.components import components
 from geotally.operators.links import both_ways, overlapping, restart_walk, transition_units, visits_to_links
@@ -360,18 +363,77 @@ def _set_hash(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 # --- registry ---------------------------------------------------------------------------------
 
-RUN_ID = hashlib.sha256("\u001f".join(["links", "transitions", "walk", *[s[0] for s in SCENARIOS]]).encode()).hexdigest()
+def _digest(*texts: str) -> str:
+    return hashlib.sha256("\u001f".join(texts).encode()).hexdigest()
 
 
-@query(f"""WITH {SQL_MATRIX}, rows AS (
+#: Parts of a run's identity that no table has: its contract (scenarios and steps), the code of the operators and of this plan.
+CONTRACT = _digest(repr(SCENARIOS), str(STEPS))
+BUNDLE, REVISION = _digest(*[inspect.getsource(m) for m in (links, exact)]), _digest(Path(__file__).read_text())
+PARTS = ("contract", "inputs", "bundle", "revision", "cells", "seeds", "source", "attributes", "parent")
+LEVELS = 2
+
+
+def _sql_tree(name: str, source: str, key: str, text: str) -> str:
+    """The digest of a table as ``digest_tree`` has it: 1,024 rows in a row, level by level."""
+    out = f"{name}0 AS (SELECT {key} // 1024 AS k, sha256(string_agg({text}, chr(10) ORDER BY {key})) AS d FROM {source} GROUP BY 1)"
+    for i in range(LEVELS):
+        out += f", {name}{i + 1} AS (SELECT k // 1024 AS k, sha256(string_agg(d, chr(10) ORDER BY k)) AS d FROM {name}{i} GROUP BY {name}{i}.k // 1024)"
+    return out + f", {name} AS (SELECT sha256(string_agg(d, chr(10) ORDER BY k)) AS h FROM {name}{LEVELS})"
+
+
+_CORNER = "(s_suppkey % 8)::DECIMAL(28,12) || ',' || (s_suppkey // 8 + 0.5 * (s_suppkey % 2))::DECIMAL(28,12)"
+SQL_IDENTITY = f"""seeded AS (SELECT s_suppkey, count(l_suppkey) AS n FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1
+), attributed AS (SELECT s_suppkey, coalesce((round(attribute, 9) * 1000000000)::BIGINT, -1) AS a FROM supplier LEFT JOIN metric_index ON cell_id = s_suppkey
+), fans AS (SELECT from_cell, to_cell // 1024 AS p, sha256(string_agg(from_cell || ':' || to_cell || ':' || n_sources, chr(10) ORDER BY to_cell)) AS d FROM cell_links GROUP BY 1, 2
+), stars AS (SELECT from_cell AS k, sha256(string_agg(d, chr(10) ORDER BY p)) AS d FROM fans GROUP BY 1
+), {_sql_tree("ct", "supplier", "s_suppkey", f"s_suppkey || ':' || {_CORNER}")}, {_sql_tree("st", "seeded", "s_suppkey", "s_suppkey || ':' || n")}, {_sql_tree("ot", "orders", "o_orderkey", "o_orderkey || ':' || o_orderstatus")},
+{_sql_tree("mt", "attributed", "s_suppkey", "s_suppkey || ':' || a")}, {_sql_tree("pt", "stars", "k", "d")}, hashes AS (
+  SELECT '{CONTRACT}' AS contract, sha256(concat_ws(chr(31), ct.h, st.h, ot.h, mt.h)) AS inputs, '{BUNDLE}' AS bundle, '{REVISION}' AS revision, ct.h AS cells, st.h AS seeds, ot.h AS source, mt.h AS attributes, pt.h AS parent FROM ct, st, ot, mt, pt
+), run AS (SELECT *, sha256(concat_ws(chr(31), {", ".join(PARTS)})) AS run_id FROM hashes)"""
+
+
+def _content_hash(rows: DataFrame, key: str, text, name: str) -> DataFrame:
+    """One row: the digest of a table's selected content, as a tree by key."""
+    return digest_tree(rows.select(F.col(key).alias("k"), text.alias("text")), [], "k", "text", levels=LEVELS).select(F.col("digest").alias(name))
+
+
+def run_identity(t: Tables) -> DataFrame:
+    """One row: the content hashes of a run's nine parts and the run's id from all of them.
+
+    Cells are hashed by their corners with twelve places, links with their numbers of sources.
+    """
+    joined = lambda a, b: F.concat(F.col(a).cast("string"), F.lit(":"), b.cast("string"))
+    k = F.col("s_suppkey")
+    corner = F.concat_ws(",", fixed_decimal(k % 8, 12), fixed_decimal(F.floor(k / 8) + 0.5 * (k % 2), 12))
+    lines = t.lineitem.groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    seeded = t.supplier.join(lines, F.col("l_suppkey") == k, "left")
+    attributed = t.supplier.join(metric_index(t), F.col("cell_id") == k, "left")
+    rounded = F.coalesce((F.round("attribute", 9) * 1_000_000_000).cast("decimal(18,3)").cast("decimal(18,0)"), F.lit(-1))
+    row = F.concat_ws(":", F.col("from_cell").cast("string"), F.col("to_cell").cast("string"), F.col("n_sources").cast("string"))
+    stars = digest_tree(cell_links(t).select("from_cell", "to_cell", row.alias("row")), ["from_cell"], "to_cell", "row", levels=0)
+    parts = [
+        _content_hash(t.supplier, "s_suppkey", joined("s_suppkey", corner), "cells"), _content_hash(seeded, "s_suppkey", joined("s_suppkey", F.coalesce("n", F.lit(0))), "seeds"),
+        _content_hash(t.orders, "o_orderkey", joined("o_orderkey", F.col("o_orderstatus")), "source"), _content_hash(attributed, "s_suppkey", joined("s_suppkey", rounded), "attributes"),
+        digest_tree(stars, [], "from_cell", "digest", levels=LEVELS + 1, leaf=False, n="n_rows").select(F.col("digest").alias("parent")),
+    ]
+    whole = parts[0]
+    for more in parts[1:]:
+        whole = whole.crossJoin(more)  # one row each
+    inputs = F.sha2(F.concat_ws(UNIT_SEPARATOR, "cells", "seeds", "source", "attributes"), 256)
+    named = whole.select(F.lit(CONTRACT).alias("contract"), inputs.alias("inputs"), F.lit(BUNDLE).alias("bundle"), F.lit(REVISION).alias("revision"), "cells", "seeds", "source", "attributes", "parent")
+    return cut(named.withColumn("run_id", F.sha2(F.concat_ws(UNIT_SEPARATOR, *PARTS), 256)))
+
+
+@query(f"""WITH {SQL_MATRIX}, {SQL_IDENTITY}, rows AS (
   SELECT 'DEGREE' AS kind, scenario, count(*) AS number_value, NULL::DOUBLE AS decimal_value, NULL::BOOLEAN AS flag_value, NULL::VARCHAR AS text_value FROM nonself GROUP BY 2
   UNION ALL SELECT 'ROW_SUM_RESIDUAL', scenario, NULL, round(max(abs(s - 1)), 9), NULL, NULL FROM (SELECT scenario, from_cell, sum(share) AS s FROM matrix GROUP BY 1, 2) GROUP BY 2
   UNION ALL SELECT 'ROW_STOCHASTIC', scenario, NULL, NULL, bool_and(abs(s - 1) <= 0.000000001), NULL FROM (SELECT scenario, from_cell, sum(share) AS s FROM matrix GROUP BY 1, 2) GROUP BY 2
-  UNION ALL SELECT 'RUN', scenario, NULL, NULL, NULL, '{RUN_ID}' FROM buckets
-) SELECT *, sha256(concat_ws(chr(31), '{RUN_ID}', kind, scenario)) AS record_id FROM rows""")
+  UNION ALL SELECT 'RUN', scenario, NULL, NULL, NULL, run_id FROM buckets, run
+) SELECT rows.*, sha256(concat_ws(chr(31), run_id, kind, scenario)) AS record_id FROM rows, run""")
 def quality_registry_eav(t: Tables) -> DataFrame:
     """Typed audit records, one value column set in each."""
-    m = cut(matrix(t))
+    m, run = cut(matrix(t)), run_identity(t).select("run_id")
     sums = m.groupBy("scenario", "from_cell").agg(F.sum("share").cast("double").alias("s"))
     none = {"number_value": F.lit(None).cast("long"), "decimal_value": F.lit(None).cast("double"), "flag_value": F.lit(None).cast("boolean"), "text_value": F.lit(None).cast("string")}
 
@@ -382,10 +444,10 @@ def quality_registry_eav(t: Tables) -> DataFrame:
         record(m.where("from_cell <> to_cell"), "DEGREE", "number_value", F.count("*")),
         record(sums, "ROW_SUM_RESIDUAL", "decimal_value", F.round(F.max(F.abs(F.col("s") - 1)), 9)),
         record(sums, "ROW_STOCHASTIC", "flag_value", F.bool_and(F.abs(F.col("s") - 1) <= 0.000000001)),
-        record(scenario_table(t), "RUN", "text_value", F.min(F.lit(RUN_ID))),
+        record(scenario_table(t).crossJoin(F.broadcast(run)), "RUN", "text_value", F.min("run_id")),  # one row
     ]
     out = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
-    return out.withColumn("record_id", F.sha2(F.concat_ws("\u001f", F.lit(RUN_ID), "kind", "scenario"), 256))
+    return out.crossJoin(F.broadcast(run)).withColumn("record_id", F.sha2(F.concat_ws(UNIT_SEPARATOR, "run_id", "kind", "scenario"), 256)).drop("run_id")  # one row
 
 
 @query(f"WITH {SQL_WALK} SELECT scenario, step, cell_id, round(mass, 6) AS mass, 24::BIGINT AS places, true AS same FROM walk")
@@ -416,14 +478,14 @@ def edge_set_difference(t: Tables) -> DataFrame:
     return a.subtract(b).select(F.lit("LINKS_ONLY").alias("side"), "from_cell", "to_cell").unionByName(b.subtract(a).select(F.lit("GENERIC_ONLY").alias("side"), "from_cell", "to_cell"))
 
 
-@query(f"""WITH {SQL_WEIGHTED}, n AS (SELECT (SELECT count(*) FROM classified) AS n_sources, (SELECT count(*) FROM source_links) AS n_source_links, (SELECT count(*) FROM cell_links) AS n_links)
-SELECT '{RUN_ID}' AS run_id, n_sources, n_source_links, n_links, sha256(concat_ws(chr(31), '{RUN_ID}', n_sources, n_source_links, n_links)) AS receipt FROM n""")
+@query(f"""WITH {SQL_WEIGHTED}, {SQL_IDENTITY}, n AS (SELECT (SELECT count(*) FROM classified) AS n_sources, (SELECT count(*) FROM source_links) AS n_source_links, (SELECT count(*) FROM cell_links) AS n_links)
+SELECT run_id, n_sources, n_source_links, n_links, sha256(concat_ws(chr(31), run_id, n_sources, n_source_links, n_links)) AS receipt FROM n, run""")
 def run_receipt(t: Tables) -> DataFrame:
-    """One row: a run's name, the sizes of its artifacts and their hash (``run_identity_hashes`` has the
-    identity from the artifacts' contents)."""
+    """One row: a run's id (from its contents), the sizes of its artifacts and their hash."""
     sources = cut(source_links(t))
     n = (
         classified(t).agg(F.count("*").alias("n_sources"))
         .crossJoin(sources.agg(F.count("*").alias("n_source_links"))).crossJoin(sources.select("from_cell", "to_cell").distinct().agg(F.count("*").alias("n_links")))
+        .crossJoin(run_identity(t).select("run_id"))
     )
-    return n.select(F.lit(RUN_ID).alias("run_id"), "n_sources", "n_source_links", "n_links", F.sha2(F.concat_ws("\u001f", F.lit(RUN_ID), "n_sources", "n_source_links", "n_links"), 256).alias("receipt"))
+    return n.select("run_id", "n_sources", "n_source_links", "n_links", F.sha2(F.concat_ws(UNIT_SEPARATOR, "run_id", "n_sources", "n_source_links", "n_links"), 256).alias("receipt"))

@@ -168,3 +168,41 @@ def test_release_pages(spark):
     page = released_page(cells, "a", "121.51,25,121.53,25.1", encode_token(12), 5).collect()
     assert [(r.release, r.point_id) for r in page] == [("a", i) for i in range(13, 19)]
     assert released_page(cells, "none", "121.51,25,121.53,25.1", None).collect() == []
+
+
+def test_binary_forms(spark):
+    """Known bytes of the public form; zero is never negative; null stays null."""
+    from pyspark.sql import functions as F
+
+    from geotally.functions import wkb
+
+    ring = "array<struct<x:double,y:double>>"
+    line = [(0.0, 0.0), (1.0, 2.0)]
+    polygon = [[(0.0, -0.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0)]]
+    df = spark.createDataFrame([(1.0, 2.0, line, polygon, [polygon]), (None, 1.0, None, None, None)], f"x double, y double, l {ring}, p array<{ring}>, m array<array<{ring}>>")
+    got, none = df.select(*[F.hex(c).alias(n) for n, c in (("x", wkb.point_wkb("x", "y")), ("l", wkb.line_wkb("l")), ("p", wkb.polygon_wkb("p")), ("m", wkb.multipolygon_wkb("m")))]).collect()
+    one, two, zero = "000000000000F03F", "0000000000000040", "0000000000000000"
+    assert got.x == "0101000000" + one + two
+    assert got.l == "010200000002000000" + zero + zero + one + two
+    rings = "04000000" + zero + zero + one + zero + zero + one + zero + zero
+    assert got.p == "010300000001000000" + rings and got.m == "010600000001000000" + got.p
+    assert tuple(none) == (None, None, None, None)
+
+
+def test_a_changed_input_changes_its_part_and_the_run(spark, tmp_path):
+    import shutil
+
+    from geotally import catalog
+
+    sf = "/root/testdata/sf0.001"
+    for t in ("supplier", "lineitem", "orders"):
+        shutil.copy(f"{sf}/{t}.parquet", tmp_path)
+    before = catalog.QUERIES["run_identity_hashes"](spark, sf).first().asDict()
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders.selectExpr("* EXCEPT (o_orderstatus)", "CASE WHEN o_orderkey = 5 THEN 'X' ELSE o_orderstatus END AS o_orderstatus").write.mode("overwrite").parquet(str(tmp_path / "changed"))
+    shutil.rmtree(tmp_path / "orders.parquet", ignore_errors=True)
+    (tmp_path / "orders.parquet").unlink(missing_ok=True)
+    shutil.move(str(tmp_path / "changed"), str(tmp_path / "orders.parquet"))
+    after = catalog.QUERIES["run_identity_hashes"](spark, str(tmp_path)).first().asDict()
+    changed = {k for k in before if before[k] != after[k]}
+    assert {"source", "inputs", "run_id"} <= changed <= {"source", "inputs", "run_id", "parent"}
