@@ -30,9 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+_FOLDERS: dict[str, str] = {}
+
+
+def _own_folder(spark: SparkSession) -> str:
+    """The folder of this application's scratch files in the shared one; it goes when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        named = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(named)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        system.mkdirs(path)
+        system.deleteOnExit(path)
+        _FOLDERS[app] = named
+    return _FOLDERS[app]
+
+
 def scratch(spark: SparkSession, kind: str) -> str:
     """A fresh path for files of this run in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
