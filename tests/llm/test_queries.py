@@ -13,22 +13,24 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(registry.ORACLE[name])
     columns = sorted(x[0] for x in want.description)
     order = [[x[0] for x in want.description].index(c) for c in columns]
     found = registry.QUERIES[name](spark, SF)
     assert sorted(found.columns) == columns
-    got = sorted((tuple(r[c] for c in columns) for r in found.collect()), key=str)
-    assert got == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=str)
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    got = sorted((tuple(plain(r[c]) for c in columns) for r in found.collect()), key=str)
+    assert got == sorted((tuple(plain(r[i]) for i in order) for r in want.fetchall()), key=str)
 
 
 def test_language_on_held_out_rows(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
-    found = registry.QUERIES["op3_language_id"](spark, SF).join(docs, "doc_id").where("held_out")
+    sf = SF.replace("0.001", "0.1")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    found = registry.QUERIES["op3_language_id"](spark, sf).join(docs, "doc_id").where("held_out")
     right = found.where("lang = lang_pred").count()
-    assert right >= 0.95 * found.count()
+    assert right >= 0.99 * found.count() > 2000
 
 
 def auc(rows, label):
