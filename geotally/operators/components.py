@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotally.storage import cut
+from geotally.storage import cut, release
 
 
 #: Links of a partition, about: few links lie in few files, however many partitions shuffles have.
@@ -55,6 +55,7 @@ def components(links: DataFrame) -> DataFrame:
         )
         now = cut(few(small))
         was, state = state, _state(now)
+        release(links.sparkSession)
         if was == state:
             break
     roots = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

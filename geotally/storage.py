@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,6 +60,13 @@ def cut(df: DataFrame) -> DataFrame:
     return after
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of finished steps now: shuffle files stay until the driver's garbage is collected, which a loop of small
+    steps on large tables may put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def planned_ahead(spark: SparkSession) -> Iterator[None]:
     """Plans made within are not changed while they run, so what is written keeps its partitioning and order,
