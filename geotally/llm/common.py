@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geotally.storage import cut, scratch, shared_dir
+from geotally.storage import cut, release, scratch, shared_dir
 
-__all__ = ["SPACES", "cut", "fold", "held", "lower_ascii", "scratch", "shared_dir", "table", "written"]
+__all__ = ["SPACES", "cut", "fold", "held", "lower_ascii", "release", "scratch", "shared_dir", "table", "written"]
 
 #: White space of the text contracts, the six ASCII characters 0x20 and 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"

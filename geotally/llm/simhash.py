@@ -13,7 +13,9 @@ Beyond that the join, not the text, is what costs.
 
 ``similar_components`` is for near copies by exact Jaccard similarity: four segments, whose
 variants find every pair within seven bits and many beyond, and least hashes of the shingle
-sets propose pairs; only pairs whose sets are similar enough become links.
+sets propose pairs; only pairs whose sets are similar enough become links.  Sketches of the sets
+(one bit for each of 128 least hashes) go to the join, whose condition leaves out pairs that they
+show to be too different: a family of near copies that aren't similar enough makes few rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geotally.llm.common import cut
+from geotally.llm.bytewords import mix
+from geotally.llm.common import cut, release
 from geotally.operators.components import components
 
 #: First bit and width of the three segments of a 64-bit fingerprint.
@@ -39,6 +42,12 @@ WIDE_DISTANCE = 13
 TASK_ROWS = 16_384
 #: Odd factors; the least product of a set's hashes with one of them (modulo 2^64) is a key.
 FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Longs of a sketch: a bit of the least product with each of 64 factors more for each.
+SKETCH_LONGS = 2
+#: Bits of a set's size beside its root's hash (larger sets are not told apart by size).
+SIZE_BITS = 24
+#: Standard deviations by which a sketch may say less than the similarity that is asked for (a pair in 4,000 says less).
+SKETCH_DEVIATIONS = 3.5
 
 
 def shingle_hashes(text: str | None, shingle_words: int = 4) -> np.ndarray:
@@ -70,6 +79,26 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def sketch(hashes: np.ndarray) -> list[int]:
+    """Signed longs of one-bit least hashes of a set: two sets agree at a bit with probability (1 + J) / 2."""
+    if not len(hashes):
+        return [0] * SKETCH_LONGS
+    factors = mix(np.arange(1, 64 * SKETCH_LONGS + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(len(factors), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (factors[:, None] * hashes[None, at : at + 1024]).min(axis=1), out=least)
+    # The upper bits of a least value are nearly all zero; one from the middle is even.
+    return np.packbits((least >> np.uint64(17) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def _sketches_allow(percent: int):
+    """Whether the sketches of two rows (columns ``a_...``, ``b_...``) may be of sets so similar."""
+    bits, agree = 64 * SKETCH_LONGS, (1 + percent / 100) / 2
+    most = bits - int(bits * agree - SKETCH_DEVIATIONS * (bits * agree * (1 - agree)) ** 0.5)
+    differ = [F.bit_count(F.col(f"a_sketch{i}").bitwiseXOR(F.col(f"b_sketch{i}"))) for i in range(SKETCH_LONGS)]
+    return sum(differ[1:], differ[0]) <= most
+
+
 def fingerprints(docs: DataFrame, *, shingle_words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``fp`` (long) of every row; nulls in either column are kept."""
 
@@ -90,31 +119,27 @@ def _segment(fp, k: int, segments=SEGMENTS):
 def _pairs(rows: DataFrame, max_distance: int, segments, also) -> DataFrame:
     """Pairs of rows (columns ``a_...`` and ``b_...``) with a common variant of their ``fp``, no
     more than ``max_distance`` differing bits and the condition ``also``, each pair once."""
-    variants = [
-        F.struct(
-            F.lit(k * (1 << 22) + (1 << i)).cast("long").alias("variant"),
-            _segment(F.col("fp"), k, segments).bitwiseAND(F.lit(~(1 << i))).alias("rest"),
-        )
+    # Segment, wiped bit and the rest of the segment in one number.
+    keys_of = [
+        F.lit((k << 27) + (i << 22)).bitwiseOR(_segment(F.col("fp"), k, segments).bitwiseAND(F.lit(~(1 << i))).cast("int"))
         for k, (_, width) in enumerate(segments)
         for i in range(width)
     ]
     # One row becomes as many as the fingerprint has bits: many tasks, whatever the table lies in.
     dealt = rows.repartition(rows.count() // TASK_ROWS + 1, "fp")
-    keys = dealt.select(*rows.columns, F.inline(F.array(*variants)))
+    keys = dealt.select(*rows.columns, F.explode(F.array(*keys_of)).alias("key"))
     one, two = (keys.withColumnsRenamed({c: f"{side}_{c}" for c in keys.columns}) for side in "ab")
     differ = F.col("a_fp").bitwiseXOR(F.col("b_fp"))
-    # The segment of a variant, from its number; the wiped bit is the rest of the number.
-    segment = F.floor(F.col("a_variant") / (1 << 22))
+    segment, place = F.shiftrightunsigned("a_key", 27), F.shiftrightunsigned("a_key", 22).bitwiseAND(F.lit(31))
+    wiped = F.get(F.array(*[F.lit(1 << i).cast("long") for i in range(32)]), place)
     first_common = F.lit(False)
     earlier = F.lit(True)
     for k in range(len(segments)):
         own = _segment(differ, k, segments)
-        wiped = F.col("a_variant") - k * (1 << 22)
-        here = (own == wiped) | ((own == 0) & (wiped == 1))
+        here = (own == wiped) | ((own == 0) & (place == 0))
         first_common = first_common | (earlier & (segment == k) & here)
         earlier = earlier & (F.bit_count(own) > 1)
-    same = (F.col("a_variant") == F.col("b_variant")) & (F.col("a_rest") == F.col("b_rest"))
-    return one.join(two, same & also & (F.bit_count(differ) <= max_distance)).where(first_common)
+    return one.join(two, (F.col("a_key") == F.col("b_key")) & also & (F.bit_count(differ) <= max_distance)).where(first_common)
 
 
 def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:
@@ -168,11 +193,11 @@ def similar_components(
     Linked are texts whose sets of word shingles have a Jaccard similarity of at least
     ``percent`` / 100 (exact, on 64-bit hashes), if they are proposed: at first each text with
     the first of all that share one of its least hashes, then all pairs that are not yet in one
-    component, have a variant in common and differ at no more than ``max_distance`` bits.  So a
-    large group of near copies isn't paired out.  Equal sets (all texts without words, too) are
+    component, have a variant in common, differ at no more than ``max_distance`` bits and have sketches
+    that allow it.  So a large group of near copies isn't paired out.  Equal sets (all texts without words, too) are
     one node.  Null ids are linked but name no component.
     """
-    least = [f"least{i}" for i in range(len(FACTORS))]
+    least, sketches = [f"least{i}" for i in range(len(FACTORS))], [f"sketch{i}" for i in range(SKETCH_LONGS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -184,24 +209,33 @@ def similar_components(
                 hashes = shingle_hashes(text.as_py(), shingle_words)
                 own = np.unique(hashes)
                 node = np.uint64(xxh64_intdigest(own.tobytes(), 42)).view(np.int64)
-                found.append((_majority(hashes), int(node), len(own), *(int((own * f).min().view(np.int64)) if len(own) else 0 for f in factors)))
-            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * (3 + len(least))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "text_key", "fp", "node", "n", *least])
+                found.append((_majority(hashes), int(node), len(own), *(int((own * f).min().view(np.int64)) if len(own) else 0 for f in factors), *sketch(own)))
+            columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] if found else [pa.array([], pa.int64())] * (3 + len(least) + SKETCH_LONGS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["doc_id", "text_key", "fp", "node", "n", *least, *sketches])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    prints = cut(narrow.mapInArrow(run, "doc_id long, text_key long, fp long, node long, n long, " + ", ".join(f"{c} long" for c in least)))
+    prints = cut(narrow.mapInArrow(run, "doc_id long, text_key long, fp long, node long, n long, " + ", ".join(f"{c} long" for c in (*least, *sketches))))
     # Repeated shingles may give equal sets several fingerprints: one of them serves.
-    nodes = cut(prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "n", *least)], F.min("text_key").alias("text_key"), F.min("doc_id").alias("first_id")))
+    nodes = cut(prints.groupBy("node").agg(*[F.min(c).alias(c) for c in ("fp", "n", *least, *sketches)], F.min("text_key").alias("text_key"), F.min("doc_id").alias("first_id")))
 
     keys = nodes.select("node", "n", F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("least")) for i, c in enumerate(least)])))
     hubs = cut(keys.groupBy("i", "least").agg(F.min(F.struct("node", "n")).alias("hub"), F.count("*").alias("rows")).where("rows > 1").drop("rows"))
     spokes = keys.join(hubs, ["i", "least"]).where((F.col("hub.node") != F.col("node")) & _sizes_allow(F.col("n"), F.col("hub.n"), percent))
     first = _similar(spokes.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), nodes, narrow, shingle_words, percent)
     roots = cut(components(first))
-    named = cut(nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("fp", "node", "n", F.coalesce("root", "node").alias("root")))
-    also = (F.col("a_node") < F.col("b_node")) & (F.col("a_root") != F.col("b_root")) & _sizes_allow(F.col("a_n"), F.col("b_n"), percent)
+    named = cut(nodes.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select("fp", "node", "n", F.coalesce("root", "node").alias("root"), *sketches))
+    release(docs.sparkSession)
+    # Each row goes to the join 64 times: 40 bits of the root's hash and the size are one number.
+    packed = F.xxhash64("root").bitwiseAND(F.lit(-1 << SIZE_BITS)).bitwiseOR(F.least("n", F.lit((1 << SIZE_BITS) - 1)))
+    size = lambda c: F.col(c).bitwiseAND(F.lit((1 << SIZE_BITS) - 1))
+    named = named.select("fp", "node", packed.alias("root_n"), *sketches)
+    apart_yet = F.col("a_root_n").bitwiseXOR(F.col("b_root_n")).bitwiseAND(F.lit(-1 << SIZE_BITS)) != 0
+    most = (1 << SIZE_BITS) - 1
+    sizes = _sizes_allow(size("a_root_n"), size("b_root_n"), percent) | (F.greatest(size("a_root_n"), size("b_root_n")) == most)
+    also = (F.col("a_node") < F.col("b_node")) & apart_yet & sizes & _sketches_allow(percent)
     apart = _pairs(named, max_distance, WIDE_SEGMENTS, also).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     more = _similar(apart, nodes, narrow, shingle_words, percent)
+    release(docs.sparkSession)
 
     roots = cut(components(first.unionByName(more)))
     owned = cut(roots.join(nodes, "node").groupBy("root").agg(F.min("first_id").alias("component_id")))
@@ -219,6 +253,7 @@ def _similar(pairs: DataFrame, nodes: DataFrame, narrow: DataFrame, shingle_word
     """The pairs ``a``, ``b`` of nodes whose shingle sets are so similar; only their texts are
     hashed again."""
     pairs = cut(pairs)
+    release(pairs.sparkSession)
     wanted = cut(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "text_key"), "node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
