@@ -87,6 +87,21 @@ def inside_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return F.aggregate(crossings, F.lit(0), lambda s, x: s + x) % 2 == 1
 
 
+def on_ring(lon: Column, lat: Column, ring: Column, tolerance: float = 1e-12) -> Column:
+    """Whether a place is on an edge of the ring (closed or not), within a share of the coordinates' size."""
+    n = F.size(ring)
+
+    def touches(i: Column) -> Column:
+        a, b = F.get(ring, i), F.get(ring, (i + 1) % n)
+        # From the place itself: large coordinates lose nothing.
+        ax, ay, bx, by = a["x"] - lon, a["y"] - lat, b["x"] - lon, b["y"] - lat
+        near = tolerance * F.greatest(F.lit(1.0), F.abs(lon), F.abs(lat))
+        beside = F.abs(ax * by - ay * bx) <= near * F.hypot(bx - ax, by - ay)
+        return beside & (F.least(ax, bx) <= near) & (F.greatest(ax, bx) >= -near) & (F.least(ay, by) <= near) & (F.greatest(ay, by) >= -near)
+
+    return F.exists(F.sequence(F.lit(0), n - 1), touches)
+
+
 def _s2_ids(lon: np.ndarray, lat: np.ndarray, level: int) -> np.ndarray:
     """Ids of the public S2 cell scheme: cube face, quadratic projection, Hilbert order."""
     p, l = np.radians(lat), np.radians(lon)

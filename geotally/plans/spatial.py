@@ -105,9 +105,10 @@ def projected_points(t: Tables) -> DataFrame:
 
 @query(f"""WITH {SQL_POINTS} SELECT point_id FROM pts WHERE lat > 25.02 AND lat < 25.12 AND lon > 121.48 + (lat - 25.02) * 0.5 AND lon < 121.6""")
 def point_in_polygon(t: Tables) -> DataFrame:
-    """Points inside a ring, by the even-odd rule."""
+    """Points inside a ring, by the even-odd rule; those on the ring are not inside."""
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((121.48, 25.02), (121.6, 25.02), (121.6, 25.12), (121.53, 25.12))])
-    return t.points().where(spatial.inside_ring(F.col("lon"), F.col("lat"), ring)).select("point_id")
+    lon, lat = F.col("lon"), F.col("lat")
+    return t.points().where(spatial.inside_ring(lon, lat, ring) & ~spatial.on_ring(lon, lat, ring)).select("point_id")
 
 
 @query(f"""WITH {SQL_BOXES}, q AS (SELECT *, 0.0818191910428158 AS e, sin(radians(north)) AS n, sin(radians(south)) AS s FROM boxes)

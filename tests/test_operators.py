@@ -396,3 +396,18 @@ def test_running_sums_deal_ties_to_ranges(spark):
             want[k, i] = total
     for ranges in (None, 3):
         assert {(r.k, r.id): r.total for r in running(df, ["k"], "score", "id", "w", name="total", ranges=ranges).collect()} == want
+
+
+def test_point_in_polygon_leaves_out_its_ring(spark, tmp_path):
+    """Order 16,000 lies on the slanting edge (121.49, 25.04): outside, as in SQL; the even-odd rule alone has left edges inside."""
+    from geotally import catalog
+
+    keys = [16_000, 36_000, *range(1, 400)]
+    spark.createDataFrame([(k, 1) for k in keys], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    want = {k for (k,) in con.execute(catalog.ORACLE["point_in_polygon"]).fetchall()}
+    assert {r.point_id for r in catalog.QUERIES["point_in_polygon"](spark, str(tmp_path)).collect()} == want
+    assert want and not want & {16_000, 36_000}
