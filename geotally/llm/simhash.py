@@ -139,7 +139,8 @@ def _pairs(rows: DataFrame, max_distance: int, segments, also) -> DataFrame:
         here = (own == wiped) | ((own == 0) & (place == 0))
         first_common = first_common | (earlier & (segment == k) & here)
         earlier = earlier & (F.bit_count(own) > 1)
-    return one.join(two, (F.col("a_key") == F.col("b_key")) & also & (F.bit_count(differ) <= max_distance)).where(first_common)
+    # Sizes are estimated without the factor of the explode, so a side that seems small would be broadcast 64 times as large.
+    return one.hint("merge").join(two, (F.col("a_key") == F.col("b_key")) & also & (F.bit_count(differ) <= max_distance)).where(first_common)
 
 
 def links(distinct: DataFrame, max_distance: int = 4) -> DataFrame:

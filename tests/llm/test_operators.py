@@ -131,6 +131,14 @@ def test_simhash(spark):
     assert simhash.near_duplicates(rows(spark, [])).collect() == []
 
 
+def test_simhash_joins_keys_by_a_shuffle(spark):
+    """The keys are 64 times the fingerprints, which Spark's sizes don't know: neither side is broadcast, however small."""
+    few = spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long")
+    found = simhash.links(few)
+    assert sorted(map(tuple, found.collect())) == [(1, 3), (1, 1 << 40), (3, 1 << 40)]
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_of_odd_rows(spark):
     long = " ".join(f"w{i * i % 9973}" for i in range(70_000))
     texts = [(None, long), (5, long), (5, long), (3, long + " end"), (None, "alone here"), (9, "other")]
