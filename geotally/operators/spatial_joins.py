@@ -23,11 +23,20 @@ def boxes_by_tile(boxes: DataFrame, size: float, margin: float = 0.0, *, names:
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, *, lon: str = "lon", lat: str = "lat") -> DataFrame:
-    """Pairs of a point and a box that it is in (edges count)."""
-    tiled = points.withColumns({"tile_x": F.floor(F.col(lon) / size), "tile_y": F.floor(F.col(lat) / size)})
-    other = boxes_by_tile(boxes, size).withColumnsRenamed({"tile_x": "__x", "tile_y": "__y"})
-    inside = F.col(lon).between(F.col("west"), F.col("east")) & F.col(lat).between(F.col("south"), F.col("north"))
-    return tiled.join(other, (F.col("tile_x") == F.col("__x")) & (F.col("tile_y") == F.col("__y")) & inside).drop("tile_x", "tile_y", "__x", "__y")
+    """Pairs of a point and a box that it is in (edges count).
+
+    Distinct places are tested against distinct boxes; rows of either table that share one are joined to what it
+    met, so work that makes no result doesn't grow with them.  Joins by tile are merge joins by hint: Spark's
+    sizes leave out the factor of an explode.
+    """
+    sides = ["west", "south", "east", "north"]
+    places = points.select(F.col(lon).alias("__lon"), F.col(lat).alias("__lat")).distinct()
+    tiled = places.withColumns({"tile_x": F.floor(F.col("__lon") / size), "tile_y": F.floor(F.col("__lat") / size)})
+    other = boxes_by_tile(boxes.select(*sides).distinct(), size).withColumnsRenamed({"tile_x": "__x", "tile_y": "__y"})
+    inside = F.col("__lon").between(F.col("west"), F.col("east")) & F.col("__lat").between(F.col("south"), F.col("north"))
+    met = tiled.hint("merge").join(other, (F.col("tile_x") == F.col("__x")) & (F.col("tile_y") == F.col("__y")) & inside).select("__lon", "__lat", *[F.col(c).alias(f"__{c}") for c in sides])
+    boxed = met.hint("merge").join(boxes, [F.col(f"__{c}") == F.col(c) for c in sides]).select("__lon", "__lat", *boxes.columns)
+    return points.hint("merge").join(boxed, (F.col(lon) == F.col("__lon")) & (F.col(lat) == F.col("__lat"))).drop("__lon", "__lat")
 
 
 def box_distance_m(lon: Column, lat: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
@@ -52,7 +61,7 @@ def points_near_boxes(points: DataFrame, boxes: DataFrame, metres: float, size:
     other = across.withColumn("__y", F.explode(_tiles(F.col("south") - tall, F.col("north") + tall, size)))
     tiled = points.withColumns({"tile_x": F.floor(F.col(lon) / size), "tile_y": F.floor(F.col(lat) / size)})
     apart = box_distance_m(F.col(lon), F.col(lat), F.col("__w"), F.col("south"), F.col("__e"), F.col("north"))
-    joined = tiled.join(other, (F.col("tile_x") == F.col("__x")) & (F.col("tile_y") == F.col("__y")) & (apart <= metres))
+    joined = tiled.hint("merge").join(other, (F.col("tile_x") == F.col("__x")) & (F.col("tile_y") == F.col("__y")) & (apart <= metres))
     # A box is reached the shorter way round, the others don't count.
     gap = lambda turn: F.greatest(F.col("west") + turn - F.col(lon), F.col(lon) - F.col("east") - turn, F.lit(0.0))
     shorter = F.array_min(F.array(*[F.struct(gap(F.lit(x)).alias("gap"), F.lit(x).alias("turn")) for x in (-360.0, 0.0, 360.0)]))["turn"]
