@@ -38,10 +38,13 @@ SELECT box_id, w.metres, count(DISTINCT point_id) AS n_points FROM boxes CROSS J
 UNION ALL SELECT box_id, w.metres, 0 FROM boxes CROSS JOIN (VALUES (0), (150), (300)) w(metres) WHERE NOT EXISTS (SELECT 1 FROM apart a WHERE a.box_id = boxes.box_id AND m <= w.metres)""")
 def window_counts_distance(t: Tables) -> DataFrame:
     """Points within three distances of each box; boxes without any stay with zero."""
-    near = points_near_boxes(t.points().drop("cell_id"), boxes(t), 300.0, SIZE).select("box_id", "point_id", "metres_apart")
-    windows = boxes(t).select("box_id", F.explode(F.array(*map(F.lit, (0, 150, 300)))).alias("metres"))
-    counted = near.select("box_id", "point_id", F.explode(F.filter(F.array(*map(F.lit, (0, 150, 300))), lambda m: F.col("metres_apart") <= m)).alias("metres")).groupBy("box_id", "metres").agg(F.countDistinct("point_id").alias("n"))
-    return windows.join(counted, ["box_id", "metres"], "left").select("box_id", "metres", F.coalesce("n", F.lit(0)).alias("n_points"))
+    sides = ["west", "south", "east", "north"]
+    # Points of one place are one row with their number, and equal boxes are one.
+    places = t.points().groupBy("lon", "lat").agg(F.countDistinct("point_id").alias("points"))
+    near = points_near_boxes(places, boxes(t).select(*sides).distinct(), 300.0, SIZE)
+    windows = boxes(t).withColumn("metres", F.explode(F.array(*map(F.lit, (0, 150, 300)))))
+    counted = near.select(*sides, "points", F.explode(F.filter(F.array(*map(F.lit, (0, 150, 300))), lambda m: F.col("metres_apart") <= m)).alias("metres")).groupBy(*sides, "metres").agg(F.sum("points").alias("n"))
+    return windows.join(counted, [*sides, "metres"], "left").select("box_id", "metres", F.coalesce("n", F.lit(0)).alias("n_points"))
 
 
 @query(f"""WITH {SQL_POINTS}, centres AS (SELECT n_nationkey AS k, 121.45 + (n_nationkey * 37 % 25) / 125.0 AS clon, 25.0 + (n_nationkey * 11 % 25) / 125.0 AS clat FROM nation)
