@@ -251,3 +251,35 @@ def test_empty_tables(spark):
     assert points_near_polygons(spark.createDataFrame([(1, 0.0, 0.0)], "p int, lon double, lat double"), "p", table, "k", 10.0, 1.0).collect() == []
     assert shared_boundaries(table, "k", 1.0).collect() == []
     assert points_in_polygons(lines.select("source_id", F.col("x1").alias("x"), F.col("y1").alias("y")), "source_id", table, "k", 1.0).collect() == []
+
+
+def test_joins_by_tile_are_never_broadcast(spark):
+    """Spark's sizes leave out the factor of an explode: what is dealt to tiles may be far larger than it seems."""
+    from geotally.operators.spatial_joins import points_in_boxes, points_near_boxes
+
+    box = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]
+    polygons = spark.createDataFrame([(1, box), (2, [[(x + 1, y) for x, y in box[0]]])], f"polygon_id int, rings {RINGS}")
+    points = spark.createDataFrame([(1, 0.5, 0.5)], "point_id int, lon double, lat double")
+    boxes = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0)], "box_id int, west double, south double, east double, north double")
+    found = [
+        shared_boundaries(polygons, "polygon_id", 0.7), points_near_polygons(points, "point_id", polygons, "polygon_id", 10.0, 0.7),
+        points_in_boxes(points, boxes, 0.7), points_near_boxes(points, boxes, 10.0, 0.7),
+    ]
+    for df in found:
+        assert df.count() == 1
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_equal_shapes_and_places_are_worked_once(spark):
+    from geotally.operators.polygons import distinct_shapes
+    from geotally.operators.spatial_joins import points_in_boxes
+
+    box = [[(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]
+    shapes, members = distinct_shapes(spark.createDataFrame([(3, box), (1, box), (2, [[(x + 5, y) for x, y in box[0]]]), (4, None)], f"polygon_id int, rings {RINGS}"), "polygon_id")
+    assert sorted(r.polygon_id for r in shapes.collect()) == [1, 2]
+    assert sorted((r.polygon_id, r.shape) for r in members.collect()) == [(1, 1), (2, 2), (3, 1)]
+    points = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.5, 0.5), (2, 0.5, 0.5), (3, 9.0, 9.0), (4, None, 0.5)], "point_id int, lon double, lat double")
+    boxes = spark.createDataFrame([(7, 0.0, 0.0, 1.0, 1.0), (8, 0.0, 0.0, 1.0, 1.0), (9, 5.0, 5.0, 6.0, 6.0)], "box_id int, west double, south double, east double, north double")
+    pairs = points_in_boxes(points, boxes, 0.7)
+    assert sorted((r.point_id, r.box_id) for r in pairs.collect()) == [(1, 7), (1, 8), (2, 7), (2, 7), (2, 8), (2, 8)]
+    assert pairs.columns == ["point_id", "lon", "lat", "box_id", "west", "south", "east", "north"]
