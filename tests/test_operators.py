@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from geotally.functions import exact, scalars, spatial
 from geotally.operators import merging
 from geotally.operators.components import components
-from geotally.operators.links import both_ways, overlapping, restart_walk, transition_units, transitions, visits_to_links
+from geotally.operators.links import both_ways, line_faults, overlapping, restart_walk, transition_units, transitions, visits_to_links
 from geotally.operators.ranking import below, percent_rank, quantiles, top_share
 from geotally.operators.spatial_joins import nearest_of_few, points_in_boxes, points_near_boxes
 from geotally.plans import serving
@@ -145,6 +145,50 @@ def test_exact_shares(spark):
         assert int(r.part) == divided(k * w * 10**24, z) and int(r.short) == divided(int(r.part), 10**12) and r.shown == D(m).scaleb(-24)
 
 
+def test_shares_of_many_rows(spark):
+    """Step by step, in longs: the same numbers as in one expression, divisors beyond what longs bear among them."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        w = rng.choice([1, rng.randrange(1, 10**12 + 1), 10**12])
+        z = w + rng.choice([0, w, rng.randrange(10**15), 9 * 10**15 - w, 9 * 10**15 - 1 - w, rng.randrange(10**23)])
+        rows.append((i % 200, *map(D, (rng.choice([1, 35 * 10**10, 10**12, rng.randrange(1, 10**12)]), w, z))))
+    df = spark.createDataFrame(rows, "g long, k decimal(13,0), w decimal(13,0), z decimal(24,0)")
+    parts = exact.with_times(df, ["a", "b", "c"], F.col("k"), F.col("w"), F.col("z"))
+    sums = parts.groupBy("g").agg(*[F.sum(x).alias(x) for x in "abc"])
+    got = {r.g: int(r.units) for r in exact.with_units(sums, "units", [F.col(x) for x in "abc"]).collect()}
+
+    def divided(a, b):
+        q, r = divmod(a, b)
+        return q + (2 * r > b or (2 * r == b and q % 2))
+
+    want = dict.fromkeys(range(200), 0)
+    for g, *x in rows:
+        k, w, z = map(int, x)
+        want[g] += divided(k * w * 10**24, z)
+    assert got == {g: divided(u, 10**12) for g, u in want.items()}
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from([1, 2, None]), st.sampled_from([1, 2, 3, None]), st.integers(0, 6), st.integers(0, 3)), max_size=40))
+def test_faults_of_lines_are_those_of_pairs(spark, rows):
+    df = spark.createDataFrame([(s, e, c, D(a), D(a + n)) for s, e, c, a, n in rows], "s int, e int, c int, lo decimal(18,6), hi decimal(18,6)")
+    found = line_faults(df, "s", "e", "c", "lo", "hi").collect()
+    assert len(found) == len(rows)
+    assert {r.s for r in found if r.overlaps} == {r.s for r in overlapping(df, ["s", "e"], "c", "lo", "hi", 1e-12).collect()}
+    assert {r.s for r in found if r.repeats} == {r.s for r in df.groupBy("s", "e", "c", "lo", "hi").count().where("count > 1").collect()}
+    assert {r.s for r in found if r.collapsed} == {r.s for r in df.where("lo = hi").collect()}
+
+
+def test_links_read_lines_once(spark):
+    """Classes and links of all sources are found where a source's lines are: one scan and one exchange of them."""
+    from geotally.plans import network
+    from geotally.plans.base import Tables
+
+    plan = network.source_links(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange") <= 3  # the lines' and the orders', or a broadcast
+
+
 def test_overlaps(spark):
     df = spark.createDataFrame([(1, 1, 10, 0.0, 1.0), (1, 1, 11, 0.5, 2.0), (1, 1, 12, 2.0, 3.0), (1, 2, 13, 0.0, 9.0)], "s int, e int, c int, lo double, hi double")
     assert [tuple(r) for r in overlapping(df, ["s", "e"], "c", "lo", "hi", 1e-12).collect()] == [(1, 1, 10, 11)]
