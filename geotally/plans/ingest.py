@@ -13,9 +13,9 @@ from geotally.plans.base import Tables
 from geotally.plans.registry import query
 
 
-def _orders(t: Tables) -> DataFrame:
+def _orders(orders: DataFrame, *more: str) -> DataFrame:
     digest = scalars.row_digest(F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority"))
-    return t.orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", digest.alias("row_hash"))
+    return orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", digest.alias("row_hash"), *more)
 
 
 SQL_ORDERS = "hashed AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, sha256(concat_ws(chr(31), o_custkey, o_orderstatus, o_orderpriority)) AS row_hash FROM orders)"
@@ -28,11 +28,10 @@ SQL_ORDERS = "hashed AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpri
 def insert_only_merge_orders(t: Tables) -> DataFrame:
     """The stored snapshot (finished orders) with the new keys of a reload: every third order, and
     large ones under new keys.  Rows that are stored already are staged with them and add nothing."""
-    o = _orders(t)
+    o = _orders(t.orders, "o_totalprice")
     large = F.col("o_totalprice") > 250000
-    staged = o.join(t.orders.select("o_orderkey", "o_totalprice"), "o_orderkey").where((F.col("o_orderkey") % 3 == 0) | large)
-    staged = staged.withColumn("o_orderkey", F.col("o_orderkey") + F.when(large, 100_000_000).otherwise(0)).drop("o_totalprice")
-    return insert_only_merge(o.where("o_orderstatus = 'F'"), staged, ["o_orderkey"], "row_hash")
+    staged = o.where((F.col("o_orderkey") % 3 == 0) | large).withColumn("o_orderkey", F.col("o_orderkey") + F.when(large, 100_000_000).otherwise(0))
+    return insert_only_merge(o.where("o_orderstatus = 'F'").drop("o_totalprice"), staged.drop("o_totalprice"), ["o_orderkey"], "row_hash")
 
 
 @query("SELECT o_orderkey, sha256(concat_ws(chr(31), o_custkey, 'X', o_orderpriority)) AS row_hash FROM orders WHERE o_totalprice > 250000")
@@ -40,7 +39,7 @@ def immutability_conflicts(t: Tables) -> DataFrame:
     """Rows of a reload, in which large orders changed state, that contradict the stored ones."""
     staged = t.orders.withColumn("o_orderstatus", F.when(F.col("o_totalprice") > 250000, "X").otherwise(F.col("o_orderstatus")))
     digest = scalars.row_digest(F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority"))
-    return conflicts(_orders(t), staged.select("o_orderkey", digest.alias("row_hash")), ["o_orderkey"], "row_hash")
+    return conflicts(_orders(t.orders), staged.select("o_orderkey", digest.alias("row_hash")), ["o_orderkey"], "row_hash")
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS n_keys, count(*) - count(DISTINCT (l_orderkey, l_linenumber)) AS n_repeats,
