@@ -427,6 +427,27 @@ def test_unambiguous_match(spark):
     assert got == {"a": (2, 1, 1.0, 2.0, "MATCHED"), "b": (2, 2, None, None, "AMBIGUOUS"), "c": (0, 0, None, None, "UNMATCHED")}
 
 
+def test_match_deals_points_by_their_number(spark, monkeypatch):
+    """However few partitions shuffles have, a task gets a bounded number of points, and sorts none to find a place."""
+    from geotally.operators import matching
+
+    monkeypatch.setattr(matching, "PART_POINTS", 100)
+    targets, points = spark.range(50).withColumnRenamed("id", "key"), spark.range(1000).select((F.col("id") % 40).alias("key"), (F.col("id") % 80).alias("x"))
+    found = matching.unambiguous_match(targets, points, ["key"], ["x"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "hashpartitioning(key" in plan and ", 11)" in plan
+    assert {r.key: (r.n_rows, r.n_places, r.x, r.state) for r in found.collect()} == {k: (25, 2, None, "AMBIGUOUS") if k < 40 else (0, 0, None, "UNMATCHED") for k in range(50)}
+
+
+def test_merge_of_orders_stages_without_a_join(spark):
+    """Staged rows come from one scan of the orders, and the stored ones from another, once for their rows and once for their keys."""
+    from geotally.plans import ingest
+    from geotally.plans.base import Tables
+
+    plan = ingest.insert_only_merge_orders(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("orders.parquet") == 3
+
+
 def test_running_sums_deal_ties_to_ranges(spark):
     from geotally.operators.ranking import running
 
