@@ -189,6 +189,15 @@ def test_links_read_lines_once(spark):
     assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange") <= 3  # the lines' and the orders', or a broadcast
 
 
+def test_links_of_scenarios_are_worked_out_once(spark, monkeypatch):
+    from geotally.plans import network
+    from geotally.plans.base import Tables
+
+    made, links = [], network.cell_links
+    monkeypatch.setattr(network, "cell_links", lambda t: made.append(1) or links(t))
+    assert network.scenario_links(Tables(spark, "/root/testdata/sf0.001")).count() > 0 and len(made) == 1
+
+
 def test_overlaps(spark):
     df = spark.createDataFrame([(1, 1, 10, 0.0, 1.0), (1, 1, 11, 0.5, 2.0), (1, 1, 12, 2.0, 3.0), (1, 2, 13, 0.0, 9.0)], "s int, e int, c int, lo double, hi double")
     assert [tuple(r) for r in overlapping(df, ["s", "e"], "c", "lo", "hi", 1e-12).collect()] == [(1, 1, 10, 11)]
