@@ -118,6 +118,60 @@ def test_walk_keeps_all_mass(spark):
     assert len(sums) == 10 and all(r.n == 17 and abs(r.m - 1) <= D("1e-22") for r in sums)
 
 
+def test_walk_on_pairs_of_all_scenarios(spark):
+    """A pair is one row with the shares of every scenario, and the walk on it is that of whole numbers worked out one by one."""
+    from geotally.operators.links import by_scenario, paired, transition_table
+
+    rng = random.Random(7)
+    links = [("weighted", a, b, rng.random() < 0.8, rng.choice([0.5, round(0.25 + 0.75 * rng.random(), 12)])) for a in range(14) for b in range(a + 1, 14) if rng.random() < 0.4]
+    links += [("generic", i, i + 1, None, None) for i in range(15)] + [("weighted", 2, 3, True, 0.5)] * 2  # one pair repeats
+    table = spark.createDataFrame(links, "link_class string, from_cell long, to_cell long, eligible boolean, weight double")
+    named = [("n0", "0.35", "0", True), ("n1", "0.35", "0", False), ("n2", "0.35", "0.1", False), ("n3", "0", "0.3", True)]
+    scenarios = spark.createDataFrame([(s, D(a), D(b), u) for s, a, b, u in named], "scenario string, link_bucket decimal(13,12), generic_bucket decimal(13,12), uniform boolean")
+    matrix = transition_table(spark.range(18).withColumnRenamed("id", "cell_id"), both_ways(paired(table)), scenarios)
+    used = {(a, b) for k, a, b, e, _ in links if k == "generic" or e}
+    assert matrix.count() == 2 * len(used) + 18
+
+    def divided(a, b):
+        q, r = divmod(a, b)
+        return q + (2 * r > b or (2 * r == b and q % 2))
+
+    directed = [x for k, a, b, e, w in links for x in ((k, a, b, e, w), (k, b, a, e, w))]
+    shares = {}
+    for s, bucket, generic, uniform in named:
+        for i in range(18):
+            own = [(b, int(D(repr(w)) * 10**12)) for k, a, b, e, w in directed if a == i and k == "weighted" and e]
+            near = [b for k, a, b, _, _ in directed if a == i and k == "generic"]
+            found = {}
+            for j in {b for b, _ in own} | set(near):
+                alike = divided(int(D(bucket) * 10**36), len(own)) * sum(b == j for b, _ in own) if own and uniform else 0
+                by_weight = divided(int(D(bucket) * 10**12) * sum(w for b, w in own if b == j) * 10**24, sum(w for _, w in own)) if own and not uniform else 0
+                found[j] = divided(alike + by_weight + (divided(int(D(generic) * 10**36), len(near)) * near.count(j) if near else 0), 10**12)
+            shares |= {(s, i, j): u for j, u in found.items() if u} | {(s, i, i): 10**24 - sum(found.values())}
+    assert {(r.scenario, r.from_cell, r.to_cell): int(r.units) for r in by_scenario(matrix, scenarios).collect()} == shares
+    seeds = spark.createDataFrame([(c, D(10) ** 24 // 4) for c in (0, 3, 9, 17)], "cell_id long, units decimal(38,0)")
+    got = {(r.scenario, r.step, r.cell_id): int(r.mass.scaleb(24)) for r in restart_walk(seeds, matrix, scenarios, 3).collect()}
+    mass = {(s, c): 10**24 // 4 if c in (0, 3, 9, 17) else 0 for s, *_ in named for c in range(18)}
+    seed = dict(mass)
+    for step in range(4):
+        assert {k: got[k[0], step, k[1]] for k in mass} == mass
+        moved = dict.fromkeys(mass, 0)
+        for (s, i, j), u in shares.items():
+            moved[s, j] += divided(3 * mass[s, i] * u, 4 * 10**18)
+        mass = {k: divided(seed[k] * 250_000 + m, 10**6) for k, m in moved.items()}
+    assert len(got) == 4 * 4 * 18
+
+
+def test_quick_units_are_casts(spark):
+    """Doubles as whole numbers where that is their cast to a decimal, and null elsewhere."""
+    rng = random.Random(4)
+    values = [0.0, -0.0, 0.125, 0.1 + 0.2, 1e-9, 0.005, 1.005, 2.675, 1e15, 123456789012.34, -7.01, None] + [round(rng.uniform(-1e5, 1e5), rng.randrange(5)) for _ in range(400)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select("v", exact.quick_units(F.col("v"), 2).alias("q"), F.col("v").cast("decimal(38,2)").alias("d")).collect()
+    assert all(r.q is None or D(r.q).scaleb(-2) == r.d for r in rows)
+    assert all((r.q is None) == (r.v is None or abs(r.v) >= 1e13 or D(repr(r.v)) != r.d) for r in rows)
+
+
 def test_exact_shares(spark):
     """Against Python's decimals: quotients, products and roundings, ties among them."""
     rng = random.Random(1)
