@@ -263,6 +263,32 @@ def test_components_of_nothing_and_of_a_chain(spark):
     assert components(chain.where("false")).count() == 0
 
 
+def test_contracted_links_keep_components(spark):
+    """What is left between smallest neighbours has the same components, and few links if there were many among few nodes."""
+    from geotally.operators.components import contracted
+
+    rng = random.Random(3)
+    pairs = [(rng.randrange(40), rng.randrange(40)) for _ in range(500)] + [(i, i + 1) for i in range(100, 160)] + [(205, 203), (203, 204), (300, 300), (None, 7)]
+    pairs += [(rng.randrange(400, 460), rng.randrange(400, 460)) for _ in range(40)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    want = {r.node: r.root for r in components(links).collect()}
+    labels, left = contracted(links)
+    roots = {r.node: r.root for r in components(left).collect()}
+    assert {r.node: roots.get(r.label, r.label) for r in labels.collect()} == want
+    assert left.where("a < 40").count() < 40 and left.where("a >= b").count() == 0
+
+
+def test_components_take_what_they_need_of_links(spark, monkeypatch):
+    """Owners and lengths of links are not worked out for components, and generic links once."""
+    from geotally.plans import network
+    from geotally.plans.base import Tables
+
+    kept, keep = {}, network.written
+    monkeypatch.setattr(network, "written", lambda df, kind: kept.setdefault(kind, []).append(df.columns) or keep(df, kind))
+    assert network.all_components(Tables(spark, "/root/testdata/sf0.001")).count() == 30
+    assert kept == {"links": [["from_cell", "to_cell", "eligible", "n_sources"]], "generic": [["from_cell", "to_cell"]]}
+
+
 # --- merging ----------------------------------------------------------------------------------
 
 def test_insert_only_merge(spark):
