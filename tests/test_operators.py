@@ -162,6 +162,28 @@ def test_walk_on_pairs_of_all_scenarios(spark):
     assert len(got) == 4 * 4 * 18
 
 
+def test_states_are_worked_out_once(spark, monkeypatch):
+    """The scale of all states and the serving gate read states that were written, which a checkpoint would work out twice at its end."""
+    from geotally.plans import contracts, network
+    from geotally.plans.base import Tables
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    rows = [("n0", k, c, D(c + 1) / 16) for k in range(2) for c in range(4)]
+    schema = "scenario string, step int, cell_id long, mass decimal(38,24)"
+    walk = lambda t: spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).mapPartitions(counted), schema)
+    monkeypatch.setattr(network, "walk", walk)
+    monkeypatch.setattr(contracts, "walk", walk)
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert {(r.cell_id, r.relative) for r in network.display_scale_state(t).collect()} == {(c, (c + 1) / 4) for c in range(4)} and made.value == 8
+    assert contracts.served_states(t).where("mass IS NOT NULL").count() == 8 and made.value == 16
+
+
 def test_quick_units_are_casts(spark):
     """Doubles as whole numbers where that is their cast to a decimal, and null elsewhere."""
     rng = random.Random(4)
