@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from geotally.operators.census import TERMINAL, census, visited_links
 from geotally.plans.base import Tables, bricks
 from geotally.plans.registry import query
-from geotally.storage import cut
+from geotally.storage import release, written
 
 COLUMNS, SIZE = 8, 1.0
 
@@ -56,9 +56,12 @@ def pipes(t: Tables) -> DataFrame:
     return joined.select(F.col("o_orderkey").alias("source_key"), (~((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") < 100000))).alias("is_active"), text.alias("wkt"))
 
 
-def pipe_census(t: Tables) -> tuple[DataFrame, DataFrame]:
-    # Written once: classes and visits both read the texts.
-    return census(cut(pipes(t)), bricks(t.supplier.where("s_acctbal >= 0"), "s_suppkey", COLUMNS), SIZE)
+def pipe_census(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes and visits, and the texts that they are of."""
+    # Written, and the lines' shuffle let go, before the parts of the lines are dealt.
+    sources = written(pipes(t), "pipes")
+    release(t.spark)
+    return *census(sources, bricks(t.supplier.where("s_acctbal >= 0"), "s_suppkey", COLUMNS), SIZE), sources
 
 
 @query(f"WITH {SQL_PIPES} SELECT source_key, terminal_class FROM classes")
@@ -82,10 +85,10 @@ def pipe_fragments(t: Tables) -> DataFrame:
 SELECT from_cell, to_cell, count(*) AS n_sources, round(sum(length), 6) AS total_length FROM links JOIN lengths USING (source_key) GROUP BY 1, 2""")
 def pipe_links(t: Tables) -> DataFrame:
     """Links between cells that lines pass one after the other, with the lines' number and whole length."""
-    sources = cut(pipes(t))
-    _, visits = census(sources, bricks(t.supplier.where("s_acctbal >= 0"), "s_suppkey", COLUMNS), SIZE)
+    _, visits, sources = pipe_census(t)
     from geotally.functions.geometry import line_from_wkt
     from geotally.functions.spatial import polyline_length
 
-    lengths = sources.select("source_key", polyline_length(line_from_wkt(F.col("wkt"))).alias("length"))
+    # The text is read once: as an argument it would be read again wherever the length names the line.
+    lengths = sources.select("source_key", F.get(F.transform(F.array(line_from_wkt(F.col("wkt"))), polyline_length), 0).alias("length"))
     return visited_links(visits).join(lengths, "source_key").groupBy("from_cell", "to_cell").agg(F.count("*").alias("n_sources"), F.round(F.sum("length"), 6).alias("total_length"))

@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from geotally.functions import geometry as g
@@ -138,3 +139,46 @@ def test_census_against_steps_along_the_lines(spark):
         walked = {tuple(sorted(p)) for p in zip(seen, seen[1:]) if p[0] != p[1]}
         assert walked <= links.get(str(i), set()) and len(links.get(str(i), set()) - walked) <= 1  # a corner cut between two steps
     assert admitted > 20
+
+
+def counted(df):
+    """Shuffles and joins of a plan."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return sum("Exchange" in x for x in lines), sum("Join" in x for x in lines)
+
+
+def census_of_two(spark):
+    cells = spark.createDataFrame([(i, [[(float(x), 0.0), (x + 1.0, 0.0), (x + 1.0, 1.0), (float(x), 1.0), (float(x), 0.0)]]) for i, x in ((1, 0), (2, 1))], f"cell_id int, rings {RINGS}")
+    lines = [("in", "LINESTRING(0.2 0.2, 1.8 0.2, 1.8 0.4)"), ("out", "LINESTRING(0.2 0.2, 2.2 0.2)"), ("late", "LINESTRING(0.5 0.5, 0.6 0.5, 5 5)"), ("far", "LINESTRING(7 7, 8 8)")]
+    return census(spark.createDataFrame([(k, True, w) for k, w in lines], "source_key string, is_active boolean, wkt string"), cells, 1.0)
+
+
+@pytest.fixture
+def unwritten(monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def fail(*_, **__):
+        raise AssertionError("a step was written")
+
+    monkeypatch.setattr(DataFrame, "checkpoint", fail)
+
+
+def test_census_by_joins_of_tiles_is_the_same(spark, monkeypatch):
+    from geotally.operators import polygons
+
+    want = [sorted(map(tuple, df.collect())) for df in census_of_two(spark)]
+    monkeypatch.setattr(polygons, "INDEX_EDGES", 0)
+    assert [sorted(map(tuple, df.collect())) for df in census_of_two(spark)] == want
+    monkeypatch.setattr(polygons, "CORNERS", 0)
+    assert [sorted(map(tuple, df.collect())) for df in census_of_two(spark)] == want
+
+
+def test_pipe_links_write_texts_once(spark, unwritten, monkeypatch):
+    """The texts are one written table for classes, visits and lengths; no step is a checkpoint."""
+    from geotally import catalog
+    from geotally.plans import pipes
+
+    kinds, write = [], pipes.written
+    monkeypatch.setattr(pipes, "written", lambda df, kind: kinds.append(kind) or write(df, kind))
+    assert catalog.QUERIES["pipe_links"](spark, "/root/testdata/sf0.001").count() > 0
+    assert kinds == ["pipes"]

@@ -283,3 +283,65 @@ def test_equal_shapes_and_places_are_worked_once(spark):
     pairs = points_in_boxes(points, boxes, 0.7)
     assert sorted((r.point_id, r.box_id) for r in pairs.collect()) == [(1, 7), (1, 8), (2, 7), (2, 7), (2, 8), (2, 8)]
     assert pairs.columns == ["point_id", "lon", "lat", "box_id", "west", "south", "east", "north"]
+
+
+def unwritten(*_):
+    raise AssertionError("a step was written")
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cuts_of_few_corners_are_made_in_place(spark, monkeypatch):
+    """No row for each crossing is shuffled or written: segments meet an index of the polygons where they are."""
+    from geotally.operators import polygons
+
+    monkeypatch.setattr(polygons, "cut", unwritten)
+    box = [[(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]]
+    table = spark.createDataFrame([(1, box), (2, [[(x + 2, y) for x, y in box[0]]]), (3, [[(x + 50, y) for x, y in box[0]]])], f"k int, rings {RINGS}")
+    lines = spark.createDataFrame([(1, 1.0, 1.0, 5.0, 1.0), (2, 2.0, -1.0, 2.0, 3.0), (3, 9.0, 9.0, 9.5, 9.0), (4, 1.0, 1.0, 1.0, 1.0)], SEGMENTS)
+    found = segments_in_polygons(lines, ["source_id"], table, "k", 0.7)
+    assert "Exchange" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 0.0, 0.25), (1, 2, 0.25, 0.75), (2, 1, 0.25, 0.75), (2, 2, 0.25, 0.75)]
+    kept = segments_in_polygons(lines, ["source_id"], table, "k", 0.7, keep=True)
+    assert sorted(r.source_id for r in kept.where("k IS NULL").collect()) == [1, 2, 3, 4] and kept.where("k IS NOT NULL").count() == 4
+
+
+@pytest.mark.parametrize("boundary", ["all", "none"])
+def test_ways_to_cut_agree(spark, monkeypatch, boundary):
+    """By an index, by joins of tiles, edge by edge, and a table of both kinds of polygons."""
+    from geotally.functions import cutting
+    from geotally.operators import polygons
+
+    rng = random.Random(4)
+    shapes = [(i, shape(rng, rng.uniform(0, 60), rng.uniform(0, 60), 9)) for i in range(20)]
+    shapes += [(50 + i, [[(10.0 * i, 0.0), (10.0 * i + 10, 0.0), (10.0 * i + 10, 10.0), (10.0 * i, 10.0), (10.0 * i, 0.0)]]) for i in range(4)]
+    lines = [(i, rng.uniform(0, 60), rng.uniform(0, 60)) for i in range(60)]
+    lines = [(i, x, y, x + rng.uniform(-30, 30), y + rng.uniform(-30, 30)) for i, x, y in lines]
+    lines += [(100 + i, a, b, c, d) for i, (a, b, c, d) in enumerate([(0.0, 10.0, 40.0, 10.0), (40.0, 0.0, 0.0, 0.0), (10.0, -5.0, 10.0, 15.0), (0.0, 0.0, 10.0, 10.0), (5.0, 10.0, 25.0, 10.0), (-900.0, 3.0, 900.0, 4.0)])]
+    df, table = spark.createDataFrame(lines, SEGMENTS), spark.createDataFrame(shapes, f"k int, rings {RINGS}")
+    cut = lambda size: sorted((r.source_id, r.k, round(r.low, 9), round(r.high, 9)) for r in segments_in_polygons(df, ["source_id"], table, "k", size, boundary=boundary).collect())
+    want = cut(7.0)
+    assert len(want) > 100
+    monkeypatch.setattr(polygons, "INDEX_EDGES", 0)
+    assert cut(7.0) == want == cut(2.0)  # at 2.0 some polygons fill too many tiles
+    monkeypatch.setattr(polygons, "CORNERS", 6)
+    assert cut(7.0) == want
+    monkeypatch.setattr(polygons, "CORNERS", 0)
+    assert cut(7.0) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(cutting, "SLICE", 3)  # in the driver only: what a task would do with a small one
+    index = cutting.Index(*_arrays(table), 7.0)
+    import numpy as np
+
+    pairs = [(int(s), int(p)) for s, p in ((s, p) for ss, ps in index.candidates(np.array([x[1:] for x in lines])) for s, p in zip(ss, ps))]
+    assert len(pairs) == len(set(pairs)) and {(lines[s][0], shapes[p][0]) for s, p in pairs} >= {(i, k) for i, k, _, _ in want}
+
+
+def _arrays(table):
+    import numpy as np
+    import pyarrow as pa
+
+    edges = [[(*p, *q) for ring in r.rings for p, q in zip(ring, ring[1:])] for r in table.collect()]
+    return pa.array([r.k for r in table.collect()]), np.array([e for es in edges for e in es]), np.array([len(es) for es in edges])
