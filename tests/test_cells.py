@@ -163,6 +163,13 @@ def unwritten(monkeypatch):
     monkeypatch.setattr(DataFrame, "checkpoint", fail)
 
 
+def test_visits_deal_parts_once(spark, unwritten):
+    _, visits = census_of_two(spark)
+    assert counted(visits) == (1, 0)
+    got = sorted((r.source_key, r.edge, r.cell_id, round(r.low, 6), round(r.high, 6)) for r in visits.collect())
+    assert got == [("in", 1, 1, 0.0, 0.5), ("in", 1, 2, 0.5, 1.0), ("in", 2, 2, 0.0, 1.0)]
+
+
 def test_census_by_joins_of_tiles_is_the_same(spark, monkeypatch):
     from geotally.operators import polygons
 
