@@ -163,6 +163,13 @@ def unwritten(monkeypatch):
     monkeypatch.setattr(DataFrame, "checkpoint", fail)
 
 
+def test_classes_deal_parts_once(spark, unwritten):
+    """Parts and what sources say of themselves are dealt by source once; nothing is written or joined."""
+    classes, _ = census_of_two(spark)
+    assert counted(classes) == (1, 0)
+    assert {r.source_key: r.terminal_class for r in classes.collect()} == {"in": TERMINAL[8], "out": TERMINAL[5], "late": TERMINAL[5], "far": TERMINAL[5]}
+
+
 def test_visits_deal_parts_once(spark, unwritten):
     _, visits = census_of_two(spark)
     assert counted(visits) == (1, 0)
