@@ -345,3 +345,17 @@ def _arrays(table):
 
     edges = [[(*p, *q) for ring in r.rings for p, q in zip(ring, ring[1:])] for r in table.collect()]
     return pa.array([r.k for r in table.collect()]), np.array([e for es in edges for e in es]), np.array([len(es) for es in edges])
+
+
+def test_outlines_are_cut_in_place(spark, monkeypatch):
+    """Crossings of a union's edges are not written, by an index and by joins of tiles."""
+    from geotally.operators import polygons
+
+    box = lambda x, y: [[(x, y), (x + 2.0, y), (x + 2.0, y + 2.0), (x, y + 2.0), (x, y)]]
+    df = spark.createDataFrame([(1, box(0.0, 0.0)), (2, box(2.0, 1.0)), (3, box(20.0, 0.0)), (4, box(1.0, 1.0))], f"k int, rings {RINGS}")
+    monkeypatch.setattr(polygons, "cut", unwritten)
+    pieces = []
+    for edges in (1 << 20, 0):
+        monkeypatch.setattr(polygons, "INDEX_EDGES", edges)
+        pieces.append(sorted(tuple(round(v, 9) for v in r) for r in union_outline(df, "k", 1.3).collect()))
+    assert pieces[0] == pieces[1] and round(sum((ax * by - bx * ay) / 2 for ax, ay, bx, by in pieces[0]), 6) == 13.0
