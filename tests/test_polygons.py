@@ -359,3 +359,12 @@ def test_outlines_are_cut_in_place(spark, monkeypatch):
         monkeypatch.setattr(polygons, "INDEX_EDGES", edges)
         pieces.append(sorted(tuple(round(v, 9) for v in r) for r in union_outline(df, "k", 1.3).collect()))
     assert pieces[0] == pieces[1] and round(sum((ax * by - bx * ay) / 2 for ax, ay, bx, by in pieces[0]), 6) == 13.0
+
+
+def test_fragments_meet_polygons_last(spark):
+    """Lines are joined before the polygons of a shape, so what is shuffled doesn't grow with the pairs."""
+    from geotally import catalog
+
+    found = plan(catalog.QUERIES["line_polygon_fragments"](spark, "/root/testdata/sf0.001"))
+    joins = [x for x in found.splitlines() if "Join" in x]
+    assert "BroadcastHashJoin" in joins[0] and "shape" in joins[0]
